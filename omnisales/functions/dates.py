@@ -40,12 +40,14 @@ def month_index(d: Column) -> Column:
 
 def seconds_of_day(text: Column) -> Column:
     """'HH:MM:SS' text to seconds after midnight; NULL when it does not parse."""
-    h, m, s = (F.regexp_extract(text, TIME_OF_DAY_REGEX, i).try_cast("int") for i in (1, 2, 3))
-    valid = (h < 24) & (m < 60) & (s < 60)
+    parts = F.split(text, ":")
+    h, m, s = (parts.getItem(i).try_cast("int") for i in (0, 1, 2))
+    valid = text.rlike(TIME_OF_DAY_REGEX) & (h < 24) & (m < 60) & (s < 60)
     return F.when(valid, h * 3600 + m * 60 + s)
 
 
 def hms(seconds: Column) -> Column:
     """Seconds after midnight to zero-padded 'HH:MM:SS' text."""
-    return F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600).cast("int"),
-                           F.floor((seconds % 3600) / 60).cast("int"), (seconds % 60).cast("int"))
+    def two(c: Column) -> Column:
+        return F.lpad(c.cast("long").cast("string"), 2, "0")
+    return F.concat_ws(":", two(F.floor(seconds / 3600)), two(F.floor((seconds % 3600) / 60)), two(seconds % 60))

@@ -19,6 +19,7 @@ from pyspark.sql.types import (ByteType, DateType, DecimalType, DoubleType, Floa
 
 from . import customer, geography, marketplace, operations, product, timeseries
 from .sales_view import testdata_sales
+from .store import stored_sales
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -44,9 +45,13 @@ class Analysis:
     needs_products: bool
     extra_product_fields: tuple[str, ...] = ()
 
-    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        sales = testdata_sales(spark, sf_dir, with_products=self.needs_products,
-                               extra_product_fields=self.extra_product_fields)
+    def run(self, spark: SparkSession, sf_dir: str, stored: bool = True) -> DataFrame:
+        """The analysis over ``sf_dir``: from the materialised view (default) or from the raw tables."""
+        if stored:
+            sales = stored_sales(spark, sf_dir)
+        else:
+            sales = testdata_sales(spark, sf_dir, with_products=self.needs_products,
+                                   extra_product_fields=self.extra_product_fields)
         return report(self.plan(sales))
 
 

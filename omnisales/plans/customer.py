@@ -72,37 +72,45 @@ def age_rating(sales: DataFrame) -> DataFrame:
             .orderBy(asc("Customer_Age"))
 
 
+def _name_of_month_index(mi: F.Column) -> F.Column:
+    return F.element_at(F.array(*[F.lit(m) for m in MONTHS]), ((mi - 1) % 12 + 1).cast("int"))
+
+
 def _cohort_counts(sales: DataFrame, months: int) -> DataFrame:
     """Per cohort month name: users and, for k in 0..months-1, users active k months later.
 
     The reference's cohort CTE has no MIN: every active month of a customer is
-    a cohort, and its self-join pairs all rows of a customer. Because only
-    distinct customers are counted, both sides reduce to distinct (customer,
-    month) first; each cohort month is then expanded to its ``months`` target
-    months and matched with an equi-join on (customer, month) - no pair
-    enumeration inside a customer, and the output is at most ``months`` rows
-    per (customer, month).
+    a cohort, and its self-join pairs all rows of a customer before counting
+    distinct customers. Only distinct customers are counted, so each customer
+    is reduced (map-side first) to the set of months it was active in - at
+    most one entry per calendar month, whatever the customer's row count.
+    Each cohort month then looks up its ``months`` successors in that set
+    (no pairs are emitted), the resulting (month name, k) facts are made
+    distinct per customer (years with the same month name merge, as in the
+    reference), and one small aggregate counts customers.
+    A NULL date forms its own NULL cohort with no later activity.
     """
     d = F.col("transaction_date")
-    active = (sales.filter(F.col("customer_id").isNotNull())
-              .select("customer_id", month_index(d).alias("mi"), month_name(d).alias("Bulan_Akuisis"))
-              .distinct())
-    users = (active.select("Bulan_Akuisis", "customer_id").distinct()
-             .groupBy("Bulan_Akuisis").agg(F.count(F.lit(1)).alias("total_user_baru")))
-    targets = active.select("customer_id", F.col("mi").alias("target"))
-    expanded = active.select("customer_id", "Bulan_Akuisis", "mi",
-                             F.explode(F.sequence(F.lit(0), F.lit(months - 1))).alias("k")) \
-                     .withColumn("target", F.col("mi") + F.col("k"))
-    hits = expanded.join(targets, ["customer_id", "target"], "left_semi") \
-                   .select("Bulan_Akuisis", "k", "customer_id").distinct()
-    per_k = hits.groupBy("Bulan_Akuisis").agg(
+    per_customer = (sales.filter(F.col("customer_id").isNotNull())
+                    .groupBy("customer_id")
+                    .agg(F.collect_set(month_index(d)).alias("ms"),
+                         F.max(d.isNull().cast("int")).alias("has_null")))
+    ms = F.col("ms")
+    hits = F.flatten(F.transform(ms, lambda m: F.transform(
+        F.filter(F.sequence(F.lit(-1), F.lit(months - 1)),
+                 lambda k: (k < 0) | F.array_contains(ms, m + k)),
+        lambda k: F.struct(_name_of_month_index(m).alias("name"), k.alias("k")))))
+    null_cohort = F.when(F.col("has_null") == 1,
+                         F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(-1).alias("k"))))
+    no_facts = F.array().cast("array<struct<name:string,k:int>>")
+    facts = F.array_distinct(F.concat(hits, F.coalesce(null_cohort, no_facts)))
+    exploded = per_customer.select(F.explode(facts).alias("f")).select("f.name", "f.k")
+    counts = exploded.groupBy(F.col("name").alias("Bulan_Akuisis")).agg(
+        F.sum((F.col("k") < 0).cast("long")).alias("total_user_baru"),
         *[F.sum((F.col("k") == i).cast("long")).alias(f"bulan_{i}") for i in range(months)])
-    joined = users.join(per_k, users["Bulan_Akuisis"].eqNullSafe(per_k["Bulan_Akuisis"]), "left") \
-                  .select(users["Bulan_Akuisis"], "total_user_baru",
-                          *[F.coalesce(per_k[f"bulan_{i}"], F.lit(0)).alias(f"bulan_{i}") for i in range(months)])
     order_no = field_position(F.col("Bulan_Akuisis"), COHORT_ORDER)
     month_no = field_position(F.col("Bulan_Akuisis"), MONTHS)
-    return joined.orderBy(order_no, month_no, asc("Bulan_Akuisis"))
+    return counts.orderBy(order_no, month_no, asc("Bulan_Akuisis"))
 
 
 def cohort_retention(sales: DataFrame, months: int = COHORT_MONTHS) -> DataFrame:
