@@ -18,7 +18,7 @@ MONTHS = ["January", "February", "March", "April", "May", "June", "July",
 
 def parse_raw_date(text: Column) -> Column:
     """Text 'd/m/yyyy' to DATE; impossible or malformed dates give NULL."""
-    return F.try_to_date(text, F.lit(RAW_DATE_PATTERN))
+    return F.try_to_date(text, RAW_DATE_PATTERN)
 
 
 def weekday_name(d: Column) -> Column:
