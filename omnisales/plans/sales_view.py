@@ -19,7 +19,7 @@ from ..functions.dates import weekday_name
 from ..functions.text import sentence_case
 from ..schema import VIEW_PRODUCT_FIELDS
 from ..sources.prepare import prepare_products, prepare_transactions
-from ..sources.testdata import raw_products, raw_transactions
+from ..sources.testdata import BROADCAST_ROWS, has_at_most, raw_products, raw_transactions
 
 
 def sales_analysis(tx: DataFrame, products: DataFrame | None = None,
@@ -51,6 +51,8 @@ def sales_analysis(tx: DataFrame, products: DataFrame | None = None,
                                        "returned_flag", "return_reason")]
     if products is None:
         return ft.select(*fact, *tail)
+    if has_at_most(products, BROADCAST_ROWS):
+        products = F.broadcast(products)  # catalogue size checked; otherwise Spark / AQE choose
     pc = products.alias("pc")
     joined = ft.join(pc, F.col("ft.product_code") == F.col("pc.product_code"), "left")
     profit = (F.col("ft.gross_sales") - F.col("ft.discount_amount") - F.col("pc.production_cost")

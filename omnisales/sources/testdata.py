@@ -38,11 +38,29 @@ UNLISTED_PART_EVERY = 50  # catalogue gap: parts with key % 50 == 0 are not in t
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
+# A dimension side is broadcast only when it provably has at most this many
+# rows (about 100 MB of join keys and attributes); beyond it Spark plans a
+# shuffle join and AQE may still switch to broadcast from measured sizes.
+BROADCAST_ROWS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def has_at_most(df: DataFrame, rows: int) -> bool:
+    """True when ``df`` has at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer input splits than the session's cores (e.g. one
+    file with one row group) that many partitions; scans of many files are
+    left alone, so this never adds a shuffle at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _case(col: F.Column, mapping: dict, default=None) -> F.Column:
     expr = None
     for key, value in mapping.items():
@@ -63,7 +81,12 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     geo = na.join(rg, na.n_regionkey == rg.r_regionkey)
     cust = cu.join(geo, cu.c_nationkey == geo.n_nationkey)
     orders = od.join(cust, od.o_custkey == cust.c_custkey)
-    rows = li.join(orders, li.l_orderkey == orders.o_orderkey)
+    if has_at_most(od, BROADCAST_ROWS):
+        # at most one enriched row per order: a proven bound, so lineitem streams
+        # past a broadcast copy instead of being shuffled
+        rows = spread(li).join(F.broadcast(orders), li.l_orderkey == orders.o_orderkey)
+    else:
+        rows = li.join(orders, li.l_orderkey == orders.o_orderkey)
 
     gross = F.col("l_extendedprice").cast(MONEY)
     scaled = DecimalType(18, 4)
