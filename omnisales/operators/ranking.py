@@ -100,14 +100,90 @@ def exact_ntile(df: DataFrame, tiles: int, order: Sequence[Column], name: str,
     return ranked.withColumn(name, tile_of("pos_", rows, tiles)).drop("pos_")
 
 
+GRID_BUCKETS = 4096
+
+
+def select_positions(values: DataFrame, column: str, positions: Sequence[int], lo: int, hi: int,
+                     scale: int, buckets: int = GRID_BUCKETS) -> list:
+    """Exact values at 1-based ascending ``positions`` of a column on an integer grid.
+
+    The column holds exact numbers with ``scale`` fraction digits (DECIMAL or
+    integer), so ``v * 10**scale`` is an integer in [lo, hi]. Each round counts
+    rows per bucket of the current range of every target (one scan, a
+    map-side aggregate of at most ``buckets`` groups per target), keeps the
+    bucket that holds the target position and narrows the range to it, until
+    the range is one value. log_buckets(hi - lo) rounds; no sort, no task
+    ever sees more than its own input split, and the driver only reads the
+    bounded bucket counts.
+    """
+    grid = (F.col(column) * F.lit(10 ** scale)).cast("long") if scale else F.col(column).cast("long")
+    state = {i: (lo, hi, p) for i, p in enumerate(positions)}
+    found: dict[int, int] = {}
+    base = values.select(grid.alias("_u"))
+    while len(found) < len(state):
+        open_ = {i: s for i, s in state.items() if i not in found}
+        for i, (a, b, _) in list(open_.items()):
+            if a == b:
+                found[i] = a
+                del open_[i]
+        if not open_:
+            break
+        widths = {i: -(-(b - a + 1) // buckets) for i, (a, b, _) in open_.items()}
+        hits = F.array(*[F.when((F.col("_u") >= a) & (F.col("_u") <= b),
+                                F.struct(F.lit(i).alias("t"), F.expr(f"(_u - ({a})) div {widths[i]}").alias("b")))
+                         for i, (a, b, _) in open_.items()])
+        counts = (base.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("h"))
+                  .groupBy("h.t", "h.b").agg(F.count(F.lit(1)).alias("n")).collect())
+        per_target: dict[int, list] = {}
+        for r in counts:
+            per_target.setdefault(r["t"], []).append((r["b"], r["n"]))
+        for i, (a, b, rank) in open_.items():
+            before = 0
+            for bucket, n in sorted(per_target.get(i, [])):
+                if before + n >= rank:
+                    w = widths[i]
+                    state[i] = (a + bucket * w, min(b, a + bucket * w + w - 1), rank - before)
+                    break
+                before += n
+    return [found[i] for i in range(len(positions))]
+
+
 def ntile_maxima(values: DataFrame, column: str, tiles: int, small_rows: int = SMALL_ROWS) -> list:
     """``MAX(v)`` of each NTILE(tiles) bucket over ascending ``v`` (NULL for an empty bucket).
 
-    Only bucket maxima are needed, so rows are reduced to a histogram of
-    distinct values first; the maximum of bucket k is the smallest value whose
-    cumulative count reaches the bucket's last position. Returns plain
-    Python values (tiles scalars).
+    The maximum of bucket k is the value at position k*size + min(k, extra)
+    of the sorted column. Exact numbers (DECIMAL / integers) use the grid
+    selection above (a few aggregate-only scans); other types reduce to a
+    histogram of distinct values and a distributed running count. Returns
+    plain Python values.
     """
+    from decimal import Decimal
+
+    from pyspark.sql.types import DecimalType, IntegralType
+
+    kind = values.schema[column].dataType
+    if isinstance(kind, (DecimalType, IntegralType)):
+        scale = kind.scale if isinstance(kind, DecimalType) else 0
+        grid = (F.col(column) * F.lit(10 ** scale)).cast("long") if scale else F.col(column).cast("long")
+        stats = values.agg(F.count(column).alias("t"), F.min(grid).alias("lo"), F.max(grid).alias("hi")).collect()[0]
+        total = int(stats["t"] or 0)
+        if total == 0:
+            return [None] * tiles
+        size, extra = divmod(total, tiles)
+        ends = [k * size + min(k, extra) if k <= total else None for k in range(1, tiles + 1)]
+        wanted = [e for e in ends if e]
+        picked = select_positions(values.filter(F.col(column).isNotNull()), column, wanted,
+                                  int(stats["lo"]), int(stats["hi"]), scale)
+        unit = Decimal(1).scaleb(-scale) if isinstance(kind, DecimalType) else 1
+        out, it = [], iter(picked)
+        for e in ends:
+            v = next(it) if e else None
+            out.append(None if v is None else (Decimal(v) * unit if isinstance(kind, DecimalType) else v))
+        return out
+    return _ntile_maxima_by_histogram(values, column, tiles, small_rows)
+
+
+def _ntile_maxima_by_histogram(values: DataFrame, column: str, tiles: int, small_rows: int) -> list:
     ensure_checkpoint_dir(values.sparkSession)
     hist = values.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
     stats = hist.agg(F.count(F.lit(1)).alias("d"), F.sum("_n").alias("t")).collect()[0]

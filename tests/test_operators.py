@@ -54,6 +54,9 @@ def test_ntile_maxima_matches_naive(spark):
     want = [r.m for r in naive.orderBy("k").collect()]
     assert ntile_maxima(df, "v", 3, small_rows=-1) == want
     assert ntile_maxima(df, "v", 3) == want
+    as_double = df.select(F.col("v").cast("double").alias("v"))  # histogram path
+    assert ntile_maxima(as_double, "v", 3, small_rows=-1) == [float(x) for x in want]
+    assert ntile_maxima(as_double, "v", 3) == [float(x) for x in want]
     two = spark.createDataFrame([(4,), (9,)], "v long")
     assert ntile_maxima(two, "v", 3) == [4, 9, None]
     assert ntile_maxima(df.filter("v < 0"), "v", 3) == [None, None, None]
@@ -70,3 +73,13 @@ def test_status_panel_stops_at_shortest_list(spark):
     assert len(out) == 2
     assert out[0]["Cancelled"]["warehouse_origin"] == "W0" and out[0]["Returned"]["warehouse_origin"] == "W3"
     assert out[1]["Delivered"]["warehouse_origin"] == "W6"
+
+
+def test_grid_selection_on_decimals_with_wide_range(spark):
+    from decimal import Decimal
+    rnd = random.Random(11)
+    vals = [Decimal(rnd.randint(-10 ** 9, 10 ** 12)) / 100 for _ in range(3000)] + [Decimal("5.55")] * 1000
+    df = spark.createDataFrame([(v,) for v in vals], "v decimal(18,2)")
+    naive = df.withColumn("k", F.ntile(5).over(Window.orderBy("v"))).groupBy("k").agg(F.max("v").alias("m"))
+    want = [r.m for r in naive.orderBy("k").collect()]
+    assert ntile_maxima(df, "v", 5) == want
