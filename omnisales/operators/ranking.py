@@ -110,38 +110,42 @@ def select_positions(values: DataFrame, column: str, positions: Sequence[int], l
     The column holds exact numbers with ``scale`` fraction digits (DECIMAL or
     integer), so ``v * 10**scale`` is an integer in [lo, hi]. Each round counts
     rows per bucket of the current range of every target (one scan, a
-    map-side aggregate of at most ``buckets`` groups per target), keeps the
+    map-side aggregate of at most ``buckets`` groups per range), keeps the
     bucket that holds the target position and narrows the range to it, until
-    the range is one value. log_buckets(hi - lo) rounds; no sort, no task
-    ever sees more than its own input split, and the driver only reads the
-    bounded bucket counts.
+    the range is one value: log_buckets(hi - lo) rounds, no sort, no task
+    sees more than its own input split, and the driver only reads bucket
+    counts. Ranges of different targets are nested buckets of one scheme, so
+    they are either identical or disjoint and a row falls in at most one.
     """
-    grid = (F.col(column) * F.lit(10 ** scale)).cast("long") if scale else F.col(column).cast("long")
+    u = (F.col(column) * F.lit(10 ** scale)).cast("long") if scale else F.col(column).cast("long")
+    base = values.select(u.alias("_u"))
     state = {i: (lo, hi, p) for i, p in enumerate(positions)}
     found: dict[int, int] = {}
-    base = values.select(grid.alias("_u"))
-    while len(found) < len(state):
-        open_ = {i: s for i, s in state.items() if i not in found}
-        for i, (a, b, _) in list(open_.items()):
+    while True:
+        for i, (a, b, _) in state.items():
             if a == b:
                 found[i] = a
-                del open_[i]
+        open_ = {i: s for i, s in state.items() if i not in found}
         if not open_:
             break
-        widths = {i: -(-(b - a + 1) // buckets) for i, (a, b, _) in open_.items()}
-        hits = F.array(*[F.when((F.col("_u") >= a) & (F.col("_u") <= b),
-                                F.struct(F.lit(i).alias("t"), F.expr(f"(_u - ({a})) div {widths[i]}").alias("b")))
-                         for i, (a, b, _) in open_.items()])
-        counts = (base.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("h"))
-                  .groupBy("h.t", "h.b").agg(F.count(F.lit(1)).alias("n")).collect())
-        per_target: dict[int, list] = {}
-        for r in counts:
-            per_target.setdefault(r["t"], []).append((r["b"], r["n"]))
+        ranges = sorted({(a, b) for a, b, _ in open_.values()})
+        widths = [-(-(b - a + 1) // buckets) for a, b in ranges]
+        rid = bkt = None
+        for k, ((a, b), w) in enumerate(zip(ranges, widths)):
+            inside = (F.col("_u") >= a) & (F.col("_u") <= b)
+            bucket = F.expr(f"(_u - ({a})) div {w}")
+            rid = F.when(inside, F.lit(k)) if rid is None else rid.when(inside, F.lit(k))
+            bkt = F.when(inside, bucket) if bkt is None else bkt.when(inside, bucket)
+        counts = (base.select(rid.alias("r"), bkt.alias("b")).filter(F.col("r").isNotNull())
+                  .groupBy("r", "b").agg(F.count(F.lit(1)).alias("n")).collect())
+        per_range: dict[int, list] = {}
+        for row in counts:
+            per_range.setdefault(row["r"], []).append((row["b"], row["n"]))
         for i, (a, b, rank) in open_.items():
-            before = 0
-            for bucket, n in sorted(per_target.get(i, [])):
+            k = ranges.index((a, b))
+            w, before = widths[k], 0
+            for bucket, n in sorted(per_range.get(k, [])):
                 if before + n >= rank:
-                    w = widths[i]
                     state[i] = (a + bucket * w, min(b, a + bucket * w + w - 1), rank - before)
                     break
                 before += n

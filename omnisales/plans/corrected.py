@@ -33,10 +33,19 @@ def cohort_retention_first_purchase(sales: DataFrame, months: int = COHORT_MONTH
     d = F.col("transaction_date")
     per_customer = (sales.filter(F.col("customer_id").isNotNull() & d.isNotNull())
                     .groupBy("customer_id")
-                    .agg(F.collect_set(month_index(d)).alias("ms"), F.min(d).alias("first_day")))
-    first = month_index(F.col("first_day"))
-    flags = [F.array_contains("ms", first + F.lit(k)).cast("long").alias(f"m{k}") for k in range(months)]
-    per = per_customer.select(F.date_format("first_day", "yyyy-MM").alias("Cohort_Month"), *flags)
+                    .agg(F.sort_array(F.collect_set(month_index(d))).alias("ms"), F.min(d).alias("first_day")))
+    first = F.element_at("ms", 1)
+
+    def active_after(k: int) -> F.Column:  # month first + k sits within the next k entries of the sorted set
+        if k == 0:
+            return F.lit(1).cast("long")
+        hit = F.lit(False)
+        for j in range(1, k + 1):
+            hit = hit | F.coalesce(F.try_element_at("ms", F.lit(1 + j)) == first + F.lit(k), F.lit(False))
+        return hit.cast("long")
+
+    per = per_customer.select(F.date_format("first_day", "yyyy-MM").alias("Cohort_Month"),
+                              *[active_after(k).alias(f"m{k}") for k in range(months)])
     g = per.groupBy("Cohort_Month").agg(F.count(F.lit(1)).alias("total_user_baru"),
                                         *[F.sum(f"m{k}").alias(f"m{k}") for k in range(months)])
     pct = [pct_text(percent(F.col(f"m{k}"), F.col("total_user_baru"), 0)).alias(f"bulan_{k}") for k in range(months)]

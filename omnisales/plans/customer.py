@@ -82,32 +82,36 @@ def _cohort_counts(sales: DataFrame, months: int) -> DataFrame:
     The reference's cohort CTE has no MIN: every active month of a customer is
     a cohort, and its self-join pairs all rows of a customer before counting
     distinct customers. Only distinct customers are counted, so each customer
-    is reduced (map-side first) to the set of months it was active in - at
-    most one entry per calendar month, whatever the customer's row count.
-    Each cohort month then looks up its ``months`` successors in that set
-    (no pairs are emitted), the resulting (month name, k) facts are made
-    distinct per customer (years with the same month name merge, as in the
-    reference), and one small aggregate counts customers.
-    A NULL date forms its own NULL cohort with no later activity.
+    is reduced (map-side first) to the sorted set of months it was active in -
+    at most one entry per calendar month, whatever its row count. In a sorted
+    set of distinct months, month m + k can only sit within the next k
+    entries after m, so each cohort month checks at most ``months - 1``
+    neighbours by position (no pairs are emitted, no self-join). The rows stay
+    partitioned by customer, so merging years of the same month name per
+    customer needs no further shuffle; one small aggregate counts customers.
+    A NULL date forms its own NULL cohort with no activity after it.
     """
     d = F.col("transaction_date")
     per_customer = (sales.filter(F.col("customer_id").isNotNull())
                     .groupBy("customer_id")
-                    .agg(F.collect_set(month_index(d)).alias("ms"),
-                         F.max(d.isNull().cast("int")).alias("has_null")))
-    ms = F.col("ms")
-    hits = F.flatten(F.transform(ms, lambda m: F.transform(
-        F.filter(F.sequence(F.lit(-1), F.lit(months - 1)),
-                 lambda k: (k < 0) | F.array_contains(ms, m + k)),
-        lambda k: F.struct(_name_of_month_index(m).alias("name"), k.alias("k")))))
-    null_cohort = F.when(F.col("has_null") == 1,
-                         F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(-1).alias("k"))))
-    no_facts = F.array().cast("array<struct<name:string,k:int>>")
-    facts = F.array_distinct(F.concat(hits, F.coalesce(null_cohort, no_facts)))
-    exploded = per_customer.select(F.explode(facts).alias("f")).select("f.name", "f.k")
-    counts = exploded.groupBy(F.col("name").alias("Bulan_Akuisis")).agg(
-        F.sum((F.col("k") < 0).cast("long")).alias("total_user_baru"),
-        *[F.sum((F.col("k") == i).cast("long")).alias(f"bulan_{i}") for i in range(months)])
+                    .agg(F.sort_array(F.collect_set(F.coalesce(month_index(d), F.lit(-1)))).alias("ms")))
+    cohorts = per_customer.select("customer_id", "ms", F.posexplode("ms").alias("pos", "m"))
+    m, known = F.col("m"), F.col("m") >= 0
+
+    def active_after(k: int) -> F.Column:
+        if k == 0:
+            return known
+        hit = F.lit(False)
+        for j in range(1, k + 1):
+            hit = hit | F.coalesce(F.try_element_at("ms", F.col("pos") + F.lit(1 + j)) == m + F.lit(k), F.lit(False))
+        return known & hit
+
+    name = F.when(known, _name_of_month_index(m))
+    per_name = cohorts.groupBy("customer_id", name.alias("Bulan_Akuisis")).agg(
+        *[F.max(active_after(k).cast("long")).alias(f"f{k}") for k in range(months)])
+    counts = per_name.groupBy("Bulan_Akuisis").agg(
+        F.count(F.lit(1)).alias("total_user_baru"),
+        *[F.sum(f"f{k}").alias(f"bulan_{k}") for k in range(months)])
     order_no = field_position(F.col("Bulan_Akuisis"), COHORT_ORDER)
     month_no = field_position(F.col("Bulan_Akuisis"), MONTHS)
     return counts.orderBy(order_no, month_no, asc("Bulan_Akuisis"))

@@ -25,6 +25,9 @@ from .sales_view import testdata_sales
 # Catalogue fields carried beyond the 37 view columns (used by corrected variants).
 EXTRA_FIELDS = ("reorder_point",)
 
+# Scans of materialised copies, per (application, folder).
+_READ: dict[tuple[str, str], DataFrame] = {}
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -58,6 +61,8 @@ def materialize_sales(spark: SparkSession, sf_dir: str, path: str | None = None,
     marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not refresh and fs.exists(marker):
         return path
+    for key in [k for k in _READ if k[1] == path]:
+        del _READ[key]  # a rewritten folder needs a fresh file listing
     view = testdata_sales(spark, sf_dir, with_products=True, extra_product_fields=EXTRA_FIELDS)
     writer = view.write.mode("overwrite")
     if partition_by:
@@ -67,5 +72,13 @@ def materialize_sales(spark: SparkSession, sf_dir: str, path: str | None = None,
 
 
 def stored_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sales view of ``sf_dir`` read from its materialised copy."""
-    return spark.read.parquet(materialize_sales(spark, sf_dir))
+    """The sales view of ``sf_dir`` read from its materialised copy.
+
+    The scan (file listing and footers) is reused within an application; a
+    new input fingerprint gives a new folder and so a new scan.
+    """
+    path = materialize_sales(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _READ:
+        _READ[key] = spark.read.parquet(path)
+    return _READ[key]
