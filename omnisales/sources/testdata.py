@@ -10,9 +10,12 @@ Scale notes:
 * Join order keeps the big-big join last: customer is first enriched with the
   25-row nation / 5-row region tables, then joined to orders on the customer
   key, and only then to lineitem on the order key, so lineitem is shuffled
-  once. No broadcast hint is forced: Catalyst broadcasts the small tables
-  from their size estimate and AQE re-plans from measured shuffle sizes, so a
-  side that grows past the threshold falls back to a sort-merge join.
+  at most once.
+* The enriched orders side is broadcast only after ``has_at_most`` has
+  proven it small (it has one row per order); past that bound the join is
+  left to Spark (sort-merge, or AQE's switch from measured sizes). File-size
+  estimates alone would pick the wrong side here: Spark multiplies the
+  estimates of joined inputs, so the orders chain looks larger than lineitem.
 """
 
 from __future__ import annotations
@@ -53,12 +56,14 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a scan with fewer input splits than the session's cores (e.g. one
-    file with one row group) that many partitions; scans of many files are
-    left alone, so this never adds a shuffle at scale."""
+    file with one row group) that many partitions, hashed on ``key`` (a
+    round-robin split would first sort every partition to stay deterministic
+    on retries); scans of many files are left alone, so this never adds a
+    shuffle at scale."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def _case(col: F.Column, mapping: dict, default=None) -> F.Column:
@@ -84,7 +89,7 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     if has_at_most(od, BROADCAST_ROWS):
         # at most one enriched row per order: a proven bound, so lineitem streams
         # past a broadcast copy instead of being shuffled
-        rows = spread(li).join(F.broadcast(orders), li.l_orderkey == orders.o_orderkey)
+        rows = spread(li, "l_orderkey").join(F.broadcast(orders), li.l_orderkey == orders.o_orderkey)
     else:
         rows = li.join(orders, li.l_orderkey == orders.o_orderkey)
 
