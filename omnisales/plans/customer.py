@@ -12,7 +12,7 @@ from ..functions.exact import percent, rounded_avg
 from ..functions.ordering import asc, desc, field_position
 from ..functions.text import money_text, pct_text
 from ..operators.aggregates import share_text
-from ..operators.ranking import exact_ntile, rank_rows
+from ..operators.ranking import SMALL_ROWS, exact_ntile, rank_rows
 from ..session import ensure_checkpoint_dir
 
 # Month order of the cohort report (months after it sort first).
@@ -146,7 +146,8 @@ def rfm_segment(r: F.Column, f: F.Column, m: F.Column) -> F.Column:
             .otherwise(NEEDS_ATTENTION))
 
 
-def rfm_scores(sales: DataFrame, as_of: _dt.date = TESTDATA_AS_OF, best_high: bool = False) -> DataFrame:
+def rfm_scores(sales: DataFrame, as_of: _dt.date = TESTDATA_AS_OF, best_high: bool = False,
+               small_rows: int = SMALL_ROWS) -> DataFrame:
     """Customer table with the three NTILE(5) scores.
 
     Faithful orders: recency ASC, frequency DESC, monetary DESC (tile 1 is the
@@ -160,15 +161,15 @@ def rfm_scores(sales: DataFrame, as_of: _dt.date = TESTDATA_AS_OF, best_high: bo
     r_order = desc("nilai_recency") if best_high else asc("nilai_recency")
     f_order = asc("nilai_frequency") if best_high else desc("nilai_frequency")
     m_order = asc("nilai_monetary") if best_high else desc("nilai_monetary")
-    scored = exact_ntile(raw, RFM_TILES, [r_order, asc("customer_id")], "skor_r", rows=rows)
-    scored = exact_ntile(scored, RFM_TILES, [f_order, asc("customer_id")], "skor_f", rows=rows)
-    return exact_ntile(scored, RFM_TILES, [m_order, asc("customer_id")], "skor_m", rows=rows)
+    scored = exact_ntile(raw, RFM_TILES, [r_order, asc("customer_id")], "skor_r", rows, small_rows)
+    scored = exact_ntile(scored, RFM_TILES, [f_order, asc("customer_id")], "skor_f", rows, small_rows)
+    return exact_ntile(scored, RFM_TILES, [m_order, asc("customer_id")], "skor_m", rows, small_rows)
 
 
 def rfm_segmentation(sales: DataFrame, as_of: _dt.date = TESTDATA_AS_OF, segments: list[str] | None = None,
-                     best_high: bool = False) -> DataFrame:
+                     best_high: bool = False, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Q18: RFM code and segment per customer, by spend (optionally only some segments)."""
-    s = rfm_scores(sales, as_of, best_high)
+    s = rfm_scores(sales, as_of, best_high, small_rows)
     r, f, m = F.col("skor_r"), F.col("skor_f"), F.col("skor_m")
     out = s.select("customer_id",
                    F.col("nilai_recency").alias("hari_sejak_belanja_terakhir"),
