@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import percent
 from ..functions.text import pct_text
-from ..functions.ordering import asc, desc
+from ..functions.ordering import asc, desc, field_position
+from ..operators.ranking import SMALL_ROWS, running_total
+from ..session import ensure_checkpoint_dir
 
 # Delivery statuses of the panels, in panel order.
 PANEL_STATUSES = ("Cancelled", "Returned", "Delivered")
@@ -27,25 +29,58 @@ def share_text(df: DataFrame, measure: str, digits: int, name: str = "Ratio") ->
 
 def status_panel(sales: DataFrame, entity: str, measures: dict[str, Column], rank_measure: str,
                  ratio_measure: str | None = None, ratio_digits: int = 0,
-                 statuses: Sequence[str] = PANEL_STATUSES) -> DataFrame:
+                 statuses: Sequence[str] = PANEL_STATUSES, bounded: bool = True,
+                 small_rows: int = SMALL_ROWS) -> DataFrame:
     """Per-status ranked lists of ``entity`` zipped side by side on their rank.
 
     The reference scans the view once per status and inner-joins three ranked
-    lists on ROW_NUMBER. Here one aggregate over (entity, status) feeds one
-    window partitioned by status (rank and share of total in the same
-    window), and a single group-by on the rank lays the lists side by side:
-    one struct column per status holding ``entity``, the ``measures`` and
-    ``Ratio``. Rows exist only for ranks present in every list, as with the
-    inner joins. The rank order is ``rank_measure`` DESC, then the entity.
+    lists on ROW_NUMBER. Here one aggregate over (entity, status) feeds the
+    ranks and shares of all statuses, and a single group-by on the rank lays
+    the lists side by side: one struct column per status holding ``entity``,
+    the ``measures`` and ``Ratio``. Rows exist only for ranks present in every
+    list, as with the inner joins. The rank order is ``rank_measure`` DESC,
+    then the entity.
+
+    With ``bounded`` (entities of a bounded dimension: warehouses, cities) the
+    ranks and shares come from one window partitioned by status. Otherwise
+    the (entity, status) groups are checkpointed and counted; beyond
+    ``small_rows`` ranks come from range-partitioned positions over
+    (status, measure, entity) minus each status's offset, and shares from the
+    per-status totals - both from a one-row-per-status aggregate.
     """
     grouped = (sales.filter(F.col("delivery_status").isin(*statuses))
                .groupBy(entity, "delivery_status")
                .agg(*[agg.alias(name) for name, agg in measures.items()]))
-    by_status = Window.partitionBy("delivery_status")
-    ranked = grouped.withColumn("rn", F.row_number().over(by_status.orderBy(desc(rank_measure), asc(entity))))
-    if ratio_measure:
-        total = F.sum(ratio_measure).over(by_status)
-        ranked = ranked.withColumn("Ratio", pct_text(percent(F.col(ratio_measure), total, ratio_digits)))
+    order = [desc(rank_measure), asc(entity)]
+    large = False
+    if not bounded:
+        ensure_checkpoint_dir(grouped.sparkSession)
+        grouped = grouped.checkpoint()
+        large = grouped.count() > small_rows
+    if large:
+        status_no = field_position(F.col("delivery_status"), list(statuses))
+        per_status = grouped.groupBy("delivery_status").agg(
+            F.count(F.lit(1)).alias("n"), *([F.sum(ratio_measure).alias("t")] if ratio_measure else [])).collect()
+        info = {r["delivery_status"]: r for r in per_status}
+        offset, start = F.lit(0), 0
+        for s in statuses:
+            offset = F.when(F.col("delivery_status") == s, F.lit(start)).otherwise(offset)
+            start += info[s]["n"] if s in info else 0
+        ranked = running_total(grouped.withColumn("_s", status_no), [F.col("_s").asc()] + order, None, "_pos",
+                               rows=start, small_rows=-1)
+        ranked = ranked.withColumn("rn", F.col("_pos") - offset).drop("_s", "_pos")
+        if ratio_measure:
+            total = F.lit(None).cast("decimal(38,0)")
+            for s in statuses:
+                if s in info:
+                    total = F.when(F.col("delivery_status") == s, F.lit(info[s]["t"])).otherwise(total)
+            ranked = ranked.withColumn("Ratio", pct_text(percent(F.col(ratio_measure), total, ratio_digits)))
+    else:
+        by_status = Window.partitionBy("delivery_status")
+        ranked = grouped.withColumn("rn", F.row_number().over(by_status.orderBy(*order)))
+        if ratio_measure:
+            total = F.sum(ratio_measure).over(by_status)
+            ranked = ranked.withColumn("Ratio", pct_text(percent(F.col(ratio_measure), total, ratio_digits)))
     fields = [entity] + list(measures) + (["Ratio"] if ratio_measure else [])
     packed = ranked.select("rn", "delivery_status", F.struct(*fields).alias("v"))
     slots = [F.max(F.when(F.col("delivery_status") == s, F.col("v"))).alias(s) for s in statuses]

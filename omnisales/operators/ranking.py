@@ -27,8 +27,22 @@ from ..session import ensure_checkpoint_dir, shuffle_partitions
 SMALL_ROWS = 1_000_000
 
 
-def rank_rows(df: DataFrame, order: Sequence[Column], name: str = "Ranking") -> DataFrame:
-    """ROW_NUMBER over aggregated rows of a bounded dimension."""
+def rank_rows(df: DataFrame, order: Sequence[Column], name: str = "Ranking", bounded: bool = True,
+              small_rows: int = SMALL_ROWS) -> DataFrame:
+    """ROW_NUMBER over aggregated rows.
+
+    ``bounded``: the rows are groups of a dimension with a bounded domain, so
+    one task orders them. Otherwise (e.g. products of a catalogue that grows)
+    the groups are checkpointed once and counted; up to ``small_rows`` they are
+    still ordered in one task, beyond it the row number comes from the
+    range-partitioned ``running_total``.
+    """
+    if not bounded:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint()
+        rows = df.count()
+        if rows > small_rows:
+            return running_total(df, order, None, name, rows=rows, small_rows=-1)
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 

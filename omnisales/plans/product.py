@@ -34,7 +34,7 @@ def product_margin_ranking(sales: DataFrame) -> DataFrame:
                                           F.sum("net_profit").alias("total_profit"))
     ratio = quotient(F.col("total_profit"), F.col("total_revenue"), 2, 2)
     g = g.withColumn("_ratio4", F.round(ratio, 4)).withColumn("profit_margin_pct", F.round(ratio * F.lit(100), 2))
-    r = rank_rows(g, [desc("_ratio4"), asc("product_name")])
+    r = rank_rows(g, [desc("_ratio4"), asc("product_name")], bounded=False)
     return r.select("Ranking", "product_name", "total_quantity", "total_revenue", "total_profit",
                     "profit_margin_pct").orderBy("Ranking")
 
@@ -59,7 +59,7 @@ def bottom_products(sales: DataFrame, k: int = 10) -> DataFrame:
 
 def product_status_panel(sales: DataFrame) -> DataFrame:
     """Q10: cancelled / returned / delivered product lists by units, side by side on rank."""
-    p = status_panel(sales, "product_name", {"Qty": F.sum("quantity")}, rank_measure="Qty")
+    p = status_panel(sales, "product_name", {"Qty": F.sum("quantity")}, rank_measure="Qty", bounded=False)
     return p.orderBy("rn").select(
         F.col("Cancelled.product_name").alias("Cancelled_Product"), F.col("Cancelled.Qty").alias("Cancelled_Qty"),
         F.col("Returned.product_name").alias("Returned_Product"), F.col("Returned.Qty").alias("Returned_Qty"),
@@ -70,7 +70,7 @@ def product_status_ranking(sales: DataFrame, status: str = "Delivered") -> DataF
     """Products of one delivery status ranked by units."""
     g = sales.filter(F.col("delivery_status") == status).groupBy("product_name") \
              .agg(F.sum("quantity").alias("Total_Product"))
-    r = rank_rows(g, [desc("Total_Product"), asc("product_name")])
+    r = rank_rows(g, [desc("Total_Product"), asc("product_name")], bounded=False)
     return r.select("Ranking", F.col("product_name").alias("Product_Name"),
                     F.lit(status).alias("Delivery_Status"), "Total_Product").orderBy("Ranking")
 

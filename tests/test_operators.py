@@ -83,3 +83,25 @@ def test_grid_selection_on_decimals_with_wide_range(spark):
     naive = df.withColumn("k", F.ntile(5).over(Window.orderBy("v"))).groupBy("k").agg(F.max("v").alias("m"))
     want = [r.m for r in naive.orderBy("k").collect()]
     assert ntile_maxima(df, "v", 5) == want
+
+
+def test_unbounded_rank_rows_distributed_equals_window(spark):
+    from omnisales.operators.ranking import rank_rows
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(f"p{i:03d}", rnd.randint(0, 9)) for i in range(300)], "k string, v long")
+    order = [desc("v"), asc("k")]
+    want = {r.k: r.Ranking for r in rank_rows(df, order).collect()}
+    assert {r.k: r.Ranking for r in rank_rows(df, order, bounded=False, small_rows=-1).collect()} == want
+    assert {r.k: r.Ranking for r in rank_rows(df, order, bounded=False).collect()} == want
+
+
+def test_unbounded_status_panel_distributed_equals_window(spark):
+    rnd = random.Random(9)
+    statuses = ["Cancelled", "Returned", "Delivered"]
+    rows = [{"transaction_id": str(i), "warehouse_origin": f"W{rnd.randint(0, 40)}",
+             "delivery_status": statuses[rnd.randint(0, 2)], "quantity": str(rnd.randint(1, 5))} for i in range(600)]
+    s = sales_of(spark, rows)
+    args = (s, "warehouse_origin", {"Qty": F.sum("quantity")}, "Qty", "Qty", 0)
+    want = sorted(map(str, status_panel(*args).collect()))
+    got = sorted(map(str, status_panel(*args, bounded=False, small_rows=-1).collect()))
+    assert got == want and len(want) > 10
