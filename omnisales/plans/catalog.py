@@ -23,15 +23,24 @@ from .sales_view import testdata_sales
 from .store import stored_sales
 
 TEST_HIGH_VALUE_SPEND = 36_000
+REVIEWS = ("Review_Count",)
 
 
-def report(df: DataFrame) -> DataFrame:
-    """Engine-neutral output types: BIGINT, DOUBLE, text."""
+def report(df: DataFrame, as_double: tuple[str, ...] = ()) -> DataFrame:
+    """Engine-neutral output types: BIGINT, DOUBLE, text.
+
+    ``as_double`` names whole-number columns that can hold NULL (catalogue
+    values of the unmatched-product group); they are reported as DOUBLE so
+    that NULL has one representation in every client (a nullable BIGINT comes
+    back as float in some clients and as a nullable integer in others).
+    """
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         t = f.dataType
-        if isinstance(t, (ByteType, ShortType, IntegerType)):
+        if f.name in as_double:
+            c = c.cast(DoubleType())
+        elif isinstance(t, (ByteType, ShortType, IntegerType)):
             c = c.cast(LongType())
         elif isinstance(t, (DecimalType, FloatType)):
             c = c.cast(DoubleType())
@@ -47,6 +56,7 @@ class Analysis:
     plan: Callable[[DataFrame], DataFrame]
     needs_products: bool
     extra_product_fields: tuple[str, ...] = ()
+    as_double: tuple[str, ...] = ()
 
     def run(self, spark: SparkSession, sf_dir: str, stored: bool = True) -> DataFrame:
         """The analysis over ``sf_dir``: from the materialised view (default) or from the raw tables."""
@@ -55,7 +65,7 @@ class Analysis:
         else:
             sales = testdata_sales(spark, sf_dir, with_products=self.needs_products,
                                    extra_product_fields=self.extra_product_fields)
-        return report(self.plan(sales))
+        return report(self.plan(sales), self.as_double)
 
 
 ANALYSES: list[Analysis] = [
@@ -64,15 +74,16 @@ ANALYSES: list[Analysis] = [
     Analysis("q03_discount_band_repeat_rate", marketplace.discount_band_repeat_rate, True),
     Analysis("q04_platform_comparison", marketplace.platform_comparison, True),
     Analysis("q05_platform_gender_sales", marketplace.platform_gender_sales, True),
-    Analysis("q06_category_ranking", product.category_ranking, True),
+    Analysis("q06_category_ranking", product.category_ranking, True, as_double=REVIEWS),
     Analysis("q07_product_margin_ranking", product.product_margin_ranking, True),
-    Analysis("q08_top_products", product.top_products, True),
-    Analysis("q09_bottom_products", product.bottom_products, True),
+    Analysis("q08_top_products", product.top_products, True, as_double=REVIEWS),
+    Analysis("q09_bottom_products", product.bottom_products, True, as_double=REVIEWS),
     Analysis("q10_product_status_panel", product.product_status_panel, True),
     Analysis("q10b_product_status_ranking", product.product_status_ranking, True),
-    Analysis("q11_restock_priority", product.restock_priority, True),
+    Analysis("q11_restock_priority", product.restock_priority, True,
+             as_double=("Stock_Qty_Awal", "Stock_Qty_Akhir")),
     Analysis("q12_skin_type_orders", customer.skin_type_orders, True),
-    Analysis("q13_size_orders", customer.size_orders, True),
+    Analysis("q13_size_orders", customer.size_orders, True, as_double=("Size_Ml",)),
     Analysis("q14_gender_share", customer.gender_share, False),
     Analysis("q15_tier_gender_share", customer.tier_gender_share, False),
     Analysis("q16_age_rating", customer.age_rating, False),
@@ -108,9 +119,10 @@ ANALYSES: list[Analysis] = [
     Analysis("c2_rfm_segmentation_best_high", corrected.rfm_segmentation_best_high, True),
     Analysis("c3_warehouse_status_pivot", corrected.warehouse_status_pivot, False),
     Analysis("c3_city_status_pivot", corrected.city_status_pivot, False),
-    Analysis("c4_restock_by_reorder_point", corrected.restock_by_reorder_point, True, ("reorder_point",)),
+    Analysis("c4_restock_by_reorder_point", corrected.restock_by_reorder_point, True, ("reorder_point",),
+             ("Stock_Qty", "Remaining_Stock", "Reorder_Point")),
     Analysis("c5_discount_band_quartiles", corrected.discount_band_quartiles, False),
-    Analysis("c6_product_reviews_once", corrected.product_reviews_once, True),
+    Analysis("c6_product_reviews_once", corrected.product_reviews_once, True, as_double=REVIEWS),
     Analysis("c7_unit_scaled_profit", corrected.unit_scaled_profit, True),
     Analysis("c8_revenue_moving_average_calendar", corrected.revenue_moving_average_calendar, False),
 ]
