@@ -19,7 +19,7 @@ from ..operators.aggregates import PANEL_STATUSES, moving_average
 from ..operators.ranking import ntile_maxima, rank_rows
 from .customer import COHORT_MONTHS, TESTDATA_AS_OF, rfm_segmentation
 from .findings import _status_pivot
-from .marketplace import DISCOUNT_BANDS, NO_DISCOUNT, discount_band
+from .marketplace import band_repeat_rate
 from .timeseries import daily_revenue
 
 
@@ -87,25 +87,7 @@ def discount_band_quartiles(sales: DataFrame) -> DataFrame:
     """Real quartiles (NTILE(4) maxima), top band above the third; repeat = customer has > 1 row."""
     positive = sales.select("discount_amount").filter(F.col("discount_amount") > 0)
     limits = ntile_maxima(positive, "discount_amount", 4)[:3]
-    bands = DISCOUNT_BANDS + [NO_DISCOUNT]
-    rows = sales.select("customer_id", "transaction_id", discount_band(limits).alias("band"))
-    per_customer = rows.groupBy("customer_id").agg(
-        F.count("transaction_id").alias("n"),
-        *[F.max((F.col("band") == b).cast("int")).alias(f"in{i}") for i, b in enumerate(bands)])
-    known = F.col("customer_id").isNotNull()
-    totals = per_customer.agg(
-        *[F.sum(F.when(known, F.col(f"in{i}")).otherwise(0)).cast("long").alias(f"c{i}") for i in range(len(bands))],
-        *[F.sum(F.when(known & (F.col("n") > 1), F.col(f"in{i}")).otherwise(0)).cast("long").alias(f"r{i}")
-          for i in range(len(bands))],
-        *[F.max(f"in{i}").alias(f"e{i}") for i in range(len(bands))])
-    per_band = totals.select(F.explode(F.array(*[
-        F.struct(F.lit(b).alias("kategori_diskon"), F.col(f"c{i}").alias("total_pelanggan"),
-                 F.col(f"r{i}").alias("jumlah_repeat_customer"), F.col(f"e{i}").alias("present"))
-        for i, b in enumerate(bands)])).alias("b")).select("b.*")
-    rate = pct_text(percent(F.col("jumlah_repeat_customer"), F.col("total_pelanggan"), 2))
-    return (per_band.filter(F.col("present") == 1)
-            .select("kategori_diskon", "total_pelanggan", "jumlah_repeat_customer", rate.alias("repeat_rate_persen"))
-            .orderBy(desc("total_pelanggan"), asc("kategori_diskon")))
+    return band_repeat_rate(sales, limits, repeat_per_product=False)
 
 
 def product_reviews_once(sales: DataFrame) -> DataFrame:

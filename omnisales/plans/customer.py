@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import MONTHS, month_index, month_name
+from ..functions.dates import MONTHS, month_index
 from ..functions.exact import percent, rounded_avg
 from ..functions.ordering import asc, desc, field_position
 from ..functions.text import money_text, pct_text

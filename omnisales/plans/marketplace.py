@@ -52,25 +52,26 @@ def discount_band(limits: list) -> F.Column:
             .otherwise(NO_DISCOUNT))
 
 
-def discount_band_repeat_rate(sales: DataFrame, limits: list | None = None) -> DataFrame:
-    """Q03: customers, repeat customers and repeat rate per discount band.
-
-    "Repeat" is the reference's rule: the customer bought the same product
-    (per customer AND product name) more than once, anywhere; a customer
-    counts in every band one of their rows falls in. The row-level window
-    COUNT(...) OVER (PARTITION BY customer, product) becomes two partial
-    aggregates: (customer, product) -> row count + band presence, then
-    customer -> band flags, then one global row. A heavy customer is reduced
-    map-side before any shuffle, and no group ever holds raw rows.
+def band_repeat_rate(sales: DataFrame, limits: list, repeat_per_product: bool = True) -> DataFrame:
+    """Customers, repeat customers and repeat rate per discount band.
+
+    A customer counts in every band one of their rows falls in, and is a
+    repeat customer of a band when one of those rows belongs to a (customer,
+    product) pair - or, with ``repeat_per_product=False``, a customer - with
+    more than one transaction. The row-level window COUNT(...) OVER
+    (PARTITION BY ...) becomes partial aggregates: rows -> (customer[,
+    product]) with a row count and band flags -> customer -> one global row.
+    A heavy customer is reduced map-side before any shuffle, and no group
+    ever holds raw rows.
     """
-    limits = discount_thresholds(sales) if limits is None else limits
     bands = DISCOUNT_BANDS + [NO_DISCOUNT]
     rows = sales.select("customer_id", "product_name", "transaction_id", discount_band(limits).alias("band"))
-    per_product = rows.groupBy("customer_id", "product_name").agg(
+    keys = ["customer_id", "product_name"] if repeat_per_product else ["customer_id"]
+    per_key = rows.groupBy(*keys).agg(
         F.count("transaction_id").alias("n"),
         *[F.max((F.col("band") == b).cast("int")).alias(f"in{i}") for i, b in enumerate(bands)])
     repeat = F.col("n") > 1
-    per_customer = per_product.groupBy("customer_id").agg(
+    per_customer = per_key.groupBy("customer_id").agg(
         *[F.max(f"in{i}").alias(f"in{i}") for i in range(len(bands))],
         *[F.max(F.when(repeat, F.col(f"in{i}")).otherwise(0)).alias(f"rp{i}") for i in range(len(bands))])
     known = F.col("customer_id").isNotNull()
@@ -88,6 +89,16 @@ def discount_band_repeat_rate(sales: DataFrame, limits: list | None = None) -> D
             .orderBy(desc("total_pelanggan"), asc("kategori_diskon")))
 
 
+def discount_band_repeat_rate(sales: DataFrame, limits: list | None = None) -> DataFrame:
+    """Q03: repeat rate per discount band, bands from the NTILE(3) maxima of positive discounts.
+
+    Faithful: repeat is counted per customer AND product name; the top band
+    (above the largest discount) is always empty.
+    """
+    limits = discount_thresholds(sales) if limits is None else limits
+    return band_repeat_rate(sales, limits, repeat_per_product=True)
+
+
 def platform_comparison(sales: DataFrame) -> DataFrame:
     """Q04: cost and revenue components per platform, ranked by revenue."""
     g = sales.groupBy("platform").agg(

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import (DateType, DecimalType, IntegerType, StringType, StructField,
-                               StructType)
+from pyspark.sql.types import DecimalType, StringType, StructField, StructType
 
 MONEY = DecimalType(18, 2)
 RATING = DecimalType(3, 1)
@@ -42,4 +41,3 @@ VIEW_FACT_FIELDS = ["transaction_id", "transaction_date", "day_of_week", "order_
                     "platform_fee", "campaign_name", "warehouse_origin", "delivery_status", "customer_rating",
                     "returned_flag", "return_reason"]
 
-__all__ = ["MONEY", "RATING", "RAW_TRANSACTIONS", "RAW_PRODUCTS", "DateType", "IntegerType"]

@@ -7,7 +7,7 @@ from omnisales.schema import PRODUCT_COLUMNS, TRANSACTION_COLUMNS, TRANSACTION_I
 from omnisales.sources.files import read_products_csv, read_transactions_csv
 from omnisales.sources.prepare import clean_header, rejected_rows
 
-from .conftest import BASE_PRODUCT, BASE_TX, raw_tx, sales_of
+from .conftest import BASE_PRODUCT, BASE_TX, sales_of
 
 
 def write_csv(path, columns, rows, bom=True):
@@ -73,8 +73,11 @@ def test_unmatched_product_keeps_row(spark):
     assert got["a"].city == "Jakarta selatan" and got["a"].day_of_week == "Thursday"
 
 
-def test_view_has_37_columns(spark):
-    assert len(sales_of(spark, [{}]).columns) == 37
+def test_view_has_37_columns_in_order(spark):
+    from omnisales.schema import VIEW_FACT_FIELDS, VIEW_PRODUCT_FIELDS
+    cols = sales_of(spark, [{}]).columns
+    assert len(cols) == 37
+    assert cols == VIEW_FACT_FIELDS[:19] + ["net_profit"] + VIEW_FACT_FIELDS[19:] + VIEW_PRODUCT_FIELDS
 
 
 def test_view_pushes_status_filter_into_scan(spark):
