@@ -6,6 +6,7 @@ session already has and only fills in defaults that are unset (tests, bench).
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -65,3 +66,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the files under ``paths`` (file system metadata only, no scan)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        total += p.getFileSystem(conf).getContentSummary(p).getLength()
+    return total
+
+
+def scale_settings(data_bytes: int, cores: int, split_bytes: int = 256 << 20,
+                   shuffle_bytes_per_partition: int = 1 << 30) -> dict[str, str]:
+    """Settings for a run over ``data_bytes`` of input on ``cores`` executor cores.
+
+    * scan splits of ``split_bytes`` (256 MB: one task per split, a few per core);
+    * shuffle partitions sized for the one big join (view build) at about 1 GB
+      of shuffle input each, never fewer than 2 per core; AQE coalesces the
+      small shuffles of the analyses down to ``advisory`` sized partitions and
+      splits skewed join partitions;
+    * the static broadcast threshold stays at Spark's default; explicit
+      broadcasts in this library are guarded by row-count checks.
+    """
+    shuffle = max(2 * cores, math.ceil(data_bytes / shuffle_bytes_per_partition))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    }
+
+
+def apply_settings(spark: SparkSession, settings: dict[str, str]) -> None:
+    """Set runtime SQL settings on the session (they apply to the next query plans)."""
+    for key, value in settings.items():
+        spark.conf.set(key, value)

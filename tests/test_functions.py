@@ -85,3 +85,11 @@ def test_day_part_limits(spark):
     want = ["Malam", "Pagi", "Pagi", "Siang", "Sore", "Sore", "Malam", "Malam", "Malam", "Pagi"]
     assert one(spark, day_part(F.col("x")), rows=[(t,) for t in times]) == want
     assert one(spark, seconds_of_day(F.col("x")), rows=[("25:00:00",)]) == [None]
+
+
+def test_scale_settings(spark):
+    from omnisales.session import input_bytes, scale_settings
+    s = scale_settings(100 << 40, cores=8000)  # 100 TB on 1000 executors x 8 cores
+    assert int(s["spark.sql.shuffle.partitions"]) == 102400
+    assert int(scale_settings(1 << 20, cores=8)["spark.sql.shuffle.partitions"]) == 16
+    assert input_bytes(spark, ["/root/testdata/sf0.001/nation.parquet"]) > 0
