@@ -35,7 +35,18 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+_FINGERPRINTS: dict[tuple[str, str], str] = {}
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str, refresh: bool = False) -> str:
+    """Input fingerprint, listed once per application (``refresh`` lists again)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if refresh or key not in _FINGERPRINTS:
+        _FINGERPRINTS[key] = _list_fingerprint(spark, sf_dir)
+    return _FINGERPRINTS[key]
+
+
+def _list_fingerprint(spark: SparkSession, sf_dir: str) -> str:
     h = hashlib.sha1(sf_dir.rstrip("/").encode())
     for name in TABLES:
         fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -44,9 +55,9 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
-def sales_table_path(spark: SparkSession, sf_dir: str) -> str:
+def sales_table_path(spark: SparkSession, sf_dir: str, refresh: bool = False) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/omnisales-sales-view/{_fingerprint(spark, sf_dir)}"
+    return f"{base}/omnisales-sales-view/{_fingerprint(spark, sf_dir, refresh)}"
 
 
 def materialize_sales(spark: SparkSession, sf_dir: str, path: str | None = None, refresh: bool = False,
@@ -56,7 +67,7 @@ def materialize_sales(spark: SparkSession, sf_dir: str, path: str | None = None,
     ``partition_by`` (e.g. a year-month column added by the caller's layout)
     is for very large inputs where time-bounded analyses should prune files.
     """
-    path = path or sales_table_path(spark, sf_dir)
+    path = path or sales_table_path(spark, sf_dir, refresh)
     fs, _ = _fs(spark, path)
     marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not refresh and fs.exists(marker):
