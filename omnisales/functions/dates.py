@@ -21,12 +21,18 @@ def parse_raw_date(text: Column) -> Column:
     return F.try_to_date(text, RAW_DATE_PATTERN)
 
 
+def _name(names: list[str], one_based: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n in names]), one_based)
+
+
 def weekday_name(d: Column) -> Column:
-    return F.date_format(d, "EEEE")
+    """Full English weekday name ('Friday'); a lookup, cheaper than a date formatter per row."""
+    return _name(WEEKDAYS, F.weekday(d) + 1)
 
 
 def month_name(d: Column) -> Column:
-    return F.date_format(d, "MMMM")
+    """Full English month name ('January')."""
+    return _name(MONTHS, F.month(d))
 
 
 def year_month(d: Column) -> Column:

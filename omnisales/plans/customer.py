@@ -73,7 +73,7 @@ def age_rating(sales: DataFrame) -> DataFrame:
 
 
 def _name_of_month_index(mi: F.Column) -> F.Column:
-    return F.element_at(F.array(*[F.lit(m) for m in MONTHS]), ((mi - 1) % 12 + 1).cast("int"))
+    return F.element_at(F.array(*[F.lit(m) for m in MONTHS]), ((mi - 1) % 12 + 1).cast("int"))  # mi = 12 * year + month
 
 
 def _cohort_counts(sales: DataFrame, months: int) -> DataFrame:
