@@ -25,14 +25,18 @@ def delivery_status_share(sales: DataFrame) -> DataFrame:
     return g.select(F.col("delivery_status").alias("Cancelled_Transaction"), "Total_Returned_Flag", "Ratio")
 
 
-def warehouse_shipping(sales: DataFrame) -> DataFrame:
-    """Q21: units and shipping cost (money text, 0 digits) per warehouse."""
+def warehouse_shipping(sales: DataFrame, numeric_order: bool = False) -> DataFrame:
+    """Q21: units and shipping cost (money text, 0 digits) per warehouse.
+
+    Faithful order: units, then the cost *text* ('Rp 9' sorts after 'Rp 10');
+    ``numeric_order`` sorts ties by the cost amount instead.
+    """
     g = sales.groupBy("warehouse_origin").agg(F.sum("quantity").alias("Total_Shipping"),
                                               F.sum("shipping_cost").alias("_cost"))
     out = g.select(F.col("warehouse_origin").alias("Warehouse_Origin"), "Total_Shipping",
-                   money_text(F.col("_cost"), 0).alias("Total_Shipping_Cost"))
-    # second key is the text, as in the reference ('Rp 9' sorts after 'Rp 10')
-    return out.orderBy(desc("Total_Shipping"), desc("Total_Shipping_Cost"), asc("Warehouse_Origin"))
+                   money_text(F.col("_cost"), 0).alias("Total_Shipping_Cost"), "_cost")
+    second = desc("_cost") if numeric_order else desc("Total_Shipping_Cost")
+    return out.orderBy(desc("Total_Shipping"), second, asc("Warehouse_Origin")).drop("_cost")
 
 
 def warehouse_status_panel(sales: DataFrame) -> DataFrame:

@@ -46,8 +46,10 @@ def test_no_positive_discount_puts_everyone_in_no_discount(spark):
 def test_warehouse_order_uses_text_of_the_cost(spark):
     rows = [{"transaction_id": "1", "warehouse_origin": "A", "quantity": "5", "shipping_cost": "9"},
             {"transaction_id": "2", "warehouse_origin": "B", "quantity": "5", "shipping_cost": "10"}]
-    out = [r.Warehouse_Origin for r in operations.warehouse_shipping(sales_of(spark, rows)).collect()]
+    s = sales_of(spark, rows)
+    out = [r.Warehouse_Origin for r in operations.warehouse_shipping(s).collect()]
     assert out == ["A", "B"]  # 'Rp 9' > 'Rp 10' as text, so A comes first in DESC order
+    assert [r.Warehouse_Origin for r in operations.warehouse_shipping(s, numeric_order=True).collect()] == ["B", "A"]
 
 
 def test_units_over_groups_sum_to_the_total(spark):
