@@ -11,7 +11,7 @@ from ..functions.exact import percent
 from ..functions.text import pct_text
 from ..functions.ordering import asc, desc, field_position
 from ..operators.ranking import SMALL_ROWS, running_total
-from ..session import ensure_checkpoint_dir
+from ..session import checkpointed
 
 # Delivery statuses of the panels, in panel order.
 PANEL_STATUSES = ("Cancelled", "Returned", "Delivered")
@@ -54,8 +54,7 @@ def status_panel(sales: DataFrame, entity: str, measures: dict[str, Column], ran
     order = [desc(rank_measure), asc(entity)]
     large = False
     if not bounded:
-        ensure_checkpoint_dir(grouped.sparkSession)
-        grouped = grouped.checkpoint()
+        grouped = checkpointed(grouped)
         large = grouped.count() > small_rows
     if large:
         status_no = field_position(F.col("delivery_status"), list(statuses))

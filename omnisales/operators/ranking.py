@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, shuffle_partitions
+from ..session import checkpointed, shuffle_partitions
 
 # Inputs up to this many rows are ordered in a single task; beyond it the
 # range-partitioned form is used. One million rows sort in about a second.
@@ -38,8 +38,7 @@ def rank_rows(df: DataFrame, order: Sequence[Column], name: str = "Ranking", bou
     range-partitioned ``running_total``.
     """
     if not bounded:
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint()
+        df = checkpointed(df)
         rows = df.count()
         if rows > small_rows:
             return running_total(df, order, None, name, rows=rows, small_rows=-1)
@@ -74,12 +73,10 @@ def running_total(df: DataFrame, order: Sequence[Column], weight: str | None = N
     if small:
         frame = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(name, F.sum(w).over(frame))
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or shuffle_partitions(spark)
+    n = partitions or shuffle_partitions(df.sparkSession)
     ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
     local_frame = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("_w", w).withColumn("_local", F.sum("_w").over(local_frame)).checkpoint()
+    local = checkpointed(ranged.withColumn("_w", w).withColumn("_local", F.sum("_w").over(local_frame)))
     totals = local.groupBy("_part").agg(F.sum("_w").alias("_ptotal"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_part", F.coalesce(F.sum("_ptotal").over(before), F.lit(0)).alias("_offset"))
@@ -202,8 +199,7 @@ def ntile_maxima(values: DataFrame, column: str, tiles: int, small_rows: int = S
 
 
 def _ntile_maxima_by_histogram(values: DataFrame, column: str, tiles: int, small_rows: int) -> list:
-    ensure_checkpoint_dir(values.sparkSession)
-    hist = values.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    hist = checkpointed(values.groupBy(column).agg(F.count(F.lit(1)).alias("_n")))
     stats = hist.agg(F.count(F.lit(1)).alias("d"), F.sum("_n").alias("t")).collect()[0]
     total = int(stats["t"] or 0)
     if total == 0:

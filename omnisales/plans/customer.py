@@ -13,7 +13,7 @@ from ..functions.ordering import asc, desc, field_position
 from ..functions.text import money_text, pct_text
 from ..operators.aggregates import share_text
 from ..operators.ranking import SMALL_ROWS, exact_ntile, rank_rows
-from ..session import ensure_checkpoint_dir
+from ..session import checkpointed
 
 # Month order of the cohort report (months after it sort first).
 COHORT_ORDER = ["January", "February", "March", "April", "May"]
@@ -155,8 +155,7 @@ def rfm_scores(sales: DataFrame, as_of: _dt.date = TESTDATA_AS_OF, best_high: bo
     customer table is checkpointed once: it feeds three tilings and the
     output, and its size decides the tiling plan.
     """
-    ensure_checkpoint_dir(sales.sparkSession)
-    raw = rfm_raw(sales, as_of).checkpoint()
+    raw = checkpointed(rfm_raw(sales, as_of))
     rows = raw.count()
     r_order = desc("nilai_recency") if best_high else asc("nilai_recency")
     f_order = asc("nilai_frequency") if best_high else desc("nilai_frequency")

@@ -10,7 +10,8 @@ import math
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults for a fresh local session (tests / bench). On a cluster the
 # cluster's own values win because ``builder.config`` is not used there.
@@ -64,6 +65,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` into the checkpoint folder and cut its lineage.
+
+    An eager checkpoint counts the rows and then writes them; persisting first
+    makes the second pass read the cached rows instead of recomputing the
+    input (e.g. a full scan and aggregate). The cache is dropped afterwards;
+    the checkpoint files survive executor loss.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
