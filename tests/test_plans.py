@@ -34,3 +34,18 @@ def test_discount_filter_reaches_the_scan(spark):
     from omnisales.plans.store import stored_sales
     df = stored_sales(spark, SF).select("discount_amount").filter(F.col("discount_amount") > 0)
     assert "GreaterThan(discount_amount,0" in plan_of(df)
+
+
+def test_sql_over_the_registered_view(spark):
+    from omnisales.plans import marketplace
+    from omnisales.plans.sales_view import register_view
+    from omnisales.plans.store import stored_sales
+    register_view(stored_sales(spark, SF))
+    sql = spark.sql("""
+        SELECT platform AS Platform, SUM(gross_sales) AS Total_Revenue, SUM(net_profit) AS Total_Profit
+        FROM sales_analysis GROUP BY platform""")
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", plan_of(sql))
+    assert [set(s.split(",")) for s in scans] == [{"platform", "gross_sales", "net_profit"}]
+    want = {r.Platform: (r.Total_Revenue, r.Total_Profit)
+            for r in marketplace.platform_profitability(stored_sales(spark, SF)).collect()}
+    assert {r.Platform: (r.Total_Revenue, r.Total_Profit) for r in sql.collect()} == want
