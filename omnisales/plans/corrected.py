@@ -39,10 +39,7 @@ def cohort_retention_first_purchase(sales: DataFrame, months: int = COHORT_MONTH
     def active_after(k: int) -> F.Column:  # month first + k sits within the next k entries of the sorted set
         if k == 0:
             return F.lit(1).cast("long")
-        hit = F.lit(False)
-        for j in range(1, k + 1):
-            hit = hit | F.coalesce(F.try_element_at("ms", F.lit(1 + j)) == first + F.lit(k), F.lit(False))
-        return hit.cast("long")
+        return F.coalesce(F.array_contains(F.slice("ms", 2, k), first + F.lit(k)), F.lit(False)).cast("long")
 
     per = per_customer.select(F.date_format("first_day", "yyyy-MM").alias("Cohort_Month"),
                               *[active_after(k).alias(f"m{k}") for k in range(months)])

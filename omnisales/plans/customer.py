@@ -98,13 +98,11 @@ def _cohort_counts(sales: DataFrame, months: int) -> DataFrame:
     cohorts = per_customer.select("customer_id", "ms", F.posexplode("ms").alias("pos", "m"))
     m, known = F.col("m"), F.col("m") >= 0
 
-    def active_after(k: int) -> F.Column:
+    def active_after(k: int) -> F.Column:  # m + k can only be among the k entries after m
         if k == 0:
             return known
-        hit = F.lit(False)
-        for j in range(1, k + 1):
-            hit = hit | F.coalesce(F.try_element_at("ms", F.col("pos") + F.lit(1 + j)) == m + F.lit(k), F.lit(False))
-        return known & hit
+        return known & F.coalesce(F.array_contains(F.slice("ms", F.col("pos") + 2, F.lit(k)), m + F.lit(k)),
+                                  F.lit(False))
 
     name = F.when(known, _name_of_month_index(m))
     per_name = cohorts.groupBy("customer_id", name.alias("Bulan_Akuisis")).agg(
