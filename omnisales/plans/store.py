@@ -15,6 +15,7 @@ interrupted by a lost executor is redone, never half-read.
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,8 @@ EXTRA_FIELDS = ("reorder_point",)
 
 # Scans of materialised copies, per (application, folder).
 _READ: dict[tuple[str, str], DataFrame] = {}
+# One writer per process: concurrent callers wait for the copy instead of writing it twice.
+_WRITE_LOCK = threading.Lock()
 
 
 def _fs(spark: SparkSession, path: str):
@@ -60,26 +63,29 @@ def sales_table_path(spark: SparkSession, sf_dir: str, refresh: bool = False) ->
     return f"{base}/omnisales-sales-view/{_fingerprint(spark, sf_dir, refresh)}"
 
 
-def materialize_sales(spark: SparkSession, sf_dir: str, path: str | None = None, refresh: bool = False,
-                      partition_by: str | None = None) -> str:
+def materialize_sales(spark: SparkSession, sf_dir: str, path: str | None = None, refresh: bool = False) -> str:
     """Write the sales view of ``sf_dir`` once (Parquet) and return its folder.
 
-    ``partition_by`` (e.g. a year-month column added by the caller's layout)
-    is for very large inputs where time-bounded analyses should prune files.
+    (``sources.sinks.write_sales_table`` writes a month-partitioned layout for
+    time-bounded reads.)
     """
     path = path or sales_table_path(spark, sf_dir, refresh)
     fs, _ = _fs(spark, path)
     marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not refresh and fs.exists(marker):
         return path
+    with _WRITE_LOCK:
+        if not refresh and fs.exists(marker):  # written by another caller meanwhile
+            return path
+        _write_view(spark, sf_dir, path)
+    return path
+
+
+def _write_view(spark: SparkSession, sf_dir: str, path: str) -> None:
     for key in [k for k in _READ if k[1] == path]:
         del _READ[key]  # a rewritten folder needs a fresh file listing
     view = testdata_sales(spark, sf_dir, with_products=True, extra_product_fields=EXTRA_FIELDS)
-    writer = view.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return path
+    view.write.mode("overwrite").parquet(path)
 
 
 def stored_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
