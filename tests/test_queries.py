@@ -102,3 +102,17 @@ def test_shares_add_up(spark):
     for name in ["q14_gender_share", "q19_returned_flag_share", "q30_day_part_demand"]:
         vals = [int(r.Ratio.rstrip("%")) for r in registry()[name].run(spark, SF).collect()]
         assert 98 <= sum(vals) <= 102
+
+
+def test_view_without_broadcasts_equals_broadcast_plan(spark, monkeypatch):
+    """The at-scale path (dimension sides past the broadcast bound) gives the same view."""
+    import omnisales.plans.sales_view as sv
+    import omnisales.sources.testdata as td
+    cols = ["transaction_id", "product_code", "customer_id", "city", "net_profit", "order_time", "day_of_week"]
+    small = sorted(map(tuple, sv.testdata_sales(spark, SF).select(*cols).collect()), key=repr)
+    monkeypatch.setattr(td, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(sv, "BROADCAST_ROWS", 0)
+    df = sv.testdata_sales(spark, SF)
+    assert td.has_at_most(td.table(spark, SF, "orders"), td.BROADCAST_ROWS) is False
+    large = sorted(map(tuple, df.select(*cols).collect()), key=repr)
+    assert large == small
