@@ -5,9 +5,11 @@ Two kinds of input are ranked:
 * aggregated rows of a bounded dimension (platform, campaign, warehouse,
   city, weekday, day ...): at most a few thousand rows whatever the fact
   size, so a plain ``Window.orderBy`` in one task is the cheapest plan;
-* rows whose count grows with the data (customers, distinct money values):
-  ``running_total`` / ``exact_ntile`` below, which never put more than one
-  range partition into a task.
+* rows whose count grows with the data (customers, products of a growing
+  catalogue): ``running_total`` / ``exact_ntile`` below, which never put more
+  than one range partition into a task;
+* single order statistics of exact numbers (NTILE bucket maxima of money
+  values): ``select_positions``, repeated bucket counting without any sort.
 
 Every order passed in must end with a unique key, so ranks and tiles are
 deterministic (the reference's ROW_NUMBER / NTILE have no tie-break).
@@ -112,6 +114,7 @@ def exact_ntile(df: DataFrame, tiles: int, order: Sequence[Column], name: str,
 
 
 GRID_BUCKETS = 4096
+MAX_GRID_ROUNDS = 16  # 4096**16 covers any 64-bit range many times over
 
 
 def select_positions(values: DataFrame, column: str, positions: Sequence[int], lo: int, hi: int,
@@ -132,7 +135,7 @@ def select_positions(values: DataFrame, column: str, positions: Sequence[int], l
     base = values.select(u.alias("_u"))
     state = {i: (lo, hi, p) for i, p in enumerate(positions)}
     found: dict[int, int] = {}
-    while True:
+    for _round in range(MAX_GRID_ROUNDS):
         for i, (a, b, _) in state.items():
             if a == b:
                 found[i] = a
@@ -160,6 +163,10 @@ def select_positions(values: DataFrame, column: str, positions: Sequence[int], l
                     state[i] = (a + bucket * w, min(b, a + bucket * w + w - 1), rank - before)
                     break
                 before += n
+            else:
+                raise RuntimeError("input changed between scans: position not found in its range")
+    else:
+        raise RuntimeError("grid selection did not converge")
     return [found[i] for i in range(len(positions))]
 
 
