@@ -1,8 +1,11 @@
 """The denormalised ``sales_analysis`` view (fact LEFT JOIN catalogue + derived columns).
 
-Every analysis reads this frame. It is a lazy plan, not a copy: Catalyst
-inlines it into each query and prunes it to the handful of columns the query
-uses, and pushes status / date filters below the join into the scans.
+The frame is a lazy plan. ``plans/store.py`` writes it once per input as
+Parquet and the registered analyses read that copy, pruned to the handful of
+columns each one uses; used directly (or through ``register_view`` and
+``spark.sql``), Catalyst inlines it into the query, prunes it and pushes
+status / date filters below the join into the scans. The catalogue is
+broadcast only after a bounded row count proves it small.
 
 ``products=None`` builds the view without catalogue fields. A LEFT JOIN on a
 unique catalogue key never adds or removes fact rows, so queries that read no
