@@ -130,3 +130,9 @@ ANALYSES: list[Analysis] = [
 
 def registry() -> dict[str, Analysis]:
     return {a.name: a for a in ANALYSES}
+
+
+def run_on(sales: DataFrame, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """The analyses (all, or ``names``) over any sales view, e.g. one built from your own files."""
+    reg = registry()
+    return {n: report(reg[n].plan(sales), reg[n].as_double) for n in (names or list(reg))}
