@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exact import percent
 from ..functions.text import pct_text
 from ..functions.ordering import asc, desc, field_position
-from ..operators.ranking import SMALL_ROWS, running_total
+from ..operators.ranking import running_total, small_limit
 from ..session import checkpointed
 
 # Delivery statuses of the panels, in panel order.
@@ -30,7 +30,7 @@ def share_text(df: DataFrame, measure: str, digits: int, name: str = "Ratio") ->
 def status_panel(sales: DataFrame, entity: str, measures: dict[str, Column], rank_measure: str,
                  ratio_measure: str | None = None, ratio_digits: int = 0,
                  statuses: Sequence[str] = PANEL_STATUSES, bounded: bool = True,
-                 small_rows: int = SMALL_ROWS) -> DataFrame:
+                 small_rows: int | None = None) -> DataFrame:
     """Per-status ranked lists of ``entity`` zipped side by side on their rank.
 
     The reference scans the view once per status and inner-joins three ranked
@@ -55,7 +55,7 @@ def status_panel(sales: DataFrame, entity: str, measures: dict[str, Column], ran
     large = False
     if not bounded:
         grouped = checkpointed(grouped)
-        large = grouped.count() > small_rows
+        large = grouped.count() > small_limit(small_rows)
     if large:
         status_no = field_position(F.col("delivery_status"), list(statuses))
         per_status = grouped.groupBy("delivery_status").agg(

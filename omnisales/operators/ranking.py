@@ -26,11 +26,16 @@ from ..session import checkpointed, shuffle_partitions
 
 # Inputs up to this many rows are ordered in a single task; beyond it the
 # range-partitioned form is used. One million rows sort in about a second.
+# Read at call time (``small_rows=None``), so a deployment or a test can move it.
 SMALL_ROWS = 1_000_000
 
 
+def small_limit(small_rows: int | None) -> int:
+    return SMALL_ROWS if small_rows is None else small_rows
+
+
 def rank_rows(df: DataFrame, order: Sequence[Column], name: str = "Ranking", bounded: bool = True,
-              small_rows: int = SMALL_ROWS) -> DataFrame:
+              small_rows: int | None = None) -> DataFrame:
     """ROW_NUMBER over aggregated rows.
 
     ``bounded``: the rows are groups of a dimension with a bounded domain, so
@@ -42,7 +47,7 @@ def rank_rows(df: DataFrame, order: Sequence[Column], name: str = "Ranking", bou
     if not bounded:
         df = checkpointed(df)
         rows = df.count()
-        if rows > small_rows:
+        if rows > small_limit(small_rows):
             return running_total(df, order, None, name, rows=rows, small_rows=-1)
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
@@ -52,7 +57,8 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int, name: str = "Ranking")
     return rank_rows(df.orderBy(*order).limit(k), order, name)
 
 
-def _provably_small(df: DataFrame, rows: int | None, small_rows: int) -> tuple[bool, int | None]:
+def _provably_small(df: DataFrame, rows: int | None, small_rows: int | None) -> tuple[bool, int | None]:
+    small_rows = small_limit(small_rows)
     if rows is not None:
         return rows <= small_rows, rows
     n = df.limit(small_rows + 1).count()
@@ -60,7 +66,7 @@ def _provably_small(df: DataFrame, rows: int | None, small_rows: int) -> tuple[b
 
 
 def running_total(df: DataFrame, order: Sequence[Column], weight: str | None = None, name: str = "_cum",
-                  rows: int | None = None, small_rows: int = SMALL_ROWS,
+                  rows: int | None = None, small_rows: int | None = None,
                   partitions: int | None = None) -> DataFrame:
     """Exact running sum of ``weight`` (or row number when None) in a total ``order``.
 
@@ -102,7 +108,7 @@ def tile_of(position: str, total: int, tiles: int) -> Column:
 
 
 def exact_ntile(df: DataFrame, tiles: int, order: Sequence[Column], name: str,
-                rows: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+                rows: int | None = None, small_rows: int | None = None) -> DataFrame:
     """NTILE(tiles) over a total ``order`` without funnelling large inputs into one task."""
     small, rows = _provably_small(df, rows, small_rows)
     if small:
@@ -170,7 +176,7 @@ def select_positions(values: DataFrame, column: str, positions: Sequence[int], l
     return [found[i] for i in range(len(positions))]
 
 
-def ntile_maxima(values: DataFrame, column: str, tiles: int, small_rows: int = SMALL_ROWS) -> list:
+def ntile_maxima(values: DataFrame, column: str, tiles: int, small_rows: int | None = None) -> list:
     """``MAX(v)`` of each NTILE(tiles) bucket over ascending ``v`` (NULL for an empty bucket).
 
     The maximum of bucket k is the value at position k*size + min(k, extra)
@@ -205,7 +211,7 @@ def ntile_maxima(values: DataFrame, column: str, tiles: int, small_rows: int = S
     return _ntile_maxima_by_histogram(values, column, tiles, small_rows)
 
 
-def _ntile_maxima_by_histogram(values: DataFrame, column: str, tiles: int, small_rows: int) -> list:
+def _ntile_maxima_by_histogram(values: DataFrame, column: str, tiles: int, small_rows: int | None) -> list:
     hist = checkpointed(values.groupBy(column).agg(F.count(F.lit(1)).alias("_n")))
     stats = hist.agg(F.count(F.lit(1)).alias("d"), F.sum("_n").alias("t")).collect()[0]
     total = int(stats["t"] or 0)

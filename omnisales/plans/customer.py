@@ -12,7 +12,7 @@ from ..functions.exact import percent, rounded_avg
 from ..functions.ordering import asc, desc, field_position
 from ..functions.text import money_text, pct_text
 from ..operators.aggregates import share_text
-from ..operators.ranking import SMALL_ROWS, exact_ntile, rank_rows
+from ..operators.ranking import exact_ntile, rank_rows
 from ..session import checkpointed
 
 # Month order of the cohort report (months after it sort first).
@@ -145,7 +145,7 @@ def rfm_segment(r: F.Column, f: F.Column, m: F.Column) -> F.Column:
 
 
 def rfm_scores(sales: DataFrame, as_of: _dt.date = TESTDATA_AS_OF, best_high: bool = False,
-               small_rows: int = SMALL_ROWS) -> DataFrame:
+               small_rows: int | None = None) -> DataFrame:
     """Customer table with the three NTILE(5) scores.
 
     Faithful orders: recency ASC, frequency DESC, monetary DESC (tile 1 is the
@@ -164,7 +164,7 @@ def rfm_scores(sales: DataFrame, as_of: _dt.date = TESTDATA_AS_OF, best_high: bo
 
 
 def rfm_segmentation(sales: DataFrame, as_of: _dt.date = TESTDATA_AS_OF, segments: list[str] | None = None,
-                     best_high: bool = False, small_rows: int = SMALL_ROWS) -> DataFrame:
+                     best_high: bool = False, small_rows: int | None = None) -> DataFrame:
     """Q18: RFM code and segment per customer, by spend (optionally only some segments)."""
     s = rfm_scores(sales, as_of, best_high, small_rows)
     r, f, m = F.col("skor_r"), F.col("skor_f"), F.col("skor_m")
