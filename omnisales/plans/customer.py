@@ -131,9 +131,9 @@ def cohort_counts(sales: DataFrame, months: int = COHORT_MONTHS) -> DataFrame:
 def rfm_raw(sales: DataFrame, as_of: _dt.date) -> DataFrame:
     """Recency (days since the last order), frequency (distinct orders), monetary (list price sum)."""
     return sales.groupBy("customer_id").agg(
-        F.datediff(F.lit(as_of), F.max("transaction_date")).alias("nilai_recency"),
-        F.count_distinct("transaction_id").alias("nilai_frequency"),
-        F.sum("selling_price").alias("nilai_monetary"))
+        F.datediff(F.lit(as_of), F.max("transaction_date")).alias("recency"),
+        F.count_distinct("transaction_id").alias("frequency"),
+        F.sum("selling_price").alias("monetary"))
 
 
 def rfm_segment(r: F.Column, f: F.Column, m: F.Column) -> F.Column:
@@ -155,23 +155,23 @@ def rfm_scores(sales: DataFrame, as_of: _dt.date = TESTDATA_AS_OF, best_high: bo
     """
     raw = checkpointed(rfm_raw(sales, as_of))
     rows = raw.count()
-    r_order = desc("nilai_recency") if best_high else asc("nilai_recency")
-    f_order = asc("nilai_frequency") if best_high else desc("nilai_frequency")
-    m_order = asc("nilai_monetary") if best_high else desc("nilai_monetary")
-    scored = exact_ntile(raw, RFM_TILES, [r_order, asc("customer_id")], "skor_r", rows, small_rows)
-    scored = exact_ntile(scored, RFM_TILES, [f_order, asc("customer_id")], "skor_f", rows, small_rows)
-    return exact_ntile(scored, RFM_TILES, [m_order, asc("customer_id")], "skor_m", rows, small_rows)
+    r_order = desc("recency") if best_high else asc("recency")
+    f_order = asc("frequency") if best_high else desc("frequency")
+    m_order = asc("monetary") if best_high else desc("monetary")
+    scored = exact_ntile(raw, RFM_TILES, [r_order, asc("customer_id")], "r_score", rows, small_rows)
+    scored = exact_ntile(scored, RFM_TILES, [f_order, asc("customer_id")], "f_score", rows, small_rows)
+    return exact_ntile(scored, RFM_TILES, [m_order, asc("customer_id")], "m_score", rows, small_rows)
 
 
 def rfm_segmentation(sales: DataFrame, as_of: _dt.date = TESTDATA_AS_OF, segments: list[str] | None = None,
                      best_high: bool = False, small_rows: int | None = None) -> DataFrame:
     """Q18: RFM code and segment per customer, by spend (optionally only some segments)."""
     s = rfm_scores(sales, as_of, best_high, small_rows)
-    r, f, m = F.col("skor_r"), F.col("skor_f"), F.col("skor_m")
+    r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     out = s.select("customer_id",
-                   F.col("nilai_recency").alias("hari_sejak_belanja_terakhir"),
-                   F.col("nilai_frequency").alias("total_transaksi"),
-                   F.col("nilai_monetary").alias("total_belanja"),
+                   F.col("recency").alias("hari_sejak_belanja_terakhir"),
+                   F.col("frequency").alias("total_transaksi"),
+                   F.col("monetary").alias("total_belanja"),
                    F.concat(r.cast("string"), f.cast("string"), m.cast("string")).alias("kode_rfm"),
                    rfm_segment(r, f, m).alias("segmen_pelanggan"))
     if segments:
