@@ -85,7 +85,9 @@ def _write_view(spark: SparkSession, sf_dir: str, path: str) -> None:
     for key in [k for k in _READ if k[1] == path]:
         del _READ[key]  # a rewritten folder needs a fresh file listing
     view = testdata_sales(spark, sf_dir, with_products=True, extra_product_fields=EXTRA_FIELDS)
-    view.write.mode("overwrite").parquet(path)
+    # zstd: about a fifth smaller than snappy here at the same write and scan
+    # speed, and every analysis scans this copy
+    view.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def stored_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
