@@ -39,7 +39,7 @@ NO_CAMPAIGN_LINE = 7
 ORDER_TIME_MULTIPLIERS = (7919, 104729)
 UNLISTED_PART_EVERY = 50  # catalogue gap: parts with key % 50 == 0 are not in the catalogue
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+TABLES = ("region", "nation", "customer", "part", "orders", "lineitem")  # the tables the adapter reads
 
 # A dimension side is broadcast only when it provably has at most this many
 # rows (about 100 MB of join keys and attributes); beyond it Spark plans a
