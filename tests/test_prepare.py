@@ -87,3 +87,16 @@ def test_view_pushes_status_filter_into_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
     assert "l_returnflag" in plan
+
+
+def test_parquet_transactions_and_drop_column(spark, scratch_dir):
+    from omnisales.sources.files import read_transactions_parquet
+    from omnisales.sources.prepare import drop_columns
+    from .conftest import raw_tx
+    path = os.path.join(scratch_dir, "raw_tx.parquet")
+    raw_tx(spark, [{"transaction_id": "1", "transaction_date": "7/8/2026", "returned_flag": "Yes",
+                    "return_reason": "No", "gross_sales": "10.005"}]).write.mode("overwrite").parquet(path)
+    tx = read_transactions_parquet(spark, path)
+    row = tx.collect()[0]
+    assert str(row.temp_date) == "2026-08-07" and row.return_reason == "Unknow" and str(row.gross_sales) == "10.01"
+    assert "return_reason" not in drop_columns(tx, "return_reason").columns
