@@ -49,3 +49,40 @@ def test_sql_over_the_registered_view(spark):
     want = {r.Platform: (r.Total_Revenue, r.Total_Profit)
             for r in marketplace.platform_profitability(stored_sales(spark, SF)).collect()}
     assert {r.Platform: (r.Total_Revenue, r.Total_Profit) for r in sql.collect()} == want
+
+
+def _subtrees(plan: str, marker: str):
+    """Text of every subtree whose root line contains ``marker``."""
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if marker in line:
+            depth = len(line) - len(line.lstrip(" :+-|"))
+            sub = []
+            for nxt in lines[i + 1:]:
+                if len(nxt) - len(nxt.lstrip(" :+-|")) <= depth:
+                    break
+                sub.append(nxt)
+            yield "\n".join(sub)
+
+
+@pytest.mark.parametrize("name", sorted(registry()))
+def test_no_cross_join_and_no_raw_rows_into_one_partition(spark, name):
+    df = registry()[name].run(spark, SF)
+    df.collect()  # final adaptive plan
+    plan = plan_of(df)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    for sub in _subtrees(plan, "Exchange SinglePartition"):
+        assert re.search(r"HashAggregate|TakeOrderedAndProject|Scan ExistingRDD|LocalLimit", sub), \
+            f"{name}: rows reach a single partition without aggregation:\n{sub}"
+
+
+def test_single_partition_check_flags_a_raw_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from omnisales.plans.store import stored_sales
+    bad = stored_sales(spark, SF).withColumn("r", F.row_number().over(Window.orderBy("gross_sales")))
+    bad.collect()
+    subs = list(_subtrees(plan_of(bad), "Exchange SinglePartition"))
+    assert subs and not any(re.search(r"HashAggregate|TakeOrderedAndProject|Scan ExistingRDD|LocalLimit", s)
+                            for s in subs)
