@@ -81,14 +81,18 @@ def status_panel(sales: DataFrame, entity: str, measures: dict[str, Column], ran
             total = F.sum(ratio_measure).over(by_status)
             ranked = ranked.withColumn("Ratio", pct_text(percent(F.col(ratio_measure), total, ratio_digits)))
     fields = [entity] + list(measures) + (["Ratio"] if ratio_measure else [])
-    packed = ranked.select("rn", "delivery_status", F.struct(*fields).alias("v"))
-    slots = [F.max(F.when(F.col("delivery_status") == s, F.col("v"))).alias(s) for s in statuses]
-    present = [F.count(F.when(F.col("delivery_status") == s, 1)).alias(f"has_{s}") for s in statuses]
-    wide = packed.groupBy("rn").agg(*slots, *present)
+    packed = ranked.select("rn", F.struct("delivery_status", *fields).alias("v"))
+    # one entry per status and rank: collect_list keeps a hash-based aggregate of <= len(statuses) items
+    wide = packed.groupBy("rn").agg(F.collect_list("v").alias("vs"))
+    def of_status(status: str):
+        return lambda v: v["delivery_status"] == status
+
+    picked = [F.filter("vs", of_status(s)) for s in statuses]
     keep = F.lit(True)
-    for s in statuses:
-        keep = keep & (F.col(f"has_{s}") > 0)
-    return wide.filter(keep).select("rn", *statuses)
+    for p in picked:
+        keep = keep & (F.size(p) > 0)
+    return wide.filter(keep).select("rn", *[F.element_at(p, 1).dropFields("delivery_status").alias(s)
+                                             for p, s in zip(picked, statuses)])
 
 
 def moving_average(daily: DataFrame, order: str, value: str, rows: int, name: str) -> Column:

@@ -70,8 +70,9 @@ def city_status_pivot(sales: DataFrame) -> DataFrame:
 
 def restock_by_reorder_point(sales: DataFrame) -> DataFrame:
     """C4: per catalogue product, stock counted once, units sold, remaining stock and a reorder flag."""
-    g = sales.groupBy("product_code").agg(
-        F.max("product_name").alias("Product_Name"), F.sum("quantity").alias("Total_Selling"),
+    # the name depends on the code: grouping by both keeps a hash aggregate (no string MAX)
+    g = sales.groupBy("product_code", F.col("product_name").alias("Product_Name")).agg(
+        F.sum("quantity").alias("Total_Selling"),
         F.max("stock_qty").alias("Stock_Qty"), F.max("reorder_point").alias("Reorder_Point"))
     remaining = F.col("Stock_Qty") - F.col("Total_Selling")
     flag = F.when(remaining.isNull(), F.lit(None)).when(remaining <= F.col("Reorder_Point"), "Yes").otherwise("No")
