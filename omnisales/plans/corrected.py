@@ -57,14 +57,14 @@ def rfm_segmentation_best_high(sales: DataFrame, as_of: _dt.date = TESTDATA_AS_O
 def warehouse_status_pivot(sales: DataFrame) -> DataFrame:
     """One row per warehouse, units / shipping cost / unit share per status (no rank alignment)."""
     p = _status_pivot(sales, "warehouse_origin", PANEL_STATUSES,
-                      {"Shipping": F.sum("quantity"), "Total_Shipping_Cost": F.sum("shipping_cost")})
+                      {"Shipping": (F.sum, "quantity"), "Total_Shipping_Cost": (F.sum, "shipping_cost")})
     return p.withColumnRenamed("warehouse_origin", "Warehouse_Origin") \
             .orderBy(desc("Cancelled_Shipping"), asc("Warehouse_Origin"))
 
 
 def city_status_pivot(sales: DataFrame) -> DataFrame:
     """One row per city, units and unit share per status (no rank alignment)."""
-    p = _status_pivot(sales, "city", PANEL_STATUSES, {"Shipping": F.sum("quantity")})
+    p = _status_pivot(sales, "city", PANEL_STATUSES, {"Shipping": (F.sum, "quantity")})
     return p.withColumnRenamed("city", "City").orderBy(desc("Cancelled_Shipping"), asc("City"))
 
 

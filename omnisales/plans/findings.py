@@ -52,25 +52,28 @@ def failed_delivery_share(sales: DataFrame) -> DataFrame:
 
 
 def _status_pivot(sales: DataFrame, entity: str, statuses, measures: dict) -> DataFrame:
-    """One row per entity, measures per status, plus each status's unit share (pivot, not rank alignment)."""
-    g = sales.filter(F.col("delivery_status").isin(*statuses)).groupBy(entity).pivot("delivery_status", list(statuses)) \
-        .agg(*[agg.alias(name) for name, agg in measures.items()])
-    if len(measures) == 1:  # pivot names a single aggregate after the status alone
-        only = list(measures)[0]
-        g = g.select(entity, *[F.col(s).alias(f"{s}_{only}") for s in statuses])
+    """One row per entity, measures per status, plus each status's unit share (pivot, not rank alignment).
+
+    ``measures`` maps an output name to (aggregate function, column). The pivot
+    is one aggregate of conditional sums (one shuffle), not a two-phase pivot.
+    """
+    status = F.col("delivery_status")
+    g = sales.filter(status.isin(*statuses)).groupBy(entity).agg(
+        *[fn(F.when(status == s, F.col(col))).alias(f"{s}_{name}")
+          for s in statuses for name, (fn, col) in measures.items()])
     out = [F.col(entity)]
     for s in statuses:
         units = F.col(f"{s}_Shipping")
         total = F.sum(units).over(Window.partitionBy())
         out += [F.coalesce(units, F.lit(0)).alias(f"{s}_Shipping")]
-        out += [F.col(f"{s}_{m}").alias(f"{s}_{m}") for m in measures if m != "Shipping"]
+        out += [F.col(f"{s}_{m}") for m in measures if m != "Shipping"]
         out += [pct_text(percent(F.coalesce(units, F.lit(0)), total, 0)).alias(f"{s}_Ratio")]
     return g.select(*out)
 
 
 def city_failure_rates(sales: DataFrame) -> DataFrame:
     """Per city, its share of all cancelled and of all returned units (one row per city)."""
-    p = _status_pivot(sales, "city", FAILED_STATUSES, {"Shipping": F.sum("quantity")})
+    p = _status_pivot(sales, "city", FAILED_STATUSES, {"Shipping": (F.sum, "quantity")})
     return p.withColumnRenamed("city", "City").orderBy(desc("Cancelled_Shipping"), asc("City"))
 
 
