@@ -10,6 +10,8 @@ from __future__ import annotations
 import argparse
 import os
 
+from pyspark.sql import SparkSession
+
 from .plans.catalog import registry, run_on
 from .plans.sales_view import sales_analysis
 from .plans.store import stored_sales
@@ -34,6 +36,7 @@ def main(argv: list[str] | None = None) -> None:
         for name, a in registry().items():
             print(f"{name:40s} {(a.plan.__doc__ or '').strip().splitlines()[0] if a.plan.__doc__ else ''}")
         return
+    owned = SparkSession.getActiveSession() is None  # stop only a session started here
     spark = local_session(args.master.removeprefix("local[").rstrip("]") or "*")
     if args.tables:
         sales = stored_sales(spark, args.tables)
@@ -50,7 +53,8 @@ def main(argv: list[str] | None = None) -> None:
         else:
             print(f"== {name}")
             df.show(50, truncate=False)
-    spark.stop()
+    if owned:
+        spark.stop()
 
 
 if __name__ == "__main__":

@@ -80,3 +80,13 @@ def test_all_analyses_run_on_csv_sources(spark, scratch_dir):
         df.collect()  # every analysis runs on CSV-sourced data
     assert sum(r.Total_Sell for r in results["q02_campaign_performance"].collect()) == \
         sum(int(r["quantity"]) for r in tx_rows)
+
+
+def test_command_line_lists_and_runs(spark, scratch_dir, capsys):
+    from omnisales.__main__ import main
+    main(["list"])
+    listed = [line for line in capsys.readouterr().out.splitlines() if line.strip()]
+    assert len(listed) == 49 and listed[0].startswith("q01_platform_profitability")
+    out = os.path.join(scratch_dir, "cli_reports")
+    main(["run", "q20_delivery_status_share", "--tables", "/root/testdata/sf0.001", "--out", out])
+    assert spark.read.option("header", True).csv(os.path.join(out, "q20_delivery_status_share")).count() == 3
