@@ -1,17 +1,34 @@
-"""Scans of catalogue and transaction files with explicit schemas."""
+"""Scans of catalogue and transaction files.
+
+CSV columns are taken by their header names, all as text (no type
+inference), so files with another column order or extra columns read
+correctly; types are hardened in ``prepare``. A missing column is an error
+that names it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schema import RAW_PRODUCTS, RAW_TRANSACTIONS
-from .prepare import assert_unique_key, prepare_products, prepare_transactions
+from .prepare import assert_unique_key, clean_header, prepare_products, prepare_transactions
+
+
+def read_text_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """CSV with a header -> the columns of ``schema``, by name, as text (BOM-safe)."""
+    raw = clean_header(spark.read.option("header", True).option("inferSchema", False)
+                       .option("encoding", "UTF-8").csv(path))
+    missing = [c for c in schema.fieldNames() if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: missing columns {missing}")
+    return raw.select(*[F.col(c).cast("string").alias(c) for c in schema.fieldNames()])
 
 
 def read_products_csv(spark: SparkSession, path: str, check_unique: bool = True) -> DataFrame:
     """Catalogue CSV (header, comma, optional BOM) -> typed products."""
-    raw = spark.read.schema(RAW_PRODUCTS).option("header", True).option("encoding", "UTF-8").csv(path)
-    products = prepare_products(raw)
+    products = prepare_products(read_text_csv(spark, path, RAW_PRODUCTS))
     if check_unique:
         assert_unique_key(products, "product_code")
     return products
@@ -19,8 +36,7 @@ def read_products_csv(spark: SparkSession, path: str, check_unique: bool = True)
 
 def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
     """Transaction CSV files (a folder or glob scales out over files) -> prepared transactions."""
-    raw = spark.read.schema(RAW_TRANSACTIONS).option("header", True).option("encoding", "UTF-8").csv(path)
-    return prepare_transactions(raw)
+    return prepare_transactions(read_text_csv(spark, path, RAW_TRANSACTIONS))
 
 
 def read_transactions_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -100,3 +100,15 @@ def test_parquet_transactions_and_drop_column(spark, scratch_dir):
     row = tx.collect()[0]
     assert str(row.temp_date) == "2026-08-07" and row.return_reason == "Unknow" and str(row.gross_sales) == "10.01"
     assert "return_reason" not in drop_columns(tx, "return_reason").columns
+
+
+def test_csv_columns_are_taken_by_name(spark, scratch_dir):
+    reordered = list(reversed(TRANSACTION_COLUMNS)) + ["extra_column"]
+    path = os.path.join(scratch_dir, "reordered.csv")
+    write_csv(path, reordered, [{**BASE_TX, "transaction_id": "R1", "quantity": "3", "extra_column": "x"}])
+    row = read_transactions_csv(spark, path).collect()[0]
+    assert row.transaction_id == "R1" and row.quantity == 3 and str(row.gross_sales) == "100000.00"
+    short = os.path.join(scratch_dir, "short.csv")
+    write_csv(short, TRANSACTION_COLUMNS[:-1], [BASE_TX])
+    with pytest.raises(ValueError, match="product_code"):
+        read_transactions_csv(spark, short)
