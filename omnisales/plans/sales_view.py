@@ -73,6 +73,9 @@ def testdata_sales(spark: SparkSession, sf_dir: str, with_products: bool = True,
 
 
 def register_view(df: DataFrame, name: str = "sales_analysis") -> DataFrame:
-    """Expose the view to ``spark.sql`` (CREATE OR REPLACE VIEW equivalent)."""
+    """Expose the view to ``spark.sql`` (CREATE OR REPLACE VIEW equivalent), together with the
+    SQL functions that carry the reference's semantics (``functions/sql.py``)."""
+    from ..functions.sql import register_sql_functions
     df.createOrReplaceTempView(name)
+    register_sql_functions(df.sparkSession)
     return df
