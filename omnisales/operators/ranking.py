@@ -180,17 +180,18 @@ def ntile_maxima(values: DataFrame, column: str, tiles: int, small_rows: int | N
     """``MAX(v)`` of each NTILE(tiles) bucket over ascending ``v`` (NULL for an empty bucket).
 
     The maximum of bucket k is the value at position k*size + min(k, extra)
-    of the sorted column. Exact numbers (DECIMAL / integers) use the grid
-    selection above (a few aggregate-only scans); other types reduce to a
-    histogram of distinct values and a distributed running count. Returns
-    plain Python values.
+    of the sorted column. Exact numbers that fit 64 bits on their grid
+    (integers, DECIMAL up to 18 digits) use the grid selection above (a few
+    aggregate-only scans); other types reduce to a histogram of distinct
+    values and a distributed running count. Returns plain Python values.
     """
     from decimal import Decimal
 
     from pyspark.sql.types import DecimalType, IntegralType
 
     kind = values.schema[column].dataType
-    if isinstance(kind, (DecimalType, IntegralType)):
+    fits_long = not isinstance(kind, DecimalType) or kind.precision <= 18  # v * 10**scale fits 64 bits
+    if isinstance(kind, (DecimalType, IntegralType)) and fits_long:
         scale = kind.scale if isinstance(kind, DecimalType) else 0
         grid = (F.col(column) * F.lit(10 ** scale)).cast("long") if scale else F.col(column).cast("long")
         stats = values.agg(F.count(column).alias("t"), F.min(grid).alias("lo"), F.max(grid).alias("hi")).collect()[0]

@@ -105,3 +105,10 @@ def test_unbounded_status_panel_distributed_equals_window(spark):
     want = sorted(map(str, status_panel(*args).collect()))
     got = sorted(map(str, status_panel(*args, bounded=False, small_rows=-1).collect()))
     assert got == want and len(want) > 10
+
+
+def test_wide_decimals_take_the_histogram_path(spark):
+    from decimal import Decimal
+    vals = [Decimal(10) ** 25 + i for i in range(10)]  # beyond 64 bits on the grid
+    df = spark.createDataFrame([(v,) for v in vals], "v decimal(30,0)")
+    assert ntile_maxima(df, "v", 3) == [vals[3], vals[6], vals[9]]
