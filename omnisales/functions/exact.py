@@ -7,15 +7,18 @@ Rules reproduced here:
 * ``AVG`` of an exact column yields ``scale + 4`` digits, same rounding.
 * ``ROUND(x, d)`` rounds half away from zero.
 
-Spark's ``round`` on decimals is HALF_UP (away from zero) and its decimal
-division keeps 16 or more fraction digits for the operand types used here, so
-``round(q16, scale + 4)`` equals the single rounding of the exact quotient for
-every divisor below 10**12 (the gap between a quotient and a rounding
-boundary is at least 1 / (2 * 10**(scale+4) * divisor)).
+Spark's ``round`` on decimals is HALF_UP (away from zero). The quotient is
+computed in integer arithmetic on DECIMAL(38,0) units - round(a / b) half
+away from zero is ``(2|a| + |b|) div 2|b|`` with the sign put back - so it
+is exact for every operand in range, with no intermediate rounding. AVG uses
+Spark's decimal average, which divides with at least 18 fraction digits and
+so rounds once for any row count below 10**14.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
@@ -24,11 +27,7 @@ from pyspark.sql.types import DecimalType
 # (MySQL ``div_precision_increment`` default).
 DIV_EXTRA_SCALE = 4
 
-# Operand precision for divisions; 22 digits keep 16 fraction digits in
-# Spark's quotient type, see module docstring. Operands may reach 10**20 in
-# absolute value (e.g. summed revenue of 10**12 rows of Rp 10**8 each); a
-# wider type would lose quotient digits.
-_DIV_PRECISION = 22
+_UNITS = DecimalType(38, 0)
 
 
 def dec(col: Column | str, precision: int, scale: int) -> Column:
@@ -37,9 +36,21 @@ def dec(col: Column | str, precision: int, scale: int) -> Column:
 
 
 def quotient(num: Column, den: Column, num_scale: int = 0, den_scale: int = 0) -> Column:
-    """``num / den`` rounded to ``num_scale + 4`` digits; NULL when den is 0 or NULL."""
-    q = F.try_divide(dec(num, _DIV_PRECISION, num_scale), dec(den, _DIV_PRECISION, den_scale))
-    return F.round(q, num_scale + DIV_EXTRA_SCALE)
+    """``num / den`` rounded once to ``num_scale + 4`` digits; NULL when den is 0 or NULL.
+
+    ``num`` and ``den`` hold exact numbers with the given fraction digits;
+    they are taken as whole units (``a``, ``b``) and the result in units of
+    10**-(num_scale + 4) is round(a * 10**(den_scale + 4) / b), computed as
+    an integer. Operands and the unscaled result must stay below 10**32.
+    """
+    digits = num_scale + DIV_EXTRA_SCALE
+    a = (num * F.lit(10 ** num_scale)).cast(_UNITS)
+    b = (den * F.lit(10 ** den_scale)).cast(_UNITS)
+    x = F.abs(a) * F.lit(2 * 10 ** (den_scale + DIV_EXTRA_SCALE)) + F.abs(b)
+    y = F.nullif(F.abs(b) * F.lit(2), F.lit(0))  # a zero divisor gives NULL, never an error
+    whole = ((x - x % y) / y).cast(_UNITS)        # exact: x - x % y is a multiple of y
+    signed = F.when((a < 0) != (b < 0), -whole).otherwise(whole)
+    return (signed * F.lit(Decimal(1).scaleb(-digits))).cast(DecimalType(38, digits))
 
 
 def percent(num: Column, den: Column, digits: int, num_scale: int = 0, den_scale: int = 0) -> Column:
