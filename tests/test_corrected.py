@@ -85,3 +85,16 @@ def test_top_and_bottom_cities_are_ranked_1_to_k(spark):
     s = stored_sales(spark, SF)
     for fn in (geography.top_cities, geography.bottom_cities):
         assert [r.Ranking for r in fn(s, 3).collect()] == [1, 2, 3]
+
+
+def test_optional_arguments_segments_and_status(spark):
+    from pyspark.sql import functions as F
+    s = stored_sales(spark, SF)
+    full = customer.rfm_segmentation(s)
+    champions = customer.rfm_segmentation(s, segments=["Champions"])
+    assert {r.segmen_pelanggan for r in champions.collect()} <= {"Champions"}
+    assert champions.count() == full.filter(F.col("segmen_pelanggan") == "Champions").count()
+    returned = product.product_status_ranking(s, "Returned").collect()
+    assert {r.Delivery_Status for r in returned} == {"Returned"}
+    want = s.filter(F.col("delivery_status") == "Returned").agg(F.sum("quantity")).collect()[0][0]
+    assert sum(r.Total_Product for r in returned) == want
