@@ -112,3 +112,15 @@ def test_wide_decimals_take_the_histogram_path(spark):
     vals = [Decimal(10) ** 25 + i for i in range(10)]  # beyond 64 bits on the grid
     df = spark.createDataFrame([(v,) for v in vals], "v decimal(30,0)")
     assert ntile_maxima(df, "v", 3) == [vals[3], vals[6], vals[9]]
+
+
+def test_broadcast_guard_and_spread(spark):
+    from omnisales.sources.testdata import has_at_most, spread, table
+    df = spark.range(10)
+    assert has_at_most(df, 10) and not has_at_most(df, 9) and not has_at_most(df, 0)
+    one_file = table(spark, "/root/testdata/sf0.001", "lineitem")  # one file, one row group
+    cores = spark.sparkContext.defaultParallelism
+    assert one_file.rdd.getNumPartitions() < cores
+    assert spread(one_file, "l_orderkey").rdd.getNumPartitions() == cores
+    many = spark.range(0, 1000, numPartitions=cores * 2)
+    assert spread(many, "id") is many  # enough splits already: no shuffle added
