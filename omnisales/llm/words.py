@@ -110,15 +110,27 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
+    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.data)
         power, inverse = powers(_ODD[0], n + 1)
         sums = np.zeros(n + 1, dtype=U64)
         np.cumsum(BYTE_VALUES[self.data] * power[:n], out=sums[1:])
+        return sums, inverse
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        sums, inverse = self._sums()
         h = (sums[self.end] - sums[self.start]) * inverse[self.start]
         return mix(h ^ ((self.end - self.start).astype(U64) * U64(_ODD[1])))
 
+    def prefix_hashes(self, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By size: the words that are longer than so many bytes, and the hash of that prefix (never that of a word)."""
+        sums, inverse = self._sums()
+        for size in sizes:
+            at = np.flatnonzero(self.end - self.start > size)
+            h = (sums[self.start[at] + size] - sums[self.start[at]]) * inverse[self.start[at]]
+            yield size, at, mix(mix(h ^ U64(size * 0x9E3779B1)) + U64(size))
+
 
 def window_hashes(h: np.ndarray, size: int, family: int = 1) -> np.ndarray:
     """Hash of ``h[i:i+size]`` for every ``i``; texts are not told apart."""
