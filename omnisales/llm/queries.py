@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
 from .near_dups import near_duplicates
+from . import pii, secrets
 from .scratch import ship_package
+from .sentencepieces import decode, encode
+from .spans import base_only, joined, of_kind
 from .substrings import remove_repeated_passages
+from .toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +27,26 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decode(encode(_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"),
+                      (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "parity")
+
+
+def _span_digest(found: DataFrame, kinds: list[str]) -> DataFrame:
+    return found.select("doc_id", *(of_kind(k).alias(f"n_{k}") for k in kinds),
+                        F.sha2(joined(base_only(kinds)), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(secrets.find_secrets(_table(spark, sf_dir, "documents")), secrets.BASE)
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(pii.find_personal_data(_table(spark, sf_dir, "documents")), pii.BASE)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -35,9 +59,17 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=5, percent=75)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup,
+        op2_sentencepiece,
+        op3_secret_scan,
+        op5_personal_data,
         op6_decontamination,
         op8_near_duplicates,
+        op9_toxicity,
     )}
