@@ -119,9 +119,13 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
+        return self.span_hashes(self.start, self.end - self.start)
+
+    def span_hashes(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each byte range."""
         sums, inverse = self._sums()
-        h = (sums[self.end] - sums[self.start]) * inverse[self.start]
-        return mix(h ^ ((self.end - self.start).astype(U64) * U64(_ODD[1])))
+        h = (sums[start + size] - sums[start]) * inverse[start]
+        return mix(h ^ (size.astype(U64) * U64(_ODD[1])))
 
     def prefix_hashes(self, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """By size: the words that are longer than so many bytes, and the hash of that prefix (never that of a word)."""
