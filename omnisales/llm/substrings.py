@@ -5,7 +5,9 @@ anything. A difference cover D modulo P mends that: for any two starts there is
 shift below P that takes both to positions in D. So only windows of
 ``window - P + 1`` words at positions in D (modulo P) are hashed, the anchors: two
 equal passages of ``window`` words always have an equal pair of anchors, and 6 of
-31 positions are enough for 50 words. Three steps:
+31 positions are enough for 50 words.
+
+Texts that are whole copies of one with a smaller id are set aside by a digest first. Then three steps:
 
 1. anchors: which of them occur in more than one document;
 2. extension: around those, every full window gets a hash, and a window is removed
@@ -151,7 +153,7 @@ def _windows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 def _cut(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, spans = batch.column(1), batch.column(3)
+            column, spans, copies = batch.column(1), batch.column(2), batch.column(3).to_numpy(False)
             for begin, end in chunks(column):
                 words = Words(column.slice(begin, end - begin), SPACE)
                 part = spans.slice(begin, end - begin)
@@ -162,7 +164,7 @@ def _cut(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 edge = np.zeros(len(words.start) + 1, np.int64)
                 np.add.at(edge, base, 1)
                 np.add.at(edge, base + (flat & 0xFFFFFFFF) + window - 1, -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                gone = (np.cumsum(edge[:-1]) > 0) | np.repeat(copies[begin:end] & (words.count >= window), words.count)
                 total = np.concatenate(([0], np.cumsum(gone)))
                 removed = total[words.first[1:]] - total[words.first[:-1]]
                 stay = np.flatnonzero(~gone)
@@ -190,9 +192,17 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "d
     judged on the input. Null text: no words. Null id: the row takes no part and is kept whole. Rows with the same id
     do not remove each other's words; each is judged by its own text. Other columns are not read. Texts are whole.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("print", F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF)))
-    anchors = base.where(F.col("doc_id").isNotNull()).mapInArrow(
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("print", F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF)))
+    # Both joins below are by these columns of the same rows, so their texts are shuffled once.
+    base, row = rows.where("doc_id is not null"), ["doc_id", "print"]
+
+    # A whole text that a smaller id also has: all its windows are known, it need not be searched.
+    prints = base.select(*row, F.md5("text").alias("digest"))
+    least = prints.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    copies = (prints.join(least.drop("most"), "digest").where("least < doc_id")
+              .groupBy(*row).agg(F.lit(True).alias("copy")))
+    anchors = base.join(copies, row, "left_anti").select("doc_id", "text", "print").mapInArrow(
         _anchors(window), "key long, doc long, place long, known boolean")
     same = Window.partitionBy("key")
     shared = (
@@ -202,7 +212,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "d
         .groupBy(F.col("doc").alias("doc_id"), F.shiftright("place", 32).alias("print"))
         .agg(F.collect_list("place").alias("anchors"))
     )
-    windows = base.join(shared, ["doc_id", "print"]).select("doc_id", "text", "print", "anchors").mapInArrow(
+    windows = base.join(shared, row).select("doc_id", "text", "print", "anchors").mapInArrow(
         _windows(window), "key long, doc long, place long, extra long")
     count = F.col("extra").bitwiseAND(F.lit(0xFFFFFFFF))
     equal = Window.partitionBy("key", F.shiftright("extra", 32))
@@ -212,7 +222,11 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "d
         .select(F.col("doc").alias("doc_id"), F.shiftright("place", 32).alias("print"),
                 (F.shiftleft(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), 32)
                  .bitwiseOR(F.greatest(count, F.lit(1)))).alias("span"))
-        .groupBy("doc_id", "print").agg(F.collect_list("span").alias("spans"))
+        .groupBy(*row).agg(F.collect_list("span").alias("spans"))
     )
-    return base.join(spans, ["doc_id", "print"], "left").select("doc_id", "text", "print", "spans").mapInArrow(
+    found = spans.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("spans", F.lit(None).cast("array<long>")))
+    alone = rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<long>").alias("spans"),
+                                                F.lit(False).alias("copy"))
+    judged = base.join(found, row, "left").select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
+    return judged.union(alone).mapInArrow(
         _cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
