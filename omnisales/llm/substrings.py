@@ -228,5 +228,5 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "d
     alone = rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<long>").alias("spans"),
                                                 F.lit(False).alias("copy"))
     judged = base.join(found, row, "left").select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
-    return judged.union(alone).mapInArrow(
-        _cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    out = "doc_id long, n_words long, n_removed long, kept_text string"
+    return judged.mapInArrow(_cut(window), out).union(alone.mapInArrow(_cut(window), out))
