@@ -16,8 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .fm_index import FMIndex
 from .words import Words, byte_class, chunks, ranges
@@ -29,7 +30,8 @@ BLOCK_PHRASES = 100_000
 #: A shard's index has at most about so many symbols, or one document's.
 SHARD_SYMBOLS = 4_000_000
 
-OUT = "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
+FOUND = "text string, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
+NAMES = ["carried", "text", "n_words", "spans", "items"]
 
 
 @dataclass
@@ -142,7 +144,7 @@ def _find(phrases_of: Callable[[], Phrases], first: bool) -> Callable[[Iterator[
                     [part.column(0), part.column(1), pa.array(count, pa.int64()),
                      pa.ListArray.from_arrays(np.searchsorted(doc, at).astype(np.int32), spans),
                      pa.ListArray.from_arrays(np.searchsorted(pairs[:, 0], at).astype(np.int32), pa.array(pairs[:, 1]))],
-                    ["doc_id", "text", "n_words", "spans", "items"])
+                    NAMES)
     return run
 
 
@@ -154,7 +156,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = pa.array([[]] * len(part), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(Words(part.column(1), ALNUM).count, pa.int64()), none,
-                 pa.array([[]] * len(part), pa.list_(pa.int64()))], ["doc_id", "text", "n_words", "spans", "items"])
+                 pa.array([[]] * len(part), pa.list_(pa.int64()))], NAMES)
 
 
 def _blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
@@ -170,6 +172,22 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
         yield Phrases.of(texts, ids, window)
 
 
+def _search(docs: DataFrame, carried: Column, text: Column, benchmark: DataFrame, window: int) -> DataFrame:
+    """``carried`` (any value of a row), ``text``, ``n_words``, ``spans``, ``items`` of every row, in one pass a block."""
+    out = docs.select(carried.alias("carried"), text.alias("text"))
+    schema = StructType([out.schema["carried"], *StructType.fromDDL(FOUND).fields])
+    items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+             .where("item_id is not null and text is not null"))
+    first = True
+    for phrases in _blocks(items, window):
+        if not len(phrases.length):
+            continue
+        sent = docs.sparkSession.sparkContext.broadcast(phrases)
+        out = out.mapInArrow(_find(lambda sent=sent: sent.value, first), schema)
+        first = False
+    return out.mapInArrow(_count, schema) if first else out
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``): ``doc_id``, ``text``, ``n_words``, ``spans``, ``items``.
 
@@ -179,13 +197,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10)
     phrases. Null text has no words; benchmark rows with null id or text count for nothing; rows that share an id,
     on either side, are judged one by one (documents) or together (items). Other columns are not read.
     """
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    first = True
-    for phrases in _blocks(items, window):
-        if not len(phrases.length):
-            continue
-        sent = docs.sparkSession.sparkContext.broadcast(phrases)
-        out = out.mapInArrow(_find(lambda sent=sent: sent.value, first), OUT)
-        first = False
-    return out.mapInArrow(_count, OUT) if first else out
+    return _search(docs, F.col("doc_id").cast("long"), F.col("text"), benchmark, window).withColumnRenamed("carried", "doc_id")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no phrase of the benchmark (see ``find_contamination``)."""
+    found = _search(docs, F.struct(*(docs[c] for c in docs.columns)), docs["text"], benchmark, window)
+    return found.where(F.size("spans") == 0).select("carried.*")

@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pii, secrets
+from .ann import nearest_neighbours
 from .decontaminate import find_contamination
+from .language import identify_language
 from .near_dups import near_duplicates
-from . import pii, secrets
 from .scratch import ship_package
 from .sentencepieces import decode, encode
 from .spans import base_only, joined, of_kind
 from .substrings import remove_repeated_passages
 from .toxicity import score_toxicity
+from .warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +46,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(secrets.find_secrets(_table(spark, sf_dir, "documents")), secrets.BASE)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, files = write_archives(_table(spark, sf_dir, "pages"), least_bytes=0)
+    return read_archives(folder, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(pii.find_personal_data(_table(spark, sf_dir, "documents")), pii.BASE)
 
@@ -55,6 +63,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(items, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(_table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=5, percent=75)
 
@@ -63,13 +75,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_substring_dedup,
-        op2_sentencepiece,
-        op3_secret_scan,
-        op5_personal_data,
-        op6_decontamination,
-        op8_near_duplicates,
-        op9_toxicity,
+        op1_substring_dedup, op2_sentencepiece, op3_secret_scan, op4_warc, op5_personal_data, op6_decontamination,
+        op7_language, op8_near_duplicates, op9_toxicity, op10_nearest_neighbours,
     )}

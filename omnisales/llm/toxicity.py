@@ -264,26 +264,53 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Without toxic training documents every score is 0. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    terms, beta, features = _fit(rows, labels)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    if beta is None:
+        scored = features.select("doc_id", F.lit(0.0).alias("score"))
+    else:
+        sent = docs.sparkSession.sparkContext.broadcast(beta)
+        n_terms = len(terms)
+        scored = features.mapInArrow(lambda batches: _score(sent.value, n_terms)(batches), "doc_id long, score double")
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (``doc_id``, ``text`` and others), all columns, that ``score_toxicity`` predicts 0 for."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    terms, beta, _ = _fit(rows, labels)
+    if beta is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast((terms, beta))
+    carried = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("carried"), docs["text"].alias("text"))
+    return carried.mapInArrow(lambda batches: _keep(*sent.value)(batches), carried.schema).select("carried.*")
+
+
+def _fit(rows: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray | None, DataFrame]:
+    """Lexicon terms, the classifier's coefficients (None without toxic training documents), all rows' features."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .where("doc_id is not null and toxic in (0, 1)").where(is_training())
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     train = rows.where(is_training())
     present = train.select("doc_id").distinct().join(known.where("toxic = 1"), "doc_id").select("doc_id")
     terms = _lexicon(train, written(present, "toxic-ids"))
-    spark = docs.sparkSession
     features = written(rows.mapInArrow(_features(terms), FEATURES), "toxicity-features")
     labelled = (features.where(is_training()).join(known, "doc_id", "left")
                 .withColumn("toxic", F.coalesce("toxic", F.lit(NO_LABEL))))
-    beta = _classifier(labelled, len(terms))
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    if beta is None:
-        scored = features.select("doc_id", F.lit(0.0).alias("score"))
-    else:
-        sent = spark.sparkContext.broadcast(beta)
-        n_terms = len(terms)
-        scored = features.mapInArrow(lambda batches: _score(sent.value, n_terms)(batches), "doc_id long, score double")
-    return scored.select("doc_id", held_out.alias("held_out"), "score",
-                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return terms, _classifier(labelled, len(terms)), features
+
+
+def _keep(terms: np.ndarray, beta: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for features in _features(terms)(iter([batch])):
+                clean = linear_score(_dense(features, len(terms)), beta) < THRESHOLD
+                part = pa.Table.from_batches([batch.slice(at, features.num_rows)]).filter(pa.array(clean))
+                at += features.num_rows
+                yield from part.to_batches()
+    return run
 
 
 def _classifier(labelled: DataFrame, n_terms: int) -> np.ndarray | None:
