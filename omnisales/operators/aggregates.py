@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.exact import percent
 from ..functions.text import pct_text
 from ..functions.ordering import asc, desc, field_position
-from ..operators.ranking import running_total, small_limit
-from ..session import checkpointed
+from ..operators.ranking import positions
+from ..session import stored_copy
 
 # Delivery statuses of the panels, in panel order.
 PANEL_STATUSES = ("Cancelled", "Returned", "Delivered")
@@ -29,8 +29,7 @@ def share_text(df: DataFrame, measure: str, digits: int, name: str = "Ratio") ->
 
 def status_panel(sales: DataFrame, entity: str, measures: dict[str, Column], rank_measure: str,
                  ratio_measure: str | None = None, ratio_digits: int = 0,
-                 statuses: Sequence[str] = PANEL_STATUSES, bounded: bool = True,
-                 small_rows: int | None = None) -> DataFrame:
+                 statuses: Sequence[str] = PANEL_STATUSES, bounded: bool = True) -> DataFrame:
     """Per-status ranked lists of ``entity`` zipped side by side on their rank.
 
     The reference scans the view once per status and inner-joins three ranked
@@ -43,20 +42,17 @@ def status_panel(sales: DataFrame, entity: str, measures: dict[str, Column], ran
 
     With ``bounded`` (entities of a bounded dimension: warehouses, cities) the
     ranks and shares come from one window partitioned by status. Otherwise
-    the (entity, status) groups are checkpointed and counted; beyond
-    ``small_rows`` ranks come from range-partitioned positions over
-    (status, measure, entity) minus each status's offset, and shares from the
-    per-status totals - both from a one-row-per-status aggregate.
+    the (entity, status) groups are written once; ranks are range-partitioned
+    positions over (status, measure, entity) minus each status's offset, and
+    shares come from the per-status totals - both from a one-row-per-status
+    aggregate.
     """
     grouped = (sales.filter(F.col("delivery_status").isin(*statuses))
                .groupBy(entity, "delivery_status")
                .agg(*[agg.alias(name) for name, agg in measures.items()]))
     order = [desc(rank_measure), asc(entity)]
-    large = False
     if not bounded:
-        grouped = checkpointed(grouped)
-        large = grouped.count() > small_limit(small_rows)
-    if large:
+        grouped = stored_copy(grouped, "panel")
         status_no = field_position(F.col("delivery_status"), list(statuses))
         per_status = grouped.groupBy("delivery_status").agg(
             F.count(F.lit(1)).alias("n"), *([F.sum(ratio_measure).alias("t")] if ratio_measure else [])).collect()
@@ -65,8 +61,7 @@ def status_panel(sales: DataFrame, entity: str, measures: dict[str, Column], ran
         for s in statuses:
             offset = F.when(F.col("delivery_status") == s, F.lit(start)).otherwise(offset)
             start += info[s]["n"] if s in info else 0
-        ranked = running_total(grouped.withColumn("_s", status_no), [F.col("_s").asc()] + order, None, "_pos",
-                               rows=start, small_rows=-1)
+        ranked = positions(grouped.withColumn("_s", status_no), [F.col("_s").asc()] + order, "_pos")
         ranked = ranked.withColumn("rn", F.col("_pos") - offset).drop("_s", "_pos")
         if ratio_measure:
             total = F.lit(None).cast("decimal(38,0)")

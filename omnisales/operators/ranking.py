@@ -1,15 +1,18 @@
-"""Ranks, top-k, running totals and exact NTILE.
+"""Ranks, top-k, order statistics and exact NTILE.
 
 Two kinds of input are ranked:
 
-* aggregated rows of a bounded dimension (platform, campaign, warehouse,
-  city, weekday, day ...): at most a few thousand rows whatever the fact
-  size, so a plain ``Window.orderBy`` in one task is the cheapest plan;
-* rows whose count grows with the data (customers, products of a growing
-  catalogue): ``running_total`` / ``exact_ntile`` below, which never put more
-  than one range partition into a task;
-* single order statistics of exact numbers (NTILE bucket maxima of money
-  values): ``select_positions``, repeated bucket counting without any sort.
+* aggregated rows of a dimension whose domain does not grow with the facts
+  (platform, campaign, warehouse, city, weekday, day ...): a plain
+  ``Window.orderBy`` in one task;
+* rows whose number grows with the data (customers, products): ``positions``
+  and ``rows_at`` below. One range shuffle sorts them; a row's number is its
+  place in its partition plus the sizes of the partitions before it. No task
+  holds more than one range, and there is one plan for every size.
+
+NTILE needs no rank of every row: the rows that end the tiles are enough
+(``rows_at``), and for exact numbers the values there come from counting
+(``ntile_maxima``) without any sort.
 
 Every order passed in must end with a unique key, so ranks and tiles are
 deterministic (the reference's ROW_NUMBER / NTILE have no tie-break).
@@ -18,38 +21,28 @@ deterministic (the reference's ROW_NUMBER / NTILE have no tie-break).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
-from ..session import checkpointed, shuffle_partitions
-
-# Inputs up to this many rows are ordered in a single task; beyond it the
-# range-partitioned form is used. One million rows sort in about a second.
-# Read at call time (``small_rows=None``), so a deployment or a test can move it.
-SMALL_ROWS = 1_000_000
-
+from ..session import shuffle_partitions, stored_copy
 
-def small_limit(small_rows: int | None) -> int:
-    return SMALL_ROWS if small_rows is None else small_rows
+# monotonically_increasing_id: the partition in the upper bits, the place in it in the lower 33.
+PLACE_BITS = 33
 
 
-def rank_rows(df: DataFrame, order: Sequence[Column], name: str = "Ranking", bounded: bool = True,
-              small_rows: int | None = None) -> DataFrame:
+def rank_rows(df: DataFrame, order: Sequence[Column], name: str = "Ranking", bounded: bool = True) -> DataFrame:
     """ROW_NUMBER over aggregated rows.
 
     ``bounded``: the rows are groups of a dimension with a bounded domain, so
     one task orders them. Otherwise (e.g. products of a catalogue that grows)
-    the groups are checkpointed once and counted; up to ``small_rows`` they are
-    still ordered in one task, beyond it the row number comes from the
-    range-partitioned ``running_total``.
+    they are numbered by ``positions``.
     """
-    if not bounded:
-        df = checkpointed(df)
-        rows = df.count()
-        if rows > small_limit(small_rows):
-            return running_total(df, order, None, name, rows=rows, small_rows=-1)
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    if bounded:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return positions(df, order, name)
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int, name: str = "Ranking") -> DataFrame:
@@ -57,171 +50,131 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int, name: str = "Ranking")
     return rank_rows(df.orderBy(*order).limit(k), order, name)
 
 
-def _provably_small(df: DataFrame, rows: int | None, small_rows: int | None) -> tuple[bool, int | None]:
-    small_rows = small_limit(small_rows)
-    if rows is not None:
-        return rows <= small_rows, rows
-    n = df.limit(small_rows + 1).count()
-    return (n <= small_rows, n if n <= small_rows else None)
-
-
-def running_total(df: DataFrame, order: Sequence[Column], weight: str | None = None, name: str = "_cum",
-                  rows: int | None = None, small_rows: int | None = None,
-                  partitions: int | None = None) -> DataFrame:
-    """Exact running sum of ``weight`` (or row number when None) in a total ``order``.
+def _ordered(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """``df`` range-partitioned, sorted and written with ``_mid``; each partition's number, first position and size.
 
-    Distributed form: range-partition on the order (sampled bounds split hot
-    values because the order ends with a unique key), running sums inside each
-    range partition, one offset per partition (at most ``partitions`` rows,
-    broadcast), added back. The per-partition sums are checkpointed so that
-    partition numbers and offsets come from one materialised copy.
-    """
-    w = F.col(weight) if weight else F.lit(1).cast("long")
-    small, rows = _provably_small(df, rows, small_rows)
-    if small:
-        frame = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(name, F.sum(w).over(frame))
-    n = partitions or shuffle_partitions(df.sparkSession)
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    local_frame = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = checkpointed(ranged.withColumn("_w", w).withColumn("_local", F.sum("_w").over(local_frame)))
-    totals = local.groupBy("_part").agg(F.sum("_w").alias("_ptotal"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_part", F.coalesce(F.sum("_ptotal").over(before), F.lit(0)).alias("_offset"))
-    out = local.join(F.broadcast(offsets), "_part")  # one row per partition: bounded by construction
-    return out.withColumn(name, F.col("_offset") + F.col("_local")).drop("_part", "_w", "_local", "_offset")
-
-
-def tile_of(position: str, total: int, tiles: int) -> Column:
-    """NTILE bucket of the 1-based position in column ``position`` among ``total`` rows.
-
-    The first ``total % tiles`` buckets hold one extra row; integer ``div``
-    keeps the arithmetic exact for any row count.
+    Sampled bounds split hot values because the order ends with a unique key.
+    The copy is written so that row numbers and sizes come from one
+    materialised order.
     """
+    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    copy = stored_copy(ranged.withColumn("_mid", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_mid", PLACE_BITS)
+    sizes = sorted((r["p"], r["n"]) for r in copy.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    found, at = [], 1
+    for p, n in sizes:  # one row per partition
+        found.append((p, at, n))
+        at += n
+    return copy, found
+
+
+def positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """1-based position of every row in a total ``order``."""
+    copy, parts = _ordered(df, order)
+    spark = df.sparkSession
+    first = spark.createDataFrame([(p, at) for p, at, _ in parts], "_part long, _first long")
+    place = F.col("_mid").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    # one row per partition: bounded by their number
+    out = copy.withColumn("_part", F.shiftright("_mid", PLACE_BITS)).join(F.broadcast(first), "_part")
+    return out.withColumn(name, F.col("_first") + place).drop("_part", "_first", "_mid")
+
+
+def rows_at(df: DataFrame, order: Sequence[Column], wanted: Sequence[int]) -> dict[int, Row]:
+    """The rows at some 1-based positions of a total ``order``."""
+    copy, parts = _ordered(df, order)
+    mids = {}
+    for w in wanted:
+        for p, at, n in parts:
+            if at <= w < at + n:
+                mids[(p << PLACE_BITS) + w - at] = w
+    if not mids:
+        return {}
+    rows = copy.filter(F.col("_mid").isin(*mids)).collect()
+    return {mids[r["_mid"]]: r for r in rows}
+
+
+def tile_ends(total: int, tiles: int) -> list[int]:
+    """Last position of each NTILE bucket; the first ``total % tiles`` buckets hold one more row."""
     size, extra = divmod(total, tiles)
-    if size == 0:
-        return F.col(position).cast("long")  # fewer rows than buckets: one row per bucket
-    big = extra * (size + 1)
-    head = F.expr(f"({position} - 1) div {size + 1} + 1")
-    tail = F.expr(f"({position} - 1 - {extra}) div {size} + 1")
-    return F.when(F.col(position) <= F.lit(big), head).otherwise(tail)
-
-
-def exact_ntile(df: DataFrame, tiles: int, order: Sequence[Column], name: str,
-                rows: int | None = None, small_rows: int | None = None) -> DataFrame:
-    """NTILE(tiles) over a total ``order`` without funnelling large inputs into one task."""
-    small, rows = _provably_small(df, rows, small_rows)
-    if small:
-        return df.withColumn(name, F.ntile(tiles).over(Window.orderBy(*order)).cast("long"))
-    if rows is None:
-        rows = df.count()
-    ranked = running_total(df, order, None, "pos_", rows=rows, small_rows=-1)
-    return ranked.withColumn(name, tile_of("pos_", rows, tiles)).drop("pos_")
-
-
-GRID_BUCKETS = 4096
-MAX_GRID_ROUNDS = 16  # 4096**16 covers any 64-bit range many times over
-
-
-def select_positions(values: DataFrame, column: str, positions: Sequence[int], lo: int, hi: int,
-                     scale: int, buckets: int = GRID_BUCKETS) -> list:
-    """Exact values at 1-based ascending ``positions`` of a column on an integer grid.
-
-    The column holds exact numbers with ``scale`` fraction digits (DECIMAL or
-    integer), so ``v * 10**scale`` is an integer in [lo, hi]. Each round counts
-    rows per bucket of the current range of every target (one scan, a
-    map-side aggregate of at most ``buckets`` groups per range), keeps the
-    bucket that holds the target position and narrows the range to it, until
-    the range is one value: log_buckets(hi - lo) rounds, no sort, no task
-    sees more than its own input split, and the driver only reads bucket
-    counts. Ranges of different targets are nested buckets of one scheme, so
-    they are either identical or disjoint and a row falls in at most one.
-    """
-    u = (F.col(column) * F.lit(10 ** scale)).cast("long") if scale else F.col(column).cast("long")
-    base = values.select(u.alias("_u"))
-    state = {i: (lo, hi, p) for i, p in enumerate(positions)}
-    found: dict[int, int] = {}
-    for _round in range(MAX_GRID_ROUNDS):
-        for i, (a, b, _) in state.items():
-            if a == b:
-                found[i] = a
-        open_ = {i: s for i, s in state.items() if i not in found}
-        if not open_:
-            break
-        ranges = sorted({(a, b) for a, b, _ in open_.values()})
-        widths = [-(-(b - a + 1) // buckets) for a, b in ranges]
-        rid = bkt = None
-        for k, ((a, b), w) in enumerate(zip(ranges, widths)):
-            inside = (F.col("_u") >= a) & (F.col("_u") <= b)
-            bucket = F.expr(f"(_u - ({a})) div {w}")
-            rid = F.when(inside, F.lit(k)) if rid is None else rid.when(inside, F.lit(k))
-            bkt = F.when(inside, bucket) if bkt is None else bkt.when(inside, bucket)
-        counts = (base.select(rid.alias("r"), bkt.alias("b")).filter(F.col("r").isNotNull())
-                  .groupBy("r", "b").agg(F.count(F.lit(1)).alias("n")).collect())
-        per_range: dict[int, list] = {}
-        for row in counts:
-            per_range.setdefault(row["r"], []).append((row["b"], row["n"]))
-        for i, (a, b, rank) in open_.items():
-            k = ranges.index((a, b))
-            w, before = widths[k], 0
-            for bucket, n in sorted(per_range.get(k, [])):
-                if before + n >= rank:
-                    state[i] = (a + bucket * w, min(b, a + bucket * w + w - 1), rank - before)
-                    break
-                before += n
-            else:
-                raise RuntimeError("input changed between scans: position not found in its range")
-    else:
-        raise RuntimeError("grid selection did not converge")
-    return [found[i] for i in range(len(positions))]
+    return [k * size + min(k, extra) for k in range(1, tiles + 1)]
 
 
-def ntile_maxima(values: DataFrame, column: str, tiles: int, small_rows: int | None = None) -> list:
-    """``MAX(v)`` of each NTILE(tiles) bucket over ascending ``v`` (NULL for an empty bucket).
+def ntile_maxima(values: DataFrame, column: str, tiles: int) -> list:
+    """``MAX(v)`` of each NTILE(tiles) bucket over ascending ``v`` (None for an empty bucket).
 
-    The maximum of bucket k is the value at position k*size + min(k, extra)
-    of the sorted column. Exact numbers that fit 64 bits on their grid
-    (integers, DECIMAL up to 18 digits) use the grid selection above (a few
-    aggregate-only scans); other types reduce to a histogram of distinct
-    values and a distributed running count. Returns plain Python values.
+    That is the value at the bucket's last position. Exact numbers that fit
+    64 bits on their grid (integers, DECIMAL up to 18 digits) are found by
+    counting; other types by a distributed sort (``rows_at``). Returns plain
+    Python values; NULLs are left out.
     """
-    from decimal import Decimal
-
-    from pyspark.sql.types import DecimalType, IntegralType
-
     kind = values.schema[column].dataType
-    fits_long = not isinstance(kind, DecimalType) or kind.precision <= 18  # v * 10**scale fits 64 bits
-    if isinstance(kind, (DecimalType, IntegralType)) and fits_long:
+    values = values.select(column).filter(F.col(column).isNotNull())
+    if isinstance(kind, IntegralType) or isinstance(kind, DecimalType) and kind.precision <= 18:
         scale = kind.scale if isinstance(kind, DecimalType) else 0
-        grid = (F.col(column) * F.lit(10 ** scale)).cast("long") if scale else F.col(column).cast("long")
-        stats = values.agg(F.count(column).alias("t"), F.min(grid).alias("lo"), F.max(grid).alias("hi")).collect()[0]
-        total = int(stats["t"] or 0)
-        if total == 0:
-            return [None] * tiles
-        size, extra = divmod(total, tiles)
-        ends = [k * size + min(k, extra) if k <= total else None for k in range(1, tiles + 1)]
-        wanted = [e for e in ends if e]
-        picked = select_positions(values.filter(F.col(column).isNotNull()), column, wanted,
-                                  int(stats["lo"]), int(stats["hi"]), scale)
-        unit = Decimal(1).scaleb(-scale) if isinstance(kind, DecimalType) else 1
-        out, it = [], iter(picked)
-        for e in ends:
-            v = next(it) if e else None
-            out.append(None if v is None else (Decimal(v) * unit if isinstance(kind, DecimalType) else v))
-        return out
-    return _ntile_maxima_by_histogram(values, column, tiles, small_rows)
-
-
-def _ntile_maxima_by_histogram(values: DataFrame, column: str, tiles: int, small_rows: int | None) -> list:
-    hist = checkpointed(values.groupBy(column).agg(F.count(F.lit(1)).alias("_n")))
-    stats = hist.agg(F.count(F.lit(1)).alias("d"), F.sum("_n").alias("t")).collect()[0]
-    total = int(stats["t"] or 0)
-    if total == 0:
-        return [None] * tiles
-    size, extra = divmod(total, tiles)
-    ends = [k * size + min(k, extra) if k <= total else None for k in range(1, tiles + 1)]
-    cum = running_total(hist, [F.col(column).asc()], "_n", "_cum", rows=int(stats["d"]), small_rows=small_rows)
-    picks = [F.min(F.when(F.col("_cum") >= F.lit(end), F.col(column))).alias(f"m{i}") if end else
-             F.lit(None).alias(f"m{i}") for i, end in enumerate(ends)]
-    row = cum.agg(*picks).collect()[0]
-    return [row[f"m{i}"] for i in range(tiles)]
+        found = _select_tile_ends(values, column, tiles, scale)
+        unit = Decimal(1).scaleb(-scale)
+        return [None if v is None else Decimal(v) * unit if isinstance(kind, DecimalType) else v for v in found]
+    total = values.count()
+    ends = tile_ends(total, tiles)
+    rows = rows_at(values, [F.col(column).asc()], [e for e in ends if e])
+    return [rows[e][column] if e and (not k or e > ends[k - 1]) else None for k, e in enumerate(ends)]
+
+
+# Leading binary digits that one counting round tells apart.
+ROUND_BITS = 12
+
+
+def _select_tile_ends(values: DataFrame, column: str, tiles: int, scale: int) -> list[int | None]:
+    """Exact values at the tile ends of a column on an integer grid, by rounds of bucket counts.
+
+    The first round counts rows by sign and the leading ROUND_BITS binary
+    digits of the value (at most 2**ROUND_BITS buckets per power of two);
+    the next rounds refine the buckets that hold a wanted position by as many
+    digits, until they are single values: two scans up to 2**24 units, at
+    most one more per 2**ROUND_BITS beyond. No minimum or maximum is needed
+    first, nothing is sorted, and the driver reads bucket counts only.
+    """
+    u = F.col(column) * F.lit(10 ** scale) if scale else F.col(column)
+    base = values.select(u.cast("long").alias("_u")).select(
+        F.signum("_u").cast("int").alias("_s"), F.abs("_u").alias("_a"))
+    digits = F.coalesce(F.floor(F.log2(F.col("_a").cast("double"))).cast("int") + 1, F.lit(0))
+    base = base.withColumn("_e", F.greatest(digits - ROUND_BITS, F.lit(0)))
+
+    def counted(rows: DataFrame, *keys: Column) -> list[Row]:
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()
+
+    def in_order(sign: int, *rest: int) -> tuple[int, ...]:
+        return (sign, *(sign * r for r in rest))
+
+    lead = F.expr("shiftright(_a, _e)").alias("top")
+    first = sorted(((in_order(r["_s"], r["_e"], r["top"]), r) for r in counted(base, "_s", "_e", lead)), key=lambda x: x[0])
+    total = sum(r["n"] for _, r in first)
+    ends = tile_ends(total, tiles)
+    state: dict[int, tuple[int, int, int, int, int]] = {}  # end -> sign, first shift, shift, leading digits, rank within
+    for end in {e for e in ends if e}:
+        before = 0
+        for _, r in first:
+            if before + r["n"] >= end:
+                state[end] = (r["_s"], r["_e"], r["_e"], r["top"], end - before)
+                break
+            before += r["n"]
+    while open_ := {e: s for e, s in state.items() if s[2]}:
+        buckets = sorted({s[:4] for s in open_.values()})
+        number = finer = None
+        for k, (sign, e, shift, top) in enumerate(buckets):
+            inside = (F.col("_s") == sign) & (F.col("_e") == e) & (F.shiftright("_a", shift) == top)
+            low = F.shiftright("_a", max(shift - ROUND_BITS, 0))
+            number = F.when(inside, F.lit(k)) if number is None else number.when(inside, F.lit(k))
+            finer = F.when(inside, low) if finer is None else finer.when(inside, low)
+        rows = counted(base.select(number.alias("k"), finer.alias("top")).filter(F.col("k").isNotNull()), "k", "top")
+        for end, (sign, e, shift, top, rank) in open_.items():
+            k = buckets.index((sign, e, shift, top))
+            before = 0
+            for r in sorted((r for r in rows if r["k"] == k), key=lambda r: sign * r["top"]):
+                if before + r["n"] >= rank:
+                    state[end] = (sign, e, max(shift - ROUND_BITS, 0), r["top"], rank - before)
+                    break
+                before += r["n"]
+            else:
+                raise RuntimeError("input changed between scans: position not found in its bucket")
+    return [state[e][0] * state[e][3] if e and (not k or e > ends[k - 1]) else None for k, e in enumerate(ends)]

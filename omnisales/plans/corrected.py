@@ -17,7 +17,7 @@ from ..functions.ordering import asc, desc
 from ..functions.text import pct_text
 from ..operators.aggregates import PANEL_STATUSES, moving_average
 from ..operators.ranking import ntile_maxima, rank_rows
-from .customer import COHORT_MONTHS, TESTDATA_AS_OF, rfm_segmentation
+from .customer import COHORT_MONTHS, rfm_segmentation
 from .findings import _status_pivot
 from .marketplace import band_repeat_rate
 from .timeseries import daily_revenue
@@ -49,7 +49,7 @@ def cohort_retention_first_purchase(sales: DataFrame, months: int = COHORT_MONTH
     return g.select("Cohort_Month", "total_user_baru", *pct).orderBy(asc("Cohort_Month"))
 
 
-def rfm_segmentation_best_high(sales: DataFrame, as_of: _dt.date = TESTDATA_AS_OF) -> DataFrame:
+def rfm_segmentation_best_high(sales: DataFrame, as_of: _dt.date) -> DataFrame:
     """RFM with score 5 = best on every axis, so the segment rules mean what they say."""
     return rfm_segmentation(sales, as_of, best_high=True)
 

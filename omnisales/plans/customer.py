@@ -12,8 +12,8 @@ from ..functions.exact import percent, rounded_avg
 from ..functions.ordering import asc, desc, field_position
 from ..functions.text import money_text, pct_text
 from ..operators.aggregates import share_text
-from ..operators.ranking import exact_ntile, rank_rows
-from ..session import checkpointed
+from ..operators.ranking import rank_rows, rows_at, tile_ends
+from ..session import stored_copy
 
 # Month order of the cohort report (months after it sort first).
 COHORT_ORDER = ["January", "February", "March", "April", "May"]
@@ -23,8 +23,7 @@ COHORT_MONTHS = 6  # month_0 .. month_5
 CHAMPIONS, LOYAL, AT_RISK, HIBERNATING, NEEDS_ATTENTION = (
     "Champions", "Loyal Customers", "At-Risk", "Hibernating", "Customers Needing Attention")
 RFM_TILES = 5
-# As-of date of the test tables (their last order is 2001-08-01); replaces CURRENT_DATE.
-TESTDATA_AS_OF = _dt.date(2001, 8, 31)
+AXIS = "decimal(38,4)"  # one type for the sort keys of all axes
 
 
 def skin_type_orders(sales: DataFrame) -> DataFrame:
@@ -144,29 +143,62 @@ def rfm_segment(r: F.Column, f: F.Column, m: F.Column) -> F.Column:
             .otherwise(NEEDS_ATTENTION))
 
 
-def rfm_scores(sales: DataFrame, as_of: _dt.date = TESTDATA_AS_OF, best_high: bool = False,
-               small_rows: int | None = None) -> DataFrame:
+def _rfm_axes(best_high: bool) -> list[tuple[str, str, bool]]:
+    """Score, measure and whether the order is descending; ``best_high`` turns all orders round."""
+    return [("r_score", "recency", best_high), ("f_score", "frequency", not best_high), ("m_score", "monetary", not best_high)]
+
+
+def _axis_key(measure: str, descending: bool) -> tuple[F.Column, F.Column]:
+    """Ascending sort keys of an axis: where NULLs go (first ascending, last descending), then the signed value."""
+    value = F.col(measure).cast(AXIS)
+    nulls = F.col(measure).isNull() if descending else F.col(measure).isNotNull()
+    return nulls.cast("int"), (-value).cast(AXIS) if descending else value
+
+
+def rfm_scores(sales: DataFrame, as_of: _dt.date, best_high: bool = False) -> DataFrame:
     """Customer table with the three NTILE(5) scores.
 
     Faithful orders: recency ASC, frequency DESC, monetary DESC (tile 1 is the
-    best customer). ``best_high`` reverses them so that 5 is the best. The
-    customer table is checkpointed once: it feeds three tilings and the
-    output, and its size decides the tiling plan.
+    best customer), ties by customer. ``best_high`` reverses them so that 5 is
+    the best. The customer table is written once. Of each axis only the
+    customers that end the tiles are looked up, all axes in one distributed
+    sort; a score is then 1 + the number of tile ends the customer comes
+    after, a plain expression per row.
+    """
+    raw = stored_copy(rfm_raw(sales, as_of), "rfm")
+    total = raw.count()
+    axes = _rfm_axes(best_high)
+    keys = [_axis_key(measure, descending) for _, measure, descending in axes]
+    stacked = raw.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("axis"), nulls.alias("nulls"), key.alias("key"), F.col("customer_id").alias("id"))
+        for i, (nulls, key) in enumerate(keys)])).alias("a")).select("a.*")
+    ends = [e for e in tile_ends(total, RFM_TILES)[:-1] if 0 < e < total]
+    wanted = [i * total + e for i in range(len(axes)) for e in ends]
+    order = [F.col("axis").asc(), F.col("nulls").asc(), F.col("key").asc(), asc("id")]
+    cuts = rows_at(stacked, order, wanted) if wanted else {}
+    scores = []
+    for i, (score, _, _) in enumerate(axes):
+        nulls, key = keys[i]
+        tile = F.lit(1).cast("long")
+        for e in sorted(set(ends)):
+            c = cuts[i * total + e]
+            same = nulls == F.lit(c["nulls"])
+            at = F.lit(c["key"]).cast(AXIS)
+            later_id = (F.col("customer_id").isNotNull() if c["id"] is None
+                        else F.coalesce(F.col("customer_id") > F.lit(c["id"]), F.lit(False)))
+            after = (nulls > F.lit(c["nulls"])) | same & (F.coalesce(key > at, F.lit(False)) | key.eqNullSafe(at) & later_id)
+            tile = tile + after.cast("long") * F.lit(ends.count(e))
+        scores.append(tile.alias(score))
+    return raw.select("*", *scores)
+
+
+def rfm_segmentation(sales: DataFrame, as_of: _dt.date, segments: list[str] | None = None,
+                     best_high: bool = False) -> DataFrame:
+    """Q18: RFM code and segment per customer, by spend (optionally only some segments).
+
+    ``as_of`` is the day recency is counted to (the reference's current date).
     """
-    raw = checkpointed(rfm_raw(sales, as_of))
-    rows = raw.count()
-    r_order = desc("recency") if best_high else asc("recency")
-    f_order = asc("frequency") if best_high else desc("frequency")
-    m_order = asc("monetary") if best_high else desc("monetary")
-    scored = exact_ntile(raw, RFM_TILES, [r_order, asc("customer_id")], "r_score", rows, small_rows)
-    scored = exact_ntile(scored, RFM_TILES, [f_order, asc("customer_id")], "f_score", rows, small_rows)
-    return exact_ntile(scored, RFM_TILES, [m_order, asc("customer_id")], "m_score", rows, small_rows)
-
-
-def rfm_segmentation(sales: DataFrame, as_of: _dt.date = TESTDATA_AS_OF, segments: list[str] | None = None,
-                     best_high: bool = False, small_rows: int | None = None) -> DataFrame:
-    """Q18: RFM code and segment per customer, by spend (optionally only some segments)."""
-    s = rfm_scores(sales, as_of, best_high, small_rows)
+    s = rfm_scores(sales, as_of, best_high)
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     out = s.select("customer_id",
                    F.col("recency").alias("hari_sejak_belanja_terakhir"),

@@ -12,7 +12,7 @@ from ..functions.ordering import asc, desc
 from ..functions.text import pct_text
 from ..operators.aggregates import share_text
 from ..operators.ranking import rank_rows
-from .customer import AT_RISK, TESTDATA_AS_OF, rfm_segmentation
+from .customer import AT_RISK, rfm_segmentation
 from .timeseries import revenue_moving_average
 
 # Fixed value: the spend limit the findings use for high-value At-Risk customers.
@@ -77,9 +77,9 @@ def city_failure_rates(sales: DataFrame) -> DataFrame:
     return p.withColumnRenamed("city", "City").orderBy(desc("Cancelled_Shipping"), asc("City"))
 
 
-def at_risk_high_value(sales: DataFrame, min_spend: int = HIGH_VALUE_SPEND,
-                       as_of: _dt.date = TESTDATA_AS_OF) -> DataFrame:
-    """At-Risk customers whose spend exceeds ``min_spend``, with days since their last order."""
+def at_risk_high_value(sales: DataFrame, as_of: _dt.date, min_spend: int) -> DataFrame:
+    """At-Risk customers whose spend exceeds ``min_spend`` (``HIGH_VALUE_SPEND`` in the findings), with days
+    since their last order."""
     r = rfm_segmentation(sales, as_of, segments=[AT_RISK])
     return r.filter(F.col("total_belanja") > F.lit(min_spend))
 

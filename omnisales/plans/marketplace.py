@@ -42,14 +42,15 @@ def discount_thresholds(sales: DataFrame, tiles: int = 3) -> list:
 
 
 def discount_band(limits: list) -> F.Column:
-    """Band of a row's discount given ascending thresholds [Q1, Q2, Q3]; NULL or <= 0 is no discount."""
+    """Band of a row's discount by how many of the ascending limits it exceeds; NULL or <= 0 is no discount.
+
+    A limit that does not exist (fewer discounts than tiles) is exceeded by nothing.
+    """
     d = F.col("discount_amount")
-    q = [F.lit(v).cast(DecimalType(18, 2)) for v in limits]
-    return (F.when(d > q[2], DISCOUNT_BANDS[0])
-            .when((d > q[1]) & (d <= q[2]), DISCOUNT_BANDS[1])
-            .when((d > q[0]) & (d <= q[1]), DISCOUNT_BANDS[2])
-            .when((d > 0) & (d <= q[0]), DISCOUNT_BANDS[3])
-            .otherwise(NO_DISCOUNT))
+    band = F.when(F.coalesce(d <= 0, F.lit(True)), NO_DISCOUNT)
+    for limit, name in zip(reversed(limits), DISCOUNT_BANDS):
+        band = band.when(d > F.lit(limit).cast(DecimalType(18, 2)), name)
+    return band.otherwise(DISCOUNT_BANDS[-1])
 
 
 def band_repeat_rate(sales: DataFrame, limits: list, repeat_per_product: bool = True) -> DataFrame:

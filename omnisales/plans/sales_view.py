@@ -4,8 +4,8 @@ The frame is a lazy plan. ``plans/store.py`` writes it once per input as
 Parquet and the registered analyses read that copy, pruned to the handful of
 columns each one uses; used directly (or through ``register_view`` and
 ``spark.sql``), Catalyst inlines it into the query, prunes it and pushes
-status / date filters below the join into the scans. The catalogue is
-broadcast only after a bounded row count proves it small.
+status / date filters below the join into the scans. The join is left to
+Spark, which broadcasts the catalogue if its bytes allow it.
 
 ``products=None`` builds the view without catalogue fields. A LEFT JOIN on a
 unique catalogue key never adds or removes fact rows, so queries that read no
@@ -22,7 +22,7 @@ from ..functions.dates import weekday_name
 from ..functions.text import sentence_case
 from ..schema import VIEW_PRODUCT_FIELDS
 from ..sources.prepare import prepare_products, prepare_transactions
-from ..sources.testdata import BROADCAST_ROWS, has_at_most, raw_products, raw_transactions
+from ..sources.testdata import raw_products, raw_transactions
 
 
 def sales_analysis(tx: DataFrame, products: DataFrame | None = None,
@@ -54,8 +54,6 @@ def sales_analysis(tx: DataFrame, products: DataFrame | None = None,
                                        "returned_flag", "return_reason")]
     if products is None:
         return ft.select(*fact, *tail)
-    if has_at_most(products, BROADCAST_ROWS):
-        products = F.broadcast(products)  # catalogue size checked; otherwise Spark / AQE choose
     pc = products.alias("pc")
     joined = ft.join(pc, F.col("ft.product_code") == F.col("pc.product_code"), "left")
     profit = (F.col("ft.gross_sales") - F.col("ft.discount_amount") - F.col("pc.production_cost")

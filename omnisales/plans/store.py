@@ -5,17 +5,22 @@ lineitem / orders / customer / nation / region / catalogue joins for each of
 them would scan and shuffle the raw tables thirty times; instead the view is
 written once as Parquet and every analysis scans only the columns it needs.
 
-The copy lives under the session's checkpoint folder (``spark.checkpoint.dir``,
-a shared folder on a cluster), in a sub-folder named after a fingerprint of
-the input files (path, length, modification time), so new input data gets a
-new copy. A copy counts only once its ``_SUCCESS`` marker exists, so a write
-interrupted by a lost executor is redone, never half-read.
+Copies live under the session's checkpoint folder (``spark.checkpoint.dir``,
+a shared folder on a cluster), by input folder and by a fingerprint of its
+files (path, length, modification time; listed again, recursively, on every
+call), so changed input never meets an old copy. Each write goes to a folder
+of its own and counts once its ``_SUCCESS`` marker exists: an interrupted
+write is never read, and two applications that write at the same time leave
+two whole copies instead of overwriting each other. Copies of earlier input
+are removed a day after they were written.
 """
 
 from __future__ import annotations
 
 import hashlib
 import threading
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +30,7 @@ from .sales_view import testdata_sales
 
 # Catalogue fields carried beyond the 37 view columns (used by corrected variants).
 EXTRA_FIELDS = ("reorder_point",)
+KEEP_SECONDS = 24 * 3600
 
 # Scans of materialised copies, per (application, folder).
 _READ: dict[tuple[str, str], DataFrame] = {}
@@ -33,68 +39,81 @@ _WRITE_LOCK = threading.Lock()
 
 
 def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-_FINGERPRINTS: dict[tuple[str, str], str] = {}
-
-
-def _fingerprint(spark: SparkSession, sf_dir: str, refresh: bool = False) -> str:
-    """Input fingerprint, listed once per application (``refresh`` lists again)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if refresh or key not in _FINGERPRINTS:
-        _FINGERPRINTS[key] = _list_fingerprint(spark, sf_dir)
-    return _FINGERPRINTS[key]
-
-
-def _list_fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    h = hashlib.sha1(sf_dir.rstrip("/").encode())
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Of all files of the tables the adapter reads, at any depth."""
+    entries = []
     for name in TABLES:
         fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
-        for st in fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]:
-            h.update(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}".encode())
-    return h.hexdigest()[:16]
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            st = files.next()
+            entries.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(entries)).encode()).hexdigest()[:16]
+
+
+def _input_folder(spark: SparkSession, sf_dir: str) -> str:
+    name = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:16]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/omnisales-sales-view/{name}"
 
 
-def sales_table_path(spark: SparkSession, sf_dir: str, refresh: bool = False) -> str:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/omnisales-sales-view/{_fingerprint(spark, sf_dir, refresh)}"
+def _newest_copy(spark: SparkSession, folder: str) -> str | None:
+    """The last whole copy in a fingerprint's folder."""
+    fs, p = _fs(spark, folder)
+    if not fs.exists(p):
+        return None
+    found = []
+    for st in fs.listStatus(p):
+        path = st.getPath().toString()
+        marker_fs, marker = _fs(spark, f"{path}/_SUCCESS")
+        if marker_fs.exists(marker):
+            found.append((marker_fs.getFileStatus(marker).getModificationTime(), path))
+    return max(found)[1] if found else None
 
 
-def materialize_sales(spark: SparkSession, sf_dir: str, path: str | None = None, refresh: bool = False) -> str:
-    """Write the sales view of ``sf_dir`` once (Parquet) and return its folder.
+def materialize_sales(spark: SparkSession, sf_dir: str, refresh: bool = False) -> str:
+    """Write the sales view of ``sf_dir`` once per state of its files (Parquet) and return the copy's folder.
 
-    (``sources.sinks.write_sales_table`` writes a month-partitioned layout for
-    time-bounded reads.)
+    ``refresh`` writes another copy beside the one there is; readers of that one are not disturbed.
     """
-    path = path or sales_table_path(spark, sf_dir, refresh)
-    fs, _ = _fs(spark, path)
-    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not refresh and fs.exists(marker):
+    folder = f"{_input_folder(spark, sf_dir)}/{_fingerprint(spark, sf_dir)}"
+    path = None if refresh else _newest_copy(spark, folder)
+    if path:
         return path
     with _WRITE_LOCK:
-        if not refresh and fs.exists(marker):  # written by another caller meanwhile
+        path = None if refresh else _newest_copy(spark, folder)  # written by another caller meanwhile
+        if path:
             return path
-        _write_view(spark, sf_dir, path)
+        path = f"{folder}/{uuid.uuid4().hex}"
+        view = testdata_sales(spark, sf_dir, with_products=True, extra_product_fields=EXTRA_FIELDS)
+        # zstd: about a fifth smaller than snappy here at the same write and scan
+        # speed, and every analysis scans this copy
+        view.write.option("compression", "zstd").parquet(path)
+    drop_old_copies(spark, sf_dir)
     return path
 
 
-def _write_view(spark: SparkSession, sf_dir: str, path: str) -> None:
-    for key in [k for k in _READ if k[1] == path]:
-        del _READ[key]  # a rewritten folder needs a fresh file listing
-    view = testdata_sales(spark, sf_dir, with_products=True, extra_product_fields=EXTRA_FIELDS)
-    # zstd: about a fifth smaller than snappy here at the same write and scan
-    # speed, and every analysis scans this copy
-    view.write.mode("overwrite").option("compression", "zstd").parquet(path)
+def drop_old_copies(spark: SparkSession, sf_dir: str, older_than: float = KEEP_SECONDS) -> int:
+    """Remove copies of earlier states of ``sf_dir`` written more than ``older_than`` seconds ago; returns how many."""
+    base = _input_folder(spark, sf_dir)
+    now = _fingerprint(spark, sf_dir)
+    fs, p = _fs(spark, base)
+    gone = 0
+    for st in fs.listStatus(p) if fs.exists(p) else []:
+        old = time.time() - st.getModificationTime() / 1000 >= older_than
+        if st.getPath().getName() != now and old:
+            gone += bool(fs.delete(st.getPath(), True))
+    return gone
 
 
 def stored_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sales view of ``sf_dir`` read from its materialised copy.
 
-    The scan (file listing and footers) is reused within an application; a
-    new input fingerprint gives a new folder and so a new scan.
+    The scan (file listing and footers) of a copy is reused within an
+    application; changed input gives a new copy and so a new scan.
     """
     path = materialize_sales(spark, sf_dir)
     key = (spark.sparkContext.applicationId, path)

@@ -9,8 +9,9 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 # Defaults for a fresh local session (tests / bench). On a cluster the
@@ -42,6 +43,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def cli_session(master: str | None) -> SparkSession:
+    """The running session, or one for ``master`` (unchanged), or for the master that spark-submit set; else local[*]."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        builder = SparkSession.builder.appName("omnisales")
+        if master or not SparkConf().contains("spark.master"):
+            builder = builder.master(master or "local[*]")
+        if (master or SparkConf().get("spark.master", "local")).startswith("local"):
+            for key, value in LOCAL_DEFAULTS.items():
+                builder = builder.config(key, value)
+        spark = builder.getOrCreate()
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make ``DataFrame.checkpoint()`` usable and return the folder in use.
 
@@ -65,19 +81,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the checkpoint folder and cut its lineage.
+def _steps_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/omnisales-steps-{spark.sparkContext.applicationId}"
+
 
-    An eager checkpoint counts the rows and then writes them; persisting first
-    makes the second pass read the cached rows instead of recomputing the
-    input (e.g. a full scan and aggregate). The cache is dropped afterwards;
-    the checkpoint files survive executor loss.
+def stored_copy(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet below the shared checkpoint folder and read again.
+
+    That cuts its lineage and computes it once; unlike an eager checkpoint it
+    does not run the plan twice. The files survive executor loss. They are
+    removed by ``drop_steps`` (or with the folder) once the results are read.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+    spark = df.sparkSession
+    path = f"{_steps_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_steps(spark: SparkSession) -> None:
+    """Remove this application's intermediate copies; results that read them must have been read or written before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_steps_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -104,8 +129,8 @@ def scale_settings(data_bytes: int, cores: int, split_bytes: int = 256 << 20,
       of shuffle input each, never fewer than 2 per core; AQE coalesces the
       small shuffles of the analyses down to ``advisory`` sized partitions and
       splits skewed join partitions;
-    * the static broadcast threshold stays at Spark's default; explicit
-      broadcasts in this library are guarded by row-count checks.
+    * the static broadcast threshold stays at Spark's default; Spark and AQE
+      choose the broadcast side on bytes.
     """
     shuffle = max(2 * cores, math.ceil(data_bytes / shuffle_bytes_per_partition))
     return {

@@ -8,12 +8,15 @@ that names it.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..schema import RAW_PRODUCTS, RAW_TRANSACTIONS
-from .prepare import assert_unique_key, clean_header, prepare_products, prepare_transactions
+from ..schema import (PRODUCT_INTS, PRODUCT_MONEY, RAW_PRODUCTS, RAW_TRANSACTIONS, TRANSACTION_INTS,
+                      TRANSACTION_MONEY)
+from .prepare import assert_unique_key, clean_header, prepare_products, prepare_transactions, rejected_rows
 
 
 def read_text_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -26,17 +29,40 @@ def read_text_csv(spark: SparkSession, path: str, schema: StructType) -> DataFra
     return raw.select(*[F.col(c).cast("string").alias(c) for c in schema.fieldNames()])
 
 
-def read_products_csv(spark: SparkSession, path: str, check_unique: bool = True) -> DataFrame:
-    """Catalogue CSV (header, comma, optional BOM) -> typed products."""
-    products = prepare_products(read_text_csv(spark, path, RAW_PRODUCTS))
+def read_products_csv(spark: SparkSession, path: str, check_unique: bool = True, rejects: str | None = None) -> DataFrame:
+    """Catalogue CSV (header, comma, optional BOM) -> typed products; unreadable values as for transactions."""
+    raw = read_text_csv(spark, path, RAW_PRODUCTS)
+    report_rejects(rejected_rows(raw, PRODUCT_MONEY, PRODUCT_INTS, ("rating_average",)), path, rejects)
+    products = prepare_products(raw)
     if check_unique:
         assert_unique_key(products, "product_code")
     return products
 
 
-def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Transaction CSV files (a folder or glob scales out over files) -> prepared transactions."""
-    return prepare_transactions(read_text_csv(spark, path, RAW_TRANSACTIONS))
+def report_rejects(bad: DataFrame, path: str, rejects: str | None) -> int:
+    """Write the raw rows with unreadable values to the folder ``rejects`` (Parquet) and warn with their number.
+
+    Without a folder they are only counted. The rows stay in the result with
+    NULL in place of the value, as the preparation defines it.
+    """
+    if rejects:
+        bad.write.mode("overwrite").parquet(rejects)
+        bad = bad.sparkSession.read.parquet(rejects)
+    n = bad.count()
+    if n:
+        warnings.warn(f"{path}: {n} rows hold values that cannot be read and are NULL"
+                      + (f"; the rows are in {rejects}" if rejects else ""), stacklevel=3)
+    return n
+
+
+def read_transactions_csv(spark: SparkSession, path: str, rejects: str | None = None) -> DataFrame:
+    """Transaction CSV files (a folder or glob scales out over files) -> prepared transactions.
+
+    Rows with a number or date that cannot be read are written to ``rejects`` and reported (one more pass).
+    """
+    raw = read_text_csv(spark, path, RAW_TRANSACTIONS)
+    report_rejects(rejected_rows(raw, TRANSACTION_MONEY, TRANSACTION_INTS), path, rejects)
+    return prepare_transactions(raw)
 
 
 def read_transactions_parquet(spark: SparkSession, path: str) -> DataFrame:

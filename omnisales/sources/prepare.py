@@ -58,12 +58,15 @@ def harden_types(df: DataFrame, money: Iterable[str], ints: Iterable[str] = (),
 
 
 def rejected_rows(raw: DataFrame, money: Iterable[str], ints: Iterable[str] = (), ratings: Iterable[str] = ()) -> DataFrame:
-    """Raw rows with a non-empty value that type hardening turns into NULL (one narrow pass)."""
+    """Raw rows with a non-empty value that type hardening or date parsing turns into NULL (one narrow pass)."""
     targets = _targets(money, ints, ratings)
     bad = F.lit(False)
     for c, target in targets.items():
         text = F.trim(F.col(c).cast("string"))
         bad = bad | (text.isNotNull() & (text != "") & _typed(raw, c, target).isNull())
+    if "transaction_date" in raw.columns and isinstance(raw.schema["transaction_date"].dataType, StringType):
+        text = F.trim(F.col("transaction_date"))
+        bad = bad | (text.isNotNull() & (text != "") & parse_raw_date(F.col("transaction_date")).isNull())
     return raw.filter(bad)
 
 

@@ -10,12 +10,10 @@ Scale notes:
 * Join order keeps the big-big join last: customer is first enriched with the
   25-row nation / 5-row region tables, then joined to orders on the customer
   key, and only then to lineitem on the order key, so lineitem is shuffled
-  at most once.
-* The enriched orders side is broadcast only after ``has_at_most`` has
-  proven it small (it has one row per order); past that bound the join is
-  left to Spark (sort-merge, or AQE's switch from measured sizes). File-size
-  estimates alone would pick the wrong side here: Spark multiplies the
-  estimates of joined inputs, so the orders chain looks larger than lineitem.
+  at most once. No side is hinted: Spark and AQE choose on bytes, and AQE
+  splits skewed order keys.
+* Joins are left joins: a line without its order, customer or nation stays,
+  with NULLs.
 """
 
 from __future__ import annotations
@@ -37,35 +35,14 @@ FEE_RATE_OTHER = Decimal("0.02")
 PRODUCTION_COST_RATE = Decimal("0.40")
 NO_CAMPAIGN_LINE = 7
 ORDER_TIME_MULTIPLIERS = (7919, 104729)
-UNLISTED_PART_EVERY = 50  # catalogue gap: parts with key % 50 == 0 are not in the catalogue
 
 TABLES = ("region", "nation", "customer", "part", "orders", "lineitem")  # the tables the adapter reads
 
-# A dimension side is broadcast only when it provably has at most this many
-# rows (about 100 MB of join keys and attributes); beyond it Spark plans a
-# shuffle join and AQE may still switch to broadcast from measured sizes.
-BROADCAST_ROWS = 1_000_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan with fewer input splits than the session's cores (e.g. one
-    file with one row group) that many partitions, hashed on ``key`` (a
-    round-robin split would first sort every partition to stay deterministic
-    on retries); scans of many files are left alone, so this never adds a
-    shuffle at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def _case(col: F.Column, mapping: dict, default=None) -> F.Column:
     expr = None
     for key, value in mapping.items():
@@ -83,15 +60,10 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     na = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     rg = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
 
-    geo = na.join(rg, na.n_regionkey == rg.r_regionkey)
-    cust = cu.join(geo, cu.c_nationkey == geo.n_nationkey)
-    orders = od.join(cust, od.o_custkey == cust.c_custkey)
-    if has_at_most(od, BROADCAST_ROWS):
-        # at most one enriched row per order: a proven bound, so lineitem streams
-        # past a broadcast copy instead of being shuffled
-        rows = spread(li, "l_orderkey").join(F.broadcast(orders), li.l_orderkey == orders.o_orderkey)
-    else:
-        rows = li.join(orders, li.l_orderkey == orders.o_orderkey)
+    geo = na.join(rg, na.n_regionkey == rg.r_regionkey, "left")
+    cust = cu.join(geo, cu.c_nationkey == geo.n_nationkey, "left")
+    orders = od.join(cust, od.o_custkey == cust.c_custkey, "left")
+    rows = li.join(orders, li.l_orderkey == orders.o_orderkey, "left")
 
     gross = F.col("l_extendedprice").cast(MONEY)
     scaled = DecimalType(18, 4)
@@ -135,10 +107,9 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference's ``product_code`` catalogue (before preparation) built from ``part``.
 
     p_partkey is the primary key of part, so the catalogue key is unique.
-    Every fact row is kept by the view's LEFT JOIN; parts on the catalogue gap
-    simply have no catalogue entry, which exercises the unmatched-product path.
+    Every part is listed; every fact row is kept by the view's LEFT JOIN.
     """
-    p = table(spark, sf_dir, "part").filter(F.col("p_partkey") % UNLISTED_PART_EVERY != 0)
+    p = table(spark, sf_dir, "part")
     price = F.col("p_retailprice").cast(MONEY)
     key = F.col("p_partkey")
     return p.select(

@@ -20,8 +20,15 @@ from ..sources.prepare import prepare_transactions
 
 
 def transaction_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Prepared transactions from CSV files arriving in ``source_dir`` (explicit schema, header skipped)."""
-    reader = spark.readStream.schema(RAW_TRANSACTIONS).option("header", True).option("encoding", "UTF-8")
+    """Prepared transactions from CSV files arriving in ``source_dir``.
+
+    A stream's schema is fixed, so the columns are bound by position; every
+    file's header is compared with it (``enforceSchema=false``), and a file
+    with other names or another order fails the query instead of shifting
+    columns.
+    """
+    reader = (spark.readStream.schema(RAW_TRANSACTIONS).option("header", True).option("encoding", "UTF-8")
+              .option("enforceSchema", False))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return prepare_transactions(reader.csv(source_dir))

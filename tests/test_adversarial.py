@@ -12,7 +12,7 @@ import duckdb
 import pytest
 
 from omnisales.oracle import oracle_queries
-from omnisales.plans.catalog import registry, report
+from omnisales.plans.catalog import TEST_PARAMETERS, registry
 from omnisales.plans.sales_view import sales_analysis
 from omnisales.sources.prepare import prepare_products, prepare_transactions
 
@@ -79,7 +79,7 @@ def fixture_view(spark, scratch_dir):
 def test_analysis_matches_naive_sql_on_adversarial_rows(fixture_view, name):
     stored, con = fixture_view
     analysis = registry()[name]
-    df = report(analysis.plan(stored), analysis.as_double)
+    df = analysis.result(stored, TEST_PARAMETERS)
     rows = [tuple(r) for r in df.collect()]
     res = con.execute(oracle_queries("sales_analysis AS (SELECT * FROM fixture)")[name])
     cols = [d[0] for d in res.description]

@@ -1,21 +1,17 @@
 """Faithful analyses against their corrected variants on fixtures where they must differ."""
 
+import datetime
+
 from omnisales.plans import corrected, customer, geography, operations, product
 from omnisales.plans.catalog import registry
 from omnisales.plans.store import stored_sales
 
 from .conftest import sales_of
 
+DAY = datetime.date(2026, 12, 31)
 SF = "/root/testdata/sf0.001"
 
 
-def test_rfm_distributed_tiles_equal_single_task(spark):
-    s = stored_sales(spark, SF)
-    a = sorted(map(tuple, customer.rfm_segmentation(s).collect()))
-    b = sorted(map(tuple, customer.rfm_segmentation(s, small_rows=-1).collect()))
-    assert a == b
-
-
 def test_rfm_faithful_tile_one_is_best_corrected_five_is_best(spark):
     rows = []
     for i in range(10):  # customer i buys i + 1 times, the later ones more recently
@@ -23,8 +19,8 @@ def test_rfm_faithful_tile_one_is_best_corrected_five_is_best(spark):
             rows.append({"transaction_id": f"{i}-{j}", "customer_id": f"C{i:02d}",
                          "transaction_date": f"{1 + i:02d}/0{1 + j % 9}/2026"})
     s = sales_of(spark, rows)
-    faithful = {r.customer_id: r.kode_rfm for r in customer.rfm_segmentation(s, as_of=customer.TESTDATA_AS_OF).collect()}
-    fixed = {r.customer_id: r.kode_rfm for r in corrected.rfm_segmentation_best_high(s).collect()}
+    faithful = {r.customer_id: r.kode_rfm for r in customer.rfm_segmentation(s, DAY).collect()}
+    fixed = {r.customer_id: r.kode_rfm for r in corrected.rfm_segmentation_best_high(s, DAY).collect()}
     assert faithful["C09"][1] == "1" and fixed["C09"][1] == "5"  # most frequent buyer
 
 
@@ -90,8 +86,8 @@ def test_top_and_bottom_cities_are_ranked_1_to_k(spark):
 def test_optional_arguments_segments_and_status(spark):
     from pyspark.sql import functions as F
     s = stored_sales(spark, SF)
-    full = customer.rfm_segmentation(s)
-    champions = customer.rfm_segmentation(s, segments=["Champions"])
+    full = customer.rfm_segmentation(s, DAY)
+    champions = customer.rfm_segmentation(s, DAY, segments=["Champions"])
     assert {r.segmen_pelanggan for r in champions.collect()} <= {"Champions"}
     assert champions.count() == full.filter(F.col("segmen_pelanggan") == "Champions").count()
     returned = product.product_status_ranking(s, "Returned").collect()

@@ -6,44 +6,31 @@ from pyspark.sql import functions as F
 
 from omnisales.functions.ordering import asc, desc
 from omnisales.operators.aggregates import status_panel
-from omnisales.operators.ranking import exact_ntile, ntile_maxima, running_total
+from omnisales.operators.ranking import ntile_maxima, positions, rank_rows, rows_at, tile_ends
 
 from .conftest import sales_of
 
 
-@pytest.mark.parametrize("tiles", [3, 4, 5])
-def test_distributed_ntile_equals_window_ntile(spark, tiles):
-    rnd = random.Random(tiles)
-    for n in [1, 2, 3, 4, 5, 7, 13, 39, 200]:
-        rows = [(i, rnd.randint(0, 5)) for i in range(n)]  # heavy ties, unique id breaks them
-        df = spark.createDataFrame(rows, "id long, v long")
-        order = [desc("v"), asc("id")]
-        want = {r.id: r.t for r in df.withColumn("t", F.ntile(tiles).over(Window.orderBy(*order))).collect()}
-        got = {r.id: r.t for r in exact_ntile(df, tiles, order, "t", small_rows=-1).collect()}
-        assert got == want, (n, tiles)
+@pytest.mark.parametrize("tiles", [3, 5])
+def test_tile_ends_equal_window_ntile(spark, tiles):
+    for n in [1, 2, 3, 4, 5, 7, 13, 39]:
+        df = spark.range(1, n + 1)
+        want = {r.id: r.t for r in df.withColumn("t", F.ntile(tiles).over(Window.orderBy("id"))).collect()}
+        ends = tile_ends(n, tiles)
+        assert {i: 1 + sum(i > e for e in ends) for i in range(1, n + 1)} == want, (n, tiles)
 
 
-def test_tile_sizes_differ_by_at_most_one(spark):
-    df = spark.createDataFrame([(i,) for i in range(103)], "id long")
-    sizes = [r["count"] for r in exact_ntile(df, 5, [asc("id")], "t", small_rows=-1).groupBy("t").count().collect()]
-    assert max(sizes) - min(sizes) <= 1 and sum(sizes) == 103
-
-
-def test_fewer_rows_than_tiles(spark):
-    df = spark.createDataFrame([(1,), (2,)], "id long")
-    assert sorted(r.t for r in exact_ntile(df, 5, [asc("id")], "t", small_rows=-1).collect()) == [1, 2]
-
-
-def test_running_total_distributed_equals_window(spark):
+def test_positions_and_rows_at_equal_window(spark):
     rnd = random.Random(7)
-    rows = [(i, rnd.randint(1, 9)) for i in range(500)]
-    df = spark.createDataFrame(rows, "id long, w long")
-    got = {r.id: r.c for r in running_total(df, [asc("id")], "w", "c", small_rows=-1, partitions=7).collect()}
-    acc, want = 0, {}
-    for i, w in rows:
-        acc += w
-        want[i] = acc
-    assert got == want
+    rows = [(i, rnd.choice([None, *range(6)])) for i in range(500)]  # heavy ties, unique id breaks them
+    df = spark.createDataFrame(rows, "id long, v long")
+    order = [desc("v"), asc("id")]
+    want = {r.id: r.t for r in df.withColumn("t", F.row_number().over(Window.orderBy(*order))).collect()}
+    assert {r.id: r.p for r in positions(df, order, "p").collect()} == want
+    by_place = {t: i for i, t in want.items()}
+    got = rows_at(df, order, [1, 77, 500, 501])
+    assert {p: r["id"] for p, r in got.items()} == {p: by_place[p] for p in (1, 77, 500)}
+    assert positions(df.limit(0), order, "p").count() == 0 and rows_at(df.limit(0), order, [1]) == {}
 
 
 def test_ntile_maxima_matches_naive(spark):
@@ -52,10 +39,8 @@ def test_ntile_maxima_matches_naive(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v long")
     naive = df.withColumn("k", F.ntile(3).over(Window.orderBy("v"))).groupBy("k").agg(F.max("v").alias("m"))
     want = [r.m for r in naive.orderBy("k").collect()]
-    assert ntile_maxima(df, "v", 3, small_rows=-1) == want
     assert ntile_maxima(df, "v", 3) == want
-    as_double = df.select(F.col("v").cast("double").alias("v"))  # histogram path
-    assert ntile_maxima(as_double, "v", 3, small_rows=-1) == [float(x) for x in want]
+    as_double = df.select(F.col("v").cast("double").alias("v"))  # sorted, not counted
     assert ntile_maxima(as_double, "v", 3) == [float(x) for x in want]
     two = spark.createDataFrame([(4,), (9,)], "v long")
     assert ntile_maxima(two, "v", 3) == [4, 9, None]
@@ -86,12 +71,10 @@ def test_grid_selection_on_decimals_with_wide_range(spark):
 
 
 def test_unbounded_rank_rows_distributed_equals_window(spark):
-    from omnisales.operators.ranking import rank_rows
     rnd = random.Random(5)
     df = spark.createDataFrame([(f"p{i:03d}", rnd.randint(0, 9)) for i in range(300)], "k string, v long")
     order = [desc("v"), asc("k")]
     want = {r.k: r.Ranking for r in rank_rows(df, order).collect()}
-    assert {r.k: r.Ranking for r in rank_rows(df, order, bounded=False, small_rows=-1).collect()} == want
     assert {r.k: r.Ranking for r in rank_rows(df, order, bounded=False).collect()} == want
 
 
@@ -103,24 +86,31 @@ def test_unbounded_status_panel_distributed_equals_window(spark):
     s = sales_of(spark, rows)
     args = (s, "warehouse_origin", {"Qty": F.sum("quantity")}, "Qty", "Qty", 0)
     want = sorted(map(str, status_panel(*args).collect()))
-    got = sorted(map(str, status_panel(*args, bounded=False, small_rows=-1).collect()))
+    got = sorted(map(str, status_panel(*args, bounded=False).collect()))
     assert got == want and len(want) > 10
 
 
-def test_wide_decimals_take_the_histogram_path(spark):
+def test_wide_decimals_are_sorted(spark):
     from decimal import Decimal
     vals = [Decimal(10) ** 25 + i for i in range(10)]  # beyond 64 bits on the grid
     df = spark.createDataFrame([(v,) for v in vals], "v decimal(30,0)")
     assert ntile_maxima(df, "v", 3) == [vals[3], vals[6], vals[9]]
 
 
-def test_broadcast_guard_and_spread(spark):
-    from omnisales.sources.testdata import has_at_most, spread, table
-    df = spark.range(10)
-    assert has_at_most(df, 10) and not has_at_most(df, 9) and not has_at_most(df, 0)
-    one_file = table(spark, "/root/testdata/sf0.001", "lineitem")  # one file, one row group
-    cores = spark.sparkContext.defaultParallelism
-    assert one_file.rdd.getNumPartitions() < cores
-    assert spread(one_file, "l_orderkey").rdd.getNumPartitions() == cores
-    many = spark.range(0, 1000, numPartitions=cores * 2)
-    assert spread(many, "id") is many  # enough splits already: no shuffle added
+def test_rfm_tiles_equal_window_ntile(spark):
+    import datetime
+
+    from omnisales.plans.customer import rfm_raw, rfm_scores
+    rnd = random.Random(1)
+    for n in (0, 1, 3, 23):
+        rows = [{"transaction_id": f"{c}-{k}", "customer_id": f"C{c:02d}", "transaction_date": f"{rnd.randint(1, 3):02d}/03/2026"}
+                for c in range(n) for k in range(rnd.randint(1, 3))]
+        s = sales_of(spark, rows + [{"customer_id": None, "transaction_date": None}] * (n > 3))
+        day = datetime.date(2026, 4, 1)
+        raw = rfm_raw(s, day)
+        for best_high in (False, True):
+            a, b = (desc, asc) if best_high else (asc, desc)
+            orders = {"r_score": a("recency"), "f_score": b("frequency"), "m_score": b("monetary")}
+            want = raw.select("customer_id", *[F.ntile(5).over(Window.orderBy(o, asc("customer_id"))).alias(c) for c, o in orders.items()])
+            got = rfm_scores(s, day, best_high).select("customer_id", *orders)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), n

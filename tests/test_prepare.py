@@ -38,7 +38,7 @@ def test_csv_sources_with_bom_bad_dates_and_numbers(spark, scratch_dir):
     assert got["T3"][1] is None
     raw = spark.read.option("header", True).csv(tx_path)
     bad = rejected_rows(clean_header(raw), TRANSACTION_MONEY, TRANSACTION_INTS)
-    assert [r.transaction_id for r in bad.collect()] == ["T3"]
+    assert sorted(r.transaction_id for r in bad.collect()) == ["T1", "T3"]  # an impossible date, a money text
 
     pc_path = os.path.join(scratch_dir, "pc.csv")
     write_csv(pc_path, PRODUCT_COLUMNS, [BASE_PRODUCT, {**BASE_PRODUCT, "product_code": "P2"}])
@@ -114,3 +114,15 @@ def test_csv_columns_are_taken_by_name(spark, scratch_dir):
     write_csv(short, TRANSACTION_COLUMNS[:-1], [BASE_TX])
     with pytest.raises(ValueError, match="product_code"):
         read_transactions_csv(spark, short)
+
+
+def test_rejects_are_written_and_reported(spark, scratch_dir):
+    path, rejects = os.path.join(scratch_dir, "bad_tx.csv"), os.path.join(scratch_dir, "rejects")
+    write_csv(path, TRANSACTION_COLUMNS, [{**BASE_TX, "transaction_id": "T1", "gross_sales": "12;50"},
+                                          {**BASE_TX, "transaction_id": "T2", "transaction_date": "31/02/2026"},
+                                          {**BASE_TX, "transaction_id": "T3", "gross_sales": ""}])
+    with pytest.warns(UserWarning, match="2 rows hold values that cannot be read"):
+        tx = read_transactions_csv(spark, path, rejects)
+    assert tx.count() == 3
+    kept = {r.transaction_id: r for r in spark.read.parquet(rejects).collect()}
+    assert sorted(kept) == ["T1", "T2"] and kept["T1"].gross_sales == "12;50"

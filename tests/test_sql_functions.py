@@ -1,60 +1,37 @@
-"""Analyses written in Spark SQL with the registered functions equal the DataFrame analyses."""
+"""The registered SQL functions on literal rows, against values worked out by hand."""
 
-import pytest
-
-from omnisales.plans.catalog import registry
-from omnisales.plans.sales_view import register_view
-from omnisales.plans.store import stored_sales
-from tools.compare import canon
+from decimal import Decimal
 
-SF = "/root/testdata/sf0.01"
+import pytest
 
-SQL = {
-    "q01_platform_profitability": """
-        SELECT Platform, CAST(rev AS DOUBLE) AS Total_Revenue, CAST(profit AS DOUBLE) AS Total_Profit,
-               CAST(round(div6(profit, rev) * 100, 2) AS DOUBLE) AS Margin_Percentage
-        FROM (SELECT platform AS Platform, SUM(gross_sales) AS rev, SUM(net_profit) AS profit
-              FROM sales_analysis GROUP BY platform)""",
-    "q14_gender_share": """
-        SELECT customer_gender AS Customer_Gender, SUM(quantity) AS Total_Order,
-               CAST(SUM(gross_sales) AS DOUBLE) AS Total_Revenue,
-               CAST(round(avg(CAST(customer_rating AS DECIMAL(10,0))), 2) AS DOUBLE) AS Customer_Rating,
-               concat(round(div4(SUM(quantity), SUM(SUM(quantity)) OVER ()) * 100, 0), '%') AS Ratio
-        FROM sales_analysis GROUP BY customer_gender""",
-    "q15_tier_gender_share": """
-        SELECT CAST(row_number() OVER (ORDER BY SUM(quantity) DESC, membership_tier, customer_gender) AS BIGINT) AS Ranking,
-               membership_tier AS Membership_Tier, customer_gender AS Customer_Gender,
-               SUM(quantity) AS Total_Product_Terjual, money2(SUM(gross_sales)) AS Total_Revenue,
-               CAST(round(avg(CAST(customer_rating AS DECIMAL(10,0))), 2) AS DOUBLE) AS Customer_Rating,
-               concat(round(div4(SUM(quantity), SUM(SUM(quantity)) OVER ()) * 100, 0), '%') AS Ratio
-        FROM sales_analysis GROUP BY membership_tier, customer_gender""",
-    "q21_warehouse_shipping": """
-        SELECT warehouse_origin AS Warehouse_Origin, SUM(quantity) AS Total_Shipping,
-               money0(SUM(shipping_cost)) AS Total_Shipping_Cost
-        FROM sales_analysis GROUP BY warehouse_origin""",
-    "q28_weekday_growth": """
-        SELECT Day_of_Week, Current_DayofWeek_Sales,
-               CASE WHEN Current_DayofWeek_Sales IS NULL THEN 'New / No Data'
-                    ELSE concat(round(div4(Current_DayofWeek_Sales - prev, prev) * 100, 2), '%') END
-                 AS DoD_Growth_Percentage
-        FROM (SELECT day_of_week AS Day_of_Week, SUM(quantity) AS Current_DayofWeek_Sales,
-                     LAG(SUM(quantity)) OVER (ORDER BY field_position(day_of_week, array('Monday', 'Tuesday',
-                       'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'))) AS prev
-              FROM sales_analysis GROUP BY day_of_week)""",
-}
+from omnisales.functions.sql import register_sql_functions
 
 
 @pytest.fixture(scope="module")
 def view(spark):
-    return register_view(stored_sales(spark, SF))
-
-
-@pytest.mark.parametrize("name", sorted(SQL))
-def test_sql_port_equals_dataframe_analysis(spark, view, name):
-    sql = spark.sql(SQL[name])
-    df = registry()[name].run(spark, SF)
-    assert canon(sql.columns, [tuple(r) for r in sql.collect()]) == canon(df.columns, [tuple(r) for r in df.collect()])
-    assert "PythonUDF" not in sql._jdf.queryExecution().executedPlan().toString()
+    register_sql_functions(spark)
+
+
+@pytest.mark.parametrize("expr, want", [
+    ("div4(1, 3)", Decimal("0.3333")), ("div4(2, 3)", Decimal("0.6667")), ("div4(-2, 3)", Decimal("-0.6667")),
+    ("div4(1, 0)", None), ("div4(NULL, 3)", None), ("div6(1.00, 7.00)", Decimal("0.142857")), ("div6(1.00, 0.00)", None),
+    ("money0(1234567.50)", "Rp 1,234,568"), ("money2(1234.50)", "Rp 1,234.50"), ("money2(NULL)", None),
+    ("field_position('c', array('a', 'b', 'c'))", 3), ("field_position('x', array('a'))", 0),
+    ("sentence_case('kOTA bARU')", "Kota baru"), ("sentence_case('')", ""), ("month_name(DATE'2026-12-31')", "December"),
+    ("weekday_name(DATE'2026-03-01')", "Sunday"), ("CAST(dmy_date('01/12/2026') AS STRING)", "2026-12-01"),
+    ("dmy_date('2026-12-01')", None),
+])
+def test_sql_function(spark, view, expr, want):
+    df = spark.sql(f"SELECT {expr} AS v")
+    assert df.collect()[0].v == want
+    assert "PythonUDF" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sql_functions_over_groups(spark, view):
+    spark.createDataFrame([("a", 1), ("a", 2), ("b", 5)], "k string, n int").createOrReplaceTempView("few")
+    rows = spark.sql("""SELECT k, concat(round(div4(n, all_n) * 100, 0), '%') AS share
+                        FROM (SELECT k, sum(n) AS n, sum(sum(n)) OVER () AS all_n FROM few GROUP BY k)""").collect()
+    assert {r.k: r.share for r in rows} == {"a": "38%", "b": "63%"}
 
 
 def test_sql_helpers(spark, view):

@@ -1,10 +1,11 @@
+import datetime
 import os
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from omnisales.plans.catalog import run_on
+from omnisales.plans.catalog import registry, run_on
 from omnisales.plans.sales_view import sales_analysis
 from omnisales.plans.store import stored_sales
 from omnisales.schema import TRANSACTION_COLUMNS
@@ -81,7 +82,9 @@ def test_all_analyses_run_on_csv_sources(spark, scratch_dir):
     write_csv(pc_path, PRODUCT_COLUMNS, [BASE_PRODUCT, {**BASE_PRODUCT, "product_code": "P2", "product_name": "Lip Two"}])
     sales = sales_analysis(read_transactions_csv(spark, tx_path), read_products_csv(spark, pc_path),
                            extra_product_fields=("reorder_point",))
-    results = run_on(sales)
+    results = run_on(sales, as_of=datetime.date(2026, 6, 30), min_spend=0)
+    days = [r.hari_sejak_belanja_terakhir for r in results["q18_rfm_segmentation"].collect()]
+    assert days and min(days) >= 0
     assert len(results) == 49
     for name, df in results.items():
         df.collect()  # every analysis runs on CSV-sourced data
@@ -93,7 +96,7 @@ def test_command_line_lists_and_runs(spark, scratch_dir, capsys):
     from omnisales.__main__ import main
     main(["list"])
     listed = [line for line in capsys.readouterr().out.splitlines() if line.strip()]
-    assert len(listed) == 49 and listed[0].startswith("q01_platform_profitability")
+    assert len(listed) == 50 and listed[0].startswith("s4_text_preparation")
     out = os.path.join(scratch_dir, "cli_reports")
     main(["run", "q20_delivery_status_share", "--tables", "/root/testdata/sf0.001", "--out", out])
     assert spark.read.option("header", True).csv(os.path.join(out, "q20_delivery_status_share")).count() == 3
@@ -118,8 +121,47 @@ def test_reference_style_csv_inputs_give_the_same_results(spark, scratch_dir):
     csv_sales = sales_analysis(read_transactions_csv(spark, tx_dir), products, extra_product_fields=("reorder_point",))
     ids = {"q18_rfm_segmentation", "c2_rfm_segmentation_best_high", "n5_at_risk_high_value",
            "c4_restock_by_reorder_point"}  # their output carries ids, text on this path
-    names = [n for n in run_on(stored_sales(spark, sf)) if n not in ids]
+    names = [n for n, a in registry().items() if n not in ids and not a.raw]
     from_csv, from_parquet = run_on(csv_sales, names), run_on(stored_sales(spark, sf), names)
     for n in names:
         a, b = from_csv[n], from_parquet[n]
         assert canon(a.columns, [tuple(r) for r in a.collect()]) == canon(b.columns, [tuple(r) for r in b.collect()]), n
+
+
+def test_stream_refuses_a_reordered_header(spark, scratch_dir):
+    src = os.path.join(scratch_dir, "reordered")
+    os.makedirs(src)
+    write_csv(os.path.join(src, "a.csv"), TRANSACTION_COLUMNS[1:] + TRANSACTION_COLUMNS[:1], [BASE_TX])
+    q = start_ingest(spark, src, os.path.join(scratch_dir, "re_table"), os.path.join(scratch_dir, "re_ckpt"))
+    with pytest.raises(Exception, match="STREAM_FAILED"):
+        q.awaitTermination(120)
+
+
+def test_analyses_need_their_parameters(spark):
+    with pytest.raises(ValueError, match="as_of"):
+        run_on(sales_of(spark, [{}]), ["q18_rfm_segmentation"])
+    with pytest.raises(ValueError, match="min_spend"):
+        run_on(sales_of(spark, [{}]), ["n5_at_risk_high_value"], as_of=datetime.date(2026, 3, 31))
+
+
+def test_master_is_passed_unchanged(monkeypatch):
+    from omnisales import session
+    seen = []
+
+    class Builder:
+        def appName(self, _):
+            return self
+
+        def master(self, m):
+            seen.append(m)
+            return self
+
+        def config(self, *_):
+            return self
+
+        def getOrCreate(self):
+            return "session"
+
+    monkeypatch.setattr(session, "SparkSession", type("S", (), {"builder": Builder(), "getActiveSession": staticmethod(lambda: None)}))
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda s: "")
+    assert session.cli_session("yarn") == "session" and seen == ["yarn"]
