@@ -15,7 +15,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(depth):
         key <<= width
-        key[: n - k] |= seq[k:]
+        key[: max(n - k, 0)] |= seq[k:]
     order = np.argsort(key, kind="stable")
     sorted_ = key[order]
     first = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))

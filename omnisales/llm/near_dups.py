@@ -319,13 +319,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
     final = written(connected_components(roots.union(more)), "all-components")
     return (rows.select("doc_id", *same_set).join(classes, same_set, "left")
             .join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
+                    .alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` (``doc_id``, ``text`` and others), all columns, that ``near_duplicates`` keeps."""
     judged = near_duplicates(docs, shingle, percent)
-    gone = written(judged.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "copies")
+    gone = written(judged.where("not kept").select("doc_id").distinct(), "copies")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    carried = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("carried"), docs["doc_id"].cast("long").alias("doc_id"))
+    return carried.join(gone, "doc_id", "left_anti").select("carried.*")
