@@ -42,7 +42,7 @@ LEAST_LIFT, LEAST_DEVIATIONS = 3.0, 5.0
 SAMPLE = 20_000
 THRESHOLD = 0.3
 #: How often a label is right; it stays as given. Ridge penalty of single terms, against 1 for densities and patterns.
-LABEL_ACCURACY, TERM_PENALTY = 0.99, 5.0
+LABEL_ACCURACY, TERM_PENALTY = 0.999, 5.0
 #: Ids of toxic training documents go to all tasks up to this number (8 MB); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 NO_LABEL = 2

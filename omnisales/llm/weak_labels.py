@@ -70,7 +70,8 @@ def _estimate(votes: np.ndarray, n: np.ndarray, parts: list[tuple[int, ...]], ou
 
 
 def label_model(votes: np.ndarray, n: np.ndarray, share: float, outcomes: int = 3, strength: float = 20.0,
-                rounds: int = 200, residual: float = 0.15, trusted: dict[int, float] | None = None) -> LabelModel:
+                rounds: int = 200, residual: float = 0.15, copies: float = 0.75,
+                trusted: dict[int, float] | None = None) -> LabelModel:
     """``votes``: patterns (rows) by voter; ``n``: how many items have each; ``share``: expected share of class 1.
 
     ``trusted`` voters keep the accuracy given; whether they vote says nothing about the class.
@@ -81,32 +82,48 @@ def label_model(votes: np.ndarray, n: np.ndarray, share: float, outcomes: int =
     for v in trusted:
         lean = np.where(votes[:, v] == 1, 3.0, np.where(votes[:, v] == 2, -3.0, lean))
     start = 1 / (1 + np.exp(-(2.0 * lean - 1.0)))
-    parts = [(v,) for v in range(voters)]
-    model = _estimate(votes, n, parts, outcomes, start, share, strength, rounds, trusted)
-    if not len(n) or n.sum() <= 0:
+    # Voters that nearly repeat each other, and then those that agree more than the classes explain.
+    pairs = _pairs(_correlation(votes, [n]), copies, set(trusted))
+    model = _estimate(votes, n, _parts(pairs, voters), outcomes, start, share, strength, rounds, trusted)
+    p = model.posterior(votes)
+    alone = set(trusted) | {v for pair in pairs for v in pair}
+    more = _pairs(_correlation(votes, [n * p, n * (1 - p)]), residual, alone)
+    if not more:
         return model
-    # Correlation left within the classes, on the indicator that a voter speaks for class 1.
-    p, said = model.posterior(votes), (votes == 1).astype(float)
-    left = np.zeros((voters, voters))
-    for w in (n * p, n * (1 - p)):
+    return _estimate(votes, n, _parts(pairs + more, voters), outcomes, p, share, strength, rounds, trusted)
+
+
+def _correlation(votes: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+    """Absolute correlation of speaking for class 1, within each weighting, averaged by weight."""
+    said = (votes == 1).astype(float)
+    left = np.zeros((votes.shape[1],) * 2)
+    whole = sum(w.sum() for w in weights)
+    for w in weights:
         total = w.sum()
         if total > 1:
             mean = w @ said / total
             cov = (said * w[:, None]).T @ said / total - np.outer(mean, mean)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            left += np.abs(cov / np.outer(sd, sd)) * total / n.sum()
-    pairs, used = [], set()
-    for flat in np.argsort(-np.triu(left, 1), axis=None, kind="stable"):
+            left += np.abs(cov / np.outer(sd, sd)) * total / whole
+    return left
+
+
+def _pairs(correlation: np.ndarray, least: float, taken: set[int]) -> list[tuple[int, ...]]:
+    """Disjoint pairs of voters, the most correlated first."""
+    voters, used, found = len(correlation), set(taken), []
+    for flat in np.argsort(-np.triu(correlation, 1), axis=None, kind="stable"):
         a, b = divmod(int(flat), voters)
-        if left[a, b] < residual or a >= b:
+        if a >= b or correlation[a, b] < least:
             break
-        if not {a, b} & (used | set(trusted)):
-            pairs.append((a, b))
+        if not {a, b} & used:
+            found.append((a, b))
             used |= {a, b}
-    if not pairs:
-        return model
-    parts = pairs + [(v,) for v in range(voters) if v not in used]
-    return _estimate(votes, n, parts, outcomes, p, share, strength, rounds, trusted)
+    return found
+
+
+def _parts(pairs: list[tuple[int, ...]], voters: int) -> list[tuple[int, ...]]:
+    used = {v for pair in pairs for v in pair}
+    return pairs + [(v,) for v in range(voters) if v not in used]
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float | np.ndarray = 1.0,
