@@ -25,6 +25,21 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
 
+OP4 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+), known AS (
+  SELECT body, min(page_id) AS first FROM p GROUP BY body
+)
+SELECT page_id, CAST(strlen(p.body) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                               CAST(1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)
+                        FOR i IN range(0, 32)], '') AS payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM p JOIN known ON p.body = known.body
+"""
+
 OP6 = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -78,4 +93,4 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP B
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op6_decontamination": OP6, "op8_near_duplicates": OP8}
+    return {"op1_substring_dedup": OP1, "op4_warc": OP4, "op6_decontamination": OP6, "op8_near_duplicates": OP8}
