@@ -42,5 +42,6 @@ def edge_rows(seed: int = 1):
     rows += [(30, passage), (31, passage), (31, passage), (32, other), (33, other), (34, f"{other} the end")]
     rows += [(40, long_text), (41, prose(rnd, 30) + " " + long_text), (42, long_text[:20_000])]
     rows += [(50, None), (51, ""), (52, " \t\n"), (53, "one"), (54, "one"), (55, "é 漢字 🙂"), (None, passage), (None, None)]
+    rows += [(70, "for " * 200), (71, "x " + "for " * 90), (72, "for " * 49), (73, "for " * 55 + "y " + "for " * 120)]
     rows += [(60, prose(rnd, 80)), (60, passage + " " + prose(rnd, 9)), (-5, passage + " minus five")]
     return rows
