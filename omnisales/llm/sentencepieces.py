@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -112,6 +113,13 @@ def _merges(model: PieceModel, ids: dict[str, int]) -> list[tuple[str, str]]:
     return [(left, right) for *_, left, right in sorted(found)]
 
 
+def words_are_independent(model: PieceModel) -> bool:
+    """No piece goes on over a marker or has a line feed in it: texts can be cut in front of markers and around line feeds."""
+    usable = [piece for piece, _, kind in model.pieces if kind in (NORMAL, USER)]
+    return (model.escape_spaces and not model.mark_after_word and model.byte_fallback
+            and not any(MARK in piece.lstrip(MARK) or "\n" in piece for piece in usable))
+
+
 def build(model: PieceModel):
     """A ``tokenizers.Tokenizer`` for the model."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -122,7 +130,7 @@ def build(model: PieceModel):
         tokenizer = Tokenizer(models.Unigram([(p, s) for p, s, _ in model.pieces], model.unk_id, model.byte_fallback))
     elif model.kind == BPE:
         tokenizer = Tokenizer(models.BPE(ids, _merges(model, ids), unk_token=unk, fuse_unk=True,
-                                         byte_fallback=model.byte_fallback, cache_capacity=1_000_000))
+                                         byte_fallback=model.byte_fallback))
     else:
         raise ValueError(f"model kind {model.kind} is neither unigram nor BPE")
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
@@ -134,9 +142,8 @@ def build(model: PieceModel):
         steps.append(normalizers.Replace(" ", MARK))
     if steps:
         tokenizer.normalizer = normalizers.Sequence(steps)
-    inside = any(MARK in piece.lstrip(MARK) for piece, _, kind in model.pieces if kind in (NORMAL, USER))
-    if model.escape_spaces and not model.mark_after_word and not inside:
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
+    if words_are_independent(model):
+        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"\\n+|{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+"), "isolated")
     parts = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     if model.dummy_prefix:
         parts.append(decoders.Strip(" ", 1, 0))
@@ -144,11 +151,10 @@ def build(model: PieceModel):
     return tokenizer
 
 
-#: Distinct words that a task keeps with their ids; beyond it the store starts anew.
-KEPT_WORDS = 500_000
+#: Distinct words that a Python worker keeps with their ids; beyond it the store starts anew.
+KEPT_WORDS = 300_000
 #: Words encoded as one text, so that a batch has work for several threads.
 WORDS_A_TEXT = 2000
-_MARK_BYTES = MARK.encode()
 
 
 class Encoder:
@@ -164,11 +170,9 @@ class Encoder:
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         m = self.model
         #: Normalising is one replacement, and words are encoded independently of each other.
-        self.by_word = (not m.charsmap and not m.squeeze_spaces and m.escape_spaces and m.dummy_prefix
-                        and self.tokenizer.pre_tokenizer is not None)
+        self.by_word = not m.charsmap and not m.squeeze_spaces and m.dummy_prefix and words_are_independent(m)
         if self.by_word:
-            self.words_only = build(m)
-            self.words_only.normalizer = None
+            self.tokenizer.normalizer = None  # words come normalised
         self._clear()
 
     def _clear(self) -> None:
@@ -177,30 +181,31 @@ class Encoder:
         self.same = np.zeros(0, bool)
 
     def _learn(self, new: list[str]) -> None:
-        """Encode words not seen before, each checked against SentencePiece."""
-        alone = [w for w in new if w[-1] == MARK]  # markers only: joined to another word they would merge
-        new = [w for w in new if w[-1] != MARK]
-        blocks = [new[a:a + WORDS_A_TEXT] for a in range(0, len(new), WORDS_A_TEXT)] + [[w] for w in alone]
-        new += alone
-        ids, counts = [], []
-        # Every word starts with the marker, so the pre-tokenizer cuts a row of words where they were joined.
-        for got, block in zip(self.words_only.encode_batch(["".join(b) for b in blocks], add_special_tokens=False), blocks, strict=True):
-            ids.append(np.array(got.ids, np.int32))
-            counts.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(block)))
-        expected = self.reference.encode([w[1:].replace(MARK, " ") for w in new], num_threads=self.threads)
-        lone = [self.reference.piece_to_id(MARK)]  # the library encodes no lone marker but at a text's end
-        expected = [lone if w == MARK else e for w, e in zip(new, expected, strict=True)]
+        """Encode words not seen before, each checked against SentencePiece. A space stands for the marker."""
+        feeds = [w for w in new if w[0] == "\n"]
+        new = [w for w in new if w[0] != "\n"]
+        blocks = [new[a:a + WORDS_A_TEXT] for a in range(0, len(new), WORDS_A_TEXT)]
+        ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        # Joined by line feeds: every other word of such a text is one of ours.
+        texts = ["\n".join(b).replace(" ", MARK) for b in blocks] + feeds
+        for k, got in enumerate(self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            own, word = np.array(got.ids, np.int32), np.array(got.word_ids, np.int64)
+            if k < len(blocks):
+                own, word = own[word % 2 == 0], word[word % 2 == 0] // 2
+            ids.append(own)
+            counts.append(np.bincount(word, minlength=len(blocks[k]) if k < len(blocks) else 1))
+        new += feeds
+        # After a line feed SentencePiece starts with the marker and the feed's own piece.
+        expected = self.reference.encode(["\n" + w for w in new], num_threads=self.threads)
         flat, count = np.concatenate(ids), np.concatenate(counts)
         at = np.concatenate(([0], np.cumsum(count)))
-        theirs = np.fromiter((i for e in expected for i in e), np.int32)
-        sizes = np.array([len(e) for e in expected])
-        same = sizes == count
-        wrong = np.zeros(len(flat) + 1, np.int64)
-        if same.all():
-            wrong[1:] = np.cumsum(flat != theirs)
+        sizes = np.fromiter((len(e) - 2 for e in expected), np.int64, len(expected))
+        if (sizes == count).all():
+            theirs = np.fromiter((i for e in expected for i in e[2:]), np.int32, int(sizes.sum()))
+            wrong = np.concatenate(([0], np.cumsum(flat != theirs)))
             same = wrong[at[1:]] == wrong[at[:-1]]
         else:
-            same = np.array([flat[a:b].tolist() == e for a, b, e in zip(at[:-1], at[1:], expected, strict=True)])
+            same = np.array([flat[a:b].tolist() == e[2:] for a, b, e in zip(at[:-1], at[1:], expected, strict=True)])
         for w in new:
             self.known[w] = len(self.known)
         self.flat, self.at = np.concatenate([self.flat, flat]), np.concatenate([self.at, self.at[-1] + at[1:]])
@@ -214,10 +219,12 @@ class Encoder:
             same = [a == b for a, b in zip(ids, self.reference.encode(texts, num_threads=self.threads), strict=True)]
             at = np.concatenate(([0], np.cumsum([len(i) for i in ids], dtype=np.int64)))
             return np.array([x for i in ids for x in i], np.int32), at, np.array(same, bool)
-        data, offsets = text_bytes(pa.array([MARK + t.replace(" ", MARK) if t else "" for t in texts], pa.large_string()))
-        mark = np.zeros(len(data) + 3, bool)
-        mark[3:-2] = (data[:-2] == _MARK_BYTES[0]) & (data[1:-1] == _MARK_BYTES[1]) & (data[2:] == _MARK_BYTES[2])
-        begins = mark[3:] & ~mark[:-3]
+        # Normalised but for the marker, for which a space stands here; a marker in the text is the same thing.
+        data, offsets = text_bytes(pa.array([" " + t.replace(MARK, " ") if t else "" for t in texts], pa.large_string()))
+        kind = np.zeros(len(data) + 1, np.int8)
+        kind[1:][data == 0x20] = 1
+        kind[1:][data == 0x0A] = 2
+        begins = (kind[1:] != kind[:-1]) & ((kind[1:] != 0) | (kind[:-1] == 2))
         begins[offsets[:-1][offsets[:-1] < len(data)]] = True
         start = np.flatnonzero(begins)
         words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(data)).astype(np.int64)),
@@ -237,6 +244,18 @@ class Encoder:
         return ids, total[word_at], odd[word_at[1:]] == odd[word_at[:-1]]
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder_for(data: bytes, threads: int) -> Encoder:
+    """One encoder a Python worker: Spark hands a worker one task after the other, and its words stay known."""
+    key = zlib.crc32(data)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(data, threads)
+    return _ENCODERS[key]
+
+
 class Decoder:
     """Texts of ids: the bytes of all pieces, one after the other; byte pieces are single bytes, control pieces nothing."""
 
@@ -274,7 +293,7 @@ def _cpus() -> int:
 
 def _encode(data_of: Callable[[], bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(data_of(), _cpus())
+        encoder = encoder_for(data_of(), _cpus())
         for batch in batches:
             for begin, end in chunks(batch.column(1)):
                 part = batch.slice(begin, end - begin)
