@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exact import percent
 from ..functions.text import pct_text
 from ..functions.ordering import asc, desc, field_position
-from ..operators.ranking import positions
-from ..session import stored_copy
+from ..operators.ranking import numbered, ordered_copy, part_of
 
 # Delivery statuses of the panels, in panel order.
 PANEL_STATUSES = ("Cancelled", "Returned", "Delivered")
@@ -42,32 +41,38 @@ def status_panel(sales: DataFrame, entity: str, measures: dict[str, Column], ran
 
     With ``bounded`` (entities of a bounded dimension: warehouses, cities) the
     ranks and shares come from one window partitioned by status. Otherwise
-    the (entity, status) groups are written once; ranks are range-partitioned
-    positions over (status, measure, entity) minus each status's offset, and
-    shares come from the per-status totals - both from a one-row-per-status
-    aggregate.
+    the (entity, status) groups are written once, ordered by (status, measure,
+    entity); ranks are positions in that order minus each status's offset, and
+    shares come from per-status totals, both from one small aggregate of the
+    copy.
     """
     grouped = (sales.filter(F.col("delivery_status").isin(*statuses))
                .groupBy(entity, "delivery_status")
                .agg(*[agg.alias(name) for name, agg in measures.items()]))
     order = [desc(rank_measure), asc(entity)]
     if not bounded:
-        grouped = stored_copy(grouped, "panel")
         status_no = field_position(F.col("delivery_status"), list(statuses))
-        per_status = grouped.groupBy("delivery_status").agg(
+        copy = ordered_copy(grouped.withColumn("_s", status_no), [F.col("_s").asc()] + order)
+        counted = copy.groupBy(part_of(), "delivery_status").agg(
             F.count(F.lit(1)).alias("n"), *([F.sum(ratio_measure).alias("t")] if ratio_measure else [])).collect()
-        info = {r["delivery_status"]: r for r in per_status}
+        sizes: dict[int, int] = {}
+        rows = dict.fromkeys(statuses, 0)
+        totals: dict = {}
+        for r in counted:  # at most one row per partition and status
+            sizes[r["_part"]] = sizes.get(r["_part"], 0) + r["n"]
+            rows[r["delivery_status"]] += r["n"]
+            if ratio_measure and r["t"] is not None:
+                totals[r["delivery_status"]] = totals.get(r["delivery_status"], 0) + r["t"]
         offset, start = F.lit(0), 0
         for s in statuses:
             offset = F.when(F.col("delivery_status") == s, F.lit(start)).otherwise(offset)
-            start += info[s]["n"] if s in info else 0
-        ranked = positions(grouped.withColumn("_s", status_no), [F.col("_s").asc()] + order, "_pos")
+            start += rows[s]
+        ranked = numbered(copy, list(sizes.items()), "_pos")
         ranked = ranked.withColumn("rn", F.col("_pos") - offset).drop("_s", "_pos")
         if ratio_measure:
             total = F.lit(None).cast("decimal(38,0)")
-            for s in statuses:
-                if s in info:
-                    total = F.when(F.col("delivery_status") == s, F.lit(info[s]["t"])).otherwise(total)
+            for s, t in totals.items():
+                total = F.when(F.col("delivery_status") == s, F.lit(t)).otherwise(total)
             ranked = ranked.withColumn("Ratio", pct_text(percent(F.col(ratio_measure), total, ratio_digits)))
     else:
         by_status = Window.partitionBy("delivery_status")

@@ -20,7 +20,7 @@ deterministic (the reference's ROW_NUMBER / NTILE have no tie-break).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -50,47 +50,65 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int, name: str = "Ranking")
     return rank_rows(df.orderBy(*order).limit(k), order, name)
 
 
-def _ordered(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, list[tuple[int, int, int]]]:
-    """``df`` range-partitioned, sorted and written with ``_mid``; each partition's number, first position and size.
+def ordered_copy(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` range-partitioned, sorted and written with ``_mid``, the row's partition and place in it.
 
     Sampled bounds split hot values because the order ends with a unique key.
     The copy is written so that row numbers and sizes come from one
     materialised order.
     """
     ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
-    copy = stored_copy(ranged.withColumn("_mid", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("_mid", PLACE_BITS)
-    sizes = sorted((r["p"], r["n"]) for r in copy.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    return stored_copy(ranged.withColumn("_mid", F.monotonically_increasing_id()), "ordered")
+
+
+def part_of() -> Column:
+    return F.shiftright("_mid", PLACE_BITS).alias("_part")
+
+
+def _first_positions(sizes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Number, first position and size of each partition."""
     found, at = [], 1
-    for p, n in sizes:  # one row per partition
+    for p, n in sorted(sizes):
         found.append((p, at, n))
         at += n
-    return copy, found
+    return found
+
+
+def _sizes(copy: DataFrame) -> list[tuple[int, int]]:
+    """One row per partition."""
+    return [(r["_part"], r["n"]) for r in copy.groupBy(part_of()).agg(F.count(F.lit(1)).alias("n")).collect()]
 
 
 def positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """1-based position of every row in a total ``order``."""
-    copy, parts = _ordered(df, order)
-    spark = df.sparkSession
+    copy = ordered_copy(df, order)
+    return numbered(copy, _sizes(copy), name)
+
+
+def numbered(copy: DataFrame, sizes: list[tuple[int, int]], name: str) -> DataFrame:
+    """The rows of an ``ordered_copy`` with their positions, given its partitions' sizes."""
+    parts, spark = _first_positions(sizes), copy.sparkSession
     first = spark.createDataFrame([(p, at) for p, at, _ in parts], "_part long, _first long")
     place = F.col("_mid").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     # one row per partition: bounded by their number
-    out = copy.withColumn("_part", F.shiftright("_mid", PLACE_BITS)).join(F.broadcast(first), "_part")
+    out = copy.withColumn("_part", part_of()).join(F.broadcast(first), "_part")
     return out.withColumn(name, F.col("_first") + place).drop("_part", "_first", "_mid")
 
 
-def rows_at(df: DataFrame, order: Sequence[Column], wanted: Sequence[int]) -> dict[int, Row]:
-    """The rows at some 1-based positions of a total ``order``."""
-    copy, parts = _ordered(df, order)
+def rows_at(df: DataFrame, order: Sequence[Column], wanted: Callable[[int], Sequence[int]]) -> tuple[int, dict[int, Row]]:
+    """The number of rows, and the rows at the 1-based positions of a total ``order`` that ``wanted`` gives for it."""
+    copy = ordered_copy(df, order)
+    parts = _first_positions(_sizes(copy))
+    total = sum(n for _, _, n in parts)
     mids = {}
-    for w in wanted:
+    for w in wanted(total):
         for p, at, n in parts:
             if at <= w < at + n:
                 mids[(p << PLACE_BITS) + w - at] = w
     if not mids:
-        return {}
+        return total, {}
     rows = copy.filter(F.col("_mid").isin(*mids)).collect()
-    return {mids[r["_mid"]]: r for r in rows}
+    return total, {mids[r["_mid"]]: r for r in rows}
 
 
 def tile_ends(total: int, tiles: int) -> list[int]:
@@ -114,9 +132,8 @@ def ntile_maxima(values: DataFrame, column: str, tiles: int) -> list:
         found = _select_tile_ends(values, column, tiles, scale)
         unit = Decimal(1).scaleb(-scale)
         return [None if v is None else Decimal(v) * unit if isinstance(kind, DecimalType) else v for v in found]
-    total = values.count()
+    total, rows = rows_at(values, [F.col(column).asc()], lambda n: tile_ends(n, tiles))
     ends = tile_ends(total, tiles)
-    rows = rows_at(values, [F.col(column).asc()], [e for e in ends if e])
     return [rows[e][column] if e and (not k or e > ends[k - 1]) else None for k, e in enumerate(ends)]
 
 

@@ -166,16 +166,23 @@ def rfm_scores(sales: DataFrame, as_of: _dt.date, best_high: bool = False) -> Da
     after, a plain expression per row.
     """
     raw = stored_copy(rfm_raw(sales, as_of), "rfm")
-    total = raw.count()
     axes = _rfm_axes(best_high)
     keys = [_axis_key(measure, descending) for _, measure, descending in axes]
     stacked = raw.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("axis"), nulls.alias("nulls"), key.alias("key"), F.col("customer_id").alias("id"))
         for i, (nulls, key) in enumerate(keys)])).alias("a")).select("a.*")
-    ends = [e for e in tile_ends(total, RFM_TILES)[:-1] if 0 < e < total]
-    wanted = [i * total + e for i in range(len(axes)) for e in ends]
     order = [F.col("axis").asc(), F.col("nulls").asc(), F.col("key").asc(), asc("id")]
-    cuts = rows_at(stacked, order, wanted) if wanted else {}
+
+    def inner_ends(total: int) -> list[int]:
+        return [e for e in tile_ends(total, RFM_TILES)[:-1] if 0 < e < total]
+
+    def wanted(rows: int) -> list[int]:
+        each = rows // len(axes)
+        return [i * each + e for i in range(len(axes)) for e in inner_ends(each)]
+
+    rows, cuts = rows_at(stacked, order, wanted)
+    total = rows // len(axes)
+    ends = inner_ends(total)
     scores = []
     for i, (score, _, _) in enumerate(axes):
         nulls, key = keys[i]

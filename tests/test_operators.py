@@ -28,9 +28,9 @@ def test_positions_and_rows_at_equal_window(spark):
     want = {r.id: r.t for r in df.withColumn("t", F.row_number().over(Window.orderBy(*order))).collect()}
     assert {r.id: r.p for r in positions(df, order, "p").collect()} == want
     by_place = {t: i for i, t in want.items()}
-    got = rows_at(df, order, [1, 77, 500, 501])
-    assert {p: r["id"] for p, r in got.items()} == {p: by_place[p] for p in (1, 77, 500)}
-    assert positions(df.limit(0), order, "p").count() == 0 and rows_at(df.limit(0), order, [1]) == {}
+    total, got = rows_at(df, order, lambda n: [1, 77, n, n + 1])
+    assert total == 500 and {p: r["id"] for p, r in got.items()} == {p: by_place[p] for p in (1, 77, 500)}
+    assert positions(df.limit(0), order, "p").count() == 0 and rows_at(df.limit(0), order, lambda n: [1]) == (0, {})
 
 
 def test_ntile_maxima_matches_naive(spark):
