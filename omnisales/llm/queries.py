@@ -13,7 +13,7 @@ from .decontaminate import find_contamination
 from .language import identify_language
 from .near_dups import near_duplicates
 from .scratch import ship_package
-from .sentencepieces import decode, encode
+from .sentencepieces import encode_and_decode
 from .spans import base_only, joined, of_kind
 from .substrings import remove_repeated_passages
 from .toxicity import score_toxicity
@@ -31,7 +31,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decode(encode(_table(spark, sf_dir, "documents")))
+    out = encode_and_decode(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
                       F.sha2("decoded", 256).alias("decoded_sha256"),
                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "parity")

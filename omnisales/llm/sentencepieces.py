@@ -151,7 +151,7 @@ def build(model: PieceModel):
     return tokenizer
 
 
-#: Distinct words that a Python worker keeps with their ids; beyond it the store starts anew.
+#: Distinct words that a task keeps with their ids; beyond it the store starts anew.
 KEPT_WORDS = 300_000
 #: Words encoded as one text, so that a batch has work for several threads.
 WORDS_A_TEXT = 2000
@@ -173,9 +173,9 @@ class Encoder:
         self.by_word = not m.charsmap and not m.squeeze_spaces and m.dummy_prefix and words_are_independent(m)
         if self.by_word:
             self.tokenizer.normalizer = None  # words come normalised
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.same = np.zeros(0, bool)
@@ -231,7 +231,7 @@ class Encoder:
                                                  pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
         distinct = words.dictionary.to_pylist()
         if len(self.known) > KEPT_WORDS:
-            self._clear()
+            self.forget()
         new = [w for w in distinct if w not in self.known]
         if new:
             self._learn(new)
@@ -248,7 +248,7 @@ _ENCODERS: dict[int, Encoder] = {}
 
 
 def encoder_for(data: bytes, threads: int) -> Encoder:
-    """One encoder a Python worker: Spark hands a worker one task after the other, and its words stay known."""
+    """One encoder a Python worker: Spark hands a worker one task after the other."""
     key = zlib.crc32(data)
     if key not in _ENCODERS:
         _ENCODERS.clear()
@@ -291,16 +291,21 @@ def _cpus() -> int:
     return context.cpus() if context else 1
 
 
-def _encode(data_of: Callable[[], bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encode(data_of: Callable[[], bytes], decoded: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(data_of(), _cpus())
+        decoder = Decoder(data_of()) if decoded else None
         for batch in batches:
             for begin, end in chunks(batch.column(1)):
                 part = batch.slice(begin, end - begin)
                 ids, at, same = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids)), pa.array(same)],
-                    ["doc_id", "text", "ids", "parity"])
+                columns = [*part.columns, pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids)), pa.array(same)]
+                if decoder:
+                    columns.append(pa.array(decoder.decode(ids, at), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "ids", "parity", "decoded"][:len(columns)])
+        # The worker lives on for other tasks, which may need its memory.
+        encoder.forget()
+        pa.default_memory_pool().release_unused()
     return run
 
 
@@ -325,6 +330,9 @@ def _sent(spark, model_path: str) -> Callable[[], bytes]:
     return lambda: sent.value
 
 
+ENCODED = "doc_id long, text string, ids array<int>, parity boolean"
+
+
 def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``text``, ``ids`` (array of int, no special pieces) and ``parity``: SentencePiece gives the same ids.
 
@@ -332,7 +340,13 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id"
     columns are not read; rows are independent of each other. The driver reads the model file, half a megabyte.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encode(_sent(docs.sparkSession, model_path)), "doc_id long, text string, ids array<int>, parity boolean")
+    return rows.mapInArrow(_encode(_sent(docs.sparkSession, model_path), False), ENCODED)
+
+
+def encode_and_decode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one pass: the ids are decoded where they are made."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_encode(_sent(docs.sparkSession, model_path), True), f"{ENCODED}, decoded string")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Texts are worked on in groups of about so many bytes: it bounds the memory of one step, not a result.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,17 +36,17 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of an odd base modulo 2**64 and their inverses."""
+    """The first ``n`` powers of an odd base modulo 2**64 and their inverses; short tables are kept."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(1 << 16, 1 << (n - 1).bit_length())
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, dtype=U64)
             p[0] = 1
             both.append(np.cumprod(p, dtype=U64))
         have = (both[0], both[1])
-        if n <= 4 * CHUNK_BYTES:
+        if size <= 2 * CHUNK_BYTES:
             _POWERS[base] = have
     return have
 

@@ -80,6 +80,7 @@ def test_a_unigram_model_is_rebuilt_from_its_scores():
 def test_encode_and_decode_tables(spark):
     rows = edge_rows(7)
     out = sentencepieces.decode(sentencepieces.encode(documents(spark, rows))).collect()
+    assert sorted(map(str, out)) == sorted(map(str, sentencepieces.encode_and_decode(documents(spark, rows)).collect()))
     assert len(out) == len(rows) and all(r.parity and r.decoded == (r.text or "") for r in out)
     assert sentencepieces.decode(sentencepieces.encode(documents(spark, []))).count() == 0
 
