@@ -20,7 +20,7 @@ from omnisales.llm.decontaminate import drop_contaminated
 from omnisales.llm.near_dups import drop_near_duplicates
 from omnisales.llm.scratch import ship_package, written
 from omnisales.llm.secrets import redact_secrets
-from omnisales.llm.sentencepieces import decode, encode
+from omnisales.llm.sentencepieces import encode_and_decode
 from omnisales.llm.toxicity import drop_toxic
 
 
@@ -46,7 +46,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    out = decode(encode(docs))
+    out = encode_and_decode(docs)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "parity")
 
