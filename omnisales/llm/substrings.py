@@ -33,6 +33,7 @@ from .words import Words, byte_class, chunks, mix, ranges, signed, window_hashes
 #: Perfect difference sets: every difference modulo the period comes from one pair of members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 6, 8, 18), 31: (1, 5, 11, 24, 25, 27)}
 SPACE = byte_class("space")
+OPEN = 1 << 31
 
 
 def cover_for(window: int) -> tuple[int, np.ndarray]:
@@ -49,17 +50,28 @@ def _batch_words(column: pa.Array) -> Iterator[tuple[int, Words, np.ndarray, np.
         yield begin, words, words.hashes(), owner, np.arange(len(owner)) - words.first[owner]
 
 
-def _split_known(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By entry: the smallest document with its key in this batch; and whether several documents have it."""
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by key, where each group of equal keys starts in it, and the groups' sizes."""
     order = np.argsort(key, kind="stable")
-    k, d = key[order], doc[order]
+    k = key[order]
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(k)))
-    least, several = np.empty(len(k), np.int64), np.empty(len(k), bool)
-    if len(k):
-        low, high = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
-        least[order], several[order] = np.repeat(low, size), np.repeat(low < high, size)
-    return least, several
+    return order, first, np.diff(np.append(first, len(k)))
+
+
+def _least_doc(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """By entry: the smallest document with its key in this batch."""
+    order, first, size = _groups(key)
+    least = np.empty(len(key), np.int64)
+    if len(key):
+        least[order] = np.repeat(np.minimum.reduceat(doc[order], first), size)
+    return least
+
+
+def _runs(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs, ``same[i]`` telling whether entry i + 1 goes on with entry i."""
+    n = len(same) + 1
+    begins = np.flatnonzero(np.concatenate(([True], ~same)))
+    return begins, np.diff(np.append(begins, n))
 
 
 def _own_key(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -93,9 +105,11 @@ def _anchors(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             if not keys:
                 continue
             key, doc, place = np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
-            least, several = _split_known(key, doc)
-            known, mark = np.flatnonzero(several), np.unique(key[several])
-            open_ = np.flatnonzero(~several)
+            # Keys that this batch has more than once, be it in one document, need no partner to be looked at.
+            order, first, size_of = _groups(key)
+            several = np.empty(len(key), bool)
+            several[order] = np.repeat(size_of > 1, size_of)
+            known, mark, open_ = np.flatnonzero(several), key[order[first[size_of > 1]]], np.flatnonzero(~several)
             out = pa.table({
                 "key": np.concatenate([signed(key[open_]), _own_key(doc[known], place[known]), signed(mark)]),
                 "doc": np.concatenate([doc[open_], doc[known], np.zeros(len(mark), np.int64)]),
@@ -133,18 +147,27 @@ def _windows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 continue
             key, check = np.concatenate(keys), np.concatenate(more).astype(np.int64)
             doc, place = np.concatenate(docs), np.concatenate(places)
-            least, _ = _split_known(mix(key ^ (check.astype(np.uint64) << np.uint64(32))), doc)
+            least = _least_doc(mix(key ^ (check.astype(np.uint64) << np.uint64(32))), doc)
+            # Settled windows go on as runs of consecutive starts; open ones as runs of equal windows (one word repeated).
             settled, open_ = np.flatnonzero(least < doc), np.flatnonzero(least == doc)
-            # Settled windows go on as runs of consecutive starts.
-            d, p = doc[settled], place[settled]
-            begins = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1] + 1) | (d[1:] != d[:-1])))) if len(d) else settled
-            runs = np.diff(np.append(begins, len(d)))
+            if len(settled):
+                d, p = doc[settled], place[settled]
+                begins, lengths = _runs((p[1:] == p[:-1] + 1) & (d[1:] == d[:-1]))
+                settled, settled_n = settled[begins], lengths
+            else:
+                settled_n = settled
+            if len(open_):
+                d, p, k, c = doc[open_], place[open_], key[open_], check[open_]
+                begins, lengths = _runs((p[1:] == p[:-1] + 1) & (d[1:] == d[:-1]) & (k[1:] == k[:-1]) & (c[1:] == c[:-1]))
+                open_, open_n = open_[begins], lengths
+            else:
+                open_n = open_
             out = pa.table({
-                "key": np.concatenate([signed(key[open_]), _own_key(d[begins], p[begins])]),
-                "doc": np.concatenate([doc[open_], d[begins]]),
-                "place": np.concatenate([place[open_], p[begins]]),
-                # The upper half: 32 more bits of the hash; the lower: the number of settled windows, 0 for an open one.
-                "extra": np.concatenate([check[open_] << 32, runs]),
+                "key": np.concatenate([signed(key[open_]), _own_key(doc[settled], place[settled])]),
+                "doc": np.concatenate([doc[open_], doc[settled]]),
+                "place": np.concatenate([place[open_], place[settled]]),
+                # The upper half: 32 more bits of the hash; the lower: OPEN for an open run, and the run's length.
+                "extra": np.concatenate([(check[open_] << 32) | OPEN | open_n, settled_n]),
             })
             yield from out.to_batches(65536)
     return run
@@ -214,14 +237,14 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "d
     )
     windows = base.join(shared, row).select("doc_id", "text", "print", "anchors").mapInArrow(
         _windows(window), "key long, doc long, place long, extra long")
-    count = F.col("extra").bitwiseAND(F.lit(0xFFFFFFFF))
+    settled = F.col("extra").bitwiseAND(F.lit(OPEN)) == 0
     equal = Window.partitionBy("key", F.shiftright("extra", 32))
     spans = (
         windows.withColumn("least", F.min("doc").over(equal))
-        .where((count > 0) | (F.col("least") < F.col("doc")))
+        .where(settled | (F.col("least") < F.col("doc")))
         .select(F.col("doc").alias("doc_id"), F.shiftright("place", 32).alias("print"),
                 (F.shiftleft(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), 32)
-                 .bitwiseOR(F.greatest(count, F.lit(1)))).alias("span"))
+                 .bitwiseOR(F.col("extra").bitwiseAND(F.lit(OPEN - 1)))).alias("span"))
         .groupBy(*row).agg(F.collect_list("span").alias("spans"))
     )
     found = spans.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("spans", F.lit(None).cast("array<long>")))
