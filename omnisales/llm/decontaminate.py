@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .fm_index import FMIndex
+from .scratch import tidied
 from .words import Words, byte_class, chunks, ranges
 
 ALNUM = byte_class("alnum")
@@ -183,7 +184,7 @@ def _search(docs: DataFrame, carried: Column, text: Column, benchmark: DataFrame
         if not len(phrases.length):
             continue
         sent = docs.sparkSession.sparkContext.broadcast(phrases)
-        out = out.mapInArrow(_find(lambda sent=sent: sent.value, first), schema)
+        out = out.mapInArrow(tidied(_find(lambda sent=sent: sent.value, first)), schema)
         first = False
     return out.mapInArrow(_count, schema) if first else out
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import written
+from .scratch import tidied, written
 from .words import U64, Words, byte_class, chunks, mix, signed, window_hashes
 
 SPACE = byte_class("space")
@@ -256,7 +256,7 @@ def _confirmed(pairs: DataFrame, base: DataFrame, size: int, percent: int) -> Da
     x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     y = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_confirm(size, percent), "a long, b long").distinct()
+    return both.mapInArrow(tidied(_confirm(size, percent)), "a long, b long").distinct()
 
 
 def _dealt(rows: DataFrame, block: int) -> DataFrame:
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
     odd = [f"odd{i}" for i in range(WORDS_OF_SKETCH)]
     limit = odd_limit(percent / 100)
     rows = written(base.mapInArrow(
-        _signatures(shingle), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, "
+        tidied(_signatures(shingle)), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, "
         + ", ".join(f"{c} long" for c in odd)), "signatures")
     same_set = ["set_a", "set_b", "n_shingles"]
     nodes = rows.where("doc_id is not null and n_shingles > 0")
@@ -308,13 +308,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
         "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     open_ = (known.join(mixed.select("key"), "key").join(sketches, "doc_id").withColumnRenamed("key", "group"))
-    forest = _dealt(open_, BLOCK).mapInArrow(_candidate_forest(limit, percent), "a long, b long")
+    forest = _dealt(open_, BLOCK).mapInArrow(tidied(_candidate_forest(limit, percent)), "a long, b long")
     clusters = written(connected_components(forest).withColumnRenamed("component", "group")
                        .withColumnRenamed("node", "doc_id"), "clusters")
     inside = (clusters.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
               .withColumn("component", F.coalesce("component", "doc_id")).join(sketches, "doc_id"))
     inside = _texts(base, clusters).join(inside, "doc_id")
-    more = _dealt(inside, TEXT_BLOCK).mapInArrow(_block_links(shingle, limit, percent), "a long, b long").distinct()
+    more = _dealt(inside, TEXT_BLOCK).mapInArrow(tidied(_block_links(shingle, limit, percent)), "a long, b long").distinct()
     roots = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = written(connected_components(roots.union(more)), "all-components")
     return (rows.select("doc_id", *same_set).join(classes, same_set, "left")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .scratch import tidied
 from .spans import SPANS, Span, Taken, cut_out, in_order, span_array, texts_of
 
 BASE = ["assign", "access", "hex"]
@@ -109,7 +110,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null or empty text has none. Rows are independent of each other; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scan, f"doc_id long, spans {SPANS}")
+    return rows.mapInArrow(tidied(_scan), f"doc_id long, spans {SPANS}")
 
 
 def _redact(at: int, length_at: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -135,4 +136,4 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n
     """``docs`` with every secret in the text replaced by ``[kind]``; the length column, if any, follows. All rows stay."""
     names = docs.columns
     length_at = names.index(length_col) if length_col in names else None
-    return docs.mapInArrow(_redact(names.index(text_col), length_at), StructType(docs.schema.fields))
+    return docs.mapInArrow(tidied(_redact(names.index(text_col), length_at)), StructType(docs.schema.fields))

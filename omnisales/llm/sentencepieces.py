@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import os
 import struct
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .scratch import tidied
 from .words import chunks, ranges, text_bytes
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -244,18 +244,6 @@ class Encoder:
         return ids, total[word_at], odd[word_at[1:]] == odd[word_at[:-1]]
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def encoder_for(data: bytes, threads: int) -> Encoder:
-    """One encoder a Python worker: Spark hands a worker one task after the other."""
-    key = zlib.crc32(data)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(data, threads)
-    return _ENCODERS[key]
-
-
 class Decoder:
     """Texts of ids: the bytes of all pieces, one after the other; byte pieces are single bytes, control pieces nothing."""
 
@@ -293,7 +281,7 @@ def _cpus() -> int:
 
 def _encode(data_of: Callable[[], bytes], decoded: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(data_of(), _cpus())
+        encoder = Encoder(data_of(), _cpus())
         decoder = Decoder(data_of()) if decoded else None
         for batch in batches:
             for begin, end in chunks(batch.column(1)):
@@ -303,9 +291,6 @@ def _encode(data_of: Callable[[], bytes], decoded: bool) -> Callable[[Iterator[p
                 if decoder:
                     columns.append(pa.array(decoder.decode(ids, at), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "ids", "parity", "decoded"][:len(columns)])
-        # The worker lives on for other tasks, which may need its memory.
-        encoder.forget()
-        pa.default_memory_pool().release_unused()
     return run
 
 
@@ -340,16 +325,16 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id"
     columns are not read; rows are independent of each other. The driver reads the model file, half a megabyte.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encode(_sent(docs.sparkSession, model_path), False), ENCODED)
+    return rows.mapInArrow(tidied(_encode(_sent(docs.sparkSession, model_path), False)), ENCODED)
 
 
 def encode_and_decode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``decode(encode(docs))`` in one pass: the ids are decoded where they are made."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encode(_sent(docs.sparkSession, model_path), True), f"{ENCODED}, decoded string")
+    return rows.mapInArrow(tidied(_encode(_sent(docs.sparkSession, model_path), True)), f"{ENCODED}, decoded string")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     """The columns of ``encoded`` and ``decoded``, the text of ``ids`` (none may be null); bytes that are no UTF-8 become U+FFFD."""
-    return encoded.mapInArrow(_decode(_sent(encoded.sparkSession, model_path)),
+    return encoded.mapInArrow(tidied(_decode(_sent(encoded.sparkSession, model_path))),
                               StructType([*encoded.schema.fields, StructField("decoded", StringType())]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import tidied, written
 from .weak_labels import fit_linear, label_model, linear_score
 from .words import U64, Words, byte_class, chunks, signed
 
@@ -234,7 +234,7 @@ def _lexicon(train: DataFrame, toxic: DataFrame) -> np.ndarray:
         return np.zeros(0, U64)
     wanted = F.broadcast(toxic) if n_toxic <= BROADCAST_IDS else toxic
     least = max(3, math.ceil(LEAST_SHARE * n_toxic))
-    found = (train.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_all_terms, "term long, n long")
+    found = (train.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(tidied(_all_terms), "term long, n long")
              .groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
              .orderBy(F.desc("n"), "term").limit(CANDIDATES).collect())
     if not found:
@@ -242,7 +242,7 @@ def _lexicon(train: DataFrame, toxic: DataFrame) -> np.ndarray:
     terms = np.array([r["term"] for r in found], np.int64).view(U64)
     own = np.array([r["n"] for r in found], float)
     sent = train.sparkSession.sparkContext.broadcast(terms)
-    counted = (train.select("text").mapInArrow(lambda batches: _count_known(sent.value)(batches), "term long, n long")
+    counted = (train.select("text").mapInArrow(tidied(lambda batches: _count_known(sent.value)(batches)), "term long, n long")
                .groupBy("term").agg(F.sum("n").alias("n")).collect())
     at = {int(t): i for i, t in enumerate(terms.view(np.int64))}
     everywhere = np.ones(len(terms))
@@ -284,7 +284,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return docs
     sent = docs.sparkSession.sparkContext.broadcast((terms, beta))
     carried = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("carried"), docs["text"].alias("text"))
-    return carried.mapInArrow(lambda batches: _keep(*sent.value)(batches), carried.schema).select("carried.*")
+    return carried.mapInArrow(tidied(lambda batches: _keep(*sent.value)(batches)), carried.schema).select("carried.*")
 
 
 def _fit(rows: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray | None, DataFrame]:
@@ -295,7 +295,7 @@ def _fit(rows: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray | N
     train = rows.where(is_training())
     present = train.select("doc_id").distinct().join(known.where("toxic = 1"), "doc_id").select("doc_id")
     terms = _lexicon(train, written(present, "toxic-ids"))
-    features = written(rows.mapInArrow(_features(terms), FEATURES), "toxicity-features")
+    features = written(rows.mapInArrow(tidied(_features(terms)), FEATURES), "toxicity-features")
     labelled = (features.where(is_training()).join(known, "doc_id", "left")
                 .withColumn("toxic", F.coalesce("toxic", F.lit(NO_LABEL))))
     return terms, _classifier(labelled, len(terms)), features
