@@ -8,8 +8,8 @@ their rank in the vocabulary) gives expected piece counts of every word of the t
 their sums by language are normalised. All words of all training documents count.
 
 Words are runs of letters (A-Z lower-cased, all characters beyond ASCII), marked at their start, and
-worked on as UTF-8 bytes; a byte that starts no piece may stand alone at a fixed small probability. Each
-distinct word of a chunk is worked on once. Words longer than ``CUT`` bytes are cut there.
+worked on as UTF-8 bytes; a byte that is no piece may stand alone at a fixed small probability. Sums that would
+underflow are added in logs. Each distinct word of a chunk is worked on once. Words longer than ``CUT`` bytes are cut there.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ LONGEST = 12
 UNKNOWN, ADDED = 1e-7, 0.1
 #: Distinct words that a task holds at a time, about; they are worked off or forgotten beyond it.
 STORE = 300_000
+#: Sums below it are computed again in logs: above it, what underflows is no part of the result's digits.
+LEAST_SUM = 1e-200
 #: Languages that the model holds at most; more distinct values are an error, not a cut.
 MOST_LANGUAGES = 2000
 UND = "und"
@@ -48,7 +50,7 @@ class Vocabulary:
         for piece, _, kind in read_model(data).pieces:
             body = piece.lstrip(MARK)
             if kind == NORMAL and len(piece) - len(body) <= 1:
-                raw = (b" " if piece != body else b"") + body.lower().encode()
+                raw = (b" " if piece != body else b"") + body.encode().lower()  # A-Z, as in words
                 if 0 < len(raw) <= LONGEST and all(LETTER[b] for b in raw.lstrip(b" ")):
                     pieces.append(raw)
         self.pieces = list(dict.fromkeys(pieces))
@@ -109,12 +111,26 @@ class Vocabulary:
         return w[by], s[by], e[by], p[by]
 
 
-def _forward(words: int, size: np.ndarray, edges: tuple[np.ndarray, ...], weight: np.ndarray) -> np.ndarray:
+@dataclass
+class Numbers:
+    """How probabilities are held: plainly, or as logs where they would underflow."""
+
+    add: np.ufunc
+    times: np.ufunc
+    zero: float
+    one: float
+
+
+PLAIN, LOGS = Numbers(np.add, np.multiply, 0.0, 1.0), Numbers(np.logaddexp, np.add, -np.inf, 0.0)
+
+
+def _forward(words: int, size: np.ndarray, edges: tuple[np.ndarray, ...], weight: np.ndarray,
+             numbers: Numbers = PLAIN) -> np.ndarray:
     """alpha[word, place, model]: the summed probability of all segmentations of the word's first ``place`` bytes."""
     w, s, e, _ = edges
     width = int(size.max()) + 1
-    alpha = np.zeros((words * width, weight.shape[1]))
-    alpha[np.arange(words) * width] = 1.0
+    alpha = np.full((words * width, weight.shape[1]), numbers.zero)
+    alpha[np.arange(words) * width] = numbers.one
     to, source = w * width + e, w * width + s
     first = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
     cuts = np.searchsorted(e, np.arange(1, width + 1))
@@ -123,17 +139,49 @@ def _forward(words: int, size: np.ndarray, edges: tuple[np.ndarray, ...], weight
         a, b = cuts[place - 1], cuts[place]
         starts = first[group_cuts[place - 1]:group_cuts[place]]
         if len(starts):
-            alpha[to[starts]] = np.add.reduceat(alpha[source[a:b]] * weight[a:b], starts - a, axis=0)
+            alpha[to[starts]] = numbers.add.reduceat(numbers.times(alpha[source[a:b]], weight[a:b]), starts - a, axis=0)
     return alpha.reshape(words, width, -1)
 
 
+def _log_totals(words: int, size: np.ndarray, edges: tuple[np.ndarray, ...], weight: np.ndarray) -> np.ndarray:
+    """Logs of the words' probabilities by model. Words with a sum below ``LEAST_SUM`` are added in logs."""
+    total = _forward(words, size, edges, weight)[np.arange(words), size]
+    low = np.flatnonzero((total < LEAST_SUM).any(axis=1))
+    out = np.log(np.maximum(total, LEAST_SUM))
+    if len(low):
+        own, on = _edges_of(words, edges, low)
+        out[low] = _forward(len(low), size[low], own, np.log(weight[on]), LOGS)[np.arange(len(low)), size[low]]
+    return out
+
+
+def _edges_of(words: int, edges: tuple[np.ndarray, ...], some: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """The edges of some words, which are numbered anew in the same order, and their places among all edges."""
+    number = np.full(words, -1)
+    number[some] = np.arange(len(some))
+    on = np.flatnonzero(number[edges[0]] >= 0)
+    return (number[edges[0][on]], *(x[on] for x in edges[1:])), on
+
+
 def _expected(words: int, size: np.ndarray, edges: tuple[np.ndarray, ...], weight: np.ndarray) -> np.ndarray:
     """Expected number of uses of each edge over all segmentations of its word, under one model."""
+    total, used = _uses(words, size, edges, weight, PLAIN)
+    used /= np.maximum(total, LEAST_SUM)[edges[0]]
+    low = np.flatnonzero(total < LEAST_SUM)
+    if len(low):
+        own, on = _edges_of(words, edges, low)
+        total, logs = _uses(len(low), size[low], own, np.log(weight[on]), LOGS)
+        used[on] = np.exp(logs - total[own[0]])
+    return used
+
+
+def _uses(words: int, size: np.ndarray, edges: tuple[np.ndarray, ...], weight: np.ndarray, numbers: Numbers
+          ) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's probability, and each edge's share of it (not divided)."""
     w, s, e, _ = edges
-    alpha = _forward(words, size, edges, weight[:, None])[:, :, 0]
+    alpha = _forward(words, size, edges, weight[:, None], numbers)[:, :, 0]
     width = alpha.shape[1]
-    beta = np.zeros(words * width)
-    beta[np.arange(words) * width + size] = 1.0
+    beta = np.full(words * width, numbers.zero)
+    beta[np.arange(words) * width + size] = numbers.one
     by = np.argsort((width - s) * words + w, kind="stable")
     to, source, use = (w * width + s)[by], (w * width + e)[by], weight[by]
     first = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
@@ -143,9 +191,9 @@ def _expected(words: int, size: np.ndarray, edges: tuple[np.ndarray, ...], weigh
         a, b = cuts[k], cuts[k + 1]
         starts = first[group_cuts[k]:group_cuts[k + 1]]
         if len(starts):
-            beta[to[starts]] = np.add.reduceat(beta[source[a:b]] * use[a:b], starts - a)
-    total = alpha[np.arange(words), size]
-    return alpha.ravel()[w * width + s] * weight * beta[w * width + e] / total[w]
+            beta[to[starts]] = numbers.add.reduceat(numbers.times(beta[source[a:b]], use[a:b]), starts - a)
+    used = numbers.times(numbers.times(alpha.ravel()[w * width + s], weight), beta[w * width + e])
+    return alpha[np.arange(words), size], used
 
 
 @dataclass
@@ -256,8 +304,7 @@ def _predict(data_of: Callable[[], bytes], model_of: Callable[[], np.ndarray], l
                     got = np.zeros((len(new), len(languages)))
                     for own, buffer, at, size in fresh.blocks(len(languages)):
                         edges = vocabulary.edges(buffer, at, size)
-                        alpha = _forward(len(size), size, edges, by_piece[edges[3]])
-                        got[own] = np.log(alpha[np.arange(len(size)), size])
+                        got[own] = _log_totals(len(size), size, edges, by_piece[edges[3]])
                     if len(known):
                         mine = known_logs[place]
                     mine[new] = got

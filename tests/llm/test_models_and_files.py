@@ -227,6 +227,42 @@ def test_language_on_held_out_documents(spark):
     assert language.identify_language(docs.limit(0)).count() == 0
 
 
+def test_long_runs_of_unknown_bytes_have_a_probability():
+    vocabulary = language.Vocabulary(open(language.VOCABULARY_PATH, "rb").read())
+    words = [" \U0001f7e5".encode() + "\U0001f7e6".encode() * 15, b" the", " \uff21\uff22".encode() * 11]
+    size = np.array([len(w) for w in words])
+    edges = vocabulary.edges(np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], np.cumsum(size)[:-1])), size)
+    weight = np.append(vocabulary.start, language.UNKNOWN)[edges[3]]
+    logs = language._log_totals(len(words), size, edges, np.stack([weight, weight / 10], axis=1))
+    assert np.isfinite(logs).all() and logs[0, 0] < -460 > logs[2, 0]
+    plain = language._forward(len(words), size, edges, weight[:, None])
+    assert np.isclose(logs[1, 0], np.log(plain[1, 4, 0]), rtol=1e-12)
+    with_logs = language._forward(len(words), size, edges, np.log(weight)[:, None], language.LOGS)
+    assert np.isclose(with_logs[1, 4, 0], logs[1, 0], rtol=1e-12)
+    used = language._expected(len(words), size, edges, weight)
+    assert np.allclose(np.bincount(edges[0], used * (edges[2] - edges[1])), size)
+
+
+def test_pieces_are_lower_cased_as_words_are():
+    model = b"".join(_message((1, _message((1, p.encode()), (2, -1.0), (3, 1)))) for p in ("\u00c9t", "AB\u00d1"))
+    assert language.Vocabulary(model).pieces == ["\u00c9t".encode(), "ab\u00d1".encode()]
+
+
+def test_language_beside_long_runs_of_unknown_bytes(spark):
+    rnd = random.Random(6)
+    pools = {"aa": ["ba", "be", "bi"], "bb": ["lo", "lu", "ly"]}
+    runs = ["\U0001f7e5\U0001f7e6" * 8, "\uff21\uff22" * 11, "\u2801\u2803" * 12]
+    rows = []
+    for i in range(160):
+        lang = "aa" if i % 2 else "bb"
+        words = ["".join(rnd.choice(pools[lang]) for _ in range(rnd.randint(1, 4))) for _ in range(30)]
+        rows.append((i, " ".join([*words, rnd.choice(runs)]), lang))
+    docs = spark.createDataFrame([*rows, (500, runs[0], None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify_language(docs).collect()}
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert all(got[i].lang_pred == lang and got[i].score > 0.9 for i, _, lang in rows)
+
+
 # --- toxicity
 
 def toxic_rows(n=600):
