@@ -2,10 +2,10 @@
 
 The vocabulary is fixed and public: the pieces of a tokenizer file. Each language has a probability for
 every piece. A word's probability in a language is the sum over all its segmentations into pieces, by
-the forward algorithm; a text's is the product over its words. Probabilities are learned by
-expectation-maximisation: the forward-backward algorithm under a common start distribution (pieces by
-their rank in the vocabulary) gives expected piece counts of every word of the training documents, and
-their sums by language are normalised. All words of all training documents count.
+the forward algorithm; a text's is the product over its words. Probabilities are learned by a single
+step of expectation-maximisation: the forward-backward algorithm under a common start distribution
+(pieces by their rank in the vocabulary) gives expected piece counts of every word of the training
+documents, and their sums by language are normalised. There is no second round. All words of all training documents count.
 
 Words are runs of letters (A-Z lower-cased, all characters beyond ASCII), marked at their start, and
 worked on as UTF-8 bytes; a byte that is no piece may stand alone at a fixed small probability. Sums that would
@@ -29,8 +29,6 @@ from .words import U64, Words, byte_class, chunks, mix, powers, ranges
 VOCABULARY_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 LETTER = byte_class("letter")
 CUT = 64
-#: Longest piece used, in bytes with the marker.
-LONGEST = 12
 #: Probability of a byte outside all pieces, and the count added to every piece of a language.
 UNKNOWN, ADDED = 1e-7, 0.1
 #: Distinct words that a task holds at a time, about; they are worked off or forgotten beyond it.
@@ -51,16 +49,17 @@ class Vocabulary:
             body = piece.lstrip(MARK)
             if kind == NORMAL and len(piece) - len(body) <= 1:
                 raw = (b" " if piece != body else b"") + body.encode().lower()  # A-Z, as in words
-                if 0 < len(raw) <= LONGEST and all(LETTER[b] for b in raw.lstrip(b" ")):
+                if raw and all(LETTER[b] for b in raw.lstrip(b" ")):
                     pieces.append(raw)
         self.pieces = list(dict.fromkeys(pieces))
         rank = np.arange(len(self.pieces)) + 10.0
         self.start = (1 / rank) / (1 / rank).sum()
+        self.longest = max(map(len, self.pieces), default=1)
         buffer = np.frombuffer(b"".join(self.pieces), np.uint8)
         size = np.array([len(p) for p in self.pieces], np.int64)
         at = np.concatenate(([0], np.cumsum(size)))
         h = np.zeros(len(size), U64)
-        for n in range(1, LONGEST + 1):
+        for n in range(1, self.longest + 1):
             own = np.flatnonzero(size == n)
             h[own] = self._hash(buffer, at[own], n)
         self.order = np.argsort(h, kind="stable")
@@ -71,7 +70,7 @@ class Vocabulary:
     @staticmethod
     def _hash(buffer: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
         """Hash of the ``n`` bytes at each place."""
-        power, _ = powers(0x9E3779B97F4A7C15, LONGEST + 1)
+        power, _ = powers(0x9E3779B97F4A7C15, n + 1)
         h = np.full(len(at), n, U64)
         for k in range(n):
             h += (buffer[at + k].astype(U64) + U64(1)) * power[k + 1]
@@ -82,10 +81,10 @@ class Vocabulary:
         word = np.repeat(np.arange(len(size)), size)
         at = ranges(first, size)
         left = first[word] + size[word] - at
-        power, _ = powers(0x9E3779B97F4A7C15, LONGEST + 1)
+        power, _ = powers(0x9E3779B97F4A7C15, self.longest + 1)
         h = np.zeros(len(at), U64)
         found = []
-        for n in range(1, LONGEST + 1):
+        for n in range(1, self.longest + 1):
             on = left >= n
             if not on.all():
                 word, at, left, h = word[on], at[on], left[on], h[on]

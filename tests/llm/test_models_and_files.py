@@ -243,6 +243,18 @@ def test_long_runs_of_unknown_bytes_have_a_probability():
     assert np.allclose(np.bincount(edges[0], used * (edges[2] - edges[1])), size)
 
 
+def test_pieces_of_all_lengths_are_used():
+    model = sentencepieces.read_model(open(language.VOCABULARY_PATH, "rb").read())
+    vocabulary = language.Vocabulary(open(language.VOCABULARY_PATH, "rb").read())
+    long_ones = {b" international", b" professional", " использова".encode()}
+    assert len(model.pieces) > len(vocabulary.pieces) and long_ones <= set(vocabulary.pieces)
+    words = sorted(long_ones)
+    size = np.array([len(w) for w in words])
+    edges = vocabulary.edges(np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], np.cumsum(size)[:-1])), size)
+    whole = (edges[1] == 0) & (edges[2] == size[edges[0]])
+    assert [vocabulary.pieces[p] for p in edges[3][whole][np.argsort(edges[0][whole])]] == words
+
+
 def test_pieces_are_lower_cased_as_words_are():
     model = b"".join(_message((1, _message((1, p.encode()), (2, -1.0), (3, 1)))) for p in ("\u00c9t", "AB\u00d1"))
     assert language.Vocabulary(model).pieces == ["\u00c9t".encode(), "ab\u00d1".encode()]
