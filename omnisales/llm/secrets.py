@@ -3,11 +3,12 @@
 The last kind is found by sliding a window over candidate strings. The Shannon entropy of a window
 comes from the counts of its characters; a step of the window changes two counts, so each step costs
 the same whatever the window's length. Thresholds differ by character class (hex digits have 4 bits
-at most). An allow-list suppresses strings that only look random.
+at most). An allow-list suppresses strings that only look random, and what it proves to be part of an address.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -39,6 +40,22 @@ ALLOWED = [re.compile(p) for p in (
     r"(?:sha(?:1|224|256|384|512)|md5)[-=].*", r"[0-9+/_=-]+", r"(?:[A-Za-z]+|[0-9]+)(?:[-_/+=]+(?:[A-Za-z]+|[0-9]+)?)*",
     r".*(?:abcdefgh|ABCDEFGH|01234567|12345678|qwertyui|QWERTYUI).*", r"(?i:.*(?:example|sample|dummy|placeholder).*)",
 )]
+#: Addresses on the allow-list: the host of a URL (behind any name and password), and all of an http path if that is
+#: one part (a short link); the host of a mail address; a host name without a scheme that starts with www or ends in a
+#: common domain; a mail address's name of words with a few digits. What else stands in an address is looked at.
+LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+HOST = rf"(?:(?>(?:{LABEL}\.(?=[A-Za-z0-9]))+)[A-Za-z]{{1,24}}|(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}})(?![A-Za-z0-9_+=-])(?![A-Za-z0-9_.+=:-]*@)"
+ADDRESSES = [re.compile(p) for p in (
+    rf"""(?:(?<=http://)|(?<=https://)){HOST}(?::[0-9]+)?(?:/[A-Za-z0-9+_=-]+(?=[.,;:!?)\]}}>"']*(?:\s|$)))?""",
+    rf"(?<=://){HOST}", rf"(?<=@){HOST}",
+    rf"(?<![A-Za-z0-9_.+=@/-])(?:www\.{HOST}|(?>(?:[a-z0-9-]{{1,63}}\.(?=[a-z0-9]))+)"
+    r"(?:com|org|net|edu|gov|mil|int|info|io)(?![A-Za-z0-9_+=@-])(?!\.[A-Za-z0-9]))",
+)]
+MAIL_NAME = re.compile(r"[A-Z]?[a-z]+[0-9]{0,4}(?:[._+-]+(?:[A-Z]?[a-z]+[0-9]{0,4}|[0-9]{1,4}))*[._+-]*")
+MAIL_HOST = re.compile(HOST)
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._+-")
+#: A run of characters that addresses consist of.
+RUN = re.compile(r"[A-Za-z0-9+/_=.@:-]+")
 
 
 def entropies(text: str, window: int) -> Iterator[float]:
@@ -60,28 +77,76 @@ def entropies(text: str, window: int) -> Iterator[float]:
             yield whole - weighted / window
 
 
+def _in_address(text: str, start: int, end: int) -> bool:
+    """Whether a candidate stands where parts of an address do."""
+    return text[max(0, start - 3):start].endswith(("://", "@", ".")) or text[end:end + 1] == "@"
+
+
+class Addresses:
+    """What the allow-list proves to be an address, run by run; candidates are asked for in the order of the text."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.runs = RUN.finditer(text)
+        self.right = 0
+        self.hosts: list[tuple[int, int]] = []
+
+    def outside(self, start: int, end: int) -> Iterator[tuple[int, int]]:
+        """The parts of a candidate that are not proven to be an address; behind a host they are cut at slashes."""
+        while self.right < end:
+            left, self.right = next(self.runs).span()
+            if self.right >= end:
+                stop = min(len(self.text), self.right + 80)
+                self.hosts = sorted(m.span() for p in ADDRESSES for m in p.finditer(self.text, left, stop))
+        if self.text[end:end + 1] == "@" and MAIL_HOST.match(self.text, end + 1):
+            name = _name_start(self.text, end)
+            if self.text[max(0, name - 1):name] != ":" and MAIL_NAME.fullmatch(self.text, name, end):
+                return
+        at = bisect.bisect_left(self.hosts, (end, 0))
+        if not at:
+            yield start, end
+            return
+        behind = max(start, max(b for a, b in self.hosts[max(0, at - 2):at]))
+        while behind < end:
+            to = self.text.find("/", behind, end)
+            to = end if to < 0 else to
+            yield behind, to
+            behind = to + 1
+
+
+def _name_start(text: str, end: int) -> int:
+    """Where the name in front of a mail address's @ begins."""
+    while end > 0 and text[end - 1] in NAME_CHARS:
+        end -= 1
+    return end
+
+
 def entropy_spans(text: str, base: list[Span]) -> list[Span]:
     found: list[Span] = []
-    taken = None
+    taken = addresses = None
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if not DIGIT.search(s):
+        if not DIGIT.search(m[0]):
             continue  # words without digits are no candidates
         taken = taken or Taken(len(text), base)
-        if not taken.clear(*m.span()) or any(p.fullmatch(s) for p in ALLOWED):
-            continue
-        # In a URL or a mail address: part of an address.
-        if text[max(0, m.start() - 3):m.start()].endswith(("://", "@", ".")) or text[m.end():m.end() + 1] == "@":
+        if not taken.clear(*m.span()):
             continue
-        least = BITS["hex" if HEX_DIGITS.fullmatch(s) else "base64"]
-        high = [i for i, e in enumerate(entropies(s, WINDOW)) if e >= least]
-        start = None
-        for i, k in enumerate(high):
-            if start is None:
-                start = k
-            if i + 1 == len(high) or high[i + 1] > k + WINDOW:
-                found.append(("entropy", m.start() + start, m.start() + k + WINDOW))
-                start = None
+        parts = [m.span()]
+        if _in_address(text, *m.span()):
+            addresses = addresses or Addresses(text)
+            parts = addresses.outside(*m.span())
+        for begin, end in parts:
+            s = text[begin:end]
+            if end - begin < WINDOW or not DIGIT.search(s) or any(p.fullmatch(s) for p in ALLOWED):
+                continue
+            least = BITS["hex" if HEX_DIGITS.fullmatch(s) else "base64"]
+            high = [i for i, e in enumerate(entropies(s, WINDOW)) if e >= least]
+            start = None
+            for i, k in enumerate(high):
+                if start is None:
+                    start = k
+                if i + 1 == len(high) or high[i + 1] > k + WINDOW:
+                    found.append(("entropy", begin + start, begin + k + WINDOW))
+                    start = None
     return found
 
 

@@ -214,6 +214,27 @@ def test_secrets_equal_brute_force(spark):
     assert secrets.redact_secrets(docs).columns == docs.columns and len(red) == len(SECRET_ROWS)
 
 
+RANDOM, OTHER = "q7Zk2Lw9Xv4Tb8Np3Rd6Yh1J", "Hs8Vw3Qe5Rt7Yu1Io9Pa2Sd4"
+
+
+def entropy_texts(text):
+    return [text[a:b] for kind, a, b in secrets.secret_spans(text) if kind == "entropy"]
+
+
+@pytest.mark.parametrize("text, want", [
+    (f"eyJhbGciOiJIUzI1NiJ9.{RANDOM}.{OTHER}", [RANDOM, OTHER]), (f"SG.{RANDOM}.{OTHER}", [RANDOM, OTHER]),
+    (f"postgres://user:{RANDOM}@host.example.com/db", [RANDOM]), (f"redis://:{RANDOM}@localhost:6379", [RANDOM]),
+    (f"https://hooks.example.com/services/T024BE7LD/B0ABCDEF1/{RANDOM}", [RANDOM]),
+    (f"hooks.example.com/services/T024BE7LD/B0ABCDEF1/{RANDOM} x", [RANDOM]),
+    (f"https://10.0.0.1/a/{RANDOM}/b", [RANDOM]), (f"https://x.example.com/eyJhbGciOiJIUzI1NiJ9.{RANDOM}", [RANDOM]),
+    (f"http://a.b/{RANDOM}.", []), ("www.some-long-label-with-2digits-x.com", []), ("christophermontgomery1985@example.com", []),
+    ("see x@my-long-mail-host-4you-and-me.example.com", []), ("github.com/user1/repo-name2/blob/main/src/file3_test.py", []),
+    ("https://example.com/2021/03/some-long-article-title-about-10-things.html", []),
+])
+def test_secrets_in_and_beside_addresses(text, want):
+    assert entropy_texts(text) == want
+
+
 def test_entropy_by_counts_equals_definition():
     rnd = random.Random(2)
     text = "".join(rnd.choice("abcde0123") for _ in range(60))
