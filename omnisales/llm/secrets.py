@@ -77,6 +77,10 @@ def entropies(text: str, window: int) -> Iterator[float]:
             yield whole - weighted / window
 
 
+def _allowed(s: str) -> bool:
+    return any(p.fullmatch(s) for p in ALLOWED)
+
+
 def _in_address(text: str, start: int, end: int) -> bool:
     """Whether a candidate stands where parts of an address do."""
     return text[max(0, start - 3):start].endswith(("://", "@", ".")) or text[end:end + 1] == "@"
@@ -128,15 +132,14 @@ def entropy_spans(text: str, base: list[Span]) -> list[Span]:
         if not DIGIT.search(m[0]):
             continue  # words without digits are no candidates
         taken = taken or Taken(len(text), base)
-        if not taken.clear(*m.span()):
-            continue
         parts = [m.span()]
         if _in_address(text, *m.span()):
             addresses = addresses or Addresses(text)
             parts = addresses.outside(*m.span())
-        for begin, end in parts:
+        whole = (p for p in parts if not _allowed(text[slice(*p)]))
+        for begin, end in (free for p in whole for free in taken.free(*p)):
             s = text[begin:end]
-            if end - begin < WINDOW or not DIGIT.search(s) or any(p.fullmatch(s) for p in ALLOWED):
+            if end - begin < WINDOW or not DIGIT.search(s) or _allowed(s):
                 continue
             least = BITS["hex" if HEX_DIGITS.fullmatch(s) else "base64"]
             high = [i for i, e in enumerate(entropies(s, WINDOW)) if e >= least]

@@ -36,6 +36,14 @@ class Taken:
     def clear(self, a: int, b: int) -> bool:
         return self.marks.find(1, a, b) < 0
 
+    def free(self, a: int, b: int) -> Iterator[tuple[int, int]]:
+        """The parts of a range that no span covers."""
+        while (a := self.marks.find(0, a, b)) >= 0:
+            to = self.marks.find(1, a, b)
+            to = b if to < 0 else to
+            yield a, to
+            a = to
+
 
 def of_kind(kind: str, spans: str = "spans") -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")

@@ -235,6 +235,15 @@ def test_secrets_in_and_beside_addresses(text, want):
     assert entropy_texts(text) == want
 
 
+@pytest.mark.parametrize("text, want", [
+    (f"AKIA{'Z7' * 8}/{RANDOM}{OTHER[:16]}", [("access", 0, 20), ("entropy", 20, 61)]),
+    (f"{RANDOM}{'0a' * 12}G{OTHER}", [("entropy", 0, 24), ("hex", 24, 48), ("entropy", 48, 73)]),
+    (f"/plain/words/{'0a' * 12}/more/words", [("hex", 13, 37)]),
+])
+def test_entropy_runs_beside_base_spans(text, want):
+    assert secrets.secret_spans(text) == want
+
+
 def test_entropy_by_counts_equals_definition():
     rnd = random.Random(2)
     text = "".join(rnd.choice("abcde0123") for _ in range(60))
