@@ -2,20 +2,22 @@
 
 Terms are words and word beginnings of 5 to 8 bytes, lower-cased; beginnings stand for the forms of a
 stem. Their document counts in toxic training documents and in all training documents give the lexicons:
-the terms whose share among toxic documents stands out most, dealt in turn to several lexicons, beside a
-fixed one. Each lexicon is a voter; others look at how dense such terms are, at shouting and at symbols,
+all terms whose share among toxic documents stands out, those of one stem as one entry, dealt in turn to
+several lexicons, beside a fixed one. Each lexicon is a voter; others look at how dense such terms are, at shouting and at symbols,
 and one votes for clean where nothing was found. The label itself, where there is one, is a further voter.
 The label model estimates how accurate and how correlated the voters are; a linear classifier on term and
 pattern features is trained on its posterior labels and scores every document.
 
 Documents cross the network once, as a handful of term numbers each. Texts are read three times: terms of
-the toxic training documents, counts of these terms in all training documents, features of all documents.
+the toxic training documents, counts of terms in all training documents, features of all documents. The
+classifier has a column for each entry up to ``COLUMNS``; beyond, entries share columns (feature hashing).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,8 @@ PREFIXES = (5, 6, 7, 8)
 INSULTS = ("idiot moron imbecile stupid dumb loser scum trash pathetic worthless disgusting vermin "
            "crétin débile ordure connard abruti minable dummkopf trottel abschaum widerlich versager "
            "imbécil estúpido basura asqueroso inútil escoria").split()
-#: Terms in at least this share of the toxic documents are looked at, the most frequent CANDIDATES at most.
-LEAST_SHARE, CANDIDATES = 0.004, 50_000
-#: Terms that the lexicons hold together, and the number of lexicons.
-TERMS, LEXICONS = 256, 8
+#: The number of lexicons, and the columns that all their entries share in the classifier.
+LEXICONS, COLUMNS = 8, 512
 #: How much likelier a term has to be in a toxic document than in any, and by how many standard deviations.
 LEAST_LIFT, LEAST_DEVIATIONS = 3.0, 5.0
 #: Labelled training documents that the classifier is fitted on at most, in the order of a hash of their ids.
@@ -65,30 +65,63 @@ def _batch_words(column: pa.Array) -> Iterator[tuple[int, Words]]:
         yield begin, Words(column.slice(begin, end - begin), LETTER, lower=True)
 
 
-def _all_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms and the number of documents of the batch that have them."""
+def _distinct_terms(words: Words, may: np.ndarray | None = None) -> np.ndarray:
+    """Each term once for every document that has it, without terms that ``may`` rules out."""
+    owner, pairs = words.owner(), []
+    for at, h in _terms(words):
+        if may is not None:
+            on = np.flatnonzero(may[h >> U64(42)])
+            at, h = at[on], h[on]
+        pairs.append((h, owner[at]))
+    term, doc = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    by = np.lexsort((doc, term))
+    term, doc = term[by], doc[by]
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
+    return term[new]
+
+
+def _toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms, the number of documents of the batch that have them, and the beginnings of each (0: it is shorter)."""
     for batch in batches:
-        found = []
+        found, stems = [], []
         for _, words in _batch_words(batch.column(0)):
-            owner = words.owner()
-            term = np.concatenate([h for _, h in _terms(words)])
-            doc = np.concatenate([owner[at] for at, _ in _terms(words)])
-            by = np.lexsort((doc, term))
-            term, doc = term[by], doc[by]
-            new = np.ones(len(term), bool)
-            new[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
-            found.append(term[new])
+            found.append(_distinct_terms(words))
+            begins = np.zeros((len(words.start), len(PREFIXES)), U64)
+            for k, (_, at, prefix) in enumerate(words.prefix_hashes(PREFIXES, whole=True)):
+                begins[at, k] = prefix
+            # In the order of _terms: whole words, then beginnings, which have no longer ones.
+            own, of = [], []
+            for k, (at, h) in enumerate(_terms(words)):
+                own.append(h)
+                of.append(begins[at] if not k else np.where(np.arange(len(PREFIXES)) < k, begins[at], U64(0)))
+            own, first = np.unique(np.concatenate(own), return_index=True)
+            stems.append((own, np.concatenate(of)[first]))
         if found:
             term, n = np.unique(np.concatenate(found), return_counts=True)
-            yield from pa.table({"term": signed(term), "n": n.astype(np.int64)}).to_batches(65536)
+            own, first = np.unique(np.concatenate([t for t, _ in stems]), return_index=True)
+            begins = np.concatenate([b for _, b in stems])[first]
+            yield from pa.table({"term": signed(term), "n": n.astype(np.int64),
+                                 **{f"b{k}": signed(begins[:, k]) for k in range(len(PREFIXES))}}).to_batches(65536)
+
+
+def _count_terms(may: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Terms and the number of documents of the batch that have them, without terms that ``may`` rules out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_distinct_terms(words, may) for _, words in _batch_words(batch.column(0))]
+            if found:
+                term, n = np.unique(np.concatenate(found), return_counts=True)
+                yield from pa.table({"term": signed(term), "n": n.astype(np.int64)}).to_batches(65536)
+    return run
 
 
 class Lookup:
-    """Numbers of known terms by hash; a table over some bits of the hash keeps most words from the search."""
+    """Entries of known terms by hash; a table over some bits of the hash keeps most words from the search."""
 
-    def __init__(self, terms: np.ndarray):
-        self.order = np.argsort(terms, kind="stable")
-        self.terms = terms[self.order]
+    def __init__(self, terms: np.ndarray, entries: np.ndarray):
+        order = np.argsort(terms, kind="stable")
+        self.terms, self.entries = terms[order], entries[order]
         self.may = np.zeros(1 << 22, bool)
         self.may[self.terms >> U64(42)] = True
 
@@ -98,11 +131,11 @@ class Lookup:
             return at, at
         place = np.minimum(np.searchsorted(self.terms, h[at]), len(self.terms) - 1)
         same = self.terms[place] == h[at]
-        return at[same], self.order[place[same]]
+        return at[same], self.entries[place[same]]
 
 
 def _known(words: Words, lookup: Lookup) -> tuple[np.ndarray, np.ndarray]:
-    """Word number and term number of each known term, one entry per occurrence."""
+    """Word number and entry of each known term, one for each occurrence."""
     places, terms = [], []
     for at, h in _terms(words):
         hit, number = lookup.find(h)
@@ -126,23 +159,36 @@ def _count_known(terms: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def _features(terms: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per document: distinct lexicon terms (numbers), their occurrences, words, shouted words, symbols, bytes."""
-    lookup_terms = np.concatenate([terms, _insult_hashes()])
+@dataclass
+class Lexicon:
+    """Hashes of terms, and the entry (stem) of each, numbered from 0, the clearest first."""
+
+    terms: np.ndarray
+    entry: np.ndarray
+
+    def __len__(self) -> int:
+        return int(self.entry.max(initial=-1)) + 1
+
+
+def _features(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per document: distinct lexicon entries (numbers), their occurrences, words, shouted words, symbols, bytes."""
+    insults = _insult_hashes()
+    entries = np.concatenate([lexicon.entry, len(lexicon) + np.arange(len(insults))])
+    lookup_terms, n_entries = np.concatenate([lexicon.terms, insults]), len(lexicon) + len(insults)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(lookup_terms)
+        lookup = Lookup(lookup_terms, entries)
         for batch in batches:
             for begin, words in _batch_words(batch.column(1)):
                 rows = len(words.count)
                 # A word counts once, for the clearest of its terms: forms of one stem are no independent evidence.
                 at, term = _known(words, lookup)
-                best = np.unique(at * len(lookup_terms) + term)
-                at, term = best // len(lookup_terms), best % len(lookup_terms)
+                best = np.unique(at * n_entries + term)
+                at, term = best // n_entries, best % n_entries
                 first = np.ones(len(at), bool)
                 first[1:] = at[1:] != at[:-1]
                 doc, term = words.owner()[at[first]], term[first]
-                pair = np.unique(doc * len(lookup_terms) + term)
+                pair = np.unique(doc * n_entries + term)
                 occurrences = np.bincount(doc, minlength=rows)
                 raw = Words(batch.column(1).slice(begin, rows), LETTER)
                 upper = np.concatenate(([0], np.cumsum((raw.data >= 65) & (raw.data <= 90))))
@@ -150,10 +196,10 @@ def _features(terms: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 length = words.end - words.start
                 loud = (upper[words.end] - upper[words.start] == length) & (length > 1)
                 loud = np.concatenate(([0], np.cumsum(loud)))
-                at = np.searchsorted(pair // len(lookup_terms), np.arange(rows + 1)).astype(np.int32)
+                at = np.searchsorted(pair // n_entries, np.arange(rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, rows),
-                     pa.ListArray.from_arrays(at, pa.array((pair % len(lookup_terms)).astype(np.int32))),
+                     pa.ListArray.from_arrays(at, pa.array((pair % n_entries).astype(np.int32))),
                      pa.array(occurrences.astype(np.int64)), pa.array(words.count.astype(np.int64)),
                      pa.array((loud[words.first[1:]] - loud[words.first[:-1]]).astype(np.int64)),
                      pa.array(symbol[words.offsets[1:]] - symbol[words.offsets[:-1]]),
@@ -179,10 +225,12 @@ def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
 
 
 def _dense(batch: pa.RecordBatch, n_terms: int) -> np.ndarray:
-    """Features of the classifier: each term, the fixed lexicon, and five of the pattern."""
+    """Features of the classifier: the entries' columns, the fixed lexicon, and five of the pattern."""
     c = _columns(batch)
+    fixed = c["flat"] >= n_terms
+    n_terms = min(n_terms, COLUMNS)
     x = np.zeros((batch.num_rows, n_terms + 6))
-    x[c["row"], np.minimum(c["flat"], n_terms)] = 1.0
+    x[c["row"], np.where(fixed, n_terms, c["flat"] % max(n_terms, 1))] = 1.0
     words = np.maximum(c["n_words"], 1)
     density = c["occurrences"] / words
     x[:, n_terms + 1] = np.log1p(c["occurrences"])
@@ -227,32 +275,48 @@ def _score(beta: np.ndarray, n_terms: int) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
-def _lexicon(train: DataFrame, toxic: DataFrame) -> np.ndarray:
-    """Hashes of the terms that stand out in toxic training documents, the clearest first."""
+def _lexicon(train: DataFrame, toxic: DataFrame) -> Lexicon:
+    """All terms that stand out in toxic training documents, by stem."""
+    none = Lexicon(np.zeros(0, U64), np.zeros(0, np.int64))
     n_toxic = toxic.count()
     if not n_toxic:
-        return np.zeros(0, U64)
+        return none
+    begins = [f"b{k}" for k in range(len(PREFIXES))]
     wanted = F.broadcast(toxic) if n_toxic <= BROADCAST_IDS else toxic
-    least = max(3, math.ceil(LEAST_SHARE * n_toxic))
-    found = (train.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(tidied(_all_terms), "term long, n long")
-             .groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-             .orderBy(F.desc("n"), "term").limit(CANDIDATES).collect())
-    if not found:
-        return np.zeros(0, U64)
-    terms = np.array([r["term"] for r in found], np.int64).view(U64)
-    own = np.array([r["n"] for r in found], float)
-    sent = train.sparkSession.sparkContext.broadcast(terms)
-    counted = (train.select("text").mapInArrow(tidied(lambda batches: _count_known(sent.value)(batches)), "term long, n long")
-               .groupBy("term").agg(F.sum("n").alias("n")).collect())
-    at = {int(t): i for i, t in enumerate(terms.view(np.int64))}
-    everywhere = np.ones(len(terms))
-    for r in counted:
-        everywhere[at[r["term"]]] = r["n"]
-    expected = everywhere * (n_toxic / max(train.count(), 1))
-    lift, deviations = own / expected, (own - expected) / np.sqrt(expected + 0.5)
-    keep = np.flatnonzero((lift >= LEAST_LIFT) & (deviations >= LEAST_DEVIATIONS) & ~np.isin(terms, _insult_hashes()))
-    keep = keep[np.lexsort((terms[keep], -deviations[keep]))][:TERMS]
-    return terms[keep]
+    # A term in fewer toxic documents can't pass the test on deviations, however rare it is elsewhere.
+    least = LEAST_DEVIATIONS * math.sqrt(0.5)
+    own = (train.join(wanted, "doc_id", "left_semi").select("text")
+           .mapInArrow(tidied(_toxic_terms), f"term long, n long, {', '.join(f'{b} long' for b in begins)}")
+           .groupBy("term").agg(F.sum("n").alias("own"), *(F.max(b).alias(b) for b in begins)).where(F.col("own") >= least))
+    own = written(own, "toxic-terms")
+    # Terms with other leading bits are in no toxic document: a table of bounded size; the join decides.
+    may = np.zeros(1 << 22, bool)
+    may[own.select(F.shiftrightunsigned("term", 42).alias("bits")).distinct().toArrow().column("bits").to_numpy()] = True
+    sent = train.sparkSession.sparkContext.broadcast(may)
+    counted = (train.select("text").mapInArrow(tidied(lambda batches: _count_terms(sent.value)(batches)), "term long, n long")
+               .groupBy("term").agg(F.sum("n").alias("n")))
+    share = n_toxic / max(train.count(), 1)
+    found = (own.join(counted, "term").withColumn("expected", F.col("n") * share)
+             .withColumn("deviations", (F.col("own") - F.col("expected")) / F.sqrt(F.col("expected") + 0.5))
+             .where((F.col("own") / F.col("expected") >= LEAST_LIFT) & (F.col("deviations") >= LEAST_DEVIATIONS))
+             .select("term", "deviations", *begins).toArrow())
+    terms = found.column("term").to_numpy().view(U64)
+    keep = np.flatnonzero(~np.isin(terms, _insult_hashes()))
+    if not len(keep):
+        return none
+    terms, deviations = terms[keep], found.column("deviations").to_numpy()[keep]
+    # The stem of a term: the shortest of its beginnings that stands out, or else the term itself.
+    stem = terms.copy()
+    for b in reversed(begins):
+        begin = found.column(b).to_numpy().view(U64)[keep]
+        stem = np.where(np.isin(begin, terms), begin, stem)
+    stems, at = np.unique(stem, return_inverse=True)
+    clearest = np.full(len(stems), -np.inf)
+    np.maximum.at(clearest, at, deviations)
+    entry = np.empty(len(stems), np.int64)
+    entry[np.lexsort((stems, -clearest))] = np.arange(len(stems))
+    by = np.lexsort((terms, entry[at]))
+    return Lexicon(terms[by], entry[at][by])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,8 +351,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return carried.mapInArrow(tidied(lambda batches: _keep(*sent.value)(batches)), carried.schema).select("carried.*")
 
 
-def _fit(rows: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray | None, DataFrame]:
-    """Lexicon terms, the classifier's coefficients (None without toxic training documents), all rows' features."""
+def _fit(rows: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray | None, DataFrame]:
+    """The lexicon, the classifier's coefficients (None without toxic training documents), all rows' features."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .where("doc_id is not null and toxic in (0, 1)").where(is_training())
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -301,7 +365,7 @@ def _fit(rows: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray | N
     return terms, _classifier(labelled, len(terms)), features
 
 
-def _keep(terms: np.ndarray, beta: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _keep(terms: Lexicon, beta: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
@@ -328,5 +392,5 @@ def _classifier(labelled: DataFrame, n_terms: int) -> np.ndarray | None:
     batch = sample.to_batches()[0]
     label = batch.column("toxic").to_numpy(False)
     votes = np.concatenate([_vote(batch, n_terms), np.where(label == 1, 1, 2)[:, None]], axis=1)
-    penalty = np.concatenate([np.full(n_terms + 1, TERM_PENALTY), np.ones(5)])
+    penalty = np.concatenate([np.full(min(n_terms, COLUMNS) + 1, TERM_PENALTY), np.ones(5)])
     return fit_linear(_dense(batch, n_terms), model.posterior(votes), np.ones(len(label)), penalty)

@@ -127,11 +127,12 @@ class Words:
         h = (sums[start + size] - sums[start]) * inverse[start]
         return mix(h ^ (size.astype(U64) * U64(_ODD[1])))
 
-    def prefix_hashes(self, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """By size: the words that are longer than so many bytes, and the hash of that prefix (never that of a word)."""
+    def prefix_hashes(self, sizes: tuple[int, ...], whole: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By size: the words that are longer than so many bytes (or as long, with ``whole``), and the hash of that prefix
+        (never that of a word)."""
         sums, inverse = self._sums()
         for size in sizes:
-            at = np.flatnonzero(self.end - self.start > size)
+            at = np.flatnonzero(self.end - self.start > size - whole)
             h = (sums[self.start[at] + size] - sums[self.start[at]]) * inverse[self.start[at]]
             yield size, at, mix(mix(h ^ U64(size * 0x9E3779B1)) + U64(size))
 

@@ -312,6 +312,28 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.score_toxicity(docs.limit(0), table).count() == 0
 
 
+def test_lexicons_hold_rare_terms_and_one_entry_a_stem(spark):
+    """Far more clear terms than 256, each in 5 of 1,300 toxic documents (under 0.4%), and one stem in several forms."""
+    rnd = random.Random(12)
+    rare = ["".join(rnd.choice("bcdfghjklm") for _ in range(4)) for _ in range(900)]
+    rare = sorted(set(rare))[:600]
+    rows = [(i, prose(rnd, 3)) for i in range(30_000)]
+    for k, word in enumerate(rare):
+        for j in range(5):
+            i = (k * 5 + j) % 1300
+            rows[i] = (i, f"{rows[i][1]} {word}")
+    for i in range(40):
+        rows[i] = (i, f"{rows[i][1]} {['zorkish', 'zorkishly', 'zorkished', 'zorki'][i % 4]}")
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = toxicity._lexicon(train, spark.range(1300).withColumnRenamed("id", "doc_id"))
+    words = toxicity.Words(pa.array(rare), toxicity.LETTER, lower=True)
+    assert len(rare) == 600 and len(lexicon) == 601
+    assert set(words.hashes().tolist()) <= set(lexicon.terms.tolist())
+    forms = toxicity.Words(pa.array(["zorkish", "zorkishly", "zorkished", "zorki"]), toxicity.LETTER, lower=True)
+    at, entry = toxicity._known(forms, toxicity.Lookup(lexicon.terms, lexicon.entry))
+    assert set(at.tolist()) == {0, 1, 2, 3} and len(set(entry.tolist())) == 1
+
+
 def test_label_model_finds_reliable_and_correlated_voters():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
