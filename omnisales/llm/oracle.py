@@ -92,5 +92,50 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP B
 """
 
 
+OP12 = r"""
+WITH piece AS (
+  SELECT row_number() OVER () AS id, lang, p
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), word AS (
+  SELECT id, lang, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i
+  FROM (SELECT id, lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM piece)
+), place AS (
+  SELECT lang, x, lead(x, 1) OVER w AS y, lead(x, 2) OVER w AS z FROM word WINDOW w AS (PARTITION BY id ORDER BY i)
+), f1 AS (
+  SELECT lang, x, CAST(count(*) AS BIGINT) AS n FROM place GROUP BY ALL
+), f2 AS (
+  SELECT lang, x, y, CAST(count(*) AS BIGINT) AS n FROM place WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), f3 AS (
+  SELECT lang, x, y, z, CAST(count(*) AS BIGINT) AS n FROM place WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), total AS (
+  SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f1 GROUP BY lang
+), cut AS (
+  SELECT f2.lang, x || ' ' || f2.y AS phrase, f2.n AS a, 1 AS k, p.n AS l, q.n AS r
+  FROM f2 JOIN f1 p USING (lang, x) JOIN f1 q ON q.lang = f2.lang AND q.x = f2.y
+  UNION ALL
+  SELECT f3.lang, concat_ws(' ', f3.x, f3.y, f3.z), f3.n, 1, p.n, q.n
+  FROM f3 JOIN f1 p ON p.lang = f3.lang AND p.x = f3.x JOIN f2 q ON q.lang = f3.lang AND q.x = f3.y AND q.y = f3.z
+  UNION ALL
+  SELECT f3.lang, concat_ws(' ', f3.x, f3.y, f3.z), f3.n, 2, p.n, q.n
+  FROM f3 JOIN f2 p ON p.lang = f3.lang AND p.x = f3.x AND p.y = f3.y JOIN f1 q ON q.lang = f3.lang AND q.x = f3.z
+), scored AS (
+  SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cut
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY (1000000::HUGEINT * a * a) // (l::HUGEINT * r), k) = 1
+), covered AS (
+  SELECT DISTINCT f2.lang, f2.x || ' ' || f2.y AS phrase
+  FROM f2 JOIN (SELECT lang, x, y, n FROM f3 UNION ALL SELECT lang, y, z, n FROM f3) t
+    ON t.lang = f2.lang AND t.x = f2.x AND t.y = f2.y WHERE 100 * t.n >= 50 * f2.n
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM scored s ANTI JOIN covered v ON v.lang = s.lang AND v.phrase = s.phrase
+)
+SELECT ranked.lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, total.n AS n, score
+FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op4_warc": OP4, "op6_decontamination": OP6, "op8_near_duplicates": OP8}
+    return {"op1_substring_dedup": OP1, "op4_warc": OP4, "op6_decontamination": OP6, "op8_near_duplicates": OP8,
+            "op12_collocations": OP12}

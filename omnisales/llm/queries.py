@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from . import pii, secrets
 from .ann import nearest_neighbours
+from .collocations import collocations
 from .decontaminate import find_contamination
 from .language import identify_language
 from .near_dups import near_duplicates
+from .packing import pack_documents
 from .scratch import ship_package
 from .sentencepieces import encode_and_decode
 from .spans import base_only, joined, of_kind
@@ -80,8 +82,18 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack_documents(_table(spark, sf_dir, "documents"), capacity=1024)
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), least=10, top=2000)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_sentencepiece, op3_secret_scan, op4_warc, op5_personal_data, op6_decontamination,
         op7_language, op8_near_duplicates, op9_toxicity, op10_nearest_neighbours,
+        op11_best_fit_packing, op12_collocations,
     )}
