@@ -136,6 +136,44 @@ FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000
 """
 
 
+OP13 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || list_transform(range(0, 8), lambda x: CAST(0 AS BIGINT)),
+                          lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(0, 256)) AS i))
+), run AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS prefix, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS v FROM documents
+), hashed AS (
+  SELECT v, xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(prefix || v, ''),
+                              lambda ch: CASE WHEN ord(ch) < 128 THEN [CAST(ord(ch) AS BIGINT)] ELSE [195, CAST(ord(ch) - 64 AS BIGINT)] END)),
+                            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM run, crc WHERE length(v) >= 5
+), word AS (
+  SELECT w, CAST(count(*) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(v, 1, h % length(v)) || substr(v, h % length(v) + 2) ELSE v END AS w FROM hashed)
+  WHERE length(w) >= 5 GROUP BY w HAVING count(*) >= 3
+), shorter AS (
+  SELECT w, n, p, substr(w, 1, p) || substr(w, p + 2) AS s FROM (SELECT w, n, unnest(range(0, length(w))) AS p FROM word)
+), near AS (
+  SELECT x.w, y.w AS v, y.n FROM shorter x JOIN shorter y ON x.s = y.s AND x.p = y.p AND x.w <> y.w
+  UNION SELECT x.w, y.w, y.n FROM shorter x JOIN word y ON x.s = y.w
+  UNION SELECT y.w, x.w, x.n FROM shorter x JOIN word y ON x.s = y.w
+), best AS (
+  SELECT w, CAST(count(*) AS BIGINT) AS n_near, first(v ORDER BY n DESC, v) AS v, max(n) AS n FROM near GROUP BY w
+), form AS (
+  SELECT word.w, word.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * word.n THEN v END AS form,
+         CASE WHEN best.n >= 2 * word.n THEN best.n END AS form_n
+  FROM word LEFT JOIN best ON best.w = word.w
+), path AS (
+  SELECT w, w AS root, form AS further FROM form
+  UNION ALL SELECT path.w, form.w, form.form FROM path JOIN form ON form.w = path.further
+)
+SELECT form.w AS word, form, path.root AS root, n, n_near, form_n FROM form JOIN path ON path.w = form.w AND path.further IS NULL
+"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
     return {"op1_substring_dedup": OP1, "op4_warc": OP4, "op6_decontamination": OP6, "op8_near_duplicates": OP8,
-            "op12_collocations": OP12}
+            "op12_collocations": OP12, "op13_spelling_variants": OP13}

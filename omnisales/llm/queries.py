@@ -17,6 +17,7 @@ from .packing import pack_documents
 from .scratch import ship_package
 from .sentencepieces import encode_and_decode
 from .spans import base_only, joined, of_kind
+from .spelling import spelling_variants
 from .substrings import remove_repeated_passages
 from .toxicity import score_toxicity
 from .warc import read_archives, write_archives
@@ -91,9 +92,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"), least=10, top=2000)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_sentencepiece, op3_secret_scan, op4_warc, op5_personal_data, op6_decontamination,
         op7_language, op8_near_duplicates, op9_toxicity, op10_nearest_neighbours,
-        op11_best_fit_packing, op12_collocations,
+        op11_best_fit_packing, op12_collocations, op13_spelling_variants,
     )}

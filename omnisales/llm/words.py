@@ -8,7 +8,7 @@ from prefix sums (arithmetic modulo 2**64) and mixed at the end.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,12 +86,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """``start``/``end``: byte range of every word; ``first[d]``: index of the first word of text ``d``."""
+    """``start``/``end``: byte range of every word; ``first[d]``: index of the first word of text ``d``.
 
-    def __init__(self, column: pa.Array, kept: np.ndarray, lower: bool = False):
+    ``kept``: a table of the bytes that words consist of, or a function from all bytes to those marked."""
+
+    def __init__(self, column: pa.Array, kept: np.ndarray | Callable[[np.ndarray], np.ndarray], lower: bool = False):
         raw, self.offsets = text_bytes(column)
         self.data = LOWER[raw] if lower else raw
-        inside = kept[raw]
+        inside = kept(raw) if callable(kept) else kept[raw]
         n = len(raw)
         cut = self.offsets[:-1]
         cut = cut[cut < n]
