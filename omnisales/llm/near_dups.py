@@ -42,6 +42,8 @@ SAMPLES = ROWS * BANDS
 WORDS_OF_SKETCH = SKETCH_BITS // 64
 _SEED = mix(np.arange(1, 2 * SAMPLES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 FLIP, FACTOR = _SEED[:SAMPLES], _SEED[SAMPLES:] | U64(1)
+SAME_SET = ["set_a", "set_b", "n_shingles"]
+TEXT_SETS = "doc_id long, text string, set_a long, set_b long, n_shingles long"
 #: Ids of candidates go to all tasks up to this number (8 MB); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members of a bucket whose sketches are compared in one block, and documents of a cluster whose texts are.
@@ -82,6 +84,11 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray,
         yield begin, flat[new], total[at]
 
 
+def _set_hashes(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell each set (none is empty); equal bits are taken for equal sets."""
+    return np.add.reduceat(mix(flat), first), np.add.reduceat(mix(flat ^ FLIP[0]), first)
+
+
 def _signatures(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,8 +109,7 @@ def _signatures(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                         keys[:, band] = mix((keys[:, band] if j % ROWS else U64(band + 1)) ^ mix(sample))
                         bit = (mix(sample ^ FACTOR[j]) >> U64(32)).astype(np.int64) % SKETCH_BITS
                         parity[full * SKETCH_BITS + bit] ^= 1
-                    sums[0, full] = np.add.reduceat(mix(flat), first)
-                    sums[1, full] = np.add.reduceat(mix(flat ^ FLIP[0]), first)
+                    sums[:, full] = _set_hashes(flat, first)
                 odd = np.packbits(parity.reshape(rows, SKETCH_BITS).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
                 ends = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -178,7 +184,7 @@ def _candidate_forest(limit: int, percent: int) -> Callable[[Iterator[pa.RecordB
     """Of all pairs that pass in a block, as many as connect the same documents: fewer rows than documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["group", "i", "j"], 4 << 20):
-            ids, up = t["doc_id"].to_numpy(), np.arange(t.num_rows)
+            ids, up = t["node"].to_numpy(), np.arange(t.num_rows)
             left, right = [], []
 
             def root(i: int, up: np.ndarray = up) -> int:
@@ -206,7 +212,7 @@ def _block_links(size: int, limit: int, percent: int) -> Callable[[Iterator[pa.R
     """Links in a block: pairs that pass the sketch test are compared on their full sets there; only links leave it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["group", "i", "j"], 8 << 20):
-            ids, sets = t["doc_id"].to_numpy(), []
+            ids, sets = t["node"].to_numpy(), []
             for _, flat, at in shingle_sets(t["text"].combine_chunks() if t["text"].num_chunks != 1 else t["text"].chunk(0), size):
                 sets += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             found = list(_across(t, limit, percent))
@@ -237,24 +243,44 @@ def _differing_bits() -> F.Column:
 
 def _like(pairs: DataFrame, sketches: DataFrame, limit: int, percent: int) -> DataFrame:
     """Pairs ``a``, ``b`` whose sizes and odd sketches allow the similarity."""
-    joined = (pairs.join(sketches.alias("x"), F.col("a") == F.col("x.doc_id"))
-              .join(sketches.alias("y"), F.col("b") == F.col("y.doc_id")))
+    joined = (pairs.join(sketches.alias("x"), F.col("a") == F.col("x.node"))
+              .join(sketches.alias("y"), F.col("b") == F.col("y.node")))
     n, m = F.col("x.n_shingles"), F.col("y.n_shingles")
     return joined.where((100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_differing_bits() <= limit)).select("a", "b")
 
 
-def _texts(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts joined to the rows of ``ids`` (``doc_id`` and more). Other texts are not shuffled where the ids are few."""
-    only = written(ids.select("doc_id").distinct(), "candidate-ids")
-    wanted = F.broadcast(only) if only.count() <= BROADCAST_IDS else only
-    return base.join(wanted, "doc_id", "left_semi")
+def _text_sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (doc_id, text) with the hashes that tell their set; rows without a shingle go."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, flat, at in shingle_sets(batch.column(1), size):
+                part, n = batch.slice(begin, len(at) - 1), np.diff(at)
+                full = np.flatnonzero(n)
+                if len(full):
+                    part = part.take(pa.array(full))
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, *(pa.array(signed(x)) for x in _set_hashes(flat, at[:-1][full])), pa.array(n[full], pa.int64())],
+                        ["doc_id", "text", *SAME_SET])
+    return run
+
+
+def _texts(base: DataFrame, reps: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """``node`` and ``text``, one row for each of ``nodes``. Other texts are not shuffled where the nodes are few.
+
+    Ids can have several rows: each text is told by its id and its set, whatever else its id stands at."""
+    wanted = written(reps.join(nodes.distinct(), "node").select("node", "doc_id", *SAME_SET), "candidates")
+    only = wanted.select("doc_id").distinct()
+    only = F.broadcast(only) if wanted.count() <= BROADCAST_IDS else only
+    told = (base.join(only, "doc_id", "left_semi").mapInArrow(tidied(_text_sets(size)), TEXT_SETS)
+            .dropDuplicates(["doc_id", *SAME_SET]))
+    return told.join(wanted, ["doc_id", *SAME_SET]).select("node", "text")
 
 
-def _confirmed(pairs: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, base: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs that hold on the full shingle sets."""
-    texts = _texts(base, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    y = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    texts = written(_texts(base, reps, pairs.select(F.explode(F.array("a", "b")).alias("node")), size), "candidate-texts")
+    x = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    y = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(tidied(_confirm(size, percent)), "a long, b long").distinct()
 
@@ -262,7 +288,7 @@ def _confirmed(pairs: DataFrame, base: DataFrame, size: int, percent: int) -> Da
 def _dealt(rows: DataFrame, block: int) -> DataFrame:
     """Members of each ``group`` in blocks, and a copy for each pair of blocks (i, j): no pair of them is left out."""
     blocks = rows.groupBy("group").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "group").withColumn("block", F.pmod(F.hash("doc_id"), F.col("blocks")))
+    rows = rows.join(blocks, "group").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return (rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
             .drop("blocks", "other").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j"))
@@ -273,10 +299,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
     """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Documents are linked where 100 * |shared shingles| >= ``percent`` * |all shingles|; ``component_id`` is the
-    smallest id reachable over links, the own one included, and ``kept`` marks its document. Text is lower-cased
-    (A-Z) and split at white space; with fewer than ``shingle`` words all of them are the one shingle. Null or
-    wordless text: no shingle, no link, kept. Null id: component null, kept. Rows with the same id are one node.
-    Other columns are not read. Steps are written to the shared folder.
+    smallest id reachable over links, the own one included, and ``kept`` marks its document. Equal sets are told by 128
+    hash bits, shingles by 64. Text is lower-cased (A-Z) and split at white space; with fewer than ``shingle`` words all
+    of them are the one shingle. Null or wordless text: no shingle, no link, kept. Null id: component null, kept. Rows
+    with the same id count as one document, also those with other texts or none. Other columns are not read. Steps are
+    written to the shared folder.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     odd = [f"odd{i}" for i in range(WORDS_OF_SKETCH)]
@@ -284,43 +311,42 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
     rows = written(base.mapInArrow(
         tidied(_signatures(shingle)), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, "
         + ", ".join(f"{c} long" for c in odd)), "signatures")
-    same_set = ["set_a", "set_b", "n_shingles"]
-    nodes = rows.where("doc_id is not null and n_shingles > 0")
-    classes = written(nodes.groupBy(*same_set).agg(F.min("doc_id").alias("class_id")), "classes")
-    reps = nodes.join(classes, same_set).where("doc_id = class_id").dropDuplicates([*same_set, "doc_id"])
-    reps = written(reps.select("doc_id", "n_shingles", "bands", *odd), "representatives")
-    sketches = reps.drop("bands")
-
-    members = reps.select("doc_id", F.explode("bands").alias("key"))
-    least = members.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    full = rows.where("doc_id is not null and n_shingles > 0")
+    # A node is a class of equal sets, and its number means nothing; the smallest of its ids lends it the text.
+    classes = written(full.groupBy(*SAME_SET).agg(F.min("doc_id").alias("class_id"))
+                      .withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = full.join(classes, SAME_SET).where("doc_id = class_id").dropDuplicates(SAME_SET)
+    reps = written(reps.select("node", "doc_id", *SAME_SET, "bands", *odd), "representatives")
+    sketches = reps.select("node", "n_shingles", *odd)
+
+    members = reps.select("node", F.explode("bands").alias("key"))
+    least = members.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     buckets = written(members.join(least.drop("most"), "key"), "buckets")
-    stars = buckets.where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    stars = buckets.where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     tested = written(_like(stars, sketches, limit, percent), "star-pairs")
-    links = written(_confirmed(tested, base, shingle, percent), "star-links")
+    links = written(_confirmed(tested, base, reps, shingle, percent), "star-links")
 
-    # Ids whose rows are in several classes join these.
-    homes = nodes.select("doc_id", *same_set).join(classes, same_set).select("doc_id", "class_id").distinct()
-    twice = homes.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("most")).where("b < most")
-    links = links.union(homes.join(twice, "doc_id").where("class_id > b").select(F.col("class_id").alias("a"), "b"))
+    # An id whose rows are in several classes joins these.
+    homes = written(full.select("doc_id", *SAME_SET).join(classes, SAME_SET).select("doc_id", "node").distinct(), "homes")
+    twice = homes.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most")
+    links = links.union(homes.join(twice, "doc_id").where("node > b").select(F.col("node").alias("a"), "b"))
 
     found = written(connected_components(links), "components")
-    known = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    known = buckets.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_ = (known.join(mixed.select("key"), "key").join(sketches, "doc_id").withColumnRenamed("key", "group"))
+    open_ = (known.join(mixed.select("key"), "key").join(sketches, "node").withColumnRenamed("key", "group"))
     forest = _dealt(open_, BLOCK).mapInArrow(tidied(_candidate_forest(limit, percent)), "a long, b long")
-    clusters = written(connected_components(forest).withColumnRenamed("component", "group")
-                       .withColumnRenamed("node", "doc_id"), "clusters")
-    inside = (clusters.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-              .withColumn("component", F.coalesce("component", "doc_id")).join(sketches, "doc_id"))
-    inside = _texts(base, clusters).join(inside, "doc_id")
+    clusters = written(connected_components(forest).withColumnRenamed("component", "group"), "clusters")
+    inside = (clusters.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sketches, "node"))
+    inside = _texts(base, reps, clusters.select("node"), shingle).join(inside, "node")
     more = _dealt(inside, TEXT_BLOCK).mapInArrow(tidied(_block_links(shingle, limit, percent)), "a long, b long").distinct()
     roots = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = written(connected_components(roots.union(more)), "all-components")
-    return (rows.select("doc_id", *same_set).join(classes, same_set, "left")
-            .join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
-                    .alias("component_id"))
+    placed = homes.join(final, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_id = placed.join(smallest, "component").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return (rows.select("doc_id", "n_shingles").join(of_id, "doc_id", "left")
+            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 

@@ -37,7 +37,8 @@ HEX_DIGITS = re.compile(r"[0-9a-fA-F]+")
 #: hyphens, underscores or slashes (paths, identifiers), runs along the alphabet or keyboard, marked examples.
 ALLOWED = [re.compile(p) for p in (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"(?:sha(?:1|224|256|384|512)|md5)[-=].*", r"[0-9+/_=-]+", r"(?:[A-Za-z]+|[0-9]+)(?:[-_/+=]+(?:[A-Za-z]+|[0-9]+)?)*",
+    r"(?:sha(?:1|224|256|384|512)|md5)[-=].*", r"[0-9+/_=-]+",
+    r"(?:[A-Za-z]++|[0-9]++)(?:[-_/+=]++(?:[A-Za-z]++|[0-9]++)?+)*+",  # possessive: linear in any text
     r".*(?:abcdefgh|ABCDEFGH|01234567|12345678|qwertyui|QWERTYUI).*", r"(?i:.*(?:example|sample|dummy|placeholder).*)",
 )]
 #: Addresses on the allow-list: the host of a URL (behind any name and password), and all of an http path if that is

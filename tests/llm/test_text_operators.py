@@ -119,6 +119,28 @@ def test_near_duplicates_equal_brute_force(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == kept
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """Ids at several texts, at null and empty ones, and many rows of one id, around the similarity."""
+    rnd = random.Random(21)
+    base = prose(rnd, 60).split()
+
+    def variant(changed):
+        words = list(base)
+        for k in range(changed):
+            words[7 * k + 3] = f"other{k}"
+        return " ".join(words)
+    rows = [(5, variant(0)), (7, variant(1)), (7, None), (7, ""), (9, variant(2)), (9, prose(rnd, 40)), (11, variant(3)),
+            (12, rows_text := prose(rnd, 30)), (9, rows_text), (3, ""), (3, prose(rnd, 50)), (8, variant(1)), (8, None)]
+    assert near_rows(spark, rows) == brute_components(rows)
+    many = [(4, variant(k % 8) + f" tail{k % 40} more words here and there") for k in range(5000)] + [(6, variant(2)), (2, None)]
+    got = near_rows(spark, many)
+    assert len(got) == 5002 and {r[2] for r in got if r[0] == 4} == {4} and (2, 0, 2, True) in got
+
+
+def near_rows(spark, rows):
+    return sorted((tuple(r) for r in near_duplicates(documents(spark, rows)).collect()), key=str)
+
+
 def test_odd_sketch_limit_lets_real_links_pass():
     rnd = np.random.default_rng(5)
     limit, wrong = odd_limit(0.75), 0
@@ -244,6 +266,20 @@ def test_entropy_runs_beside_base_spans(text, want):
     assert secrets.secret_spans(text) == want
 
 
+@pytest.mark.parametrize("text", [
+    "Form" + "_" * 40 + "Q1", "Part" + "-" * 10_000 + "v2x9", "a1" + "=" * 10_000, "/" * 10_000 + "x1", "a-" * 5_000 + "1!",
+    "token" + " " * 10_000 + "x", "www." + "a-" * 5_000 + "1.com", "x" + "1." * 5_000 + "@", "a@" * 5_000 + "1", "AKIA" * 5_000,
+    "http://" + "a1" * 5_000 + "/" * 5_000, "(" * 10_000 + "+1 " + "2-" * 5_000, "a." * 5_000 + "@b." + "c." * 5_000 + "1",
+    "1 " * 5_000 + "x", "9" * 10_000, "password=" * 2_000 + "'" * 5_000, "example1" * 2_000, "a_" * 5_000 + "7" + "+" * 5_000,
+])
+def test_patterns_take_linear_time(text):
+    import time
+    began = time.perf_counter()
+    secrets.secret_spans(text)
+    pii.base_spans(text)
+    assert time.perf_counter() - began < 2
+
+
 def test_entropy_by_counts_equals_definition():
     rnd = random.Random(2)
     text = "".join(rnd.choice("abcde0123") for _ in range(60))
