@@ -44,6 +44,12 @@ def month_index(d: Column) -> Column:
     return F.year(d) * 12 + F.month(d)
 
 
+def year_month_of_index(mi: Column) -> Column:
+    """'yyyy-MM' of a ``month_index``."""
+    first = F.make_date(F.floor((mi - 1) / 12).cast("int"), ((mi - 1) % 12 + 1).cast("int"), F.lit(1))
+    return year_month(first)
+
+
 def seconds_of_day(text: Column) -> Column:
     """'HH:MM:SS' text to seconds after midnight; NULL when it does not parse."""
     parts = F.split(text, ":")

@@ -11,10 +11,11 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import month_index
+from ..functions.dates import year_month_of_index
 from ..functions.exact import percent, quotient, rounded_avg
 from ..functions.ordering import asc, desc
 from ..functions.text import pct_text
+from ..operators.activity import month_bitmaps
 from ..operators.aggregates import PANEL_STATUSES, moving_average
 from ..operators.ranking import ntile_maxima, rank_rows
 from .customer import COHORT_MONTHS, rfm_segmentation
@@ -26,27 +27,17 @@ from .timeseries import daily_revenue
 def cohort_retention_first_purchase(sales: DataFrame, months: int = COHORT_MONTHS) -> DataFrame:
     """cohort = a customer's first month (keyed by year-month); share active k months later.
 
-    Per customer (reduced map-side): the set of active months and the first
-    one; lookups of the k-th month after the first in that set; one small
-    aggregate per cohort.
+    Per customer (reduced map-side): a bitmap of the active months; the first is its lowest bit, "active k months
+    later" that bit shifted; one small aggregate per cohort.
     """
-    d = F.col("transaction_date")
-    per_customer = (sales.filter(F.col("customer_id").isNotNull() & d.isNotNull())
-                    .groupBy("customer_id")
-                    .agg(F.sort_array(F.collect_set(month_index(d))).alias("ms"), F.min(d).alias("first_day")))
-    first = F.element_at("ms", 1)
-
-    def active_after(k: int) -> F.Column:  # month first + k sits within the next k entries of the sorted set
-        if k == 0:
-            return F.lit(1).cast("long")
-        return F.coalesce(F.array_contains(F.slice("ms", 2, k), first + F.lit(k)), F.lit(False)).cast("long")
-
-    per = per_customer.select(F.date_format("first_day", "yyyy-MM").alias("Cohort_Month"),
-                              *[active_after(k).alias(f"m{k}") for k in range(months)])
-    g = per.groupBy("Cohort_Month").agg(F.count(F.lit(1)).alias("total_user_baru"),
-                                        *[F.sum(f"m{k}").alias(f"m{k}") for k in range(months)])
+    d = "transaction_date"
+    known = sales.select("customer_id", d).filter(F.col("customer_id").isNotNull() & F.col(d).isNotNull())
+    maps = month_bitmaps(known, "customer_id", d)
+    per = maps.rows.select(maps.first_month().alias("first"),
+                           *[maps.active_after_first(k).cast("long").alias(f"m{k}") for k in range(months)])
+    g = per.groupBy("first").agg(F.count(F.lit(1)).alias("total_user_baru"), *[F.sum(f"m{k}").alias(f"m{k}") for k in range(months)])
     pct = [pct_text(percent(F.col(f"m{k}"), F.col("total_user_baru"), 0)).alias(f"bulan_{k}") for k in range(months)]
-    return g.select("Cohort_Month", "total_user_baru", *pct).orderBy(asc("Cohort_Month"))
+    return g.select(year_month_of_index(F.col("first")).alias("Cohort_Month"), "total_user_baru", *pct).orderBy(asc("Cohort_Month"))
 
 
 def rfm_segmentation_best_high(sales: DataFrame, as_of: _dt.date) -> DataFrame:

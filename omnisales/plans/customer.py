@@ -6,13 +6,16 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.dates import MONTHS, month_index
+from ..functions.dates import MONTHS
 from ..functions.exact import percent, rounded_avg
 from ..functions.ordering import asc, desc, field_position
 from ..functions.text import money_text, pct_text
+from ..operators.activity import month_bitmaps
 from ..operators.aggregates import share_text
-from ..operators.ranking import rank_rows, rows_at, tile_ends
+from ..operators.ranking import rank_rows, tile_ends
+from ..operators.selection import Axis, rows_at_ranks
 from ..session import stored_copy
 
 # Month order of the cohort report (months after it sort first).
@@ -23,7 +26,6 @@ COHORT_MONTHS = 6  # month_0 .. month_5
 CHAMPIONS, LOYAL, AT_RISK, HIBERNATING, NEEDS_ATTENTION = (
     "Champions", "Loyal Customers", "At-Risk", "Hibernating", "Customers Needing Attention")
 RFM_TILES = 5
-AXIS = "decimal(38,4)"  # one type for the sort keys of all axes
 
 
 def skin_type_orders(sales: DataFrame) -> DataFrame:
@@ -71,44 +73,28 @@ def age_rating(sales: DataFrame) -> DataFrame:
             .orderBy(asc("Customer_Age"))
 
 
-def _name_of_month_index(mi: F.Column) -> F.Column:
-    return F.element_at(F.array(*[F.lit(m) for m in MONTHS]), ((mi - 1) % 12 + 1).cast("int"))  # mi = 12 * year + month
-
-
 def _cohort_counts(sales: DataFrame, months: int) -> DataFrame:
     """Per cohort month name: users and, for k in 0..months-1, users active k months later.
 
     The reference's cohort CTE has no MIN: every active month of a customer is
     a cohort, and its self-join pairs all rows of a customer before counting
     distinct customers. Only distinct customers are counted, so each customer
-    is reduced (map-side first) to the sorted set of months it was active in -
-    at most one entry per calendar month, whatever its row count. In a sorted
-    set of distinct months, month m + k can only sit within the next k
-    entries after m, so each cohort month checks at most ``months - 1``
-    neighbours by position (no pairs are emitted, no self-join). The rows stay
-    partitioned by customer, so merging years of the same month name per
-    customer needs no further shuffle; one small aggregate counts customers.
-    A NULL date forms its own NULL cohort with no activity after it.
+    is reduced (map-side first) to a bitmap of its months; a month with
+    activity k months later is a shift and an AND, folded to the twelve names.
+    One row of counts is left for the names (no pairs, no explode, no
+    self-join). A NULL date forms its own NULL cohort with no activity after.
     """
-    d = F.col("transaction_date")
-    per_customer = (sales.filter(F.col("customer_id").isNotNull())
-                    .groupBy("customer_id")
-                    .agg(F.sort_array(F.collect_set(F.coalesce(month_index(d), F.lit(-1)))).alias("ms")))
-    cohorts = per_customer.select("customer_id", "ms", F.posexplode("ms").alias("pos", "m"))
-    m, known = F.col("m"), F.col("m") >= 0
-
-    def active_after(k: int) -> F.Column:  # m + k can only be among the k entries after m
-        if k == 0:
-            return known
-        return known & F.coalesce(F.array_contains(F.slice("ms", F.col("pos") + 2, F.lit(k)), m + F.lit(k)),
-                                  F.lit(False))
-
-    name = F.when(known, _name_of_month_index(m))
-    per_name = cohorts.groupBy("customer_id", name.alias("Bulan_Akuisis")).agg(
-        *[F.max(active_after(k).cast("long")).alias(f"f{k}") for k in range(months)])
-    counts = per_name.groupBy("Bulan_Akuisis").agg(
-        F.count(F.lit(1)).alias("total_user_baru"),
-        *[F.sum(f"f{k}").alias(f"bulan_{k}") for k in range(months)])
+    d = "transaction_date"
+    known = sales.select("customer_id", d).filter(F.col("customer_id").isNotNull())
+    maps = month_bitmaps(known, "customer_id", d, F.max(F.col(d).isNull().cast("long")).alias("undated"))
+    folded = maps.rows.select("undated", *[maps.calendar_months(k).alias(f"m{k}") for k in range(months)])
+    totals = folded.agg(F.sum("undated").alias("undated"), *[
+        F.sum(F.shiftright(f"m{k}", j).bitwiseAND(F.lit(1))).alias(f"n{k}_{j}") for k in range(months) for j in range(12)])
+    none = [F.lit(0).cast("long").alias(f"bulan_{k}") for k in range(months)]
+    cohorts = [F.struct(F.lit(name).alias("Bulan_Akuisis"), F.col(f"n0_{j}").alias("total_user_baru"),
+                        *[F.col(f"n{k}_{j}").alias(f"bulan_{k}") for k in range(months)]) for j, name in enumerate(MONTHS)]
+    cohorts.append(F.struct(F.lit(None).cast("string").alias("Bulan_Akuisis"), F.col("undated").alias("total_user_baru"), *none))
+    counts = totals.select(F.explode(F.array(*cohorts)).alias("c")).select("c.*").filter(F.col("total_user_baru") > 0)
     order_no = field_position(F.col("Bulan_Akuisis"), COHORT_ORDER)
     month_no = field_position(F.col("Bulan_Akuisis"), MONTHS)
     return counts.orderBy(order_no, month_no, asc("Bulan_Akuisis"))
@@ -148,11 +134,13 @@ def _rfm_axes(best_high: bool) -> list[tuple[str, str, bool]]:
     return [("r_score", "recency", best_high), ("f_score", "frequency", not best_high), ("m_score", "monetary", not best_high)]
 
 
-def _axis_key(measure: str, descending: bool) -> tuple[F.Column, F.Column]:
-    """Ascending sort keys of an axis: where NULLs go (first ascending, last descending), then the signed value."""
-    value = F.col(measure).cast(AXIS)
+def _axis(measure: str, kind: T.DataType, descending: bool) -> Axis:
+    """NULLs go first ascending and last descending; the measure as a whole number (amounts in their smallest unit)."""
+    scale = kind.scale if isinstance(kind, T.DecimalType) else 0
+    value = (F.col(measure) * F.lit(10 ** scale)).cast("long") if scale else F.col(measure).cast("long")
+    value = F.coalesce(-value if descending else value, F.lit(0).cast("long"))
     nulls = F.col(measure).isNull() if descending else F.col(measure).isNotNull()
-    return nulls.cast("int"), (-value).cast(AXIS) if descending else value
+    return Axis(nulls.cast("int"), value)
 
 
 def rfm_scores(sales: DataFrame, as_of: _dt.date, best_high: bool = False) -> DataFrame:
@@ -160,41 +148,29 @@ def rfm_scores(sales: DataFrame, as_of: _dt.date, best_high: bool = False) -> Da
 
     Faithful orders: recency ASC, frequency DESC, monetary DESC (tile 1 is the
     best customer), ties by customer. ``best_high`` reverses them so that 5 is
-    the best. The customer table is written once. Of each axis only the
-    customers that end the tiles are looked up, all axes in one distributed
-    sort; a score is then 1 + the number of tile ends the customer comes
-    after, a plain expression per row.
+    the best. The customer table is written once and never sorted: the
+    customers that end the tiles of all axes are found by counting
+    (``rows_at_ranks``); a score is then 1 + the number of tile ends the
+    customer comes after, a plain expression per row. Amounts are exact below
+    9.2e18 of their smallest unit.
     """
     raw = stored_copy(rfm_raw(sales, as_of), "rfm")
-    axes = _rfm_axes(best_high)
-    keys = [_axis_key(measure, descending) for _, measure, descending in axes]
-    stacked = raw.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("axis"), nulls.alias("nulls"), key.alias("key"), F.col("customer_id").alias("id"))
-        for i, (nulls, key) in enumerate(keys)])).alias("a")).select("a.*")
-    order = [F.col("axis").asc(), F.col("nulls").asc(), F.col("key").asc(), asc("id")]
+    measures = _rfm_axes(best_high)
+    axes = [_axis(measure, raw.schema[measure].dataType, descending) for _, measure, descending in measures]
 
     def inner_ends(total: int) -> list[int]:
         return [e for e in tile_ends(total, RFM_TILES)[:-1] if 0 < e < total]
 
-    def wanted(rows: int) -> list[int]:
-        each = rows // len(axes)
-        return [i * each + e for i in range(len(axes)) for e in inner_ends(each)]
-
-    rows, cuts = rows_at(stacked, order, wanted)
-    total = rows // len(axes)
+    total, cuts = rows_at_ranks(raw, axes, "customer_id", lambda n: sorted(set(inner_ends(n))))
     ends = inner_ends(total)
     scores = []
-    for i, (score, _, _) in enumerate(axes):
-        nulls, key = keys[i]
+    for (score, _, _), axis, at in zip(measures, axes, cuts):
         tile = F.lit(1).cast("long")
-        for e in sorted(set(ends)):
-            c = cuts[i * total + e]
-            same = nulls == F.lit(c["nulls"])
-            at = F.lit(c["key"]).cast(AXIS)
-            later_id = (F.col("customer_id").isNotNull() if c["id"] is None
-                        else F.coalesce(F.col("customer_id") > F.lit(c["id"]), F.lit(False)))
-            after = (nulls > F.lit(c["nulls"])) | same & (F.coalesce(key > at, F.lit(False)) | key.eqNullSafe(at) & later_id)
-            tile = tile + after.cast("long") * F.lit(ends.count(e))
+        for e, cut in at.items():
+            later_id = (F.col("customer_id").isNotNull() if cut.id is None
+                        else F.coalesce(F.col("customer_id") > F.lit(cut.id), F.lit(False)))
+            tied = (axis.nulls == cut.nulls) & ((axis.value > cut.value) | (axis.value == cut.value) & later_id)
+            tile = tile + ((axis.nulls > cut.nulls) | tied).cast("long") * F.lit(ends.count(e))
         scores.append(tile.alias(score))
     return raw.select("*", *scores)
 
