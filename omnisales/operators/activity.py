@@ -15,8 +15,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import month_index
-
 SPAN, MOST_AHEAD = 48, 15
 _OWN = (1 << SPAN) - 1
 
@@ -29,42 +27,31 @@ class Bitmaps:
     start: int
     words: int
 
-    def active(self, word: int, after: int = 0) -> Column:
-        """The word's own months in which the key was active, and ``after`` months later again."""
-        bits = F.col(f"bits{word}")
-        again = bits.bitwiseAND(F.shiftright(bits, after)) if after else bits
-        return again.bitwiseAND(F.lit(_OWN))
-
     def calendar_months(self, after: int = 0) -> Column:
-        """As ``active``, by month of the year: 12 bits, January lowest, of all years together."""
-        years = None
-        for word in range(self.words):
-            bits = self.active(word, after)
-            for shift in range(0, SPAN, 12):
-                year = F.shiftright(bits, shift) if shift else bits
-                years = year if years is None else years.bitwiseOR(year)
-        return years.bitwiseAND(F.lit(0xFFF))
+        """Months of the year, of all years together, in which the key was active and ``after`` months later again: 12
+        bits, January lowest."""
+        years = [f"shiftright({self._own(word, after)}, {shift})" for word in range(self.words) for shift in range(0, SPAN, 12)]
+        return F.expr(f"({' | '.join(years)}) & {0xFFF}L")
 
     def first_month(self) -> Column:
         """Month index of the first active month; NULL if there is none."""
-        found = []
-        for word in range(self.words):
-            lowest = self._lowest(word)
-            found.append(F.when(lowest != 0, F.bit_count(lowest - 1) + F.lit(self.start + SPAN * word)))
-        return F.coalesce(*found)
+        found = [f"if({self._own(word)} = 0, null, bit_count({self._lowest(word)} - 1) + {self.start + SPAN * word})"
+                 for word in range(self.words)]
+        return F.expr(f"coalesce({', '.join([*found, 'null'])})")
 
     def active_after_first(self, after: int) -> Column:
         """Whether the key was active ``after`` months after its first active month."""
-        said = F.lit(False)
-        for word in reversed(range(self.words)):
-            lowest = self._lowest(word)
-            later = F.shiftright(F.col(f"bits{word}"), after) if after else F.col(f"bits{word}")
-            said = F.when(lowest != 0, later.bitwiseAND(lowest) != 0).otherwise(said)
-        return said
+        cases = [f"when {self._own(word)} <> 0 then (shiftright(bits{word}, {after}) & {self._lowest(word)}) <> 0"
+                 for word in range(self.words)]
+        return F.expr(f"case {' '.join(cases)} else false end")
+
+    def _own(self, word: int, after: int = 0) -> str:
+        """The word's own months in which the key was active, and ``after`` months later again."""
+        again = f" & shiftright(bits{word}, {after})" if after else ""
+        return f"(bits{word}{again} & {_OWN}L)"
 
-    def _lowest(self, word: int) -> Column:
-        own = self.active(word)
-        return own.bitwiseAND(-own)
+    def _lowest(self, word: int) -> str:
+        return f"({self._own(word)} & -{self._own(word)})"
 
 
 def month_bitmaps(df: DataFrame, key: str, date: str, *others: Column) -> Bitmaps:
@@ -73,13 +60,10 @@ def month_bitmaps(df: DataFrame, key: str, date: str, *others: Column) -> Bitmap
     ends = df.agg(F.min(F.year(date)).alias("low"), F.max(F.year(date)).alias("high")).first()
     low, high = (ends["low"], ends["high"]) if ends["low"] is not None else (0, 0)
     start, words = 12 * low + 1, (12 * (high - low + 1) + SPAN - 1) // SPAN
-    offset = F.col("_month") - F.lit(start)
+    month = f"(year({date}) * 12 + month({date}) - {start})"
 
     def bits(word: int) -> Column:
-        at = offset - F.lit(SPAN * word)
-        inside = (at >= 0) & (at < SPAN + MOST_AHEAD)
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), at)
-        return F.bit_or(F.when(inside, bit).otherwise(F.lit(0).cast("long"))).alias(f"bits{word}")
+        at = f"({month} - {SPAN * word})"
+        return F.expr(f"bit_or(if({at} >= 0 and {at} < {SPAN + MOST_AHEAD}, shiftleft(1L, {at}), 0L))").alias(f"bits{word}")
 
-    rows = df.withColumn("_month", month_index(F.col(date)))
-    return Bitmaps(rows.groupBy(key).agg(*[bits(w) for w in range(words)], *others), start, words)
+    return Bitmaps(df.groupBy(key).agg(*[bits(w) for w in range(words)], *others), start, words)

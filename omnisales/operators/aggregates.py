@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exact import percent
 from ..functions.text import pct_text
 from ..functions.ordering import asc, desc, field_position
-from ..operators.ranking import numbered, ordered_copy, part_of
+from ..operators.ranking import numbered, ordered_copy
 
 # Delivery statuses of the panels, in panel order.
 PANEL_STATUSES = ("Cancelled", "Returned", "Delivered")
@@ -43,8 +43,7 @@ def status_panel(sales: DataFrame, entity: str, measures: dict[str, Column], ran
     ranks and shares come from one window partitioned by status. Otherwise
     the (entity, status) groups are written once, ordered by (status, measure,
     entity); ranks are positions in that order minus each status's offset, and
-    shares come from per-status totals, both from one small aggregate of the
-    copy.
+    shares come from per-status totals, both observed in the pass that writes.
     """
     grouped = (sales.filter(F.col("delivery_status").isin(*statuses))
                .groupBy(entity, "delivery_status")
@@ -52,27 +51,20 @@ def status_panel(sales: DataFrame, entity: str, measures: dict[str, Column], ran
     order = [desc(rank_measure), asc(entity)]
     if not bounded:
         status_no = field_position(F.col("delivery_status"), list(statuses))
-        copy = ordered_copy(grouped.withColumn("_s", status_no), [F.col("_s").asc()] + order)
-        counted = copy.groupBy(part_of(), "delivery_status").agg(
-            F.count(F.lit(1)).alias("n"), *([F.sum(ratio_measure).alias("t")] if ratio_measure else [])).collect()
-        sizes: dict[int, int] = {}
-        rows = dict.fromkeys(statuses, 0)
-        totals: dict = {}
-        for r in counted:  # at most one row per partition and status
-            sizes[r["_part"]] = sizes.get(r["_part"], 0) + r["n"]
-            rows[r["delivery_status"]] += r["n"]
-            if ratio_measure and r["t"] is not None:
-                totals[r["delivery_status"]] = totals.get(r["delivery_status"], 0) + r["t"]
+        each = [F.count_if(F.col("delivery_status") == st).alias(f"n{i}") for i, st in enumerate(statuses)]
+        if ratio_measure:
+            each += [F.sum(F.when(F.col("delivery_status") == st, F.col(ratio_measure))).alias(f"t{i}") for i, st in enumerate(statuses)]
+        copy = ordered_copy(grouped.withColumn("_s", status_no), [F.col("_s").asc()] + order, *each)
         offset, start = F.lit(0), 0
-        for s in statuses:
-            offset = F.when(F.col("delivery_status") == s, F.lit(start)).otherwise(offset)
-            start += rows[s]
-        ranked = numbered(copy, list(sizes.items()), "_pos")
-        ranked = ranked.withColumn("rn", F.col("_pos") - offset).drop("_s", "_pos")
+        for i, st in enumerate(statuses):
+            offset = F.when(F.col("delivery_status") == st, F.lit(start)).otherwise(offset)
+            start += copy.metrics[f"n{i}"] or 0
+        ranked = numbered(copy, "_pos").withColumn("rn", F.col("_pos") - offset).drop("_s", "_pos")
         if ratio_measure:
             total = F.lit(None).cast("decimal(38,0)")
-            for s, t in totals.items():
-                total = F.when(F.col("delivery_status") == s, F.lit(t)).otherwise(total)
+            for i, st in enumerate(statuses):
+                if copy.metrics[f"t{i}"] is not None:
+                    total = F.when(F.col("delivery_status") == st, F.lit(copy.metrics[f"t{i}"])).otherwise(total)
             ranked = ranked.withColumn("Ratio", pct_text(percent(F.col(ratio_measure), total, ratio_digits)))
     else:
         by_status = Window.partitionBy("delivery_status")

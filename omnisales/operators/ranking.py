@@ -7,12 +7,13 @@ Two kinds of input are ranked:
   ``Window.orderBy`` in one task;
 * rows whose number grows with the data (customers, products): ``positions``
   and ``rows_at`` below. One range shuffle sorts them; a row's number is its
-  place in its partition plus the sizes of the partitions before it. No task
-  holds more than one range, and there is one plan for every size.
+  place in its partition plus the sizes of the partitions before it, which
+  are observed in the same pass. No task holds more than one range, and there
+  is one plan for every size.
 
 NTILE needs no rank of every row: the rows that end the tiles are enough
-(``rows_at``), and for exact numbers the values there come from counting
-(``ntile_maxima``) without any sort.
+(``selection.rows_at_ranks``), and for exact numbers the values there come
+from counting (``ntile_maxima``) without any sort.
 
 Every order passed in must end with a unique key, so ranks and tiles are
 deterministic (the reference's ROW_NUMBER / NTILE have no tie-break).
@@ -20,10 +21,12 @@ deterministic (the reference's ROW_NUMBER / NTILE have no tie-break).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegralType
 
@@ -50,65 +53,74 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int, name: str = "Ranking")
     return rank_rows(df.orderBy(*order).limit(k), order, name)
 
 
-def ordered_copy(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """``df`` range-partitioned, sorted and written with ``_mid``, the row's partition and place in it.
-
-    Sampled bounds split hot values because the order ends with a unique key.
-    The copy is written so that row numbers and sizes come from one
-    materialised order.
-    """
-    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
-    return stored_copy(ranged.withColumn("_mid", F.monotonically_increasing_id()), "ordered")
+@dataclass(frozen=True)
+class OrderedCopy:
+    """Rows in a total order, written; what was observed while they were: the size of each partition, and ``metrics``."""
 
+    rows: DataFrame
+    sizes: list[tuple[int, int]]
+    metrics: dict
 
-def part_of() -> Column:
-    return F.shiftright("_mid", PLACE_BITS).alias("_part")
+    def first_positions(self) -> list[tuple[int, int, int]]:
+        """Number, first position and size of each partition."""
+        found, at = [], 1
+        for p, n in sorted(self.sizes):
+            found.append((p, at, n))
+            at += n
+        return found
 
+    @property
+    def total(self) -> int:
+        return sum(n for _, n in self.sizes)
 
-def _first_positions(sizes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Number, first position and size of each partition."""
-    found, at = [], 1
-    for p, n in sorted(sizes):
-        found.append((p, at, n))
-        at += n
-    return found
 
+def ordered_copy(df: DataFrame, order: Sequence[Column], *metrics: Column) -> OrderedCopy:
+    """``df`` range-partitioned, sorted and written with ``_mid``, the row's partition and place in it.
 
-def _sizes(copy: DataFrame) -> list[tuple[int, int]]:
-    """One row per partition."""
-    return [(r["_part"], r["n"]) for r in copy.groupBy(part_of()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    Sampled bounds split hot values because the order ends with a unique key.
+    Partition sizes (a histogram with a bin for each partition, so exact) and
+    the aggregates ``metrics`` are observed in the pass that writes: no job
+    counts afterwards.
+    """
+    partitions = shuffle_partitions(df.sparkSession)
+    ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    ranged = ranged.withColumn("_mid", F.monotonically_increasing_id())
+    seen = Observation(f"ordered-{uuid.uuid4().hex}")
+    sizes = F.histogram_numeric(F.shiftright("_mid", PLACE_BITS), F.lit(max(partitions, 2))).alias("_sizes")
+    rows = stored_copy(ranged.observe(seen, sizes, *metrics), "ordered")
+    got = dict(seen.get)
+    return OrderedCopy(rows, [(int(b["x"]), int(b["y"])) for b in got.pop("_sizes") or []], got)
 
 
 def positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """1-based position of every row in a total ``order``."""
-    copy = ordered_copy(df, order)
-    return numbered(copy, _sizes(copy), name)
+    return numbered(ordered_copy(df, order), name)
 
 
-def numbered(copy: DataFrame, sizes: list[tuple[int, int]], name: str) -> DataFrame:
-    """The rows of an ``ordered_copy`` with their positions, given its partitions' sizes."""
-    parts, spark = _first_positions(sizes), copy.sparkSession
-    first = spark.createDataFrame([(p, at) for p, at, _ in parts], "_part long, _first long")
+def numbered(copy: OrderedCopy, name: str) -> DataFrame:
+    """The rows of an ``ordered_copy`` with their positions."""
+    before = [0] * (max((p for p, _ in copy.sizes), default=0) + 1)
+    for p, at, _ in copy.first_positions():
+        before[p] = at
     place = F.col("_mid").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-    # one row per partition: bounded by their number
-    out = copy.withColumn("_part", part_of()).join(F.broadcast(first), "_part")
-    return out.withColumn(name, F.col("_first") + place).drop("_part", "_first", "_mid")
+    # One number per partition, as one literal.
+    first = F.split(F.lit(",".join(map(str, before))), ",")
+    start = F.element_at(first, (F.shiftright("_mid", PLACE_BITS) + 1).cast("int")).cast("long")
+    return copy.rows.withColumn(name, start + place).drop("_mid")
 
 
 def rows_at(df: DataFrame, order: Sequence[Column], wanted: Callable[[int], Sequence[int]]) -> tuple[int, dict[int, Row]]:
     """The number of rows, and the rows at the 1-based positions of a total ``order`` that ``wanted`` gives for it."""
     copy = ordered_copy(df, order)
-    parts = _first_positions(_sizes(copy))
-    total = sum(n for _, _, n in parts)
     mids = {}
-    for w in wanted(total):
-        for p, at, n in parts:
+    for w in wanted(copy.total):
+        for p, at, n in copy.first_positions():
             if at <= w < at + n:
                 mids[(p << PLACE_BITS) + w - at] = w
     if not mids:
-        return total, {}
-    rows = copy.filter(F.col("_mid").isin(*mids)).collect()
-    return total, {mids[r["_mid"]]: r for r in rows}
+        return copy.total, {}
+    rows = copy.rows.filter(F.col("_mid").isin(*mids)).collect()
+    return copy.total, {mids[r["_mid"]]: r for r in rows}
 
 
 def tile_ends(total: int, tiles: int) -> list[int]:

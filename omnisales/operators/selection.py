@@ -15,7 +15,7 @@ import os
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType
 
@@ -27,10 +27,10 @@ CHUNK = 6
 
 @dataclass(frozen=True)
 class Axis:
-    """``nulls``: 0 for rows in front, 1 for rows behind; ``value``: a long that is 0 for rows whose measure is NULL."""
+    """SQL of ``nulls``: 0 for rows in front, 1 for rows behind; ``value``: a long, 0 for rows whose measure is NULL."""
 
-    nulls: Column
-    value: Column
+    nulls: str
+    value: str
 
 
 @dataclass(frozen=True)
@@ -65,9 +65,8 @@ def rows_at_ranks(df: DataFrame, axes: Sequence[Axis], id_col: str,
     kind = df.schema[id_col].dataType
     if not isinstance(kind, (IntegralType, StringType)):
         raise TypeError(f"ids have to be integers or text, not {kind.simpleString()}")
-    ids = _Ids(F.col("id"), isinstance(kind, StringType))
-    base = df.select(*[x for i, a in enumerate(axes) for x in (a.nulls.alias(f"n{i}"), a.value.cast("long").alias(f"v{i}"))],
-                     F.col(id_col).alias("id"))
+    ids = _Ids(isinstance(kind, StringType))
+    base = df.selectExpr(*[x for i, a in enumerate(axes) for x in (f"{a.nulls} as n{i}", f"{a.value} as v{i}")], f"`{id_col}` as id")
     total, buckets = _first_count(base, len(axes))
     pending: dict[tuple[int, int], tuple[_Bucket, int]] = {}
     for i in range(len(axes)):
@@ -93,17 +92,15 @@ def rows_at_ranks(df: DataFrame, axes: Sequence[Axis], id_col: str,
 class _Ids:
     """Numbers that keep the order of ids."""
 
-    column: Column
     text: bool
 
-    def number(self, offset: int) -> Column:
+    def number(self, offset: int) -> str:
         """Of an integer itself; of a text its ``CHUNK`` bytes from ``offset`` on, then how many bytes are left."""
         if not self.text:
-            return self.column.cast("decimal(20,0)")
-        raw = self.column.cast("binary")
-        digits = F.rpad(F.hex(F.substring(raw, offset + 1, CHUNK)), 2 * CHUNK, "0")
-        left = F.least(F.greatest(F.octet_length(raw) - offset, F.lit(0)), F.lit(CHUNK + 1))
-        return (F.conv(digits, 16, 10).cast("long") * (CHUNK + 2) + left).cast("decimal(20,0)")
+            return "cast(id as decimal(20,0))"
+        digits = f"rpad(hex(substring(cast(id as binary), {offset + 1}, {CHUNK})), {2 * CHUNK}, '0')"
+        left = f"least(greatest(octet_length(id) - {offset}, 0), {CHUNK + 1})"
+        return f"cast(cast(conv({digits}, 16, 10) as long) * {CHUNK + 2} + {left} as decimal(20,0))"
 
     def number_of(self, value: object, offset: int) -> int:
         if not self.text:
@@ -117,15 +114,10 @@ class _Ids:
 
 def _first_count(base: DataFrame, axes: int) -> tuple[int, list[list[_Bucket]]]:
     """Of each axis, its buckets in order: by NULL, sign and leading digits of the number."""
-    def parts(i: int) -> Column:
-        size = F.abs(F.col(f"v{i}"))
-        digits = F.when(size == 0, F.lit(0)).otherwise(F.lit(64) - _leading_zeros(size))
-        shift = F.greatest(digits - DIGITS, F.lit(0))
-        return F.struct(F.lit(i).alias("axis"), F.col(f"n{i}").alias("nulls"), F.signum(f"v{i}").cast("int").alias("sign"),
-                        shift.cast("int").alias("shift"), F.call_function("shiftright", size, shift.cast("int")).alias("top"))
-
-    rows = (base.select(F.explode(F.array(*map(parts, range(axes)))).alias("p"), "id")
-            .groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).collect())
+    parts = [f"named_struct('axis', {i}, 'nulls', n{i}, 'sign', cast(signum(v{i}) as int), "
+             f"'shift', greatest(length(bin(abs(v{i}))) - {DIGITS}, 0), "
+             f"'top', shiftright(abs(v{i}), greatest(length(bin(abs(v{i}))) - {DIGITS}, 0)))" for i in range(axes)]
+    rows = _counted(base.selectExpr(f"explode(array({', '.join(parts)})) as p", "id"))
     found: list[list[_Bucket]] = [[] for _ in range(axes)]
     for r in rows:
         p = r["p"]
@@ -137,11 +129,8 @@ def _first_count(base: DataFrame, axes: int) -> tuple[int, list[list[_Bucket]]]:
     return sum(b.count for b in found[0]) if found else 0, found
 
 
-def _leading_zeros(size: Column) -> Column:
-    """Of a positive long: its highest bit is spread to all lower ones, which are counted."""
-    for k in (1, 2, 4, 8, 16, 32):
-        size = size.bitwiseOR(F.shiftright(size, k))
-    return F.lit(64) - F.bit_count(size)
+def _counted(rows: DataFrame) -> list[Row]:
+    return rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).collect()
 
 
 def _place(buckets: Sequence[_Bucket], rank: int) -> tuple[_Bucket, int]:
@@ -153,24 +142,27 @@ def _place(buckets: Sequence[_Bucket], rank: int) -> tuple[_Bucket, int]:
     raise ValueError("a rank beyond the rows, or the rows changed between scans")
 
 
-def _inside(b: _Bucket, ids: _Ids) -> Column:
-    i = b.axis
-    test = (F.col(f"n{i}") == b.nulls) & F.col(f"v{i}").between(F.lit(b.low), F.lit(b.high))
+def _inside(b: _Bucket, ids: _Ids) -> str:
+    tests = [f"n{b.axis} = {b.nulls}", f"v{b.axis} between {b.low}L and {b.high}L"]
     if b.only_null_id:
-        return test & F.col("id").isNull()
-    for offset, least, most in b.ids:
-        test = test & F.col("id").isNotNull() & ids.number(offset).between(F.lit(least), F.lit(most))
-    return test
+        tests.append("id is null")
+    tests += [f"id is not null and {ids.number(offset)} between {least}BD and {most}BD" for offset, least, most in b.ids]
+    return " and ".join(tests)
+
+
+def _chosen(base: DataFrame, cases: list[tuple[str, str]]) -> DataFrame:
+    """For each row, the structs ``p`` of the cases (test, struct) that hold for it."""
+    each = ", ".join(f"if({test}, {value}, null)" for test, value in cases)
+    return base.selectExpr(f"explode(filter(array({each}), x -> x is not null)) as p", "id")
 
 
 def _fetch(base: DataFrame, ids: _Ids, buckets: list[_Bucket]) -> dict[_Bucket, list[Found]]:
     """The rows of small buckets, in order."""
-    each = [F.when(_inside(b, ids), F.struct(F.lit(k).alias("k"), F.col(f"v{b.axis}").alias("v"))) for k, b in enumerate(buckets)]
-    rows = base.select(F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x"), "id").collect()
+    rows = _chosen(base, [(_inside(b, ids), f"named_struct('k', {k}, 'v', v{b.axis})") for k, b in enumerate(buckets)]).collect()
     found: dict[_Bucket, list[Found]] = {b: [] for b in buckets}
     for r in rows:
-        b = buckets[r["x"]["k"]]
-        found[b].append(Found(b.nulls, r["x"]["v"], r["id"]))
+        b = buckets[r["p"]["k"]]
+        found[b].append(Found(b.nulls, r["p"]["v"], r["id"]))
     for b, members in found.items():
         if len(members) != b.count:
             raise RuntimeError("the rows changed between scans")
@@ -180,28 +172,27 @@ def _fetch(base: DataFrame, ids: _Ids, buckets: list[_Bucket]) -> dict[_Bucket,
 
 def _count_again(base: DataFrame, ids: _Ids, buckets: list[_Bucket]) -> dict[_Bucket, list[_Bucket]]:
     """Each large bucket as smaller ones, in order: by further digits of its numbers or, where that is one, of its ids."""
-    each, steps = [], []
+    cases, steps = [], []
     for k, b in enumerate(buckets):
         if b.low < b.high:
+            offset, least = 0, b.low
             shift = max((b.high - b.low).bit_length() - DIGITS, 0)
-            digit = F.shiftright(F.col(f"v{b.axis}") - F.lit(b.low), shift)
-            steps.append((shift, 0, b.low))
+            digit = f"cast(v{b.axis} as decimal(20,0))"
         else:
-            offset = 0
-            if ids.text:
-                offset = len(os.path.commonprefix([b.least_id.encode(), b.most_id.encode()]))
+            offset = len(os.path.commonprefix([b.least_id.encode(), b.most_id.encode()])) if ids.text else 0
             least, most = ids.number_of(b.least_id, offset), ids.number_of(b.most_id, offset)
             shift = max((most - least).bit_length() - DIGITS, 0)
-            digit = F.call_function("div", ids.number(offset) - F.lit(least).cast("decimal(20,0)"), F.lit(1 << shift).cast("decimal(20,0)"))
-            digit = F.when(F.col("id").isNull(), F.lit(-1).cast("long")).otherwise(digit)
-            steps.append((shift, offset, least))
-        each.append(F.when(_inside(b, ids), F.struct(F.lit(k).alias("k"), digit.cast("long").alias("digit"))))
-    rows = (base.select(F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x"), "id")
-            .groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).collect())
+            digit = ids.number(offset)
+        digit = f"({digit} - {least}BD) div {1 << shift}BD"
+        if b.low == b.high:
+            digit = f"if(id is null, -1L, {digit})"
+        steps.append((shift, offset, least))
+        cases.append((_inside(b, ids), f"named_struct('k', {k}, 'digit', {digit})"))
+    rows = _counted(_chosen(base, cases))
     finer: dict[_Bucket, list[_Bucket]] = {b: [] for b in buckets}
-    for r in sorted(rows, key=lambda r: r["x"]["digit"]):
-        b, (shift, offset, least) = buckets[r["x"]["k"]], steps[r["x"]["k"]]
-        digit = r["x"]["digit"]
+    for r in sorted(rows, key=lambda r: r["p"]["digit"]):
+        b, (shift, offset, least) = buckets[r["p"]["k"]], steps[r["p"]["k"]]
+        digit = r["p"]["digit"]
         first, last = least + (digit << shift), least + ((digit + 1) << shift) - 1
         part = replace(b, count=r["n"], least_id=r["least"], most_id=r["most"])
         if b.low < b.high:
@@ -212,3 +203,17 @@ def _count_again(base: DataFrame, ids: _Ids, buckets: list[_Bucket]) -> dict[_Bu
             part = replace(part, ids=(*b.ids, (offset, first, last)))
         finer[b].append(part)
     return finer
+
+
+def tile_number(axis: Axis, id_col: str, ends: Sequence[tuple[Found, int]]) -> Column:
+    """1 + how many tiles end before a row: of ``ends`` (the last row of a tile, how many tiles end there)."""
+    parts = ["1L"]
+    for end, times in ends:
+        if end.id is None:
+            later = f"`{id_col}` is not null"
+        else:
+            at = f"cast(X'{end.id.encode().hex()}' as string)" if isinstance(end.id, str) else f"{end.id}L"
+            later = f"coalesce(`{id_col}` > {at}, false)"
+        tied = f"{axis.nulls} = {end.nulls} and ({axis.value} > {end.value}L or {axis.value} = {end.value}L and {later})"
+        parts.append(f"if({axis.nulls} > {end.nulls} or {tied}, {times}L, 0L)")
+    return F.expr(" + ".join(parts))

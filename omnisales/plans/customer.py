@@ -15,7 +15,7 @@ from ..functions.text import money_text, pct_text
 from ..operators.activity import month_bitmaps
 from ..operators.aggregates import share_text
 from ..operators.ranking import rank_rows, tile_ends
-from ..operators.selection import Axis, rows_at_ranks
+from ..operators.selection import Axis, rows_at_ranks, tile_number
 from ..session import stored_copy
 
 # Month order of the cohort report (months after it sort first).
@@ -81,20 +81,20 @@ def _cohort_counts(sales: DataFrame, months: int) -> DataFrame:
     distinct customers. Only distinct customers are counted, so each customer
     is reduced (map-side first) to a bitmap of its months; a month with
     activity k months later is a shift and an AND, folded to the twelve names.
-    One row of counts is left for the names (no pairs, no explode, no
-    self-join). A NULL date forms its own NULL cohort with no activity after.
+    A customer then counts once in each of its names (no pairs, no self-join).
+    A NULL date forms its own NULL cohort with no activity after.
     """
     d = "transaction_date"
     known = sales.select("customer_id", d).filter(F.col("customer_id").isNotNull())
     maps = month_bitmaps(known, "customer_id", d, F.max(F.col(d).isNull().cast("long")).alias("undated"))
     folded = maps.rows.select("undated", *[maps.calendar_months(k).alias(f"m{k}") for k in range(months)])
-    totals = folded.agg(F.sum("undated").alias("undated"), *[
-        F.sum(F.shiftright(f"m{k}", j).bitwiseAND(F.lit(1))).alias(f"n{k}_{j}") for k in range(months) for j in range(12)])
-    none = [F.lit(0).cast("long").alias(f"bulan_{k}") for k in range(months)]
-    cohorts = [F.struct(F.lit(name).alias("Bulan_Akuisis"), F.col(f"n0_{j}").alias("total_user_baru"),
-                        *[F.col(f"n{k}_{j}").alias(f"bulan_{k}") for k in range(months)]) for j, name in enumerate(MONTHS)]
-    cohorts.append(F.struct(F.lit(None).cast("string").alias("Bulan_Akuisis"), F.col("undated").alias("total_user_baru"), *none))
-    counts = totals.select(F.explode(F.array(*cohorts)).alias("c")).select("c.*").filter(F.col("total_user_baru") > 0)
+    # Of each customer its cohorts: the names of its months (0 to 11), and 12 for rows without a date.
+    cohorts = folded.select("*", F.explode(F.expr(
+        "filter(sequence(0, 12), j -> if(j = 12, undated = 1, shiftright(m0, j) & 1 = 1))")).alias("j"))
+    counts = cohorts.groupBy("j").agg(F.count(F.lit(1)).alias("total_user_baru"), *[
+        F.expr(f"sum(if(j = 12, 0L, shiftright(m{k}, j) & 1L))").alias(f"bulan_{k}") for k in range(months)])
+    name = F.when(F.col("j") < 12, F.element_at(F.lit([*MONTHS, ""]), F.col("j") + 1))
+    counts = counts.select(name.alias("Bulan_Akuisis"), "total_user_baru", *[f"bulan_{k}" for k in range(months)])
     order_no = field_position(F.col("Bulan_Akuisis"), COHORT_ORDER)
     month_no = field_position(F.col("Bulan_Akuisis"), MONTHS)
     return counts.orderBy(order_no, month_no, asc("Bulan_Akuisis"))
@@ -136,11 +136,9 @@ def _rfm_axes(best_high: bool) -> list[tuple[str, str, bool]]:
 
 def _axis(measure: str, kind: T.DataType, descending: bool) -> Axis:
     """NULLs go first ascending and last descending; the measure as a whole number (amounts in their smallest unit)."""
-    scale = kind.scale if isinstance(kind, T.DecimalType) else 0
-    value = (F.col(measure) * F.lit(10 ** scale)).cast("long") if scale else F.col(measure).cast("long")
-    value = F.coalesce(-value if descending else value, F.lit(0).cast("long"))
-    nulls = F.col(measure).isNull() if descending else F.col(measure).isNotNull()
-    return Axis(nulls.cast("int"), value)
+    unit = f" * {10 ** kind.scale}" if isinstance(kind, T.DecimalType) and kind.scale else ""
+    nulls = f"{measure} is null" if descending else f"{measure} is not null"
+    return Axis(f"cast({nulls} as int)", f"coalesce({'-' if descending else ''}cast({measure}{unit} as long), 0L)")
 
 
 def rfm_scores(sales: DataFrame, as_of: _dt.date, best_high: bool = False) -> DataFrame:
@@ -163,15 +161,8 @@ def rfm_scores(sales: DataFrame, as_of: _dt.date, best_high: bool = False) -> Da
 
     total, cuts = rows_at_ranks(raw, axes, "customer_id", lambda n: sorted(set(inner_ends(n))))
     ends = inner_ends(total)
-    scores = []
-    for (score, _, _), axis, at in zip(measures, axes, cuts):
-        tile = F.lit(1).cast("long")
-        for e, cut in at.items():
-            later_id = (F.col("customer_id").isNotNull() if cut.id is None
-                        else F.coalesce(F.col("customer_id") > F.lit(cut.id), F.lit(False)))
-            tied = (axis.nulls == cut.nulls) & ((axis.value > cut.value) | (axis.value == cut.value) & later_id)
-            tile = tile + ((axis.nulls > cut.nulls) | tied).cast("long") * F.lit(ends.count(e))
-        scores.append(tile.alias(score))
+    scores = [tile_number(axis, "customer_id", [(at[e], ends.count(e)) for e in sorted(at)]).alias(score)
+              for (score, _, _), axis, at in zip(measures, axes, cuts)]
     return raw.select("*", *scores)
 
 
