@@ -134,7 +134,7 @@ def ntile_maxima(values: DataFrame, column: str, tiles: int) -> list:
 
     That is the value at the bucket's last position. Exact numbers that fit
     64 bits on their grid (integers, DECIMAL up to 18 digits) are found by
-    counting; other types by a distributed sort (``rows_at``). Returns plain
+    a sketch and an exact count; other types by a distributed sort (``rows_at``). Returns plain
     Python values; NULLs are left out.
     """
     kind = values.schema[column].dataType
@@ -149,61 +149,72 @@ def ntile_maxima(values: DataFrame, column: str, tiles: int) -> list:
     return [rows[e][column] if e and (not k or e > ends[k - 1]) else None for k, e in enumerate(ends)]
 
 
-# Leading binary digits that one counting round tells apart.
-ROUND_BITS = 12
+# Of the quantile sketch: ranks are right within one part in so many. Binary digits that one exact count tells apart.
+SKETCH_PARTS, ROUND_BITS = 10_000, 12
 
 
-def _select_tile_ends(values: DataFrame, column: str, tiles: int, scale: int) -> list[int | None]:
-    """Exact values at the tile ends of a column on an integer grid, by rounds of bucket counts.
-
-    The first round counts rows by sign and the leading ROUND_BITS binary
-    digits of the value (at most 2**ROUND_BITS buckets per power of two);
-    the next rounds refine the buckets that hold a wanted position by as many
-    digits, until they are single values: two scans up to 2**24 units, at
-    most one more per 2**ROUND_BITS beyond. No minimum or maximum is needed
-    first, nothing is sorted, and the driver reads bucket counts only.
-    """
-    u = F.col(column) * F.lit(10 ** scale) if scale else F.col(column)
-    base = values.select(u.cast("long").alias("_u")).select(
-        F.signum("_u").cast("int").alias("_s"), F.abs("_u").alias("_a"))
-    digits = F.coalesce(F.floor(F.log2(F.col("_a").cast("double"))).cast("int") + 1, F.lit(0))
-    base = base.withColumn("_e", F.greatest(digits - ROUND_BITS, F.lit(0)))
+@dataclass(frozen=True)
+class _Interval:
+    """Values that hold a wanted position, ends included."""
 
-    def counted(rows: DataFrame, *keys: Column) -> list[Row]:
-        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()
+    low: int
+    high: int
 
-    def in_order(sign: int, *rest: int) -> tuple[int, ...]:
-        return (sign, *(sign * r for r in rest))
 
-    lead = F.expr("shiftright(_a, _e)").alias("top")
-    first = sorted(((in_order(r["_s"], r["_e"], r["top"]), r) for r in counted(base, "_s", "_e", lead)), key=lambda x: x[0])
-    total = sum(r["n"] for _, r in first)
+def _select_tile_ends(values: DataFrame, column: str, tiles: int, scale: int) -> list[int | None]:
+    """Exact values at the tile ends of a column on an integer grid, in two scans.
+
+    The first scan merges a quantile sketch, which brackets every limit, and
+    counts the rows. The second counts rows below, between and, by value, inside
+    the brackets, so the value at each position is known exactly. What the sketch
+    says decides the work, never the result: where a bracket has more than
+    2**ROUND_BITS values, it is counted by its leading digits first and once
+    more inside; a position outside its bracket is looked for where the counts
+    put it. Nothing is sorted, and the driver reads bucket counts only.
+    """
+    unit = f"cast({column} * {10 ** scale} as long)" if scale else f"cast({column} as long)"
+    base = values.selectExpr(f"{unit} as u")
+    around = [min(max(k / tiles + d / SKETCH_PARTS, 0.0), 1.0) for k in range(1, tiles) for d in (-2, 2)]
+    first = base.agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("low"), F.max("u").alias("high"),
+                     F.percentile_approx("u", around or [0.5], SKETCH_PARTS).alias("around")).first()
+    total = first["n"]
     ends = tile_ends(total, tiles)
-    state: dict[int, tuple[int, int, int, int, int]] = {}  # end -> sign, first shift, shift, leading digits, rank within
-    for end in {e for e in ends if e}:
-        before = 0
-        for _, r in first:
-            if before + r["n"] >= end:
-                state[end] = (r["_s"], r["_e"], r["_e"], r["top"], end - before)
-                break
-            before += r["n"]
-    while open_ := {e: s for e, s in state.items() if s[2]}:
-        buckets = sorted({s[:4] for s in open_.values()})
-        number = finer = None
-        for k, (sign, e, shift, top) in enumerate(buckets):
-            inside = (F.col("_s") == sign) & (F.col("_e") == e) & (F.shiftright("_a", shift) == top)
-            low = F.shiftright("_a", max(shift - ROUND_BITS, 0))
-            number = F.when(inside, F.lit(k)) if number is None else number.when(inside, F.lit(k))
-            finer = F.when(inside, low) if finer is None else finer.when(inside, low)
-        rows = counted(base.select(number.alias("k"), finer.alias("top")).filter(F.col("k").isNotNull()), "k", "top")
-        for end, (sign, e, shift, top, rank) in open_.items():
-            k = buckets.index((sign, e, shift, top))
-            before = 0
-            for r in sorted((r for r in rows if r["k"] == k), key=lambda r: sign * r["top"]):
-                if before + r["n"] >= rank:
-                    state[end] = (sign, e, max(shift - ROUND_BITS, 0), r["top"], rank - before)
-                    break
-                before += r["n"]
+    if not total:
+        return [None] * tiles
+    at: dict[int, int] = {total: first["high"]}
+    open_: dict[int, _Interval] = {}
+    for k, e in enumerate(ends[:-1]):
+        if 0 < e < total:
+            open_[e] = _Interval(first["around"][2 * k], first["around"][2 * k + 1])
+    whole = _Interval(first["low"], first["high"])
+    while open_:
+        for e, found in _count_intervals(base, open_, whole).items():
+            if found.low == found.high:
+                at[e] = found.low
+                del open_[e]
             else:
-                raise RuntimeError("input changed between scans: position not found in its bucket")
-    return [state[e][0] * state[e][3] if e and (not k or e > ends[k - 1]) else None for k, e in enumerate(ends)]
+                open_[e] = found
+    return [at[e] if e and (not k or e > ends[k - 1]) else None for k, e in enumerate(ends)]
+
+
+def _count_intervals(base: DataFrame, wanted: dict[int, _Interval], whole: _Interval) -> dict[int, _Interval]:
+    """One scan: for each wanted position a smaller interval that holds it, a single value where the count tells."""
+    cuts = sorted({whole.low, whole.high + 1} | {x for i in wanted.values() for x in (i.low, i.high + 1)})
+    regions = [_Interval(a, b - 1) for a, b in zip(cuts, cuts[1:])]
+    inside = [any(i.low <= r.low and r.high <= i.high for i in wanted.values()) for r in regions]
+    shifts = [max((r.high - r.low).bit_length() - ROUND_BITS, 0) if x else 64 for r, x in zip(regions, inside)]
+    region = " + ".join(f"if(u >= {c}L, 1, 0)" for c in cuts[1:-1]) or "0"
+    digit = " ".join(f"when {k} then shiftright(u - {r.low}L, {s})" for k, (r, s) in enumerate(zip(regions, shifts)) if s < 64)
+    rows = (base.selectExpr("u", f"{region} as region").selectExpr("region", f"case region {digit} else 0L end as digit")
+            .groupBy("region", "digit").agg(F.count(F.lit(1)).alias("n")).collect())
+    found, before = {}, 0
+    todo = sorted(wanted)
+    for r in sorted(rows, key=lambda r: (r["region"], r["digit"])):
+        of, shift = regions[r["region"]], shifts[r["region"]]
+        part = of if shift == 64 else _Interval(of.low + (r["digit"] << shift), min(of.low + ((r["digit"] + 1) << shift) - 1, of.high))
+        while todo and todo[0] <= before + r["n"]:
+            found[todo.pop(0)] = part
+        before += r["n"]
+    if todo:
+        raise RuntimeError("input changed between scans: position not found")
+    return found

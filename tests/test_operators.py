@@ -1,10 +1,12 @@
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from omnisales.functions.ordering import asc, desc
+from omnisales.operators import ranking
 from omnisales.operators.aggregates import status_panel
 from omnisales.operators.ranking import ntile_maxima, positions, rank_rows, rows_at, tile_ends
 
@@ -47,6 +49,35 @@ def test_ntile_maxima_matches_naive(spark):
     assert ntile_maxima(df.filter("v < 0"), "v", 3) == [None, None, None]
 
 
+@pytest.mark.parametrize("parts, bits", [(10_000, 12), (3, 2), (1, 1)])
+def test_tile_limits_do_not_hang_on_the_sketch(spark, monkeypatch, parts, bits):
+    """Coarse sketches and counts take more scans and give the same limits."""
+    monkeypatch.setattr(ranking, "SKETCH_PARTS", parts)
+    monkeypatch.setattr(ranking, "ROUND_BITS", bits)
+    rnd = random.Random(parts)
+    for vals in ([rnd.randint(-50, 10**12) for _ in range(301)], [7] * 40 + [9], [-5, -5, 3], [10**15 + k for k in range(64)],
+                 [rnd.choice([0, 0, 0, 1, 10**9]) for _ in range(200)]):
+        vals.sort()
+        df = spark.createDataFrame([(v,) for v in vals], "v long")
+        for tiles in (2, 3, 4):
+            ends = tile_ends(len(vals), tiles)
+            want = [vals[e - 1] if e and (not k or e > ends[k - 1]) else None for k, e in enumerate(ends)]
+            assert ntile_maxima(df, "v", tiles) == want
+
+
+def test_limits_take_two_scans(spark):
+    df = spark.range(100_000).selectExpr("cast(id * 7919 % 1000003 / 100 as decimal(18,2)) as v")
+    seen = []
+    real = ranking._count_intervals
+    ranking._count_intervals = lambda *a: seen.append(1) or real(*a)
+    try:
+        got = ntile_maxima(df, "v", 4)
+    finally:
+        ranking._count_intervals = real
+    vals = sorted(i * 7919 % 1000003 for i in range(100_000))
+    assert got == [Decimal(vals[k * 25_000 - 1]).scaleb(-2) for k in (1, 2, 3, 4)] and len(seen) == 1
+
+
 def test_status_panel_stops_at_shortest_list(spark):
     rows = []
     for i, status in enumerate(["Cancelled"] * 3 + ["Returned"] * 2 + ["Delivered"] * 5):
