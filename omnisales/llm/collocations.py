@@ -28,9 +28,10 @@ from .words import U64, Words, chunks, mix, signed
 
 DEPTH = 3
 #: Suffix occurrences of a group, and of a task before it sends what it has.
-BUDGET, STORE = 1 << 20, 1 << 21
-#: Buckets for each group's worth of occurrences, and the bounds on their number (as a power of two).
-FINENESS, LEAST_BITS, MOST_BITS = 64, 12, 22
+BUDGET, STORE = 1 << 19, 1 << 20
+#: Buckets for each group's worth of occurrences, and the bounds on their number (as a power of two). A task counts at
+#: most as many buckets as it has distinct words.
+FINENESS, LEAST_BITS, MOST_BITS = 16, 16, 22
 #: Bytes of text for each word at least, to choose the number of buckets by.
 BYTES_A_WORD = 5
 _SECOND, _THIRD = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
@@ -141,15 +142,16 @@ class Store:
         for h, start, end in zip(uniq.tolist(), w.start[at].tolist(), w.end[at].tolist(), strict=True):
             if h not in self.words:
                 self.words[h] = w.data[start:end].tobytes()
-        self.held.append((s.first, s.joined, s.lang))
+        self.held.append((s.first, s.joined, s.lang.astype(np.int32)))
         self.n += len(s.first)
 
     def flush(self, langs: list[str]) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
         first, joined, lang = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held = []
         vocabulary, number = np.unique(first, return_inverse=True)
-        vocabulary, number = np.concatenate((np.zeros(1, U64), vocabulary)), number + 1  # 0: the piece ended
+        vocabulary, number = np.concatenate((np.zeros(1, U64), vocabulary)), number.astype(np.int32) + 1  # 0: the piece ended
         second = np.zeros_like(number)
         second[:-1] = np.where(joined[:-1], number[1:], 0)
         third = np.zeros_like(number)
@@ -157,14 +159,16 @@ class Store:
         width = max(len(vocabulary) - 1, 1).bit_length()
         if 3 * width > 63:
             raise ValueError("more words in a task's store than it can number")
-        leaf = (number << 2 * width) | (second << width) | third
+        leaf = (number.astype(np.int64) << 2 * width) | (second.astype(np.int64) << width) | third
         order = np.argsort(leaf)
-        new = np.flatnonzero(np.concatenate(([True], leaf[order][1:] != leaf[order][:-1])))
+        leaf = leaf[order]
+        new = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1])))
         count = np.diff(np.append(new, len(leaf)))
         some = order[new]  # one occurrence of each leaf, in the order of the leaves
         i, j, k, lang = number[some], second[some], third[some], lang[some]
+        del first, number, second, third, leaf, order, new, some
         group, level = self.parts.of(vocabulary[i], vocabulary[j], vocabulary[k])
-        by = np.lexsort((np.arange(len(some)), lang, group))
+        by = np.lexsort((lang, group))
         cut = np.flatnonzero(np.concatenate(([True], (group[by][1:] != group[by][:-1]) | (lang[by][1:] != lang[by][:-1]))))
         place, rows = np.zeros(len(vocabulary), np.int64), []
         for a, b in zip(cut.tolist(), np.append(cut[1:], len(by)).tolist(), strict=True):
@@ -181,7 +185,7 @@ class Store:
             rows.append((int(level[own[0]]), int(group[own[0]]), langs[int(lang[own[0]])], vocabulary[used].tobytes(), text,
                          np.dtype(kind).itemsize, np.concatenate([place[x[own]] for x in (i, j, k)]).astype(kind).tobytes(),
                          _packed(count[own])))
-        self.words, self.held, self.n = {}, [], 0
+        self.words, self.n = {}, 0
         types = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
         names = ["level", "group", "lang", "vocabulary", "words", "width", "leaves", "counts"]
         for a in range(0, len(rows), 64):
@@ -261,7 +265,7 @@ def _partition(rows: DataFrame, budget: int) -> Partitioning:
     spark = rows.sparkSession
     words = (rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // BYTES_A_WORD
     bits = min(max((FINENESS * words // budget).bit_length(), LEAST_BITS), MOST_BITS)
-    budget = max(budget, FINENESS // 16 * words >> bits)
+    budget = max(budget, 4 * words >> bits)
     parts, more = Partitioning(bits), True
     while more:
         sent = spark.sparkContext.broadcast(parts)
