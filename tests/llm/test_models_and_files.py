@@ -7,6 +7,7 @@ import collections
 import gzip
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -330,10 +331,49 @@ def test_lexicons_hold_rare_terms_and_one_entry_a_stem(spark):
     assert len(rare) == 600 and len(lexicon) == 601
     assert set(words.hashes().tolist()) <= set(lexicon.terms.tolist())
     forms = toxicity.Words(pa.array(["zorkish", "zorkishly", "zorkished", "zorki"]), toxicity.LETTER, lower=True)
-    at, entry = toxicity._known(forms, toxicity.Lookup(lexicon.terms, lexicon.entry))
+    at, entry, _ = toxicity._known(forms, toxicity.Lookup(lexicon.terms, lexicon.entry))
     assert set(at.tolist()) == {0, 1, 2, 3} and len(set(entry.tolist())) == 1
 
 
+def test_terms_are_counted_whole_and_once_a_document(spark, monkeypatch):
+    """Counts by term and by toxic document, whatever the store holds, are those of a plain count."""
+    rnd = random.Random(14)
+    rows = [(prose(rnd, rnd.randint(0, 60)), int(rnd.random() < 0.3)) for _ in range(300)] + [(None, 1), ("", 0), ("zork " * 5000, 1)]
+    docs = spark.createDataFrame(rows, "text string, toxic int").repartition(3)
+    want = collections.Counter()
+    for text, toxic in rows:
+        for word in set(re.findall("[a-zA-Z\u0080-\uffff]+", (text or "").lower())):
+            want[word] += 1
+            want[word, "toxic"] += toxic
+    words = sorted(w for w in want if isinstance(w, str))
+    numbers = dict(zip(words, toxicity._hashes(words).view(np.int64).tolist()))
+    for store in (toxicity.STORE, 50):
+        monkeypatch.setattr(toxicity, "STORE", store)
+        got = docs.mapInArrow(toxicity._count_terms, "term long, n long, own long").groupBy("term").sum("n", "own").collect()
+        by_term = {r.term: (r[1], r[2]) for r in got}
+        assert all(by_term[numbers[w]] == (want[w], want[w, "toxic"]) for w in words)
+
+
+def test_classifier_learns_from_posteriors_and_unlabelled_rows(spark, monkeypatch):
+    """Posteriors differ from the labels: a wrong label is outvoted, and rows without a label count."""
+    rows, labels = toxic_rows(900)
+    wrong = {i for i, _, _ in labels[:60]}
+    table = spark.createDataFrame([(i, 1, 1 - y if i in wrong else y) for i, _, y in labels], "doc_id long, quality int, toxic int")
+    seen = {}
+    fit = toxicity.fit_linear
+
+    def spy(x, y, weight, *rest):
+        seen["y"] = y
+        return fit(x, y, weight, *rest)
+    monkeypatch.setattr(toxicity, "fit_linear", spy)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(documents(spark, rows), table).collect()}
+    n_train = sum(not held_out(i) for i, _ in rows)
+    assert len(seen["y"]) == n_train > sum(not held_out(i) for i, _, _ in labels)  # rows without a label, too
+    truth = {i: y for i, _, y in labels}
+    right = [got[i].predicted == truth[i] for i in wrong if i in truth]
+    assert sum(right) >= 0.9 * len(right)
+
+
 def test_label_model_finds_reliable_and_correlated_voters():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
