@@ -19,7 +19,7 @@ from ..schema import (PRODUCT_INTS, PRODUCT_MONEY, RAW_PRODUCTS, RAW_TRANSACTION
 from .prepare import assert_unique_key, clean_header, prepare_products, prepare_transactions, rejected_rows
 
 
-def read_text_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_text_csv(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
     """CSV with a header -> the columns of ``schema``, by name, as text (BOM-safe)."""
     raw = clean_header(spark.read.option("header", True).option("inferSchema", False)
                        .option("encoding", "UTF-8").csv(path))
@@ -55,7 +55,7 @@ def report_rejects(bad: DataFrame, path: str, rejects: str | None) -> int:
     return n
 
 
-def read_transactions_csv(spark: SparkSession, path: str, rejects: str | None = None) -> DataFrame:
+def read_transactions_csv(spark: SparkSession, path: str | list[str], rejects: str | None = None) -> DataFrame:
     """Transaction CSV files (a folder or glob scales out over files) -> prepared transactions.
 
     Rows with a number or date that cannot be read are written to ``rejects`` and reported (one more pass).
