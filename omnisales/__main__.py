@@ -17,6 +17,7 @@ import os
 from pyspark.sql import SparkSession
 
 from .plans.catalog import TEST_PARAMETERS, registry, run_on
+from .plans.incremental import SalesStore
 from .plans.sales_view import sales_analysis
 from .plans.store import stored_sales
 from .session import cli_session, drop_steps
@@ -33,6 +34,7 @@ def main(argv: list[str] | None = None) -> None:
     run.add_argument("--tables", help="folder with the TPC-H-like test tables")
     run.add_argument("--transactions", help="transaction CSV file(s) (header, text columns)")
     run.add_argument("--products", help="product catalogue CSV")
+    run.add_argument("--store", help="folder of a view kept up month by month from --transactions and --products")
     run.add_argument("--out", help="write each result as CSV under this folder instead of printing")
     run.add_argument("--as-of", type=datetime.date.fromisoformat, help="day that recency is counted to (RFM)")
     run.add_argument("--min-spend", type=int, help="spend limit of high-value customers (n5)")
@@ -49,6 +51,11 @@ def main(argv: list[str] | None = None) -> None:
     if args.tables:
         sales = stored_sales(spark, args.tables)
         given = {k: v if v is not None else TEST_PARAMETERS[k] for k, v in given.items()}
+    elif args.store and args.transactions and args.products:
+        store = SalesStore(spark, args.store, args.transactions, args.products)
+        done = store.refresh()
+        print(f"{args.store}: {len(done.written)} months written, {len(done.removed)} removed")
+        sales = store.read()
     elif args.transactions and args.products:
         sales = sales_analysis(read_transactions_csv(spark, args.transactions, args.rejects),
                                read_products_csv(spark, args.products), extra_product_fields=("reorder_point",))

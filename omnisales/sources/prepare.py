@@ -57,8 +57,8 @@ def harden_types(df: DataFrame, money: Iterable[str], ints: Iterable[str] = (),
     return df.select([_typed(df, c, targets[c]).alias(c) if c in targets else F.col(c) for c in df.columns])
 
 
-def rejected_rows(raw: DataFrame, money: Iterable[str], ints: Iterable[str] = (), ratings: Iterable[str] = ()) -> DataFrame:
-    """Raw rows with a non-empty value that type hardening or date parsing turns into NULL (one narrow pass)."""
+def unreadable(raw: DataFrame, money: Iterable[str], ints: Iterable[str] = (), ratings: Iterable[str] = ()) -> F.Column:
+    """Whether a raw row has a non-empty value that type hardening or date parsing turns into NULL."""
     targets = _targets(money, ints, ratings)
     bad = F.lit(False)
     for c, target in targets.items():
@@ -67,7 +67,12 @@ def rejected_rows(raw: DataFrame, money: Iterable[str], ints: Iterable[str] = ()
     if "transaction_date" in raw.columns and isinstance(raw.schema["transaction_date"].dataType, StringType):
         text = F.trim(F.col("transaction_date"))
         bad = bad | (text.isNotNull() & (text != "") & parse_raw_date(F.col("transaction_date")).isNull())
-    return raw.filter(bad)
+    return bad
+
+
+def rejected_rows(raw: DataFrame, money: Iterable[str], ints: Iterable[str] = (), ratings: Iterable[str] = ()) -> DataFrame:
+    """The raw rows that are ``unreadable`` somewhere (one narrow pass)."""
+    return raw.filter(unreadable(raw, money, ints, ratings))
 
 
 def remap_return_reason(df: DataFrame) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 from omnisales.plans.catalog import registry, run_on
 from omnisales.plans.sales_view import sales_analysis
 from omnisales.plans.store import stored_sales
-from omnisales.schema import TRANSACTION_COLUMNS
+from omnisales.schema import RAW_TRANSACTIONS, TRANSACTION_COLUMNS
 from omnisales.sources.files import read_text_csv, read_transactions_csv
 from omnisales.sources.prepare import prepare_products
 from omnisales.sources.sinks import write_report, write_sales_table
 from omnisales.sources.testdata import raw_products as adapter_products
 from omnisales.sources.testdata import raw_transactions
-from omnisales.streaming.ingest import read_ingested, start_ingest
+from omnisales.streaming.ingest import read_ingested, read_rejects, start_ingest, write_batch
 from tools.compare import canon
 
 from .conftest import BASE_TX, raw_products, sales_of
@@ -45,6 +45,30 @@ def test_streaming_ingest_is_incremental_and_exactly_once(spark, scratch_dir):
     assert view.count() == 3 and len(view.columns) == 37
 
 
+def test_streaming_writes_rejects_once(spark, scratch_dir):
+    """'12,50' is no number: NULL in the table, the row as it came in the rejects, also when a batch runs again."""
+    src, table, rejects, ckpt = (os.path.join(scratch_dir, f"rej_{n}") for n in ("in", "table", "rejects", "ckpt"))
+    os.makedirs(src)
+    rows = [{**BASE_TX, "transaction_id": "1", "gross_sales": '"12,50"'}, {**BASE_TX, "transaction_id": "2"},
+            {**BASE_TX, "transaction_id": "3", "transaction_date": "2026-13-01"}, {**BASE_TX, "transaction_id": "4", "quantity": ""}]
+    write_csv(os.path.join(src, "a.csv"), TRANSACTION_COLUMNS, rows)
+    start_ingest(spark, src, table, ckpt, rejects_dir=rejects).awaitTermination(120)
+    write_csv(os.path.join(src, "b.csv"), TRANSACTION_COLUMNS, [{**BASE_TX, "transaction_id": "5", "platform_fee": "x"}])
+    start_ingest(spark, src, table, ckpt, rejects_dir=rejects).awaitTermination(120)
+
+    def check():
+        got = {r.transaction_id: r for r in read_ingested(spark, table).collect()}
+        assert sorted(got) == ["1", "2", "3", "4", "5"] and read_ingested(spark, table).count() == 5
+        assert got["1"].gross_sales is None and got["3"].temp_date is None and got["2"].gross_sales is not None
+        bad = {r.transaction_id: r for r in read_rejects(spark, rejects).collect()}
+        assert sorted(bad) == ["1", "3", "5"] and read_rejects(spark, rejects).count() == 3
+        assert bad["1"].gross_sales == "12,50" and bad["1"].batch == 0 and bad["5"].batch == 1
+    check()
+    raw = read_text_csv(spark, os.path.join(src, "a.csv"), RAW_TRANSACTIONS)
+    assert write_batch(raw, 0, table, rejects) == 2  # the first batch again, as after a failure before its commit
+    check()
+
+
 def test_report_sink_rejects_duplicate_names(spark, scratch_dir):
     df = spark.createDataFrame([(1, 2)], ["Ratio", "ratio"])
     with pytest.raises(ValueError):
@@ -102,6 +126,23 @@ def test_command_line_lists_and_runs(spark, scratch_dir, capsys):
     assert spark.read.option("header", True).csv(os.path.join(out, "q20_delivery_status_share")).count() == 3
 
 
+def test_command_line_keeps_a_store(spark, scratch_dir, capsys):
+    from omnisales.__main__ import main
+    from omnisales.schema import PRODUCT_COLUMNS
+
+    from .conftest import BASE_PRODUCT
+    base = os.path.join(scratch_dir, "cli_store")
+    os.makedirs(f"{base}/tx")
+    write_csv(f"{base}/tx/a.csv", TRANSACTION_COLUMNS, [BASE_TX])
+    write_csv(f"{base}/pc.csv", PRODUCT_COLUMNS, [BASE_PRODUCT])
+    run = ["run", "q20_delivery_status_share", "--transactions", f"{base}/tx", "--products", f"{base}/pc.csv",
+           "--store", f"{base}/store", "--as-of", "2026-06-30", "--min-spend", "0"]
+    main(run)
+    assert "1 months written" in capsys.readouterr().out
+    main(run)
+    assert "0 months written" in capsys.readouterr().out
+
+
 def test_reference_style_csv_inputs_give_the_same_results(spark, scratch_dir):
     """Test tables exported as the reference's raw files (text dates d/m/yyyy, text money, BOM header),
     read back through the CSV sources: every analysis equals the Parquet path."""
