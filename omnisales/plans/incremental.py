@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import year_month
-from ..sources.files import read_products_csv, read_transactions_csv
+from ..sources.files import UNREADABLE, read_products_csv, scan_transactions_csv, warn_of_rejects
 from .sales_view import sales_analysis
 
 #: Rows of a month for each of its files, bytes of a row group, and how long replaced folders are kept for readers.
@@ -62,10 +62,6 @@ class Refresh:
     read_files: list[str]
 
 
-def csv_transactions(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    return read_transactions_csv(spark, list(paths))
-
-
 def clustered(sales: DataFrame, *by: str) -> DataFrame:
     """Rows sorted inside each task's files, so that filters on these columns skip row groups and pages."""
     return sales.sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in by or CLUSTER_BY])
@@ -75,11 +71,12 @@ class SalesStore:
     """The sales view of ``transactions`` and ``catalogue`` (folders, files or globs) below ``folder``.
 
     ``read_transactions`` gives prepared transactions of some files, ``read_products`` the prepared catalogue; CSV files
-    unless told otherwise. Both have to be plain file scans, as rows are traced to their files.
+    unless told otherwise. Transactions have to be a plain file scan, as rows are traced to their files; where they have
+    the flag ``UNREADABLE``, the pass that looks at new files also counts such rows and warns of them.
     """
 
     def __init__(self, spark: SparkSession, folder: str, transactions: str, catalogue: str,
-                 read_transactions: Callable[[SparkSession, Sequence[str]], DataFrame] = csv_transactions,
+                 read_transactions: Callable[[SparkSession, list[str]], DataFrame] = scan_transactions_csv,
                  read_products: Callable[[SparkSession, str], DataFrame] = read_products_csv,
                  extra_product_fields: tuple[str, ...] = ("reorder_point",)):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -173,13 +170,17 @@ class SalesStore:
         return Refresh(sorted(rows), sorted(set(old.months) - set(months)), readers)
 
     def _dated(self, paths: Sequence[str]) -> DataFrame:
-        tx = self.read_transactions(self.spark, paths)
+        tx = self.read_transactions(self.spark, list(paths))
         return tx.withColumn(_MONTH, F.coalesce(year_month(F.col("temp_date")), F.lit(NO_MONTH)))
 
     def _rows_by_month(self, paths: list[str]) -> dict[str, dict[str, int]]:
         """By file and month; a row of counts for each, as many as the files' months."""
-        counted = (self._dated(paths).select(F.col("_metadata.file_path").alias(_FILE), _MONTH)
-                   .groupBy(_FILE, _MONTH).agg(F.count(F.lit(1)).alias("n")).collect())
+        tx = self._dated(paths)
+        bad = F.col(UNREADABLE) if UNREADABLE in tx.columns else F.lit(False)
+        counted = (tx.select(F.col("_metadata.file_path").alias(_FILE), _MONTH, bad.alias("bad")).groupBy(_FILE, _MONTH)
+                   .agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).collect())
+        if any(r["bad"] for r in counted):
+            warn_of_rejects(self.transactions, sum(r["bad"] for r in counted))
         jvm = self.spark.sparkContext._jvm
         names = {jvm.org.apache.hadoop.fs.Path(p).toUri().getPath(): p for p in paths}
         found: dict[str, dict[str, int]] = {}

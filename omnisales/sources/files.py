@@ -8,15 +8,20 @@ that names it.
 
 from __future__ import annotations
 
+import uuid
 import warnings
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..schema import (PRODUCT_INTS, PRODUCT_MONEY, RAW_PRODUCTS, RAW_TRANSACTIONS, TRANSACTION_INTS,
                       TRANSACTION_MONEY)
-from .prepare import assert_unique_key, clean_header, prepare_products, prepare_transactions, rejected_rows
+from ..session import stored_copy
+from .prepare import assert_unique_key, clean_header, prepare_products, prepare_transactions, unreadable
+
+_RAW = "_raw"
 
 
 def read_text_csv(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
@@ -30,39 +35,59 @@ def read_text_csv(spark: SparkSession, path: str | list[str], schema: StructType
 
 
 def read_products_csv(spark: SparkSession, path: str, check_unique: bool = True, rejects: str | None = None) -> DataFrame:
-    """Catalogue CSV (header, comma, optional BOM) -> typed products; unreadable values as for transactions."""
+    """Catalogue CSV (header, comma, optional BOM) -> typed products; read once, unreadable values as for transactions."""
     raw = read_text_csv(spark, path, RAW_PRODUCTS)
-    report_rejects(rejected_rows(raw, PRODUCT_MONEY, PRODUCT_INTS, ("rating_average",)), path, rejects)
-    products = prepare_products(raw)
+    bad = unreadable(raw, PRODUCT_MONEY, PRODUCT_INTS, ("rating_average",))
+    products = _read_once(raw, bad, prepare_products, "products", path, rejects)
     if check_unique:
         assert_unique_key(products, "product_code")
     return products
 
 
-def report_rejects(bad: DataFrame, path: str, rejects: str | None) -> int:
-    """Write the raw rows with unreadable values to the folder ``rejects`` (Parquet) and warn with their number.
+def _read_once(raw: DataFrame, bad: Column, prepare: Callable[[DataFrame], DataFrame], name: str, path: str | list[str],
+               rejects: str | None) -> DataFrame:
+    """``prepare(raw)``, from a copy that one pass over the text files writes.
 
-    Without a folder they are only counted. The rows stay in the result with
-    NULL in place of the value, as the preparation defines it.
+    The same pass counts the rows that are ``bad`` (observed) and keeps them as they came beside their typed form, so
+    that the rejects are written from the copy and the text is parsed once, however many analyses follow. Bad rows stay in
+    the result with NULL in place of the value, as the preparation defines it; their number is a warning. The copy lies
+    with the session's intermediate steps (``session.drop_steps``).
     """
+    seen = Observation(f"rejects-{uuid.uuid4().hex}")
+    kept = F.when(bad, F.struct(*raw.columns)).alias(_RAW)
+    typed = prepare(raw.select("*", kept)).observe(seen, F.count_if(F.col(_RAW).isNotNull()).alias("bad"))
+    copy = stored_copy(typed, name)
+    n = seen.get["bad"]
     if rejects:
-        bad.write.mode("overwrite").parquet(rejects)
-        bad = bad.sparkSession.read.parquet(rejects)
-    n = bad.count()
+        copy.filter(F.col(_RAW).isNotNull()).select(f"{_RAW}.*").write.mode("overwrite").parquet(rejects)
     if n:
-        warnings.warn(f"{path}: {n} rows hold values that cannot be read and are NULL"
-                      + (f"; the rows are in {rejects}" if rejects else ""), stacklevel=3)
-    return n
+        warn_of_rejects(path, n, rejects)
+    return copy.drop(_RAW)
+
+
+def warn_of_rejects(path: str | list[str], n: int, rejects: str | None = None) -> None:
+    warnings.warn(f"{path}: {n} rows hold values that cannot be read and are NULL"
+                  + (f"; the rows are in {rejects}" if rejects else ""), stacklevel=3)
 
 
 def read_transactions_csv(spark: SparkSession, path: str | list[str], rejects: str | None = None) -> DataFrame:
-    """Transaction CSV files (a folder or glob scales out over files) -> prepared transactions.
+    """Transaction CSV files (a folder or glob scales out over files) -> prepared transactions, read once.
 
-    Rows with a number or date that cannot be read are written to ``rejects`` and reported (one more pass).
+    Rows with a number or date that cannot be read are counted, and written to the folder ``rejects`` (Parquet).
     """
     raw = read_text_csv(spark, path, RAW_TRANSACTIONS)
-    report_rejects(rejected_rows(raw, TRANSACTION_MONEY, TRANSACTION_INTS), path, rejects)
-    return prepare_transactions(raw)
+    bad = unreadable(raw, TRANSACTION_MONEY, TRANSACTION_INTS)
+    return _read_once(raw, bad, prepare_transactions, "transactions", path, rejects)
+
+
+#: Marks rows of ``scan_transactions_csv`` with a value that cannot be read.
+UNREADABLE = "_unreadable"
+
+
+def scan_transactions_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """As ``read_transactions_csv``, but a plain scan of the files (no copy, no report), with the flag ``UNREADABLE``."""
+    raw = read_text_csv(spark, path, RAW_TRANSACTIONS)
+    return prepare_transactions(raw.withColumn(UNREADABLE, unreadable(raw, TRANSACTION_MONEY, TRANSACTION_INTS)))
 
 
 def read_transactions_parquet(spark: SparkSession, path: str) -> DataFrame:

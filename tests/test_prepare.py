@@ -126,3 +126,17 @@ def test_rejects_are_written_and_reported(spark, scratch_dir):
     assert tx.count() == 3
     kept = {r.transaction_id: r for r in spark.read.parquet(rejects).collect()}
     assert sorted(kept) == ["T1", "T2"] and kept["T1"].gross_sales == "12;50"
+
+
+def test_text_files_are_parsed_once(spark, scratch_dir):
+    """The result reads the typed copy, not the CSV; rejects and their number come from the pass that wrote it."""
+    path, rejects = os.path.join(scratch_dir, "once.csv"), os.path.join(scratch_dir, "once_rejects")
+    write_csv(path, TRANSACTION_COLUMNS, [{**BASE_TX, "transaction_id": str(i), "quantity": "x" if i % 3 == 0 else "2"} for i in range(10)])
+    with pytest.warns(UserWarning, match="4 rows"):
+        tx = read_transactions_csv(spark, path, rejects)
+    plan = tx._jdf.queryExecution().executedPlan().toString()
+    assert "once.csv" not in plan and "parquet" in plan.lower()
+    os.remove(path)
+    assert tx.count() == 10 and tx.where("quantity is null").count() == 4
+    assert {r.quantity for r in spark.read.parquet(rejects).collect()} == {"x"}
+    assert "_raw" not in tx.columns
