@@ -15,6 +15,8 @@ not remove an outer join by itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from ..functions.dates import weekday_name
 from ..functions.text import sentence_case
 from ..schema import VIEW_PRODUCT_FIELDS
 from ..sources.prepare import prepare_products, prepare_transactions
-from ..sources.testdata import raw_products, raw_transactions
+from ..sources.testdata import raw_products, raw_transactions, table
 
 
 def sales_analysis(tx: DataFrame, products: DataFrame | None = None,
@@ -62,10 +64,10 @@ def sales_analysis(tx: DataFrame, products: DataFrame | None = None,
     return joined.select(*fact, profit, *tail, *catalogue)
 
 
-def testdata_sales(spark: SparkSession, sf_dir: str, with_products: bool = True,
-                   extra_product_fields: tuple[str, ...] = ()) -> DataFrame:
-    """The sales view over the driver's test tables (adapter -> preparation -> view)."""
-    tx = prepare_transactions(raw_transactions(spark, sf_dir))
+def testdata_sales(spark: SparkSession, sf_dir: str, with_products: bool = True, extra_product_fields: tuple[str, ...] = (),
+                   read: Callable[[SparkSession, str, str], DataFrame] = table) -> DataFrame:
+    """The sales view over the driver's test tables (adapter -> preparation -> view); ``read`` gives each table."""
+    tx = prepare_transactions(raw_transactions(spark, sf_dir, read))
     products = prepare_products(raw_products(spark, sf_dir)) if with_products else None
     return sales_analysis(tx, products, extra_product_fields)
 

@@ -18,6 +18,7 @@ Scale notes:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,19 +51,20 @@ def _case(col: F.Column, mapping: dict, default=None) -> F.Column:
     return expr.otherwise(F.lit(default)) if default is not None else expr
 
 
-def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reference's ``transactions`` table (before preparation) built from the test tables."""
-    li = table(spark, sf_dir, "lineitem").select(
+def raw_transactions(spark: SparkSession, sf_dir: str,
+                     read: Callable[[SparkSession, str, str], DataFrame] = table) -> DataFrame:
+    """The reference's ``transactions`` table (before preparation) built from the test tables; ``read`` gives each."""
+    li = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
         "l_tax", "l_returnflag")
-    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    na = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    rg = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-
-    geo = na.join(rg, na.n_regionkey == rg.r_regionkey, "left")
-    cust = cu.join(geo, cu.c_nationkey == geo.n_nationkey, "left")
-    orders = od.join(cust, od.o_custkey == cust.c_custkey, "left")
+    od = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    cu = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    na = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    rg = read(spark, sf_dir, "region").select("r_regionkey", "r_name")
+
+    # Table by table, so that Spark knows the size of each and broadcasts those that are small enough.
+    orders = (od.join(cu, od.o_custkey == cu.c_custkey, "left").join(na, cu.c_nationkey == na.n_nationkey, "left")
+              .join(rg, na.n_regionkey == rg.r_regionkey, "left"))
     rows = li.join(orders, li.l_orderkey == orders.o_orderkey, "left")
 
     gross = F.col("l_extendedprice").cast(MONEY)
