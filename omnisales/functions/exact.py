@@ -66,3 +66,8 @@ def growth_percent(current: Column, previous: Column, digits: int = 2, scale: in
 def rounded_avg(col: Column | str, digits: int, precision: int = 10, scale: int = 0) -> Column:
     """``ROUND(AVG(col), digits)`` with the average kept exact at ``scale + 4`` digits."""
     return F.round(F.avg(dec(col, precision, scale)), digits)
+
+
+def rounded_mean(total: Column, n: Column, digits: int, scale: int = 0) -> Column:
+    """``rounded_avg`` of values whose sum and number are known; no value gives NULL."""
+    return F.round(quotient(total, n, scale, 0), digits).cast(DecimalType(14, digits))

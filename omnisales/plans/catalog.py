@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ByteType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType,
                                ShortType)
 
+from ..operators.rollup import rollup, with_rollup
 from ..session import stored_copy
 from ..sources.testdata import raw_transactions
 from . import corrected, customer, findings, geography, marketplace, operations, preparation, product, timeseries
@@ -161,4 +162,5 @@ def run_on(sales: DataFrame, names: list[str] | None = None, **parameters) -> di
         if missing:
             raise ValueError(f"{n} needs {', '.join(missing)}")
     view = stored_copy(sales, "sales-view")
+    view = with_rollup(view, stored_copy(rollup(view), "roll-up"))
     return {n: reg[n].result(view, parameters) for n in names}

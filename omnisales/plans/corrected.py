@@ -18,6 +18,7 @@ from ..functions.text import pct_text
 from ..operators.activity import month_bitmaps
 from ..operators.aggregates import PANEL_STATUSES, moving_average
 from ..operators.ranking import ntile_maxima, rank_rows
+from ..operators.rollup import SCALED, totals
 from .customer import COHORT_MONTHS, rfm_segmentation
 from .findings import _status_pivot
 from .marketplace import band_repeat_rate
@@ -95,9 +96,7 @@ def product_reviews_once(sales: DataFrame) -> DataFrame:
 
 def unit_scaled_profit(sales: DataFrame) -> DataFrame:
     """Platform profitability with production cost multiplied by the units sold."""
-    profit = (F.col("gross_sales") - F.col("discount_amount") - F.col("production_cost") * F.col("quantity")
-              - F.col("shipping_cost") - F.col("platform_fee"))
-    g = sales.groupBy("platform").agg(F.sum("gross_sales").alias("Total_Revenue"), F.sum(profit).alias("Total_Profit"))
+    g = totals(sales, "platform").select("platform", F.col("gross_sales").alias("Total_Revenue"), F.col(SCALED).alias("Total_Profit"))
     margin = F.round(quotient(F.col("Total_Profit"), F.col("Total_Revenue"), 2, 2) * F.lit(100), 2)
     return g.select(F.col("platform").alias("Platform"), "Total_Revenue", "Total_Profit",
                     margin.alias("Margin_Percentage")).orderBy(desc("Total_Profit"), asc("Platform"))

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import MONTHS
-from ..functions.exact import percent, rounded_avg
+from ..functions.exact import percent, rounded_mean
 from ..functions.ordering import asc, desc, field_position
 from ..functions.text import money_text, pct_text
 from ..operators.activity import month_bitmaps
 from ..operators.aggregates import share_text
 from ..operators.ranking import rank_rows, tile_ends
+from ..operators.rollup import RATED, ROWS, totals
 from ..operators.selection import Axis, rows_at_ranks, tile_number
 from ..session import stored_copy
 
@@ -43,9 +44,9 @@ def size_orders(sales: DataFrame) -> DataFrame:
 
 def gender_share(sales: DataFrame) -> DataFrame:
     """Q14: units, revenue, rating and unit share per gender."""
-    g = sales.groupBy("customer_gender").agg(F.sum("quantity").alias("Total_Order"),
-                                             F.sum("gross_sales").alias("Total_Revenue"),
-                                             rounded_avg("customer_rating", 2).alias("Customer_Rating"))
+    g = totals(sales, "customer_gender").select(
+        "customer_gender", F.col("quantity").alias("Total_Order"), F.col("gross_sales").alias("Total_Revenue"),
+        rounded_mean(F.col("customer_rating"), F.col(RATED), 2).alias("Customer_Rating"))
     g = share_text(g, "Total_Order", 0)
     return g.select(F.col("customer_gender").alias("Customer_Gender"), "Total_Order", "Total_Revenue",
                     "Customer_Rating", "Ratio")
@@ -53,10 +54,10 @@ def gender_share(sales: DataFrame) -> DataFrame:
 
 def tier_gender_share(sales: DataFrame) -> DataFrame:
     """Q15: membership tier x gender ranked by units, revenue as money text, unit share."""
-    g = sales.groupBy("membership_tier", "customer_gender").agg(
-        F.sum("quantity").alias("Total_Product_Terjual"),
-        F.sum("gross_sales").alias("_revenue"),
-        rounded_avg("customer_rating", 2).alias("Customer_Rating"))
+    g = totals(sales, "membership_tier", "customer_gender").select(
+        "membership_tier", "customer_gender", F.col("quantity").alias("Total_Product_Terjual"),
+        F.col("gross_sales").alias("_revenue"),
+        rounded_mean(F.col("customer_rating"), F.col(RATED), 2).alias("Customer_Rating"))
     g = share_text(g, "Total_Product_Terjual", 0)
     r = rank_rows(g, [desc("Total_Product_Terjual"), asc("membership_tier"), asc("customer_gender")])
     return r.select("Ranking", F.col("membership_tier").alias("Membership_Tier"),
@@ -67,8 +68,9 @@ def tier_gender_share(sales: DataFrame) -> DataFrame:
 
 def age_rating(sales: DataFrame) -> DataFrame:
     """Q16: rows and average rating per customer age."""
-    g = sales.groupBy("customer_age").agg(F.count("customer_age").alias("Distribution_Age"),
-                                          rounded_avg("customer_rating", 2).alias("Customer_Rating"))
+    g = totals(sales, "customer_age").select(
+        "customer_age", F.when(F.col("customer_age").isNull(), F.lit(0)).otherwise(F.col(ROWS)).cast("long").alias("Distribution_Age"),
+        rounded_mean(F.col("customer_rating"), F.col(RATED), 2).alias("Customer_Rating"))
     return g.select(F.col("customer_age").alias("Customer_Age"), "Distribution_Age", "Customer_Rating") \
             .orderBy(asc("Customer_Age"))
 

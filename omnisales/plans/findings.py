@@ -12,6 +12,7 @@ from ..functions.ordering import asc, desc
 from ..functions.text import pct_text
 from ..operators.aggregates import share_text
 from ..operators.ranking import rank_rows
+from ..operators.rollup import summed_by, totals
 from .customer import AT_RISK, rfm_segmentation
 from .timeseries import revenue_moving_average
 
@@ -22,18 +23,17 @@ FAILED_STATUSES = ("Cancelled", "Returned")
 
 def platform_cost_ratios(sales: DataFrame) -> DataFrame:
     """Shipping and platform fee as % of revenue, and margin %, per platform."""
-    g = sales.groupBy("platform").agg(F.sum("gross_sales").alias("_rev"), F.sum("shipping_cost").alias("_ship"),
-                                      F.sum("platform_fee").alias("_fee"), F.sum("net_profit").alias("_prof"))
-    rev = F.col("_rev")
-    return g.select(F.col("platform").alias("Platform"),
-                    pct_text(percent(F.col("_ship"), rev, 2, 2, 2)).alias("Shipping_Ratio"),
-                    pct_text(percent(F.col("_fee"), rev, 2, 2, 2)).alias("Platform_Fee_Ratio"),
-                    pct_text(percent(F.col("_prof"), rev, 2, 2, 2)).alias("Margin_Ratio"))
+    revenue = F.col("gross_sales")
+    return totals(sales, "platform").select(
+        F.col("platform").alias("Platform"),
+        pct_text(percent(F.col("shipping_cost"), revenue, 2, 2, 2)).alias("Shipping_Ratio"),
+        pct_text(percent(F.col("platform_fee"), revenue, 2, 2, 2)).alias("Platform_Fee_Ratio"),
+        pct_text(percent(F.col("net_profit"), revenue, 2, 2, 2)).alias("Margin_Ratio"))
 
 
 def platform_revenue_share(sales: DataFrame) -> DataFrame:
     """Revenue share per platform and cumulative share in revenue order."""
-    g = sales.groupBy("platform").agg(F.sum("gross_sales").alias("Total_Revenue"))
+    g = totals(sales, "platform").select("platform", F.col("gross_sales").alias("Total_Revenue"))
     g = rank_rows(g, [desc("Total_Revenue"), asc("platform")])
     total = F.sum("Total_Revenue").over(Window.partitionBy())
     running = F.sum("Total_Revenue").over(Window.orderBy("Ranking").rowsBetween(Window.unboundedPreceding, 0))
@@ -44,8 +44,8 @@ def platform_revenue_share(sales: DataFrame) -> DataFrame:
 
 def failed_delivery_share(sales: DataFrame) -> DataFrame:
     """Cancelled + returned units per warehouse as a share of all such units."""
-    g = (sales.filter(F.col("delivery_status").isin(*FAILED_STATUSES)).groupBy("warehouse_origin")
-         .agg(F.sum("quantity").alias("Failed_Units")))
+    failed = totals(sales, "warehouse_origin", "delivery_status").filter(F.col("delivery_status").isin(*FAILED_STATUSES))
+    g = summed_by(failed, F.col("warehouse_origin"), "warehouse_origin", "quantity").withColumnRenamed("quantity", "Failed_Units")
     g = share_text(g, "Failed_Units", 0, "Failed_Share")
     return g.select(F.col("warehouse_origin").alias("Warehouse_Origin"), "Failed_Units", "Failed_Share") \
             .orderBy(desc("Failed_Units"), asc("Warehouse_Origin"))
@@ -102,7 +102,7 @@ def moving_average_cross(sales: DataFrame) -> DataFrame:
 
 def tier_share(sales: DataFrame) -> DataFrame:
     """Units and unit share per membership tier."""
-    g = sales.groupBy("membership_tier").agg(F.sum("quantity").alias("Total_Units"))
+    g = totals(sales, "membership_tier").select("membership_tier", F.col("quantity").alias("Total_Units"))
     g = share_text(g, "Total_Units", 0)
     return g.select(F.col("membership_tier").alias("Membership_Tier"), "Total_Units", "Ratio") \
             .orderBy(desc("Total_Units"), asc("Membership_Tier"))

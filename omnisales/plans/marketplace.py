@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from ..functions.exact import percent, quotient, rounded_avg
+from ..functions.exact import percent, quotient, rounded_mean
 from ..functions.ordering import asc, desc
 from ..functions.text import pct_text
 from ..operators.ranking import ntile_maxima, rank_rows
+from ..operators.rollup import RATED, totals
 
 # Discount band names, largest band first, and the no-discount band.
 DISCOUNT_BANDS = ["Diskon Sangat Besar", "Diskon Besar", "Diskon Sedang", "Diskon Kecil"]
@@ -18,8 +19,8 @@ NO_DISCOUNT = "Tanpa Diskon"
 
 def platform_profitability(sales: DataFrame) -> DataFrame:
     """Q01: revenue, profit and margin % per platform, by profit."""
-    g = sales.groupBy("platform").agg(F.sum("gross_sales").alias("Total_Revenue"),
-                                      F.sum("net_profit").alias("Total_Profit"))
+    g = totals(sales, "platform").select("platform", F.col("gross_sales").alias("Total_Revenue"),
+                                         F.col("net_profit").alias("Total_Profit"))
     margin = F.round(quotient(F.col("Total_Profit"), F.col("Total_Revenue"), 2, 2) * F.lit(100), 2)
     return (g.select(F.col("platform").alias("Platform"), "Total_Revenue", "Total_Profit",
                      margin.alias("Margin_Percentage"))
@@ -28,8 +29,8 @@ def platform_profitability(sales: DataFrame) -> DataFrame:
 
 def campaign_performance(sales: DataFrame) -> DataFrame:
     """Q02: campaigns ranked by units sold."""
-    g = sales.groupBy("campaign_name").agg(F.sum("quantity").alias("Total_Sell"),
-                                           F.sum("gross_sales").alias("Total_Revenue"))
+    g = totals(sales, "campaign_name").select("campaign_name", F.col("quantity").alias("Total_Sell"),
+                                              F.col("gross_sales").alias("Total_Revenue"))
     r = rank_rows(g, [desc("Total_Sell"), asc("campaign_name")])
     return r.select("Ranking", F.col("campaign_name").alias("Campaign_Name"), "Total_Sell", "Total_Revenue") \
             .orderBy("Ranking")
@@ -102,16 +103,16 @@ def discount_band_repeat_rate(sales: DataFrame, limits: list | None = None) -> D
 
 def platform_comparison(sales: DataFrame) -> DataFrame:
     """Q04: cost and revenue components per platform, ranked by revenue."""
-    g = sales.groupBy("platform").agg(
-        F.sum("selling_price").alias("Total_HargaJual_Barang"),
-        F.sum("quantity").alias("Total_Terjual"),
-        F.sum("production_cost").alias("Total_Biaya_Produksi"),
-        F.sum("shipping_cost").alias("Total_Biaya_Pengiriman"),
-        F.sum("platform_fee").alias("Total_Platform_Fee"),
-        F.sum("discount_amount").alias("Total_discount_amount"),
-        F.sum("gross_sales").alias("Total_Revenue"),
-        F.sum("net_profit").alias("Total_Profit"),
-        rounded_avg("customer_rating", 2).alias("Avg_Rating_Customer"))
+    g = totals(sales, "platform").select(
+        "platform", F.col("selling_price").alias("Total_HargaJual_Barang"),
+        F.col("quantity").alias("Total_Terjual"),
+        F.col("production_cost").alias("Total_Biaya_Produksi"),
+        F.col("shipping_cost").alias("Total_Biaya_Pengiriman"),
+        F.col("platform_fee").alias("Total_Platform_Fee"),
+        F.col("discount_amount").alias("Total_discount_amount"),
+        F.col("gross_sales").alias("Total_Revenue"),
+        F.col("net_profit").alias("Total_Profit"),
+        rounded_mean(F.col("customer_rating"), F.col(RATED), 2).alias("Avg_Rating_Customer"))
     r = rank_rows(g, [desc("Total_Revenue"), asc("platform")])
     cols = ["Ranking", F.col("platform").alias("Platform")] + [c for c in g.columns if c != "platform"]
     return r.select(*cols).orderBy("Ranking")
@@ -119,11 +120,11 @@ def platform_comparison(sales: DataFrame) -> DataFrame:
 
 def platform_gender_sales(sales: DataFrame) -> DataFrame:
     """Q05: units, revenue, profit and rating per platform and gender, ranked by revenue."""
-    g = sales.groupBy("platform", "customer_gender").agg(
-        F.sum("quantity").alias("Total_Terjual"),
-        F.sum("gross_sales").alias("Total_Revenue"),
-        F.sum("net_profit").alias("Total_Profit"),
-        rounded_avg("customer_rating", 2).alias("Avg_Rating_Customer"))
+    g = totals(sales, "platform", "customer_gender").select(
+        "platform", "customer_gender", F.col("quantity").alias("Total_Terjual"),
+        F.col("gross_sales").alias("Total_Revenue"),
+        F.col("net_profit").alias("Total_Profit"),
+        rounded_mean(F.col("customer_rating"), F.col(RATED), 2).alias("Avg_Rating_Customer"))
     r = rank_rows(g, [desc("Total_Revenue"), asc("platform"), asc("customer_gender")])
     return r.select("Ranking", F.col("platform").alias("Platform"), F.col("customer_gender").alias("Customer_Gender"),
                     "Total_Terjual", "Total_Revenue", "Total_Profit", "Avg_Rating_Customer").orderBy("Ranking")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ordering import asc, desc
 from ..functions.text import money_text
 from ..operators.aggregates import PANEL_STATUSES, share_text, status_panel
+from ..operators.rollup import ROWS, totals
 from ..sources.prepare import NO_REASON
 
 
@@ -20,7 +21,8 @@ def returned_flag_share(sales: DataFrame) -> DataFrame:
 
 def delivery_status_share(sales: DataFrame) -> DataFrame:
     """Q20: rows and share per delivery status (1 digit)."""
-    g = sales.groupBy("delivery_status").agg(F.count("delivery_status").alias("Total_Returned_Flag"))
+    known = F.when(F.col("delivery_status").isNull(), F.lit(0)).otherwise(F.col(ROWS)).cast("long")
+    g = totals(sales, "delivery_status").select("delivery_status", known.alias("Total_Returned_Flag"))
     g = share_text(g, "Total_Returned_Flag", 1)
     return g.select(F.col("delivery_status").alias("Cancelled_Transaction"), "Total_Returned_Flag", "Ratio")
 

@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import WEEKDAYS, seconds_of_day, year_month
+from ..functions.dates import WEEKDAYS, seconds_of_day, weekday_name, year_month
 from ..functions.exact import growth_percent
 from ..functions.ordering import asc, desc, field_position
 from ..functions.text import pct_text
 from ..operators.aggregates import moving_average, share_text
 from ..operators.ranking import rank_rows
+from ..operators.rollup import summed_by, totals
 
 # Growth text when there is no value, and day-part names with
 # their limits in seconds after midnight [start, end) - the afternoon end is inclusive.
@@ -30,7 +31,9 @@ def weekday_growth(sales: DataFrame) -> DataFrame:
     As in the reference the guard tests the current value, so the first
     weekday's growth is NULL rather than the no-data text.
     """
-    g = sales.groupBy("day_of_week").agg(F.sum("quantity").alias("Current_DayofWeek_Sales"))
+    days = totals(sales, "transaction_date")
+    g = summed_by(days, weekday_name(F.col("transaction_date")), "day_of_week", "quantity")
+    g = g.withColumnRenamed("quantity", "Current_DayofWeek_Sales")
     w = Window.orderBy(field_position(F.col("day_of_week"), WEEKDAYS), asc("day_of_week"))
     cur, prev = F.col("Current_DayofWeek_Sales"), F.lag("Current_DayofWeek_Sales").over(w)
     growth = F.when(cur.isNull(), F.lit(NO_DATA)).otherwise(pct_text(growth_percent(cur, prev, 2)))
@@ -40,8 +43,8 @@ def weekday_growth(sales: DataFrame) -> DataFrame:
 
 def month_growth(sales: DataFrame) -> DataFrame:
     """Q29: units per year-month against the previous month."""
-    g = sales.groupBy(year_month(F.col("transaction_date")).alias("YearMonth")) \
-             .agg(F.sum("quantity").alias("Current_Month_Sales"))
+    g = summed_by(totals(sales, "transaction_date"), year_month(F.col("transaction_date")), "YearMonth", "quantity")
+    g = g.withColumnRenamed("quantity", "Current_Month_Sales")
     w = Window.orderBy(asc("YearMonth"))
     g = g.withColumn("_prev", F.lag("Current_Month_Sales").over(w))
     cur, prev = F.col("Current_Month_Sales"), F.col("_prev")
@@ -71,7 +74,7 @@ def day_part_demand(sales: DataFrame) -> DataFrame:
 
 
 def daily_revenue(sales: DataFrame) -> DataFrame:
-    return sales.groupBy(F.col("transaction_date").alias("Dates")).agg(F.sum("gross_sales").alias("Total_Revenue"))
+    return totals(sales, "transaction_date").select(F.col("transaction_date").alias("Dates"), F.col("gross_sales").alias("Total_Revenue"))
 
 
 def revenue_moving_average(sales: DataFrame) -> DataFrame:
