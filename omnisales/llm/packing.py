@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -31,34 +32,45 @@ TOKENIZER = "byte_bpe_50k.json"
 CAPACITY, END_ID = 1024, 2
 #: Open sequences of a task, pieces in its look-ahead, tasks whose unfilled sequences are packed again together.
 OPEN, LOOK_AHEAD, FAN_IN = 512, 1000, 8
-#: Units whose ids a task remembers before it starts anew; bytes of text in one step; rows of an output batch.
-KEPT_UNITS, STEP_BYTES, ROWS_OUT = 400_000, 4 << 20, 4096
+#: Units whose ids a worker remembers before it starts anew; bytes of text in one step; rows of an output batch; units
+#: encoded as one text.
+KEPT_UNITS, STEP_BYTES, ROWS_OUT, UNITS_A_TEXT = 1_200_000, 8 << 20, 4096, 512
 PACKED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 LOTS = f"{PACKED}, lot long"
 #: Bits of a sequence's number: its round, the task or group, and a running number.
 TASK_BITS, OWN_BITS = 24, 35
 
-_ASCII_PUNCT = np.zeros(256, bool)
-_ASCII_PUNCT[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
-_ASCII_ALNUM = np.zeros(256, bool)
-_ASCII_ALNUM[[c for c in range(0x30, 0x7B) if chr(c).isalnum()]] = True
+#: ASCII classes that pre-tokenisation never joins but for a space or an apostrophe in front.
+_LETTER, _DIGIT, _MARK, _LINE = 1, 2, 3, 4
+_CLASS = np.zeros(256, np.int8)
+_CLASS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = _MARK
+_CLASS[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
+_CLASS[ord("0"):ord("9") + 1] = _DIGIT
+_CLASS[[0x09, 0x0A, 0x0D]] = _LINE
 #: First bytes of characters that are no white space in any Unicode version; those of E1, E2, E3 and C2 may be.
 _NO_SPACE = np.zeros(256, bool)
-_NO_SPACE[0x21:0x80] = True
+_NO_SPACE[0x21:0x7F] = True
 _NO_SPACE[0xC3:0xF5] = True
 _NO_SPACE[[0xE1, 0xE2, 0xE3]] = False
 
 
 def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Places where byte-level pre-tokenisation is sure to cut: before a space in front of a character that is none,
-    and before ASCII punctuation behind an ASCII letter or digit. Each text starts a unit."""
+    and between ASCII letters, digits, marks and a single line end or tab of different kinds, but behind an apostrophe and
+    before white space. Each text starts a unit."""
     n = len(data)
     begins = np.zeros(n + 1, bool)
     if n:
-        begins[:n - 1] = (data[:-1] == 0x20) & _NO_SPACE[data[1:]]
-        begins[1:n] |= _ASCII_PUNCT[data[1:]] & _ASCII_ALNUM[data[:-1]]
+        kind = _CLASS[data]
+        now, before = kind[1:], kind[:-1]
+        solid = (kind > 0) & (kind < _LINE)
+        known = solid[:-1] | (before == _LINE)
+        known[1:] &= solid[1:-1] | solid[:-2]  # several line ends are not cut off: what follows decides how they are split
+        known[:1] &= solid[:1]
+        begins[1:n] = (now != before) & solid[1:] & known & (data[:-1] != ord("'"))
+        begins[:n - 1] |= (data[:-1] == 0x20) & _NO_SPACE[data[1:]]
         last = offsets[1:][np.diff(offsets) > 0] - 1
-        begins[last] &= _ASCII_PUNCT[data[last]]  # a space that ends a text is no start
+        begins[last] &= data[last] != 0x20  # a space that ends a text is no start
         begins[offsets[:-1]] = True
     return np.flatnonzero(begins[:n])
 
@@ -75,6 +87,9 @@ class Encoder:
         before, added = self.tokenizer.pre_tokenizer, self.tokenizer.get_added_tokens_decoder().values()
         self.by_unit = (type(before).__name__ == "ByteLevel" and not before.add_prefix_space and before.use_regex
                         and self.tokenizer.normalizer is None and all(t.special for t in added))
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.by_unit = self.by_unit and len(feed) == 1
+        self.feed = np.array(feed[:1], np.uint32)
         self._forget()
 
     def _forget(self) -> None:
@@ -82,20 +97,37 @@ class Encoder:
         self.flat, self.ends, self.units = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
 
     def _learn(self, new: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        """Encode units not seen before: those without white space (but a space in front) joined by line feeds, whose
+        token then only ends a unit; the others each by itself."""
+        plain, others = [], []
+        for unit in new:
+            bare = unit[1:] if unit[0] == " " else unit
+            (plain if bare.isprintable() and " " not in bare and bare else others).append(unit)
+        blocks = ["\n".join(plain[a:a + UNITS_A_TEXT]) for a in range(0, len(plain), UNITS_A_TEXT)]
+        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(blocks, add_special_tokens=False)]
+        ids = np.concatenate([x for one in got for x in (one, self.feed)] or [self.feed[:0]])
+        ends = np.flatnonzero(ids == self.feed[0])
+        ids, count = np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+        if len(count) != len(plain):
+            raise ValueError("a unit holds the token of a line feed")
+        self._keep(plain, ids, count)
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
         count = np.fromiter(map(len, got), np.int64, len(got))
-        ends = self.ends[self.units] + np.cumsum(count)
-        for name, need in (("flat", int(ends[-1])), ("ends", self.units + len(new) + 1)):
+        self._keep(others, np.fromiter((i for one in got for i in one), np.uint32, int(count.sum())), count)
+
+    def _keep(self, units: list[str], ids: np.ndarray, count: np.ndarray) -> None:
+        first = self.units
+        ends = self.ends[first] + np.cumsum(count)
+        for name, need in (("flat", int(self.ends[first]) + len(ids)), ("ends", first + len(units) + 1)):
             have = getattr(self, name)
             if len(have) < need:
                 more = np.zeros(2 * need, have.dtype)
                 more[:len(have)] = have
                 setattr(self, name, more)
-        self.flat[self.ends[self.units]:ends[-1]] = np.fromiter((i for ids in got for i in ids), np.uint32, int(count.sum()))
-        self.ends[self.units + 1:self.units + 1 + len(new)] = ends
-        for unit in new:
-            self.known[unit] = len(self.known)
-        self.units = len(self.known)
+        self.flat[self.ends[first]:self.ends[first] + len(ids)] = ids
+        self.ends[first + 1:first + 1 + len(units)] = ends
+        self.known.update(zip(units, range(first, first + len(units)), strict=True))
+        self.units = first + len(units)
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, ``end_id`` behind each text's, and the offset of each text's (one more at the end)."""
@@ -116,15 +148,30 @@ class Encoder:
         distinct = units.dictionary.to_pylist()
         if len(self.known) > KEPT_UNITS:
             self._forget()
-        new = [u for u in distinct if u not in self.known]
-        if new:
-            self._learn(new)
-        number = np.fromiter((self.known[u] for u in distinct), np.int64, len(distinct))[units.indices.to_numpy()]
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            unseen = [distinct[i] for i in new.tolist()]
+            self._learn(unseen)
+            number[new] = np.fromiter(map(self.known.__getitem__, unseen), np.int64, len(new))
+        number = number[units.indices.to_numpy()]
         count = self.ends[number + 1] - self.ends[number]
         total = np.concatenate(([0], np.cumsum(count)))
         return self.flat[ranges(self.ends[number], count)], total[np.searchsorted(start, offsets)]
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder_of(definition: str) -> Encoder:
+    """The worker's encoder, which later tasks go on with: most of their units are known by then."""
+    key = hash(definition)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(definition)
+    return _ENCODERS[key]
+
+
 class Packer:
     """Open sequences of one task. Rows are (doc_id, piece, start, length, ids); closed sequences' rows go to ``out``."""
 
@@ -213,7 +260,7 @@ def _pieces(doc_ids: pa.Array, ids: np.ndarray, at: np.ndarray, capacity: int) -
 def _pack_texts(definition: Callable[[], str], capacity: int, end_id: int, sizes: tuple[int, int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot = TaskContext.get().partitionId()
-        encoder, packer = Encoder(definition()), Packer(_first_id(0, lot), capacity, *sizes)
+        encoder, packer = encoder_of(definition()), Packer(_first_id(0, lot), capacity, *sizes)
         for batch in batches:
             for begin, end in chunks(batch.column(1), STEP_BYTES):
                 part = batch.slice(begin, end - begin)
