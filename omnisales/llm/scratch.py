@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import gc
 import tempfile
@@ -28,14 +29,45 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SCOPE: contextvars.ContextVar[str] = contextvars.ContextVar("scope", default="")
+
+
+def _steps_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/omnisales-llm/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no earlier run has used."""
-    return f"{shared_folder(spark)}/omnisales-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{_steps_folder(spark)}/{_SCOPE.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def own_steps(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables written inside go to a folder of their own, which is removed at the end: what is to last has to be written
+    or read to its end inside, and its own table outside."""
+    scope = f"{name}-{uuid.uuid4().hex}/"
+    token = _SCOPE.set(scope)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        remove(spark, f"{_steps_folder(spark)}/{scope}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_steps(spark: SparkSession) -> None:
+    """Remove all tables this application has written between steps; results that read them must have been read or
+    written elsewhere before."""
+    remove(spark, _steps_folder(spark))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` computed once: written as Parquet to the shared folder and read again, which also cuts its lineage."""
-    path = new_folder(df.sparkSession, name)
+    path = path or new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
