@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from omnisales.llm.decontaminate import drop_contaminated
 from omnisales.llm.near_dups import drop_near_duplicates
-from omnisales.llm.scratch import ship_package, written
+from omnisales.llm.scratch import new_folder, own_steps, remove, ship_package, written
 from omnisales.llm.secrets import redact_secrets
 from omnisales.llm.sentencepieces import encode_and_decode
 from omnisales.llm.toxicity import drop_toxic
@@ -58,7 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other. Tables that a stage writes on its way, and the result of the stage before it, are
+    removed when its own result is written; the last result stays with the application's steps (``scratch.drop_steps``)."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_folder(spark, f"stage-{name}")
+        with own_steps(spark, f"steps-{name}"):
+            docs = written(stage(spark, docs, sf_dir), name, path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
