@@ -9,7 +9,8 @@ documents, and their sums by language are normalised. There is no second round.
 
 Words are runs of letters (A-Z lower-cased, all characters beyond ASCII), marked at their start, and
 worked on as UTF-8 bytes; a byte that is no piece may stand alone at a fixed small probability. Sums that would
-underflow are added in logs. Each distinct word of a chunk is worked on once. Words longer than ``CUT`` bytes are cut there.
+underflow are added in logs. Each distinct word of a chunk is worked on once. Words of any length are whole: a sum
+needs the places within the longest piece only, so the forward table is a ring of that many.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ from .words import U64, Words, byte_class, chunks, mix, powers, ranges
 
 VOCABULARY_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 LETTER = byte_class("letter")
-CUT = 64
 #: Probability of a byte outside all pieces, and the count added to every piece of a language.
 UNKNOWN, ADDED = 1e-7, 0.1
 #: Distinct words that a task holds at a time, about; they are worked off or forgotten beyond it.
 STORE = 300_000
+#: Bytes of distinct words that are kept before they are worked off, and that are worked on together.
+STORE_BYTES, BLOCK_BYTES, LEAST_BLOCK = 16 << 20, 1_600_000, 50_000
 #: Sums below it are computed again in logs: above it, what underflows is no part of the result's digits.
 LEAST_SUM = 1e-200
 #: Languages that the model holds at most; more distinct values are an error, not a cut.
@@ -142,14 +144,41 @@ def _forward(words: int, size: np.ndarray, edges: tuple[np.ndarray, ...], weight
     return alpha.reshape(words, width, -1)
 
 
-def _log_totals(words: int, size: np.ndarray, edges: tuple[np.ndarray, ...], weight: np.ndarray) -> np.ndarray:
+def _totals(words: int, size: np.ndarray, edges: tuple[np.ndarray, ...], table: np.ndarray, numbers: Numbers = PLAIN) -> np.ndarray:
+    """The summed probability of all segmentations of each word by model; ``table``: by piece (the last: a byte outside)
+    and model. Of the forward table only the places that a piece can reach back to are held."""
+    w, s, e, p = edges
+    ring = int((e - s).max(initial=1)) + 1
+    alpha = np.full((words * ring, table.shape[1]), numbers.zero)
+    alpha[np.arange(words) * ring] = numbers.one
+    out = np.full((words, table.shape[1]), numbers.one)
+    last = int(size.max(initial=0))
+    first = np.flatnonzero(np.concatenate(([True], (e[1:] != e[:-1]) | (w[1:] != w[:-1]))))[:len(e)]
+    cuts = np.searchsorted(e, np.arange(1, last + 2))
+    group_cuts = np.searchsorted(first, cuts)
+    by_size = np.argsort(size, kind="stable")
+    done = np.searchsorted(size[by_size], np.arange(last + 2))
+    for place in range(1, last + 1):
+        slot = place % ring
+        alpha[slot::ring] = numbers.zero
+        a, b = cuts[place - 1], cuts[place]
+        starts = first[group_cuts[place - 1]:group_cuts[place]]
+        if len(starts):
+            terms = numbers.times(alpha[w[a:b] * ring + s[a:b] % ring], table[p[a:b]])
+            alpha[w[starts] * ring + slot] = numbers.add.reduceat(terms, starts - a, axis=0)
+        ended = by_size[done[place]:done[place + 1]]
+        out[ended] = alpha[ended * ring + slot]
+    return out
+
+
+def _log_totals(words: int, size: np.ndarray, edges: tuple[np.ndarray, ...], table: np.ndarray) -> np.ndarray:
     """Logs of the words' probabilities by model. Words with a sum below ``LEAST_SUM`` are added in logs."""
-    total = _forward(words, size, edges, weight)[np.arange(words), size]
+    total = _totals(words, size, edges, table)
     low = np.flatnonzero((total < LEAST_SUM).any(axis=1))
     out = np.log(np.maximum(total, LEAST_SUM))
     if len(low):
-        own, on = _edges_of(words, edges, low)
-        out[low] = _forward(len(low), size[low], own, np.log(weight[on]), LOGS)[np.arange(len(low)), size[low]]
+        own, _ = _edges_of(words, edges, low)
+        out[low] = _totals(len(low), size[low], own, np.log(table), LOGS)
     return out
 
 
@@ -207,29 +236,29 @@ class Distinct:
         size = np.diff(self.at)[which]
         return Distinct(self.hash[which], self.buffer[ranges(self.at[which], size)], np.concatenate(([0], np.cumsum(size))))
 
-    def blocks(self, models: int = 1) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-        """Ranges of words with their bytes, first bytes and sizes; shorter where more models make wider tables."""
-        n = max(500, 160_000 // max(models, 4))
-        for a in range(0, len(self.hash), n):
-            at = self.at[a:a + n + 1]
-            yield slice(a, a + len(at) - 1), self.buffer, at[:-1], np.diff(at)
-
-
-def _distinct(words: Words) -> tuple[Distinct, np.ndarray, np.ndarray]:
-    """The distinct words of a chunk; for each word (part) its number among them, and the word it belongs to."""
-    length = words.end - words.start
-    parts = np.maximum((length + CUT - 1) // CUT, 1)
-    of = np.repeat(np.arange(len(length)), parts)  # a long word is cut; only its first part has the marker
-    part = ranges(np.zeros(len(parts), np.int64), parts)
-    start = words.start[of] + part * CUT
-    size = np.minimum(CUT, words.end[of] - start)
-    h = words.span_hashes(start, size) ^ (U64(0x5851F42D4C957F2D) * (part > 0).astype(U64))
-    keys, first, number = np.unique(h, return_index=True, return_inverse=True)
-    src, n, marked = start[first], size[first], (part[first] == 0).astype(np.int64)
-    at = np.concatenate(([0], np.cumsum(n + marked)))
+    def blocks(self, models: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Words of like size with their numbers, bytes, first bytes and sizes; fewer where more models make wider tables.
+        A word longer than a block is one by itself."""
+        size = np.diff(self.at)
+        by = np.argsort(size, kind="stable")
+        limit = max(BLOCK_BYTES // max(models, 4), LEAST_BLOCK)
+        upto = np.cumsum(size[by] + 1)
+        a = 0
+        while a < len(by):
+            b = max(int(np.searchsorted(upto, (upto[a - 1] if a else 0) + limit, side="right")), a + 1)
+            yield by[a:b], self.buffer, self.at[by[a:b]], size[by[a:b]]
+            a = b
+
+
+def _distinct(words: Words) -> tuple[Distinct, np.ndarray]:
+    """The distinct words of a chunk, and for each word its number among them."""
+    size = words.end - words.start
+    keys, first, number = np.unique(words.span_hashes(words.start, size), return_index=True, return_inverse=True)
+    src, n = words.start[first], size[first]
+    at = np.concatenate(([0], np.cumsum(n + 1)))
     buffer = np.full(at[-1], 0x20, np.uint8)
-    buffer[ranges(at[:-1] + marked, n)] = words.data[ranges(src, n)]
-    return Distinct(keys, buffer, at), number, of
+    buffer[ranges(at[:-1] + 1, n)] = words.data[ranges(src, n)]
+    return Distinct(keys, buffer, at), number
 
 
 def _learn(data_of: Callable[[], bytes], languages: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -267,11 +296,11 @@ def _learn(data_of: Callable[[], bytes], languages: list[str]) -> Callable[[Iter
                 words = Words(batch.column(0).slice(begin, end - begin), LETTER, lower=True)
                 if not len(words.start):
                     continue
-                store, which, of = _distinct(words)
-                told, n = lang[begin + words.owner()[of]], len(store.hash)
+                store, which = _distinct(words)
+                told, n = lang[begin + words.owner()], len(store.hash)
                 times = np.bincount(which * len(languages) + told, minlength=n * len(languages)).reshape(n, -1)
                 held.append((store, times.astype(float)))
-                if sum(len(d.hash) for d, _ in held) >= STORE:
+                if sum(len(d.hash) for d, _ in held) >= STORE or sum(len(d.buffer) for d, _ in held) >= STORE_BYTES:
                     empty()
         empty()
         for i in range(len(languages)):
@@ -295,7 +324,7 @@ def _predict(data_of: Callable[[], bytes], model_of: Callable[[], np.ndarray], l
                 words = Words(part.column(1), LETTER, lower=True)
                 rows, logs = len(words.count), np.zeros((len(words.count), len(languages)))
                 if len(words.start) and len(languages):
-                    store, which, of = _distinct(words)
+                    store, which = _distinct(words)
                     place = np.minimum(np.searchsorted(known, store.hash), max(len(known) - 1, 0))
                     new = np.flatnonzero(known[place] != store.hash) if len(known) else np.arange(len(store.hash))
                     mine = np.zeros((len(store.hash), len(languages)))
@@ -303,7 +332,7 @@ def _predict(data_of: Callable[[], bytes], model_of: Callable[[], np.ndarray], l
                     got = np.zeros((len(new), len(languages)))
                     for own, buffer, at, size in fresh.blocks(len(languages)):
                         edges = vocabulary.edges(buffer, at, size)
-                        got[own] = _log_totals(len(size), size, edges, by_piece[edges[3]])
+                        got[own] = _log_totals(len(size), size, edges, by_piece)
                     if len(known):
                         mine = known_logs[place]
                     mine[new] = got
@@ -313,7 +342,7 @@ def _predict(data_of: Callable[[], bytes], model_of: Callable[[], np.ndarray], l
                         known = np.concatenate([known, fresh.hash])
                         by = np.argsort(known, kind="stable")
                         known, known_logs = known[by], np.concatenate([known_logs, got])[by]
-                    doc = words.owner()[of]
+                    doc = words.owner()
                     for i in range(len(languages)):
                         logs[:, i] = np.bincount(doc, mine[which, i], rows)
                 letters = words.count > 0
@@ -350,8 +379,9 @@ def identify_language(docs: DataFrame, vocabulary_path: str = VOCABULARY_PATH, i
 
     Learned from texts with a non-null language and a non-null id whose crc32 (as text) modulo 4 is not 2; language,
     source and id are no inputs of a prediction. ``lang_pred`` is a learned value, or ``und`` (score 0) where the text
-    is null or has no letter, or nothing could be learned. Ties go to the first language in order. Other columns are
-    not read.
+    is null or has no letter, or nothing could be learned. Ties go to the first language in order. Repeated rows are
+    learned from and predicted one by one. Texts and words of any length are whole; time and memory grow with the
+    longest. Other columns are not read.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(Path(vocabulary_path).read_bytes())
