@@ -3,7 +3,8 @@
 Each tree hashes a vector to a string of 32 bits, the signs of random projections of the centred vector.
 A tree is the sorted array of these strings. A query descends in every tree to the longest prefix that it
 shares with any entry; then all trees ascend together, one bit at a time, until the ranges under the
-common prefix length hold enough entries. Their union is compared exactly.
+common prefix length hold enough entries. Entries that many trees hold are near: those that most trees hold are
+compared exactly.
 
 Rows are dealt to shards by a hash of the vector; a shard holds all trees over its vectors, so an index
 never leaves a task. The number of shards grows with the square root of the rows, so that of (query,
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from .scratch import new_folder, written
 
 BITS = 32
-#: Trees, and the entries (summed over trees) that end the ascent: at least so many, and at least that share of a
-#: shard. Recall is measured with these on nearly unclustered vectors, the worst case; others need far less.
-TREES, LEAST_ENTRIES, SHARE = 96, 20_000, 1.0
+#: Trees; the entries summed over trees that end the ascent, and those of them that are compared, as shares of a shard.
+#: Recall is measured with these on nearly unclustered vectors, the worst case; others need far less.
+TREES, SHARE, COMPARED = 96, 6.0, 0.35
 #: Shards: the square root of the rows over this; no shard has much more than MOST_ROWS.
 ROWS_PER_ROOT, MOST_ROWS = 64, 500_000
 #: Queries that go to all tasks at once.
@@ -68,8 +69,9 @@ class Forest:
             end[:, t] = np.searchsorted(column, high[:, t], "right")
         return begin, end
 
-    def candidates(self, queries: np.ndarray, enough: int) -> Iterator[np.ndarray]:
-        """For each query string the entries under the longest common prefix length that yields enough of them."""
+    def candidates(self, queries: np.ndarray, enough: int, compared: int) -> Iterator[np.ndarray]:
+        """For each query string, of the entries under the longest common prefix length that yields enough of them in
+        all trees, the ``compared`` ones that most trees hold, and those that as many hold."""
         low, high = np.zeros(len(queries), np.int64), np.full(len(queries), BITS, np.int64)
         while (low < high).any():  # the longest length with enough entries; 0 holds all
             middle = (low + high + 1) // 2
@@ -78,7 +80,12 @@ class Forest:
             low, high = np.where(ok, middle, low), np.where(ok, high, middle - 1)
         begin, end = self._ranges(queries, low)
         for q in range(len(queries)):
-            yield np.unique(np.concatenate([self.order[a:b, t] for t, (a, b) in enumerate(zip(begin[q], end[q], strict=True))]))
+            held = np.concatenate([self.order[a:b, t] for t, (a, b) in enumerate(zip(begin[q], end[q], strict=True))])
+            times = np.bincount(held, minlength=len(self.keys))
+            least = 1
+            if compared < len(times):
+                least = max(int(np.partition(times, len(times) - compared)[len(times) - compared]), 1)
+            yield np.flatnonzero(times >= least)
 
 
 def _search(block: dict, k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -94,10 +101,12 @@ def _search(block: dict, k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         members = shard["ids"].tolist()
         planes = projections(dim)
         forest = Forest(vectors, centre, planes)
-        enough = min(TREES * len(vectors), max(LEAST_ENTRIES, math.ceil(SHARE * len(vectors))))
+        # So many entries are more than k + 1 different ones in any case.
+        enough = min(TREES * len(vectors), max(TREES * 4 * (k + 1), math.ceil(SHARE * len(vectors))))
+        compared = max(4 * (k + 1), math.ceil(COMPARED * len(vectors)))
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         hashed = strings(queries.astype(np.float32), centre, planes)
-        for q, entries in enumerate(forest.candidates(hashed, enough)):
+        for q, entries in enumerate(forest.candidates(hashed, enough, compared)):
             distance = np.sqrt(((vectors[entries] - queries[q]) ** 2).sum(axis=1))
             if len(entries) > k + 1:  # all within the distance of the (k+1)-th: ties stay
                 keep = distance <= np.partition(distance, k)[k]
