@@ -178,7 +178,7 @@ def test_ascent_takes_the_longest_prefix_with_enough_entries():
     planes = ann.projections(8)
     forest = ann.Forest(x, np.zeros(8, np.float32), planes)
     keys = ann.strings(x.astype(np.float32), np.zeros(8, np.float32), planes)
-    for q, found in enumerate(forest.candidates(keys[:20], 2000)):
+    for q, found in enumerate(forest.candidates(keys[:20], 2000, 400)):
         shared = [sum(int(((keys[:, t] ^ keys[q, t]) >> np.uint32(32 - n)).astype(bool).sum() * -1 + 400) if n else 400
                       for t in range(ann.TREES)) for n in range(33)]
         n = max(k for k in range(33) if shared[k] >= 2000)
@@ -186,6 +186,22 @@ def test_ascent_takes_the_longest_prefix_with_enough_entries():
         assert set(found.tolist()) == want
 
 
+def test_entries_that_most_trees_hold_are_compared():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 32))
+    planes = ann.projections(32)
+    forest = ann.Forest(x, np.zeros(32, np.float32), planes)
+    queries = ann.strings(x[:30].astype(np.float32), np.zeros(32, np.float32), planes)
+    every = list(forest.candidates(queries, 18_000, 3000))
+    some = list(forest.candidates(queries, 18_000, 900))
+    found = 0
+    for q in range(30):
+        assert set(some[q].tolist()) <= set(every[q].tolist()) and 900 <= len(some[q]) < 1500
+        near = np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11]
+        found += len(set(near.tolist()) & set(some[q].tolist()))
+    assert found >= 0.9 * 300
+
+
 # --- language
 
 def test_forward_sums_all_segmentations():
@@ -234,7 +250,8 @@ def test_long_runs_of_unknown_bytes_have_a_probability():
     size = np.array([len(w) for w in words])
     edges = vocabulary.edges(np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], np.cumsum(size)[:-1])), size)
     weight = np.append(vocabulary.start, language.UNKNOWN)[edges[3]]
-    logs = language._log_totals(len(words), size, edges, np.stack([weight, weight / 10], axis=1))
+    table = np.append(vocabulary.start, language.UNKNOWN)
+    logs = language._log_totals(len(words), size, edges, np.stack([table, table / 10], axis=1))
     assert np.isfinite(logs).all() and logs[0, 0] < -460 > logs[2, 0]
     plain = language._forward(len(words), size, edges, weight[:, None])
     assert np.isclose(logs[1, 0], np.log(plain[1, 4, 0]), rtol=1e-12)
@@ -244,6 +261,35 @@ def test_long_runs_of_unknown_bytes_have_a_probability():
     assert np.allclose(np.bincount(edges[0], used * (edges[2] - edges[1])), size)
 
 
+def test_words_of_any_length_are_summed_whole():
+    """A word of 300 bytes, a paragraph of Chinese and long foreign runs against a plain forward sum in logs."""
+    vocabulary = language.Vocabulary(open(language.VOCABULARY_PATH, "rb").read())
+    number = {p: i for i, p in enumerate(vocabulary.pieces)}
+    rnd = random.Random(11)
+    paragraph = "".join(rnd.choice("的一是不了人我在有他这中大来上国个到说们。，、") for _ in range(400))
+    texts = ["".join(rnd.choice(["inter", "nation", "ali", "sation", "q"]) for _ in range(60))[:300], paragraph, "Straße" * 40, "a", "🟥" * 90]
+    words = language.Words(pa.array([" ".join(texts)]), language.LETTER, lower=True)
+    store, which = language._distinct(words)
+    assert len(store.hash) == 5 and max(np.diff(store.at)) > 1000
+    start = np.append(vocabulary.start, language.UNKNOWN)
+    table = np.stack([start, np.append(vocabulary.start[::-1], language.UNKNOWN)], axis=1)
+    got = np.zeros((5, 2))
+    for own, buffer, at, size in store.blocks(2):
+        got[own] = language._log_totals(len(size), size, vocabulary.edges(buffer, at, size), table)
+    for k in range(5):
+        word = store.buffer[store.at[k]:store.at[k + 1]].tobytes()
+        for m in range(2):
+            alpha = [0.0] + [-np.inf] * len(word)
+            for end in range(1, len(word) + 1):
+                for n in range(1, min(end, vocabulary.longest) + 1):
+                    piece = number.get(word[end - n:end])
+                    if piece is not None:
+                        alpha[end] = np.logaddexp(alpha[end], alpha[end - n] + np.log(table[piece, m]))
+                    elif n == 1:
+                        alpha[end] = np.logaddexp(alpha[end], alpha[end - 1] + np.log(language.UNKNOWN))
+            assert np.isclose(got[k, m], alpha[-1], rtol=1e-9)
+
+
 def test_pieces_of_all_lengths_are_used():
     model = sentencepieces.read_model(open(language.VOCABULARY_PATH, "rb").read())
     vocabulary = language.Vocabulary(open(language.VOCABULARY_PATH, "rb").read())
@@ -419,6 +465,24 @@ def test_pipeline_stages_equal_their_operators(spark):
     assert 995 in out and not {1030, 1031} & set(out)  # near copies: the smallest id stays
 
 
+def test_pipeline_leaves_only_its_result(spark, monkeypatch):
+    """Stages that write tables on their way; all are gone at the end but the last result."""
+    import os
+
+    from omnisales.llm import scratch
+    folder = scratch._steps_folder(spark).removeprefix("file:")
+    base = scratch.new_folder(spark, "input")
+    spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").write.parquet(f"{base}/documents.parquet")
+
+    def stage(spark, docs, sf_dir):
+        return scratch.written(docs, "inner").union(scratch.written(docs.limit(1), "other"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    had = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, base)
+    new = [n for n in set(os.listdir(folder)) - had]
+    assert out.count() == 4 and len(new) == 1 and new[0].startswith("stage-two")
+
+
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "tokens"]
 
