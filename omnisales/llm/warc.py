@@ -4,9 +4,11 @@ Archives are gzip files with one member a record. The writer's tasks write files
 folder and return their names and sizes; only files that a finished task has returned are read, so a task that
 is run again after a lost executor does no harm. Records whose payload another record already has are revisits.
 
-The reader deals byte ranges of the files to tasks. A task looks for the gzip magic in its range, takes a place
-for a member only if its decoded start is a record header, and owns the records that start inside its range; the
-last one is read to its end beyond it. No index is needed, and every record has exactly one owner.
+The reader deals byte ranges of the files to tasks. A task looks for the gzip magic in its range and takes a place for a
+member only if its decoded start is a record header and members follow it without a gap to the end of the range or
+file: the bytes of an archive inside a payload look like members, too, but what follows the last of them does not. It owns the
+records that start inside its range; the last one is read to its end beyond it. No index is needed, and every record
+has exactly one owner. Archives of others are read as well: any record types, header lines in their several forms.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from .scratch import new_folder, written
 
 MAGIC = b"\x1f\x8b\x08"
-#: A file is closed once it has so many bytes; a task reads ranges of SPLIT_BYTES.
-FILE_BYTES, SPLIT_BYTES = 1 << 30, 16 << 20
+#: A file is closed once it has so many bytes; a task reads ranges of SPLIT_BYTES, some RANGES of them where there are many.
+FILE_BYTES, SPLIT_BYTES, RANGES = 1 << 30, 16 << 20, 16
 BLOCK = 1 << 20
 DATE = "2000-01-01T00:00:00Z"
 FILES = "path string, size long, records long"
@@ -95,18 +97,20 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
 
     The payload is the html in UTF-8, empty if null. Of rows with equal payloads of at least ``least_bytes`` bytes,
     the one with the smallest page_id is the response and the others are revisits of it; rows that repeat that id are
-    responses, and where all ids are null all rows are. Smaller payloads are responses. Other columns are not read.
+    responses, and where all ids are null all rows are. Smaller payloads are responses. Payloads are equal if their SHA-1
+    and length are. One record is held in memory at a time, whatever its length. Other columns are not read.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "archives")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({"sha1": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
-    first = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"))
+    same = ["sha1", "payload_bytes"]
+    first = rows.where(F.col("payload_bytes") >= least_bytes).groupBy(*same).agg(F.min("page_id").alias("first"))
     first = first.where("first is not null")
     revisit = F.coalesce((F.col("first") < F.col("page_id")) | (F.col("first").isNotNull() & F.col("page_id").isNull()),
                          F.lit(False)) & (F.col("payload_bytes") >= least_bytes)
-    told = (rows.join(first, "sha1", "left").withColumn("revisit", revisit)
+    told = (rows.join(first, same, "left").withColumn("revisit", revisit)
             .select("page_id", "url", F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
                     "sha1", "payload_bytes", F.when(F.col("revisit"), F.col("first")).alias("refers_to"), "revisit"))
     return folder, written(told.mapInArrow(_write(folder, file_bytes), FILES), "archive-files")
@@ -168,16 +172,34 @@ class _Window:
 
 def records_in(file: pa.NativeFile, size: int, start: int, end: int) -> Iterator[bytes]:
     """The records that start in a byte range of an archive."""
-    window = _Window(file, size, start)
-    at = start
-    while (place := window.find(at, end)) is not None:
-        got = window.member(place)
+    at: int | None = start
+    if start:
+        window = _Window(file, size, start)
+        at = window.find(start, end)
+        while at is not None and not _chained(file, size, at, end):
+            window = _Window(file, size, at + 1)
+            at = window.find(at + 1, end)
+    window = _Window(file, size, at or 0)
+    while at is not None and at < end:
+        got = window.member(at)
         if got is None:
-            at = place + 1
-            window.file.seek(window.base + len(window.data))
-        else:
-            yield got[0]
-            at = got[1]
+            raise ValueError(f"no record at byte {at}")
+        yield got[0]
+        at = got[1]
+
+
+def _chained(file: pa.NativeFile, size: int, at: int, end: int) -> bool:
+    """Whether members of records follow each other from here to the end of the range, or of the file."""
+    window = _Window(file, size, at)
+    while at < end:
+        try:
+            got = window.member(at)
+        except (ValueError, zlib.error):
+            return False
+        if got is None:
+            return False
+        at = got[1]
+    return True
 
 
 def _number(value: str | None) -> int | None:
@@ -185,19 +207,50 @@ def _number(value: str | None) -> int | None:
     return int(name) if name.lstrip("-").isdigit() else None
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Header lines by lower-case name: white space around the colon or none, values folded over lines, line feeds alone."""
+    found: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            found[name] = f"{found[name]} {line.strip()}".strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            found[name] = value.strip()
+    return found
+
+
+def _split(data: bytes) -> tuple[bytes, bytes]:
+    """Header and what follows its empty line."""
+    head, found, rest = data.partition(b"\r\n\r\n")
+    bare, bare_found, bare_rest = data.partition(b"\n\n")
+    return (bare, bare_rest) if bare_found and (not found or len(bare) < len(head)) else (head, rest)
+
+
 def parse_record(data: bytes) -> dict:
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[:int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = int(dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"])
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    revisit = fields["WARC-Type"] == "revisit"
-    if not revisit and (len(payload) != size or payload_digest(hashlib.sha1(payload).hexdigest()) != digest):
-        raise ValueError(f"payload of {fields['WARC-Record-ID']} does not fit its digest")
-    return {"page_id": _number(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"),
-            "record_type": fields["WARC-Type"], "payload": None if revisit else payload, "payload_bytes": size,
-            "payload_digest": digest, "refers_to": _number(fields.get("WARC-Refers-To"))}
+    """A record as a row. The payload of an HTTP message is its body, of any other record its block."""
+    head, rest = _split(data)
+    fields = _fields(head)
+    block = rest[:int(fields["content-length"])] if "content-length" in fields else rest
+    kind = fields.get("warc-type", "")
+    payload, http = block, {}
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        http_head, payload = _split(block)
+        http = _fields(http_head)
+    revisit = kind == "revisit"
+    stated = http.get("content-length", "")
+    size = int(stated) if revisit and stated.isdigit() else len(payload)
+    algorithm, _, digest = fields.get("warc-payload-digest", "").partition(":")
+    own = hashlib.sha1(payload)
+    if algorithm.lower() != "sha1" or not digest:
+        digest = "" if revisit else payload_digest(own.hexdigest())
+    elif not revisit and "transfer-encoding" not in http and "content-encoding" not in http:
+        if digest.upper() not in (payload_digest(own.hexdigest()), own.hexdigest().upper()) or stated.isdigit() and int(stated) != size:
+            raise ValueError(f"payload of {fields.get('warc-record-id')} does not fit its digest")
+    return {"page_id": _number(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"),
+            "record_type": kind, "payload": None if revisit else payload, "payload_bytes": size,
+            "payload_digest": digest or None, "refers_to": _number(fields.get("warc-refers-to"))}
 
 
 RECORD_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()),
@@ -225,10 +278,12 @@ def _read(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def read_archives(folder: str, files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The records of the files (``path``, ``size``) in the folder; a response's payload is checked against its digest.
 
-    A record cut off at a file's end or a payload that does not fit its digest is an error. No files: no records.
+    A record cut off at a file's end or a payload that does not fit its digest is an error. No files: no records. Records
+    of other writers have a null ``page_id``; where they state no payload digest it is computed (a revisit has none).
     """
     splits = (files.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1,
                                                                                  F.lit(split_bytes).cast("long"))).alias("start"))
               .withColumn("end", F.least(F.col("start") + split_bytes, "size")))
     n = splits.count()
-    return splits.repartition(max(1, n)).mapInArrow(_read(folder), RECORDS)
+    tasks = min(n, max(files.sparkSession.sparkContext.defaultParallelism, -(-n // RANGES)))
+    return splits.repartition(max(1, tasks)).mapInArrow(_read(folder), RECORDS)
