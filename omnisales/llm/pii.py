@@ -196,8 +196,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: ``doc_id`` and ``spans`` (kind, start, end in code points; by start, then kind).
 
     Kinds: email, ip, card, phone, and weak for candidates that the classifier accepts (never over another span).
-    Null or empty text has none; other columns are not read. Votes are counted over all documents; their patterns
-    are at most 5 * 3**7, whatever the input.
+    Null or empty text has none; other columns are not read. Rows are looked at one by one, also those that share an id
+    (each has its own spans, and its votes count), and texts of any length whole. Votes are counted over all documents;
+    their patterns are at most 5 * 3**7, whatever the input.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = written(rows.mapInArrow(_scan, f"doc_id long, base {SPANS}, more array<struct<start:long,end:long,code:long>>"), "pii")
