@@ -91,11 +91,18 @@ def give_back() -> None:
 
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch where the application has set no number: rows hold whole texts, and executor and worker both
+#: hold a batch.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package's sources to the Python workers (once an application), wherever the driver was started from."""
+    """Send this package's sources to the Python workers (once an application), wherever the driver was started from, and
+    have the session cut batches of texts small where it has Spark's default."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000" and not sc.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent.parent

@@ -53,7 +53,7 @@ LABEL_ACCURACY, TERM_PENALTY = 0.999, 5.0
 #: Ids of toxic training documents go to all tasks up to this number (8 MB); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Distinct terms that a task keeps before it sends their counts.
-STORE = 1_500_000
+STORE = 400_000
 NO_LABEL = 2
 
 
