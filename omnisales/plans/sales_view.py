@@ -24,13 +24,24 @@ from ..functions.dates import weekday_name
 from ..functions.text import sentence_case
 from ..schema import VIEW_PRODUCT_FIELDS
 from ..sources.prepare import prepare_products, prepare_transactions
-from ..sources.testdata import raw_products, raw_transactions, table
+from ..sources.testdata import raw_products, table, transaction_rows, transactions_of
+
+#: In front of the catalogue's names in rows that are joined to it already.
+_PRODUCT = "_product_"
 
 
 def sales_analysis(tx: DataFrame, products: DataFrame | None = None,
                    extra_product_fields: tuple[str, ...] = ()) -> DataFrame:
     """Prepared transactions (+ prepared catalogue) -> the 37-column sales view."""
     ft = tx.alias("ft")
+    if products is None:
+        return _view(ft)
+    joined = ft.join(products.alias("pc"), F.col("ft.product_code") == F.col("pc.product_code"), "left")
+    return _view(joined, "pc.", extra_product_fields)
+
+
+def _view(ft: DataFrame, pc: str | None = None, extra_product_fields: tuple[str, ...] = ()) -> DataFrame:
+    """The view's columns from transactions named ``ft``, with the catalogue's fields (named with ``pc`` in front)."""
     fact = [
         F.col("ft.transaction_id"),
         F.col("ft.temp_date").alias("transaction_date"),
@@ -54,22 +65,37 @@ def sales_analysis(tx: DataFrame, products: DataFrame | None = None,
     ]
     tail = [F.col(f"ft.{c}") for c in ("campaign_name", "warehouse_origin", "delivery_status", "customer_rating",
                                        "returned_flag", "return_reason")]
-    if products is None:
+    if pc is None:
         return ft.select(*fact, *tail)
-    pc = products.alias("pc")
-    joined = ft.join(pc, F.col("ft.product_code") == F.col("pc.product_code"), "left")
-    profit = (F.col("ft.gross_sales") - F.col("ft.discount_amount") - F.col("pc.production_cost")
+    profit = (F.col("ft.gross_sales") - F.col("ft.discount_amount") - F.col(f"{pc}production_cost")
               - F.col("ft.shipping_cost") - F.col("ft.platform_fee")).alias("net_profit")
-    catalogue = [F.col(f"pc.{c}") for c in VIEW_PRODUCT_FIELDS + list(extra_product_fields)]
-    return joined.select(*fact, profit, *tail, *catalogue)
+    catalogue = [F.col(f"{pc}{c}").alias(c) for c in VIEW_PRODUCT_FIELDS + list(extra_product_fields)]
+    return ft.select(*fact, profit, *tail, *catalogue)
 
 
 def testdata_sales(spark: SparkSession, sf_dir: str, with_products: bool = True, extra_product_fields: tuple[str, ...] = (),
-                   read: Callable[[SparkSession, str, str], DataFrame] = table) -> DataFrame:
-    """The sales view over the driver's test tables (adapter -> preparation -> view); ``read`` gives each table."""
-    tx = prepare_transactions(raw_transactions(spark, sf_dir, read))
-    products = prepare_products(raw_products(spark, sf_dir)) if with_products else None
-    return sales_analysis(tx, products, extra_product_fields)
+                   read: Callable[[SparkSession, str, str], DataFrame] = table,
+                   arranged: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """The sales view over the driver's test tables (adapter -> preparation -> view); ``read`` gives each table.
+
+    All tables are joined before anything is derived, so shuffles and ``arranged`` (a sort of the joined rows, by
+    ``delivery_status`` or ``transaction_date``) move the tables' own columns. Lines meet their products first and their
+    orders last: the lines of an order then lie together. Bucketed lines stay with their orders, products come behind.
+    """
+    if not with_products:
+        return _view(prepare_transactions(transactions_of(arranged(transaction_rows(spark, sf_dir, read)))).alias("ft"))
+    fields = [*VIEW_PRODUCT_FIELDS, *extra_product_fields]
+    products = prepare_products(raw_products(spark, sf_dir)).select(*[F.col(c).alias(f"{_PRODUCT}{c}") for c in fields])
+
+    def with_catalogue(rows: DataFrame) -> DataFrame:
+        return rows.join(products, F.col("l_partkey") == F.col(f"{_PRODUCT}product_code"), "left")
+
+    if read is table:
+        rows = transaction_rows(spark, sf_dir, read, with_catalogue)
+    else:
+        rows = with_catalogue(transaction_rows(spark, sf_dir, read))
+    tx = prepare_transactions(transactions_of(arranged(rows), *products.columns))
+    return _view(tx.alias("ft"), f"ft.{_PRODUCT}", extra_product_fields)
 
 
 def register_view(df: DataFrame, name: str = "sales_analysis") -> DataFrame:

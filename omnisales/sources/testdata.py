@@ -9,9 +9,11 @@ Scale notes:
 * Only the columns a rule needs are read (Catalyst prunes further per query).
 * Join order keeps the big-big join last: customer is first enriched with the
   25-row nation / 5-row region tables, then joined to orders on the customer
-  key, and only then to lineitem on the order key, so lineitem is shuffled
-  at most once. No side is hinted: Spark and AQE choose on bytes, and AQE
-  splits skewed order keys.
+  key, and only then to lineitem on the order key. No side is hinted: Spark
+  and AQE choose on bytes, and AQE splits skewed order keys.
+* ``transaction_rows`` joins the tables' own columns; ``transactions_of``
+  derives the transactions from a joined row. What is shuffled and sorted is
+  so the narrow row: the derived one has about twice its bytes.
 * Joins are left joins: a line without its order, customer or nation stays,
   with NULLs.
 """
@@ -51,9 +53,12 @@ def _case(col: F.Column, mapping: dict, default=None) -> F.Column:
     return expr.otherwise(F.lit(default)) if default is not None else expr
 
 
-def raw_transactions(spark: SparkSession, sf_dir: str,
-                     read: Callable[[SparkSession, str, str], DataFrame] = table) -> DataFrame:
-    """The reference's ``transactions`` table (before preparation) built from the test tables; ``read`` gives each."""
+def transaction_rows(spark: SparkSession, sf_dir: str, read: Callable[[SparkSession, str, str], DataFrame] = table,
+                     with_lines: Callable[[DataFrame], DataFrame] = lambda lines: lines) -> DataFrame:
+    """The joined rows of the test tables with their own columns, and the two columns that views are sorted by.
+
+    ``read`` gives each table; ``with_lines`` may add columns to lineitem before its lines are joined to their orders.
+    """
     li = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
         "l_tax", "l_returnflag")
@@ -65,8 +70,19 @@ def raw_transactions(spark: SparkSession, sf_dir: str,
     # Table by table, so that Spark knows the size of each and broadcasts those that are small enough.
     orders = (od.join(cu, od.o_custkey == cu.c_custkey, "left").join(na, cu.c_nationkey == na.n_nationkey, "left")
               .join(rg, na.n_regionkey == rg.r_regionkey, "left"))
-    rows = li.join(orders, li.l_orderkey == orders.o_orderkey, "left")
+    rows = with_lines(li).join(orders, F.col("l_orderkey") == orders.o_orderkey, "left")
+    return (rows.withColumn("transaction_date", F.col("o_orderdate").cast(DateType()))
+            .withColumn("delivery_status", _case(F.col("l_returnflag"), STATUS_BY_RETURNFLAG)))
+
+
+def raw_transactions(spark: SparkSession, sf_dir: str,
+                     read: Callable[[SparkSession, str, str], DataFrame] = table) -> DataFrame:
+    """The reference's ``transactions`` table (before preparation) built from the test tables; ``read`` gives each."""
+    return transactions_of(transaction_rows(spark, sf_dir, read))
+
 
+def transactions_of(rows: DataFrame, *carried: str) -> DataFrame:
+    """The raw transaction of each row of ``transaction_rows``, with the columns ``carried`` behind."""
     gross = F.col("l_extendedprice").cast(MONEY)
     scaled = DecimalType(18, 4)
     rate = _case(F.substring("o_orderpriority", 1, 1), FEE_RATE_BY_PRIORITY_DIGIT, FEE_RATE_OTHER).cast(DecimalType(4, 2))
@@ -78,7 +94,7 @@ def raw_transactions(spark: SparkSession, sf_dir: str,
     returned = F.col("l_returnflag") == "R"
     return rows.select(
         F.col("l_orderkey").alias("transaction_id"),
-        F.col("o_orderdate").cast(DateType()).alias("transaction_date"),
+        "transaction_date",
         hms(seconds).alias("order_time"),
         F.col("o_orderpriority").alias("platform"),
         F.col("c_mktsegment").alias("order_source"),
@@ -97,11 +113,12 @@ def raw_transactions(spark: SparkSession, sf_dir: str,
         F.when(F.col("l_linenumber") == NO_CAMPAIGN_LINE, "No Campaign")
          .otherwise(F.concat(F.lit("Campaign "), F.col("l_linenumber").cast("string"))).alias("campaign_name"),
         F.concat(F.lit("Warehouse "), (F.col("l_suppkey") % 4).cast("string")).alias("warehouse_origin"),
-        _case(F.col("l_returnflag"), STATUS_BY_RETURNFLAG).alias("delivery_status"),
+        "delivery_status",
         (F.lit(1) + (F.col("l_orderkey") + F.col("l_linenumber")) % 5).cast(IntegerType()).alias("customer_rating"),
         F.when(returned, "Yes").otherwise("No").alias("returned_flag"),
         F.when(returned, _case(F.col("l_suppkey") % 4, RETURN_REASON_BY_SUPPKEY_MOD4)).otherwise("No").alias("return_reason"),
         F.col("l_partkey").alias("product_code"),
+        *carried,
     )
 
 
