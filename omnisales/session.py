@@ -6,10 +6,12 @@ session already has and only fills in defaults that are unset (tests, bench).
 
 from __future__ import annotations
 
+import contextlib
 import math
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
@@ -148,3 +150,27 @@ def apply_settings(spark: SparkSession, settings: dict[str, str]) -> None:
     """Set runtime SQL settings on the session (they apply to the next query plans)."""
     for key, value in settings.items():
         spark.conf.set(key, value)
+
+
+@contextlib.contextmanager
+def small_tasks(spark: SparkSession, data_bytes: int, task_bytes: int = 32 << 20, input_bytes_per_partition: int = 4 << 20) -> Iterator[None]:
+    """For a job over ``data_bytes`` of input that sorts and writes wide rows behind a shuffle.
+
+    AQE joins shuffle partitions up to the advisory size, counted in compressed bytes; a sort of that many wide rows can
+    take ten times as much and spill. Here partitions are made for ``input_bytes_per_partition`` of the input each and
+    joined up to ``task_bytes``, so a task's memory stays the same however large the input is. Smaller advisory sizes and
+    higher numbers of partitions of the session stay; its settings are put back at the end. Results do not depend on them.
+    """
+    initial, advisory = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = {key: spark.conf.get(key, None) for key in (initial, advisory)}
+    partitions = max(int(before[initial] or shuffle_partitions(spark)), math.ceil(data_bytes / input_bytes_per_partition))
+    least = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before[advisory] or f"{64 << 20}b")
+    apply_settings(spark, {initial: str(partitions), advisory: str(min(least, task_bytes))})
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)

@@ -8,7 +8,9 @@ import pytest
 from omnisales.plans import store
 from omnisales.plans.incremental import clustered
 from omnisales.plans.sales_view import testdata_sales as view_of
+from omnisales.session import shuffle_partitions, small_tasks
 
+INITIAL, ADVISORY = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 DERIVED = ("order_time", "campaign_name", "warehouse_origin", "membership_tier", "gross_sales", "net_profit", "city", "day_of_week")
 
 
@@ -55,3 +57,34 @@ def test_the_order_of_the_joins_does_not_change_the_view(spark, tables):
     assert lines_first.dtypes == products_first.dtypes
     assert sorted(map(str, lines_first.collect())) == sorted(map(str, products_first.collect()))
     assert products_first.count() > spark.read.parquet(f"{tables}/lineitem.parquet").count()
+
+
+def test_the_view_is_written_in_small_tasks(spark, tables, monkeypatch):
+    seen = {}
+    whole = store.small_tasks
+    before = {k: spark.conf.get(k, None) for k in (INITIAL, ADVISORY)}
+
+    def noted(session, data_bytes):
+        seen["bytes"] = data_bytes
+        return whole(session, data_bytes)
+
+    monkeypatch.setattr(store, "small_tasks", noted)
+    store.materialize_sales(spark, tables)
+    assert seen["bytes"] > 0 and {k: spark.conf.get(k, None) for k in before} == before
+
+
+def test_small_tasks_grow_in_number_with_the_input(spark):
+    before = {k: spark.conf.get(k, None) for k in (INITIAL, ADVISORY)}
+    with small_tasks(spark, 6 << 30):
+        assert int(spark.conf.get(INITIAL)) == 1536 and int(spark.conf.get(ADVISORY)) == 32 << 20
+    with pytest.raises(ValueError), small_tasks(spark, 1):
+        assert int(spark.conf.get(INITIAL)) == shuffle_partitions(spark)
+        raise ValueError
+    assert {k: spark.conf.get(k, None) for k in before} == before
+    spark.conf.set(ADVISORY, "8m")
+    try:
+        with small_tasks(spark, 1):
+            assert int(spark.conf.get(ADVISORY)) == 8 << 20
+        assert spark.conf.get(ADVISORY) == "8m"
+    finally:
+        spark.conf.unset(ADVISORY)
