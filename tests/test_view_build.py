@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
+
+from omnisales.operators import rollup as R
 from omnisales.plans import store
 from omnisales.plans.incremental import clustered
 from omnisales.plans.sales_view import testdata_sales as view_of
@@ -88,3 +92,20 @@ def test_small_tasks_grow_in_number_with_the_input(spark):
         assert spark.conf.get(ADVISORY) == "8m"
     finally:
         spark.conf.unset(ADVISORY)
+
+
+def test_rows_are_multiplied_by_the_bases_only(spark, tables):
+    sales = spark.read.parquet(store.materialize_sales(spark, tables))
+    plan = R.rollup(sales)._jdf.queryExecution().optimizedPlan()
+    expands = [plan.apply(i) for i in range(40) if plan.apply(i) is not None and plan.apply(i).nodeName() == "Expand"]
+    assert [e.projections().size() for e in expands] == [len(R.BASES)] and len(R.BASES) < len(R.SETS)
+    assert all(any(set(s) <= set(b) for b in R.BASES) for s in R.SETS)
+
+
+@pytest.mark.parametrize("amounts", [["999999.99", "-999999.99", "0.01"], ["1000000.00", "-1000000.00", "9999999999999999.99", "0.01"],
+                                     ["1000000.00", "-9999999999999999.99"], [None, None], [None, "999999.99", "1000000.00"]])
+def test_amounts_of_any_size_are_summed_exactly(spark, amounts):
+    values = [(Decimal(a) if a else None,) for a in amounts]
+    rows = spark.createDataFrame(values, "m decimal(18,2)")
+    found = rows.agg(R._added("m", rows.schema["m"].dataType).alias("fast"), F.sum("m").alias("plain")).first()
+    assert found["fast"] == found["plain"] == (sum(v for v, in values if v is not None) if any(amounts) else None)
